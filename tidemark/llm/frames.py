@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -46,5 +47,29 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of 64 bits in a filter; the table that is broadcast has this many at most, 3 MB, however many ids there are.
+FILTER_WORDS = 1 << 17
+
+
+def may_match(df: DataFrame, key: str, ids: DataFrame, id_name: str = "id", flag: str | None = None) -> DataFrame:
+    """Rows of df whose key may be among ids (some others too): those alone, or all with a boolean column.
+
+    A bit filter of fixed size: what it lets through still needs the exact join, but most other
+    rows need no shuffle.  With more ids than bits it lets everything through.
+    """
+    slot, word, bits, at = (fresh(df, x) for x in ("slot", "word", "bits", "at"))
+
+    def place(c: Column) -> Column:
+        return F.pmod(F.xxhash64(c), F.lit(FILTER_WORDS * 64))
+
+    bit = F.expr(f"shiftleft(1L, cast(pmod(xxhash64({id_name}), {FILTER_WORDS * 64}) % 64 as int))")
+    words = ids.groupBy(F.floor(place(F.col(id_name)) / 64).cast("long").alias(word)).agg(F.bit_or(bit).alias(bits))
+    placed = df.withColumn(slot, place(F.col(key))).withColumn(at, F.floor(F.col(slot) / 64).cast("long"))
+    joined = placed.join(F.broadcast(words), F.col(at) == F.col(word), "left")
+    hit = F.coalesce(F.expr(f"(shiftright(`{bits}`, cast(pmod(`{slot}`, 64) as int)) & 1L) = 1L"), F.lit(False))
+    own = [F.col(f"`{c}`") for c in df.columns]
+    return joined.select(*own, hit.alias(flag)) if flag else joined.where(hit).select(*own)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

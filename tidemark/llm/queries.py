@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import quality
+from tidemark.llm import jaccard, quality
 from tidemark.llm.frames import table
 
 
@@ -14,10 +14,16 @@ def op6_line_frequency_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_verdicts(table(spark, sf_dir, "documents"))
 
 
+def op8_adaptive_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_line_frequency_quality": op6_line_frequency_quality,
+    "op8_adaptive_jaccard_join": op8_adaptive_jaccard_join,
 }
 
 ORACLES: dict[str, str] = {
     "op6_line_frequency_quality": quality.QUALITY_SQL,
+    "op8_adaptive_jaccard_join": jaccard.JACCARD_SQL,
 }
