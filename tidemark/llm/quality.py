@@ -34,7 +34,7 @@ def _trimmed(text: Column) -> Column:
     return F.btrim(text, F.lit(BLANKS))
 
 
-def _word_array(text: Column) -> Column:
+def word_array(text: Column) -> Column:
     """Words of a text; an empty array if it has none."""
     body = _trimmed(text)
     return F.when(body == "", F.array().cast("array<string>")).otherwise(F.split(body, GAP, -1))
@@ -56,7 +56,7 @@ def text_statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
     )
     # Each array is a column of its own projection, so that lambdas refer to a value and not to an expression.
     rows = docs.select(*keep, F.coalesce("text", F.lit("")).alias(t))
-    rows = rows.withColumn(words, _word_array(F.col(t)))
+    rows = rows.withColumn(words, word_array(F.col(t)))
     lines = F.filter(F.split(t, "\n", -1), lambda x: x.rlike(WORD_CHAR))
     rows = rows.select(
         *keep,

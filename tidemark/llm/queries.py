@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import jaccard, quality
+from tidemark.llm import jaccard, mixing, quality
 from tidemark.llm.frames import table
 
 
@@ -18,9 +18,14 @@ def op8_adaptive_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op9_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed_words(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_line_frequency_quality": op6_line_frequency_quality,
     "op8_adaptive_jaccard_join": op8_adaptive_jaccard_join,
+    "op9_source_mixture": op9_source_mixture,
 }
 
 ORACLES: dict[str, str] = {
