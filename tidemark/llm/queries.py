@@ -6,14 +6,29 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import jaccard, mixing, quality
+from tidemark.llm import html, jaccard, mixing, quality, tokencount, warc
 from tidemark.llm.frames import table
 
+#: The vocabulary that op7 counts with: pieces and scores of a public model file.
+VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op1_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_text(table(spark, sf_dir, "pages"))
+
+
+def op5_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived_pages(table(spark, sf_dir, "pages"))
+
 
 def op6_line_frequency_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_verdicts(table(spark, sf_dir, "documents"))
 
 
+def op7_unigram_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.token_counts(table(spark, sf_dir, "documents"), *tokencount.load_vocabulary(VOCABULARY))
+
+
 def op8_adaptive_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -23,12 +38,16 @@ def op9_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_main_text": op1_html_main_text,
+    "op5_warc_round_trip": op5_warc_round_trip,
     "op6_line_frequency_quality": op6_line_frequency_quality,
+    "op7_unigram_token_counts": op7_unigram_token_counts,
     "op8_adaptive_jaccard_join": op8_adaptive_jaccard_join,
     "op9_source_mixture": op9_source_mixture,
 }
 
 ORACLES: dict[str, str] = {
+    "op5_warc_round_trip": warc.WARC_SQL,
     "op6_line_frequency_quality": quality.QUALITY_SQL,
     "op8_adaptive_jaccard_join": jaccard.JACCARD_SQL,
 }
