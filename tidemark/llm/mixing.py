@@ -162,7 +162,7 @@ def mixed_words(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = SEE
     )
     used = draws(targets, block_words, seed=seed).groupBy(F.col("source").alias("u_source"), F.col("block").alias("u_block")).agg(
         F.count("*").alias("times")
-    )
+    ).hint("merge")  # draws come from one row a source, which the planner takes for their size
     taken = (
         parts.join(used, same(F.col("source"), F.col("u_source")) & (F.col("block") == F.col("u_block")))
         .groupBy(F.col("source").alias("t_source"), F.col("at").alias("t_at"))
@@ -220,6 +220,7 @@ def mixed_blocks(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = SE
     targets = source_targets(placed_rows(docs, []))
     return (
         draws(targets, block_words, seed=seed)
+        .hint("merge")
         .join(blocks, same(F.col("source"), F.col("b_source")) & (F.col("block") == F.col("b_block")))
         .select("shard", "slot", "source", "pass", "block", "n_words", "doc_ids", "text")
     )
