@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import html, jaccard, mixing, quality, tokencount, warc
+from tidemark.llm import decontam, html, jaccard, mixing, quality, tokencount, toxicity, warc
 from tidemark.llm.frames import table
 
 #: The vocabulary that op7 counts with: pieces and scores of a public model file.
@@ -17,6 +17,10 @@ def op1_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_text(table(spark, sf_dir, "pages"))
 
 
+def op4_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived_pages(table(spark, sf_dir, "pages"))
 
@@ -37,13 +41,21 @@ def op9_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_words(table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    chain = toxicity.fit_chain(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, chain)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_main_text": op1_html_main_text,
+    "op4_qgram_decontamination": op4_qgram_decontamination,
     "op5_warc_round_trip": op5_warc_round_trip,
     "op6_line_frequency_quality": op6_line_frequency_quality,
     "op7_unigram_token_counts": op7_unigram_token_counts,
     "op8_adaptive_jaccard_join": op8_adaptive_jaccard_join,
     "op9_source_mixture": op9_source_mixture,
+    "op10_toxicity_chain": op10_toxicity_chain,
 }
 
 ORACLES: dict[str, str] = {
