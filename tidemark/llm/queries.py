@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontam, html, jaccard, mixing, quality, tokencount, toxicity, warc
+from tidemark.llm import decontam, html, jaccard, licences, mixing, quality, substring, tokencount, toxicity, warc
 from tidemark.llm.frames import table
 
 #: The vocabulary that op7 counts with: pieces and scores of a public model file.
@@ -17,6 +17,14 @@ def op1_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_text(table(spark, sf_dir, "pages"))
 
 
+def op2_licence_sentence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.licence_scan(table(spark, sf_dir, "documents"))
+
+
+def op3_paragraph_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.passages(table(spark, sf_dir, "documents"))
+
+
 def op4_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -49,6 +57,8 @@ def op10_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_main_text": op1_html_main_text,
+    "op2_licence_sentence_rules": op2_licence_sentence_rules,
+    "op3_paragraph_minhash_dedup": op3_paragraph_minhash_dedup,
     "op4_qgram_decontamination": op4_qgram_decontamination,
     "op5_warc_round_trip": op5_warc_round_trip,
     "op6_line_frequency_quality": op6_line_frequency_quality,
@@ -59,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_licence_sentence_rules": licences.LICENCE_SQL,
     "op5_warc_round_trip": warc.WARC_SQL,
     "op6_line_frequency_quality": quality.QUALITY_SQL,
     "op8_adaptive_jaccard_join": jaccard.JACCARD_SQL,
