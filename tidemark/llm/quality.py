@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.frames import fresh, same
+from tidemark.llm.frames import cut, fresh, may_match, same
 
 #: The six characters that separate words.
 BLANKS = " \t\n\x0b\f\r"
@@ -189,20 +189,25 @@ def quality_verdicts(docs: DataFrame, host: str = "source") -> DataFrame:
 def quality_filter(docs: DataFrame, host: str = "source") -> DataFrame:
     """The rows of docs that the rules keep, with their own columns only.
 
-    Texts aren't shuffled for the statistics; the depleted texts, named by hash, are anti-joined.
+    What is rejected depends on the host and the text, so rejected pairs are named by hash and
+    anti-joined; only rows whose text may be among them are shuffled.  The statistics are written first:
+    a filter on top of them would be pushed through their projections, which repeats the arrays' expressions.
     """
-    own = docs.columns
-    text, at, content = fresh(docs, "row"), fresh(docs, "host"), fresh(docs, "content")
-    packed = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in own]).alias(text),
-        "text",
-        F.col(host).alias(at),
-        F.xxhash64("text").alias(content),
-    )
-    good = text_statistics(packed, [text, at, content]).where(~base_failed())
-    bad = depleted_contents(docs, host)
-    left = good.join(bad, same(good[at], bad["host"]) & (good[content] == bad["content"]), "left_anti")
-    return left.select(*[F.col(text).getField(c).alias(c) for c in own])
+    keyed = docs.select("text", F.col(host).alias("host"), F.xxhash64("text").alias("content"))
+    verdicts = cut(
+        text_statistics(keyed, ["host", "content"]).select("host", "content", base_failed().alias("failed"))
+    )
+    rejected = cut(
+        verdicts.where("failed").select("host", "content").union(depleted_contents(docs, host)).distinct()
+    )
+    at, content, hit = fresh(docs, "host"), fresh(docs, "content"), fresh(docs, "hit")
+    rows = docs.withColumn(at, F.col(host)).withColumn(content, F.xxhash64("text"))
+    marked = may_match(rows, content, rejected, "content", flag=hit)
+    unsure = marked.where(F.col(hit))
+    left = unsure.join(
+        rejected, same(unsure[at], rejected["host"]) & (unsure[content] == rejected["content"]), "left_anti"
+    )
+    return marked.where(~F.col(hit)).drop(at, content, hit).unionByName(left.drop(at, content, hit))
 
 
 QUALITY_SQL = r"""
