@@ -40,10 +40,14 @@ def _checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared checkpoint folder, without its lineage."""
+    """df, computed once and kept in the shared checkpoint folder, without its lineage.
+
+    The driver's garbage is collected, upon which Spark deletes the shuffle files that led here.
+    """
     spark = df.sparkSession
     path = f"{work_dir(spark)}/rows"
     df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -8,8 +8,8 @@ prefixes of length n - ceil(t n) + l, under any order common to all sets, share
    class has no partner.  This takes counts only: tokens that many documents hold are summed
    before the shuffle.
 3. The classes that are left link to the leaders of their prefix tokens and are verified.
-4. For all pairs across the resulting components: tokens are ordered by the number of components
-   that hold them.  Each class chooses l by estimated cost, reading its postings
+4. For all pairs across the resulting components: tokens are ordered by the number of open sets
+   that hold them, those of one component alone first.  Each class chooses l by estimated cost, reading its postings
    against verifying the candidates they may give: common tokens make a prefix longer, and a
    candidate must then share the smaller l of the two.
 """
@@ -77,7 +77,10 @@ def _slack(n, percent: int):
 
 
 def _prefixes(ordered: DataFrame, percent: int) -> DataFrame:
-    """(id, n, component, bucket, need) from (id, n, component, items): items are (holders, token), ascending."""
+    """(id, n, component, bucket, need) from (id, n, component, items).
+
+    items are the (holders, token) that several components hold, ascending; the others come before them.
+    """
     schema = "id long, n int, component long, need int, buckets array<bigint>"
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,17 +93,17 @@ def _prefixes(ordered: DataFrame, percent: int) -> DataFrame:
             for i, n in enumerate(batch.column("n").to_pylist()):
                 c = holders[lists[i] : lists[i + 1]].astype(np.float64)
                 t = tokens[lists[i] : lists[i + 1]]
-                slack = n - least_overlap(n, percent)
-                if not n or np.count_nonzero(c == 1) > slack:
+                # The n - len(c) tokens that no other component holds come first in the order.
+                spare = n - least_overlap(n, percent) - (n - len(c))
+                if spare < 0:
                     continue
-                most = min(MOST_MATCHES, n - slack)
-                reads = np.cumsum(np.where(c > 1, c, 0))[slack : slack + most]
+                most = min(MOST_MATCHES, len(c) - spare)
+                reads = np.cumsum(c)[spare : spare + most]
                 matches = np.arange(1, most + 1)
                 need = int(np.argmin(reads + VERIFY_COST * reads / matches)) + 1
-                chosen = slice(0, slack + need)
                 keep.append(i)
                 needs.append(need)
-                rows.append(t[chosen][c[chosen] > 1])
+                rows.append(t[: spare + need])
             kept = batch.select(["id", "n", "component"]).take(pa.array(keep, type=pa.int64()))
             yield pa.record_batch(
                 [*kept.columns, pa.array(needs, type=pa.int32()), list_column(rows)],
@@ -138,34 +141,51 @@ def similar_classes(docs: DataFrame, width: int = WORDS, percent: int = PERCENT)
         .select("id")
     )
     survivors = cut(survivors)
-    texts = may_match(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), "id", survivors)
-    sets = cut(linking.sets_of(texts.join(survivors, "id"), lambda x: _bytes(x, width)))
-
-    short = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    near = sets.select(
-        "id", short.alias("n_buckets"), F.explode(F.slice("tokens", F.lit(1), short.cast("int"))).alias("bucket")
+    wanted = may_match(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), "id", survivors)
+    texts = cut(
+        wanted.join(survivors, "id").groupBy("id", F.xxhash64("text").alias("h")).agg(F.first("text").alias("text")).drop("h")
     )
-    labels = cut(linking.components(linking.verify(linking.to_leaders(near, LEADER_PART), sets, percent)))
-
-    # Exhaustive across components; sets that their own component alone explains can't have such a partner.
-    placed = linking.with_component(sets, labels)
-    wide = F.least("n", short + _slack(F.col("n"), percent))
-    heads = placed.select("id", "component", F.explode(F.slice("tokens", F.lit(1), wide.cast("int"))).alias("token"))
-    owned = heads.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-    enclosed = (
-        heads.select("id", "token")
-        .join(owned.where("lo < hi").select("token"), "token", "left_semi")
-        .groupBy("id")
-        .agg(F.count("*").alias("shared"))
+
+    def make(text: bytes) -> np.ndarray:
+        return _bytes(text, width)
+
+    def slack(n: int) -> int:
+        return n - least_overlap(n, percent)
+
+    near = linking.sets_of(texts, make, lambda n: slack(n) + 1).select(
+        "id", F.size("tokens").alias("n_buckets"), F.explode("tokens").alias("bucket")
     )
-    open_ids = enclosed.join(sets.select("id", "n"), "id").where(F.col("shared") >= wide - _slack(F.col("n"), percent))
-    open_sets = placed.join(open_ids.select("id"), "id", "left_semi")
-    tokens = open_sets.select("id", "n", "component", F.explode("tokens").alias("token"))
-    holders = tokens.groupBy("token", "component").agg(F.lit(1).alias("one")).groupBy("token").agg(
-        F.count("*").cast("int").alias("holders")
+    leads = linking.to_leaders(near, LEADER_PART)
+    labels = cut(linking.components(linking.verify(leads, texts, make, percent)))
+
+    # Exhaustive across components, for the sets that may have a partner in another one: first by the smallest
+    # hashes of all, then by the whole sets of those left.
+    open_texts = linking.with_component(texts, labels)
+    for part in (lambda n: slack(n) + 1 + -(-n // 20), None):
+        sets = linking.sets_of(open_texts, make, part)
+        placed = linking.with_component(sets, labels).select("id", "n", "component", F.explode("tokens").alias("token"))
+        holders = cut(
+            placed.groupBy("token")
+            .agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").cast("int").alias("holders"))
+            .where("lo < hi")
+            .select("token", "holders")
+        )
+        length = F.size("tokens")
+        spread = sets.select("id", "n", length.alias("seen"), F.explode("tokens").alias("token"))
+        open_ids = cut(
+            may_match(spread, "token", holders, "token")
+            .groupBy("id")
+            .agg(F.count("*").alias("shared"), F.first("n").alias("n"), F.first("seen").alias("seen"))
+            .where(F.col("shared") >= F.col("seen") - _slack(F.col("n"), percent))
+            .select("id")
+        )
+        open_texts = texts.join(open_ids, "id", "left_semi")
+    tokens = linking.with_component(linking.sets_of(open_texts, make), labels).select(
+        "id", "n", "component", F.explode("tokens").alias("token")
     )
     ordered = (
-        tokens.join(holders, "token")
+        may_match(tokens, "token", holders, "token")
+        .join(holders, "token")
         .groupBy("id", "n", "component")
         .agg(F.sort_array(F.collect_list(F.struct("holders", "token"))).alias("items"))
     )
@@ -174,7 +194,7 @@ def similar_classes(docs: DataFrame, width: int = WORDS, percent: int = PERCENT)
     classed = members.where("rep is not null")
     split = classed.groupBy("id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi")
     ties = classed.join(split.select("id"), "id", "left_semi").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    links = linking.verify(pairs, sets, percent).union(ties)
+    links = linking.verify(pairs, texts, make, percent).union(ties)
     return members, linking.relabel(labels, links)
 
 

@@ -1,6 +1,6 @@
 """Links between similar sets, and the components that links make.
 
-A set is a row (id, n, tokens): ``tokens`` are n ascending 64-bit hashes.  No step emits all
+A set is the ascending 64-bit hashes that a function makes of a text.  No step emits all
 pairs of a bucket: buckets first link their members to two leaders, and only pairs that
 are still in different components go on to an exhaustive pass.
 """
@@ -8,13 +8,14 @@ are still in different components go on to an exhaustive pass.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.frames import cut
+from tidemark.llm.frames import cut, may_match
 
 SETS = "id long, n int, tokens array<bigint>"
 
@@ -50,16 +51,23 @@ def least_overlap(n, percent: int):
     return -(-percent * n // 100)
 
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) for which 100 * |A and B| >= percent * |A or B|, compared exactly."""
-    left = sets.select(F.col("id").alias("a"), F.col("tokens").alias("ta"))
-    right = sets.select(F.col("id").alias("b"), F.col("tokens").alias("tb"))
+def verify(pairs: DataFrame, texts: DataFrame, make: Callable[[bytes], np.ndarray], percent: int) -> DataFrame:
+    """The pairs (a, b) for which 100 * |A and B| >= percent * |A or B|, compared exactly.
+
+    Texts (id, text) are shuffled, not sets: they compress, and hashes don't.  Only texts that occur in a pair are.
+    """
+    pairs = cut(pairs)
+    left = may_match(texts, "id", pairs, "a").select(F.col("id").alias("a"), F.col("text").alias("ta"))
+    right = may_match(texts, "id", pairs, "b").select(F.col("id").alias("b"), F.col("text").alias("tb"))
     both = batch_limits(pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb"))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = lru_cache(maxsize=64)(make)  # pairs come ordered by b
         for batch in batches:
             keep = []
-            for x, y in zip(arrays(batch.column("ta")), arrays(batch.column("tb")), strict=True):
+            columns = [batch.column(c).cast(pa.binary()).to_pylist() for c in ("ta", "tb")]
+            for x, y in zip(*columns, strict=True):
+                x, y = make(x), made(y)
                 merged = np.concatenate([x, y])
                 merged.sort(kind="stable")  # two ascending runs
                 shared = int(np.count_nonzero(merged[1:] == merged[:-1]))
@@ -142,15 +150,17 @@ def relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
     return components(old.union(links.select("a", "b")))
 
 
-def sets_of(texts: DataFrame, make: Callable[[bytes], np.ndarray]) -> DataFrame:
-    """Sets of (id, text)."""
+def sets_of(
+    texts: DataFrame, make: Callable[[bytes], np.ndarray], part: Callable[[int], int] | None = None
+) -> DataFrame:
+    """(id, n, tokens) of (id, text): the size of the set, and the set or its part(n) smallest hashes."""
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [make(x) for x in batch.column("text").cast(pa.binary()).to_pylist()]
-            yield pa.record_batch(
-                [batch.column("id"), pa.array([len(r) for r in rows], type=pa.int32()), list_column(rows)],
-                names=["id", "n", "tokens"],
-            )
+            sizes = pa.array([len(r) for r in rows], type=pa.int32())
+            if part is not None:
+                rows = [r[: part(len(r))] for r in rows]
+            yield pa.record_batch([batch.column("id"), sizes, list_column(rows)], names=["id", "n", "tokens"])
 
-    return batch_limits(texts).mapInArrow(tokens, SETS)
+    return batch_limits(texts.select("id", "text")).mapInArrow(tokens, SETS)
