@@ -37,7 +37,7 @@ SPARE = 0.02
 LEADER_PART = 0.25
 #: Cost of verifying a candidate, in postings read, and the most matches that a prefix asks for.
 VERIFY_COST = 40
-MOST_MATCHES = 24
+MOST_MATCHES = 3
 
 
 def _bytes(text: bytes | None, width: int) -> np.ndarray:
@@ -81,7 +81,7 @@ def _prefixes(ordered: DataFrame, percent: int) -> DataFrame:
 
     items are the (holders, token) that several components hold, ascending; the others come before them.
     """
-    schema = "id long, n int, component long, need int, buckets array<bigint>"
+    schema = "id long, n int, component long, need int, free int, buckets array<bigint>"
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -89,7 +89,7 @@ def _prefixes(ordered: DataFrame, percent: int) -> DataFrame:
             lists = items.offsets.to_numpy()
             holders = items.values.field("holders").to_numpy(zero_copy_only=False)
             tokens = items.values.field("token").to_numpy(zero_copy_only=False)
-            keep, needs, rows = [], [], []
+            keep, needs, frees, rows = [], [], [], []
             for i, n in enumerate(batch.column("n").to_pylist()):
                 c = holders[lists[i] : lists[i + 1]].astype(np.float64)
                 t = tokens[lists[i] : lists[i + 1]]
@@ -103,15 +103,16 @@ def _prefixes(ordered: DataFrame, percent: int) -> DataFrame:
                 need = int(np.argmin(reads + VERIFY_COST * reads / matches)) + 1
                 keep.append(i)
                 needs.append(need)
+                frees.append(n - len(c))
                 rows.append(t[: spare + need])
             kept = batch.select(["id", "n", "component"]).take(pa.array(keep, type=pa.int64()))
             yield pa.record_batch(
-                [*kept.columns, pa.array(needs, type=pa.int32()), list_column(rows)],
-                names=["id", "n", "component", "need", "buckets"],
+                [*kept.columns, pa.array(needs, type=pa.int32()), pa.array(frees, type=pa.int32()), list_column(rows)],
+                names=["id", "n", "component", "need", "free", "buckets"],
             )
 
     found = batch_limits(ordered).mapInArrow(choose, schema)
-    return found.select("id", "n", "component", "need", F.explode("buckets").alias("bucket"))
+    return found.select("id", "n", "component", "need", "free", F.explode("buckets").alias("bucket"))
 
 
 def similar_classes(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:

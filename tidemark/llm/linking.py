@@ -124,14 +124,20 @@ def to_leaders(postings: DataFrame, least_part: float = 0.0) -> DataFrame:
     )
 
 
-def across(postings: DataFrame, size_percent: int) -> DataFrame:
-    """Pairs (a, b) of different components that meet in enough buckets, from (bucket, id, n, component, need)."""
-    left = postings.select("bucket", *(F.col(c).alias(f"{c}1") for c in ("id", "n", "component", "need")))
-    right = postings.select("bucket", *(F.col(c).alias(f"{c}2") for c in ("id", "n", "component", "need")))
+def across(postings: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that meet in enough buckets.
+
+    postings: (bucket, id, n, component, need, free); free counts tokens that no set of another component holds, so
+    two sets share n - free at most, which bounds their similarity.
+    """
+    names = ("id", "n", "component", "need", "free")
+    left = postings.select("bucket", *(F.col(c).alias(f"{c}1") for c in names))
+    right = postings.select("bucket", *(F.col(c).alias(f"{c}2") for c in names))
+    most = F.least(F.col("n1") - F.col("free1"), F.col("n2") - F.col("free2"))
     return (
         left.join(right, "bucket")
         .where("component1 < component2")
-        .where(F.least("n1", "n2") * 100 >= F.greatest("n1", "n2") * size_percent)
+        .where(100 * most >= percent * (F.col("n1") + F.col("n2") - most))
         .groupBy("id1", "id2")
         .agg(F.count("*").alias("c"), F.first(F.least("need1", "need2")).alias("need"))
         .where("c >= need")
