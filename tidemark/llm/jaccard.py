@@ -11,7 +11,8 @@ prefixes of length n - ceil(t n) + l, under any order common to all sets, share
 4. For all pairs across the resulting components: tokens are ordered by the number of open sets
    that hold them, those of one component alone first.  Each class chooses l by estimated cost, reading its postings
    against verifying the candidates they may give: common tokens make a prefix longer, and a
-   candidate must then share the smaller l of the two.
+   candidate must then share the smaller l of the two.  Pairs of sets that one set leads, as in a large
+   group of near copies, are compared by their differences from it instead.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ SPARE = 0.02
 LEADER_PART = 0.25
 #: Cost of verifying a candidate, in postings read, and the most matches that a prefix asks for.
 VERIFY_COST = 40
-MOST_MATCHES = 3
+MOST_MATCHES = 8
 
 
 def _bytes(text: bytes | None, width: int) -> np.ndarray:
@@ -181,6 +182,10 @@ def similar_classes(docs: DataFrame, width: int = WORDS, percent: int = PERCENT)
             .select("id")
         )
         open_texts = texts.join(open_ids, "id", "left_semi")
+    open_texts = cut(open_texts)
+    heads = linking.sets_of(open_texts, make, lambda n: slack(n) + 1).select("id", F.explode("tokens").alias("bucket"))
+    pivot = cut(linking.pivots(heads))
+    certain, near_pivot = linking.around_pivots(open_texts, linking.with_component(pivot, labels), make, percent)
     tokens = linking.with_component(linking.sets_of(open_texts, make), labels).select(
         "id", "n", "component", F.explode("tokens").alias("token")
     )
@@ -190,12 +195,12 @@ def similar_classes(docs: DataFrame, width: int = WORDS, percent: int = PERCENT)
         .groupBy("id", "n", "component")
         .agg(F.sort_array(F.collect_list(F.struct("holders", "token"))).alias("items"))
     )
-    pairs = linking.across(_prefixes(ordered, percent), percent)
+    pairs = linking.across(_prefixes(ordered, percent).join(pivot, "id"), percent).union(near_pivot)
     # A doc_id on several rows ties their classes together.
     classed = members.where("rep is not null")
     split = classed.groupBy("id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi")
     ties = classed.join(split.select("id"), "id", "left_semi").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    links = linking.verify(pairs, texts, make, percent).union(ties)
+    links = linking.verify(pairs, open_texts, make, percent).union(certain).union(ties)
     return members, linking.relabel(labels, links)
 
 

@@ -127,16 +127,16 @@ def to_leaders(postings: DataFrame, least_part: float = 0.0) -> DataFrame:
 def across(postings: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of different components that meet in enough buckets.
 
-    postings: (bucket, id, n, component, need, free); free counts tokens that no set of another component holds, so
-    two sets share n - free at most, which bounds their similarity.
+    postings: (bucket, id, n, component, need, free, pivot); free counts tokens that no set of another component holds,
+    so two sets share n - free at most, which bounds their similarity.  Pairs of one pivot are left to around_pivots.
     """
-    names = ("id", "n", "component", "need", "free")
+    names = ("id", "n", "component", "need", "free", "pivot")
     left = postings.select("bucket", *(F.col(c).alias(f"{c}1") for c in names))
     right = postings.select("bucket", *(F.col(c).alias(f"{c}2") for c in names))
     most = F.least(F.col("n1") - F.col("free1"), F.col("n2") - F.col("free2"))
     return (
         left.join(right, "bucket")
-        .where("component1 < component2")
+        .where("component1 < component2 and pivot1 <> pivot2")
         .where(100 * most >= percent * (F.col("n1") + F.col("n2") - most))
         .groupBy("id1", "id2")
         .agg(F.count("*").alias("c"), F.first(F.least("need1", "need2")).alias("need"))
@@ -145,6 +145,80 @@ def across(postings: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def pivots(heads: DataFrame) -> DataFrame:
+    """(id, pivot): the set that leads most of an id's buckets, from (id, bucket); a leader of its own buckets is its own."""
+    leads = heads.groupBy("bucket").agg(F.min("id").alias("lead"))
+    met = heads.join(leads, "bucket").groupBy("id", "lead").agg(F.count("*").alias("c"))
+    return met.groupBy("id").agg(F.max_by("lead", F.struct("c", -F.col("lead"))).alias("pivot"))
+
+
+def around_pivots(
+    texts: DataFrame, placed: DataFrame, make: Callable[[bytes], np.ndarray], percent: int
+) -> tuple[DataFrame, DataFrame]:
+    """(links, pairs) between sets of one pivot, (a, b): links are certain, pairs are to be verified.
+
+    placed: (id, component, pivot).  With D(x) the symmetric difference of x and the pivot, that of x and y is
+    |D(x)| + |D(y)| - 2 |D(x) and D(y)|.  So x and y are similar if and only if the differences share
+    (e(x) + e(y)) / 2 tokens, where e(x) = |D(x)| - b |x| and b = (1 - t) / (1 + t).  Where the
+    sum isn't positive the link is certain, and the set of the least e has a link to either; else the rarest tokens
+    of the differences must meet.  Near copies of one text differ from it in few tokens that others
+    share, so a large group of them gives few pairs.
+    """
+    left = texts.select(F.col("id").alias("pivot"), F.col("text").alias("tp"))
+    both = batch_limits(
+        placed.join(left, "pivot").join(texts, "id").select("id", "component", "pivot", "text", "tp")
+    )
+    plus, minus = 100 + percent, 100 - percent
+
+    def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = lru_cache(maxsize=64)(make)
+        for batch in batches:
+            sizes, rows = [], []
+            columns = [batch.column(c).cast(pa.binary()).to_pylist() for c in ("text", "tp")]
+            for x, p in zip(*columns, strict=True):
+                x = make(x)
+                sizes.append(len(x))
+                rows.append(np.setxor1d(x, made(p), assume_unique=True))
+            yield pa.record_batch(
+                [*batch.select(["id", "component", "pivot"]).columns, pa.array(sizes, type=pa.int32()), list_column(rows)],
+                names=["id", "component", "pivot", "n", "tokens"],
+            )
+
+    found = cut(both.mapInArrow(differ, "id long, component long, pivot long, n int, tokens array<bigint>"))
+    found = found.select(
+        "id", "component", "pivot", "tokens", F.size("tokens").alias("d"), (F.size("tokens") * plus - F.col("n") * minus).alias("e")
+    )
+    best = found.groupBy("pivot").agg(F.min_by("id", F.struct("e", "id")).alias("best"), F.min("e").alias("low"))
+    rows = found.join(best, "pivot")
+    links = rows.where("e + low <= 0 and id <> best").select(F.least("id", "best").alias("a"), F.greatest("id", "best").alias("b"))
+
+    tokens = rows.select("id", "component", "pivot", "d", "e", "low", F.explode("tokens").alias("token"))
+    held = tokens.groupBy("pivot", "token").agg(F.count("*").alias("holders")).where("holders > 1")
+    items = (
+        tokens.join(held, ["pivot", "token"])
+        .groupBy("id", "component", "pivot", "d", "e", "low")
+        .agg(F.sort_array(F.collect_list(F.struct("holders", "token"))).alias("items"))
+        .withColumn("shared", F.size("items"))
+    )
+    need = F.greatest(F.lit(1), F.ceil((F.col("e") + F.col("low")) / (2 * plus)))
+    # The tokens that nobody else holds come first in a prefix, and can't meet.
+    length = F.greatest(F.lit(0), F.col("shared") - need + 1)
+    postings = items.select(
+        "id", "component", "pivot", "e", "shared", F.explode(F.slice("items", F.lit(1), length.cast("int"))).alias("item")
+    ).select("id", "component", "pivot", "e", "shared", F.col("item.token").alias("token"))
+    names = ("id", "component", "e", "shared")
+    a = postings.select("pivot", "token", *(F.col(c).alias(f"{c}1") for c in names))
+    b = postings.select("pivot", "token", *(F.col(c).alias(f"{c}2") for c in names))
+    pairs = (
+        a.join(b, ["pivot", "token"])
+        .where("component1 < component2 and e1 + e2 > 0")
+        .where(2 * plus * F.least("shared1", "shared2") >= F.col("e1") + F.col("e2"))
+        .select(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b"))
+        .distinct()
+    )
+    return links, pairs
+
+
 def with_component(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """rows with the component of their id, its own id if labels don't name it."""
     return rows.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))

@@ -153,7 +153,7 @@ def line_components(docs: DataFrame, lines: DataFrame) -> DataFrame:
 
     labels = cut(linking.components(linking.verify(linking.to_leaders(postings), texts, make, PERCENT)))
     apart = linking.with_component(postings, labels).select(
-        "bucket", "id", F.lit(1).alias("n"), "component", F.lit(1).alias("need"), F.lit(0).alias("free")
+        "bucket", "id", F.lit(1).alias("n"), "component", F.lit(1).alias("need"), F.lit(0).alias("free"), F.col("id").alias("pivot")
     )
     links = linking.verify(linking.across(apart, PERCENT), texts, make, PERCENT)
     return linking.relabel(labels, links)
