@@ -95,6 +95,19 @@ def banded_score(item: np.ndarray, text: np.ndarray, low: int, width: int) -> tu
     return best, *where
 
 
+def ungapped_score(item: np.ndarray, text: np.ndarray, low: int, width: int) -> tuple[int, int, int]:
+    """As banded_score, for alignments that stay on one diagonal."""
+    at = np.arange(len(item)) + (low + np.arange(width))[:, None]
+    hit = (at >= 0) & (at < len(text))
+    hit &= text[np.clip(at, 0, len(text) - 1)] == item
+    sums = np.zeros((width, len(item) + 1), dtype=np.int64)
+    np.cumsum(np.where(hit, GAIN, -LOSS), axis=1, out=sums[:, 1:])
+    floor = np.minimum.accumulate(sums, axis=1)
+    d, j = np.unravel_index(np.argmax(sums - floor), sums.shape)
+    start = int(np.argmax(sums[d, : j + 1] == floor[d, j]))
+    return int(sums[d, j] - floor[d, j]), int(low + d + start), int(low + d + j)
+
+
 class Items:
     """The items of one pass, by q-gram."""
 
@@ -138,39 +151,51 @@ class Items:
         ends = np.cumsum(counts)
         rows = np.arange(ends[-1]) - np.repeat(ends - counts, counts) + np.repeat(self.first[place], counts)
         item, spot = self.item[rows], np.repeat(at, counts)
-        diagonal = spot - self.offset[rows] + (1 << 20)  # items are shorter than 2^20 bytes
+        offset = self.offset[rows]
+        diagonal = spot - offset + (1 << 20)  # items are shorter than 2^20 bytes
         half = diagonal // (BAND // 2)
-        found: dict[int, tuple[int, int, int]] = {}
-        # Each q-gram counts for the two bands that overlap at its diagonal; a text offset counts once in a band.
+        # Each q-gram counts for the two bands that overlap at its diagonal.
         keys = np.concatenate([(item << 40) | half, (item << 40) | (half - 1)])
-        spots = np.concatenate([spot, spot])
-        order = np.lexsort((spots, keys))
-        keys, spots = keys[order], spots[order]
-        new = np.append(True, (keys[1:] != keys[:-1]) | (spots[1:] != spots[:-1]))
-        keys, spots = keys[new], spots[new]
-        # A region's shared q-grams lie within its length: so many of a band must start that close together.
-        bound = self.bound[keys >> 40]
-        ahead = np.arange(len(keys)) + bound - 1
-        fits = np.minimum(ahead, len(keys) - 1)
-        good = (ahead < len(keys)) & (keys[fits] == keys) & (spots[fits] - spots <= self.reach[keys >> 40])
-        bands, dense = np.unique(keys[good], return_counts=True)
+        bands, dense = self._dense(keys, np.concatenate([spot, spot]))
+        if not len(bands):
+            return []
+        # The shared q-grams of a region have places of their own in the item too: repeats of few don't add up.
+        kept = np.isin(keys, bands)
+        again, enough = self._dense(keys[kept], np.concatenate([offset, offset])[kept])
+        both, first, second = np.intersect1d(bands, again, assume_unique=True, return_indices=True)
+        dense = np.minimum(dense[first], enough[second])
+        found: dict[int, tuple[int, int, int]] = {}
         text_bytes = np.frombuffer(data, dtype=np.uint8)
-        for band, _ in sorted(zip(bands.tolist(), (-dense).tolist(), strict=True), key=lambda x: x[1]):
+        for band, _ in sorted(zip(both.tolist(), (-dense).tolist(), strict=True), key=lambda x: x[1]):
             i = band >> 40
-            if i in found and found[i][2] >= GAIN * len(self.raw[i]):
+            if i in found:
                 continue
             low = (band & ((1 << 40) - 1)) * (BAND // 2) - (1 << 20)
             got = self._verify(i, data, text_bytes, low)
-            if got[0] >= self.score[i] and (i not in found or got[0] > found[i][2]):
+            if got[0] >= self.score[i]:
                 found[i] = (got[1], got[2], got[0])
         return [(i, *found[i]) for i in sorted(found)]
 
+    def _dense(self, keys: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bands (keys) in which as many places as the bound asks for lie within a region's length, and how often."""
+        order = np.lexsort((places, keys))
+        keys, places = keys[order], places[order]
+        new = np.append(True, (keys[1:] != keys[:-1]) | (places[1:] != places[:-1]))
+        keys, places = keys[new], places[new]
+        ahead = np.arange(len(keys)) + self.bound[keys >> 40] - 1
+        fits = np.minimum(ahead, len(keys) - 1)
+        good = (ahead < len(keys)) & (keys[fits] == keys) & (places[fits] - places <= self.reach[keys >> 40])
+        return np.unique(keys[good], return_counts=True)
+
     def _verify(self, i: int, data: bytes, text: np.ndarray, low: int) -> tuple[int, int, int]:
         raw = self.raw[i]
         left, right = max(0, low), min(len(data), low + BAND + len(raw))
         whole = data.find(raw, left, right)
         if whole >= 0:  # no edit: the alignment is known
             return GAIN * len(raw), whole, whole + len(raw)
+        plain = ungapped_score(self.data[i], text, low, BAND)
+        if plain[0] >= self.score[i]:  # without gaps it is in the budget already
+            return plain
         return banded_score(self.data[i], text, low, BAND)
 
 
@@ -205,7 +230,7 @@ def _one_pass(rows: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, start_word, n_words, score, exact): a row for each document and item that it holds.
 
-    The row tells the best region.  Items go to the executors in blocks of at most PASS_BYTES;
+    The row tells a region in budget, in the band that shares most with the item.  Items go to the executors in blocks of at most PASS_BYTES;
     each block is compared with all documents.  Items of fewer than 8 bytes and null texts match
     nothing; rows that repeat a doc_id are searched each by itself; a null doc_id stays null.
     """
