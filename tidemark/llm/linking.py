@@ -97,7 +97,7 @@ def components(edges: DataFrame) -> DataFrame:
         hung = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         state = cut(hung.union(low.select("u", F.col("m").alias("v"))).distinct())
         now = state.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == seen:
+        if now == seen or not now[0]:
             return state.select(F.col("u").alias("id"), F.col("v").alias("component"))
         seen = now
 
@@ -226,6 +226,9 @@ def with_component(rows: DataFrame, labels: DataFrame) -> DataFrame:
 
 def relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
     """Components after more links between ids."""
+    links = cut(links)
+    if links.isEmpty():
+        return labels
     old = labels.select(F.col("id").alias("a"), F.col("component").alias("b"))
     return components(old.union(links.select("a", "b")))
 
