@@ -6,7 +6,7 @@ import pytest
 
 from pyspark.sql import functions as F
 from tidemark.functions import text as T
-from tidemark.operators import findings, graph, temporal
+from tidemark.operators import findings, graph, matching, temporal
 
 
 def test_luhn(spark):
@@ -44,3 +44,15 @@ def test_reachable_with_cycle(spark):
 def test_union_seconds(spark):
     rows = spark.createDataFrame([("k", 0, 10), ("k", 5, 20), ("k", 30, 40)], "k string, s long, e long")
     assert [tuple(r) for r in temporal.union_seconds(rows, "k", "s", "e").collect()] == [("k", 2, 30)]
+
+
+def test_greedy_fold(spark):
+    rows = spark.createDataFrame([("a", 0, 1), ("a", 500, 2), ("a", 700, 3), ("a", 1200, 4), ("b", 10, 5)], "k string, t long, i long")
+    got = {r.id: r.group_id for r in matching.greedy_fold(rows, "k", "t", "i", 600).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5}
+
+
+def test_bootstrap_covers_the_mean(spark):
+    rows = spark.range(2000).select(F.col("id").alias("doc_id"), (F.col("id") % 4 == 0).cast("int").alias("toxic"))
+    mean, low, high = matching.poisson_bootstrap(rows, "doc_id", "toxic", 200).first()
+    assert abs(mean - 0.25) < 0.01 and 0.2 < low < 0.25 < high < 0.3
