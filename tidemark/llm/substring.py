@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import linking
 from tidemark.llm.frames import cut, fresh, may_match
 from tidemark.llm.linking import batch_limits, list_column
-from tidemark.llm.textkit import mix, shingle_set, window_hashes, word_hashes, word_spans
+from tidemark.llm.textkit import cover, mix, powers, shingle_set, window_hashes, word_hashes, word_spans
 
 WIDTH = 5
 PERCENT = 80
@@ -35,8 +35,8 @@ PASSAGE_WORDS = 30
 _ENDS = np.zeros(256, dtype=bool)
 _ENDS[list(b".!?")] = True
 _SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-_STEP = np.uint64(0xD1342543DE82EF97)
-_BACK = np.uint64(pow(0xD1342543DE82EF97, -1, 1 << 64))
+_STEP = 0xD1342543DE82EF97
+_BACK = pow(_STEP, -1, 1 << 64)
 
 
 def spans_of(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -50,30 +50,34 @@ def spans_of(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     return starts, ends, line, np.concatenate([[0], np.flatnonzero(cuts) + 1, [len(starts)]])
 
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    steps = np.full(n, base, dtype=np.uint64)
-    steps[0] = 1
-    return np.multiply.accumulate(steps)
-
-
 def run_hashes(words: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A hash for each run words[begin:end]."""
     n = len(words)
     sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(words * _powers(_STEP, n + 1)[:n], out=sums[1:])
-    found = (sums[end] - sums[begin]) * _powers(_BACK, n + 1)[begin]
+    np.cumsum(words * powers(_STEP, cover(n + 1))[:n], out=sums[1:])
+    found = (sums[end] - sums[begin]) * powers(_BACK, cover(n + 1))[begin]
     return mix(found + (end - begin).astype(np.uint64))
 
 
 def bands_of(shingles: np.ndarray) -> np.ndarray:
-    """The band keys of a set."""
-    least = np.array([(mix(shingles ^ s)).min() for s in _SEEDS], dtype=np.uint64).reshape(BANDS, ROWS)
+    """The band keys of a set, whose members may repeat."""
+    least = (shingles * _SEEDS[:, None]).min(axis=1).reshape(BANDS, ROWS)  # the hashes are mixed; odd factors permute them
     keys = np.zeros(BANDS, dtype=np.uint64)
     for r in range(ROWS):
         keys = mix(keys + least[:, r])
     return mix(keys + np.arange(BANDS, dtype=np.uint64))
 
 
+def long_lines(line: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(begin, end, key) of the lines of LONG_WORDS or more."""
+    edges = np.concatenate([[0], np.flatnonzero(line[1:] != line[:-1]) + 1, [len(words)]])
+    begin, end = edges[:-1], edges[1:]
+    keep = end - begin >= LONG_WORDS
+    begin, end = begin[keep], end[keep]
+    # A sentence that is a whole line may be a unit of either kind: their keys differ.
+    return begin, end, mix(run_hashes(words, begin, end) + np.uint64(1))
+
+
 def units_of(data: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]]:
     """(start, words, key, bands) of the text's sentences, with no bands, and then of its long lines."""
     _, _, line, cuts = spans_of(data)
@@ -84,13 +88,11 @@ def units_of(data: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray,
         begin, end = begin[keep], end[keep]
         empty = np.empty(0, dtype=np.uint64)
         yield begin, end - begin, run_hashes(words, begin, end), [empty] * len(begin)
-        edges = np.concatenate([[0], np.flatnonzero(line[1:] != line[:-1]) + 1, [len(words)]])
-        begin, end = edges[:-1], edges[1:]
-        keep = end - begin >= LONG_WORDS
-        begin, end = begin[keep], end[keep]
-        bands = [bands_of(np.unique(window_hashes(words[a:b], WIDTH))) for a, b in zip(begin, end, strict=True)]
-        # A sentence that is a whole line may be a unit of either kind: their keys differ.
-        yield begin, end - begin, mix(run_hashes(words, begin, end) + np.uint64(1)), bands
+        begin, end, key = long_lines(line, words)
+        if len(begin):
+            shingles = window_hashes(words, WIDTH)  # those of a line are a slice
+            bands = [bands_of(shingles[a : b - WIDTH + 1]) for a, b in zip(begin, end, strict=True)]
+            yield begin, end - begin, key, bands
 
 
 def units(docs: DataFrame) -> DataFrame:
@@ -122,11 +124,13 @@ def _line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         for batch in batches:
             keys, texts = [], []
             for text in batch.column("text").cast(pa.binary()).to_pylist():
-                for start, size, key, bands in units_of(text or b""):
-                    if bands and len(bands[0]):
-                        at, end, _, _ = spans_of(text)
+                if text:
+                    at, stop, line, _ = spans_of(text)
+                    words = word_hashes(text.lower())
+                    if len(words) >= LONG_WORDS:
+                        begin, end, key = long_lines(line, words)
                         keys.append(key.view(np.int64))
-                        texts += [text[at[a] : end[a + n - 1]] for a, n in zip(start, size, strict=True)]
+                        texts += [text[at[a] : stop[b - 1]] for a, b in zip(begin, end, strict=True)]
             flat = np.concatenate(keys) if keys else np.empty(0, dtype=np.int64)
             yield pa.record_batch(
                 [pa.array(flat, type=pa.int64()), pa.array(texts, type=pa.binary())], names=["id", "text"]

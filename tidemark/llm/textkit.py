@@ -31,14 +31,16 @@ _BLANK = np.zeros(256, dtype=bool)
 _BLANK[list(b" \t\n\x0b\f\r")] = True
 
 
-@lru_cache(maxsize=2)
-def _powers(base: int, size: int) -> np.ndarray:
+@lru_cache(maxsize=4)
+def powers(base: int, size: int) -> np.ndarray:
+    """1, base, base^2 ... modulo 2^64."""
     steps = np.full(size, base, dtype=np.uint64)
     steps[0] = 1
     return np.multiply.accumulate(steps)
 
 
-def _cover(n: int) -> int:
+def cover(n: int) -> int:
+    """A size of at least n, of which there are few."""
     size = 4096
     while size < n:
         size *= 4
@@ -59,11 +61,11 @@ def _hash_piece(data: bytes) -> np.ndarray:
     starts, ends = word_spans(data)
     if not len(starts):
         return np.empty(0, dtype=np.uint64)
-    size = _cover(len(data) + 1)
+    size = cover(len(data) + 1)
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
     values = _BYTES[np.frombuffer(data, dtype=np.uint8)]
-    np.cumsum(values * _powers(_BASE, size)[: len(data)], out=sums[1:])
-    found = (sums[ends] - sums[starts]) * _powers(_INVERSE, size)[starts]
+    np.cumsum(values * powers(_BASE, size)[: len(data)], out=sums[1:])
+    found = (sums[ends] - sums[starts]) * powers(_INVERSE, size)[starts]
     return mix(found + (ends - starts).astype(np.uint64) * np.uint64(_ODD))
 
 
