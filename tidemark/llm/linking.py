@@ -152,6 +152,18 @@ def pivots(heads: DataFrame) -> DataFrame:
     return met.groupBy("id").agg(F.max_by("lead", F.struct("c", -F.col("lead"))).alias("pivot"))
 
 
+def gathered(heads: DataFrame) -> DataFrame:
+    """(id, pivot): the smallest id that a chain of leaders ends at, from (id, bucket).
+
+    Each id hangs on the leader, other than itself, of most of its buckets; what leads all its buckets is its own.
+    """
+    leads = heads.groupBy("bucket").agg(F.min("id").alias("lead"))
+    met = heads.join(leads, "bucket").where("id <> lead").groupBy("id", "lead").agg(F.count("*").alias("c"))
+    hung = met.groupBy("id").agg(F.max_by("lead", F.struct("c", -F.col("lead"))).alias("lead"))
+    roots = components(hung.select(F.col("id").alias("a"), F.col("lead").alias("b")))
+    return with_component(heads.select("id").distinct(), roots).withColumnRenamed("component", "pivot")
+
+
 def around_pivots(
     texts: DataFrame, placed: DataFrame, make: Callable[[bytes], np.ndarray], percent: int
 ) -> tuple[DataFrame, DataFrame]:
@@ -203,16 +215,17 @@ def around_pivots(
     need = F.greatest(F.lit(1), F.ceil((F.col("e") + F.col("low")) / (2 * plus)))
     # The tokens that nobody else holds come first in a prefix, and can't meet.
     length = F.greatest(F.lit(0), F.col("shared") - need + 1)
+    # The first token that two sets share, at places i and j, leaves room for so many more after it.
     postings = items.select(
-        "id", "component", "pivot", "e", "shared", F.explode(F.slice("items", F.lit(1), length.cast("int"))).alias("item")
-    ).select("id", "component", "pivot", "e", "shared", F.col("item.token").alias("token"))
-    names = ("id", "component", "e", "shared")
+        "id", "component", "pivot", "e", "shared", F.posexplode(F.slice("items", F.lit(1), length.cast("int"))).alias("at", "item")
+    ).select("id", "component", "pivot", "e", F.col("item.token").alias("token"), (F.col("shared") - F.col("at")).alias("room"))
+    names = ("id", "component", "e", "room")
     a = postings.select("pivot", "token", *(F.col(c).alias(f"{c}1") for c in names))
     b = postings.select("pivot", "token", *(F.col(c).alias(f"{c}2") for c in names))
     pairs = (
         a.join(b, ["pivot", "token"])
         .where("component1 < component2 and e1 + e2 > 0")
-        .where(2 * plus * F.least("shared1", "shared2") >= F.col("e1") + F.col("e2"))
+        .where(2 * plus * F.least("room1", "room2") >= F.col("e1") + F.col("e2"))
         .select(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b"))
         .distinct()
     )

@@ -156,10 +156,17 @@ def line_components(docs: DataFrame, lines: DataFrame) -> DataFrame:
         return shingle_set(text.lower(), WIDTH)
 
     labels = cut(linking.components(linking.verify(linking.to_leaders(postings), texts, make, PERCENT)))
-    apart = linking.with_component(postings, labels).select(
-        "bucket", "id", F.lit(1).alias("n"), "component", F.lit(1).alias("need"), F.lit(0).alias("free"), F.col("id").alias("pivot")
+    # Near copies of one line meet in many buckets: those are compared by their differences from one of them, and
+    # only what no chain of leaders ties meets pair by pair.
+    placed = linking.with_component(postings, labels)
+    mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
+    apart = cut(placed.join(mixed.select("bucket"), "bucket", "left_semi"))
+    pivot = cut(linking.gathered(apart))
+    certain, near = linking.around_pivots(texts, linking.with_component(pivot, labels), make, PERCENT)
+    met = apart.join(pivot, "id").select(
+        "bucket", "id", F.lit(1).alias("n"), "component", F.lit(1).alias("need"), F.lit(0).alias("free"), "pivot"
     )
-    links = linking.verify(linking.across(apart, PERCENT), texts, make, PERCENT)
+    links = linking.verify(linking.across(met, PERCENT).union(near), texts, make, PERCENT).union(certain)
     return linking.relabel(labels, links)
 
 
