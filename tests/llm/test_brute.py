@@ -104,6 +104,37 @@ def test_substring_dedup(spark):
     assert all(x.n_chars == len(x.text) for x in left.values())
 
 
+def test_substring_dedup_inside_sentences(spark):
+    r = random.Random(16)
+    bare, cut = words(r, 60), ". ".join(words(r, 20) for _ in range(4)).split()[7:57]
+    changed = [w if i != 30 else "changed" for i, w in enumerate(bare.split())]
+    texts = [f"{words(r, 40)} {bare} {words(r, 30)}", f"{words(r, 25)} {' '.join(cut)} {words(r, 9)}"]
+    texts += [f"{words(r, 33)} {bare} {words(r, 50)}", f"{words(r, 21)} {' '.join(cut)} {words(r, 60)}"]
+    texts += [f"{words(r, 70)} {' '.join(changed[6:56])} {words(r, 40)}", words(r, 200)]
+    got = {(x.doc_id, x.start_word, x.n_words, x.first_doc_id, x.removed) for x in substring.passages(as_docs(spark, texts)).collect()}
+    removed = {(2, 33, 60, 0, True), (3, 21, 50, 1, True), (4, 70, 50, 0, True)}
+    assert got == removed | {(0, 40, 60, 0, False), (1, 25, 50, 1, False)}
+
+
+def test_shared_runs_are_covered(spark):
+    r = random.Random(17)
+    pool = [words(r, n).split() for n in (30, 31, 35, 47, 90)]
+    texts = []
+    for _ in range(40):
+        run = r.choice(pool)
+        texts.append(words(r, r.randint(0, 80)).split() + run + words(r, r.randint(0, 80)).split())
+    got = {}
+    for x in substring.passages(as_docs(spark, [" ".join(t) for t in texts])).where("removed").collect():
+        got.setdefault(x.doc_id, set()).update(range(x.start_word, x.start_word + x.n_words))
+    seen, expected = set(), {}
+    for d, t in enumerate(texts):
+        grams = [tuple(t[i : i + 30]) for i in range(len(t) - 29)]
+        held = {i + k for i, g in enumerate(grams) if g in seen for k in range(30)}
+        seen.update(grams)
+        expected |= {d: held} if held else {}
+    assert got == expected
+
+
 def test_contamination(spark):
     r = random.Random(8)
     items = [(i, words(r, 30)) for i in range(20)]

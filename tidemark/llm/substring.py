@@ -6,6 +6,10 @@ at 0.8 collides with a chance of 99.5 in 100; a shorter unit takes one band of i
 set, since one changed word leaves a pair of that length below 0.8.  Lines that collide are verified by the
 exact Jaccard of their five-word shingles and grouped into components.  A component stays in its smallest
 document and goes from the others, where its units add up to passages of PASSAGE_WORDS or more.
+
+Repeats that start or end inside sentences are found by windows of WINDOW_WORDS words at every place.  Windows are
+spread only near shared anchors: of each ANCHOR_SPAN windows in a row the one of the least hash is an anchor, so
+two texts that share ANCHOR_SPAN + WINDOW_WORDS - 1 = 24 words in a row share an anchor there, wherever they lie.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import linking
 from tidemark.llm.frames import cut, fresh, may_match
-from tidemark.llm.linking import batch_limits, list_column
+from tidemark.llm.linking import arrays, batch_limits, list_column
 from tidemark.llm.textkit import cover, mix, powers, shingle_set, window_hashes, word_hashes, word_spans
 
 WIDTH = 5
@@ -31,6 +35,10 @@ LONG_WORDS = 49
 UNIT_WORDS = 6
 BRIDGE_WORDS = 10
 PASSAGE_WORDS = 30
+WINDOW_WORDS = 12
+ANCHOR_SPAN = 13
+#: Windows so far from a shared anchor's span are spread as well: the shorter runs beside a changed word.
+MARGIN = ANCHOR_SPAN + WINDOW_WORDS - 1 + BRIDGE_WORDS
 
 _ENDS = np.zeros(256, dtype=bool)
 _ENDS[list(b".!?")] = True
@@ -78,8 +86,17 @@ def long_lines(line: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndar
     return begin, end, mix(run_hashes(words, begin, end) + np.uint64(1))
 
 
+def anchors(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(windows, chosen): the hash of the window at each word, and of each ANCHOR_SPAN windows in a row the place of the least."""
+    if len(words) < PASSAGE_WORDS:
+        return np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
+    windows = window_hashes(words, WINDOW_WORDS)
+    spans = np.lib.stride_tricks.sliding_window_view(windows, ANCHOR_SPAN)
+    return windows, spans.argmin(axis=1) + np.arange(len(spans))
+
+
 def units_of(data: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]]:
-    """(start, words, key, bands) of the text's sentences, with no bands, and then of its long lines."""
+    """(start, words, key, bands) of the text's sentences, with no bands, then of its anchors, with no words, and of its long lines."""
     _, _, line, cuts = spans_of(data)
     words = word_hashes(data.lower())
     if len(words):
@@ -88,6 +105,9 @@ def units_of(data: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray,
         begin, end = begin[keep], end[keep]
         empty = np.empty(0, dtype=np.uint64)
         yield begin, end - begin, run_hashes(words, begin, end), [empty] * len(begin)
+        windows, chosen = anchors(words)
+        at = np.unique(chosen)
+        yield at, np.zeros(len(at), dtype=np.int64), windows[at], [empty] * len(at)
         begin, end, key = long_lines(line, words)
         if len(begin):
             shingles = window_hashes(words, WIDTH)  # those of a line are a slice
@@ -96,7 +116,7 @@ def units_of(data: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray,
 
 
 def units(docs: DataFrame) -> DataFrame:
-    """(id, start, words, key, bands) of each unit; bands are empty for sentences."""
+    """(id, start, words, key, bands) of each unit; bands are empty for sentences, and words are 0 for anchors."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,6 +190,47 @@ def line_components(docs: DataFrame, lines: DataFrame) -> DataFrame:
     return linking.relabel(labels, links)
 
 
+def shared_windows(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """(id, start, words, owner) of windows that other documents hold too, near the anchors (id, key) that they share."""
+    shared = cut(places.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key"))
+    met = may_match(places, "key", shared, "key").join(shared, "key", "left_semi")
+    wanted = cut(met.groupBy("id").agg(F.collect_set("key").alias("keys")))
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[list[np.ndarray]] = [[np.empty(0, dtype=np.int64)] for _ in range(3)]
+            ids, texts = batch.column("id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()
+            for doc, text, keys in zip(ids, texts, arrays(batch.column("keys")), strict=True):
+                windows, chosen = anchors(word_hashes((text or b"").lower()))
+                near = np.flatnonzero(np.isin(windows[chosen].view(np.int64), keys))
+                steps = np.zeros(len(windows) + 1, dtype=np.int64)
+                np.add.at(steps, np.maximum(near - MARGIN, 0), 1)
+                np.add.at(steps, np.minimum(near + ANCHOR_SPAN + MARGIN, len(windows)), -1)
+                at = np.flatnonzero(np.cumsum(steps[:-1]))
+                for to, got in zip(rows, (np.full(len(at), doc, dtype=np.int64), at, windows[at].view(np.int64)), strict=True):
+                    to.append(got)
+            kinds = [pa.int64(), pa.int32(), pa.int64()]
+            flat = [pa.array(np.concatenate(r), type=pa.int64()).cast(k) for r, k in zip(rows, kinds, strict=True)]
+            yield pa.record_batch(flat, names=["id", "start", "key"])
+
+    texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("id"), "text")
+    near = batch_limits(may_match(texts, "id", wanted).join(wanted, "id")).select("id", "text", "keys")
+    found = cut(near.mapInArrow(spread, "id long, start int, key long"))
+    owners = found.groupBy("key").agg(F.min("id").alias("owner"), F.max("id").alias("hi")).where("owner < hi").select("key", "owner")
+    return found.join(owners, "key").select("id", "start", F.lit(WINDOW_WORDS).alias("words"), "owner")
+
+
+def joined(start: np.ndarray, words: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, words, least owner) of the passages that units add up to."""
+    order = np.argsort(start, kind="stable")
+    start, owner = start[order].astype(np.int64), owner[order]
+    end = np.maximum.accumulate(start + words[order])
+    first = np.flatnonzero(np.concatenate([[True], start[1:] > end[:-1] + BRIDGE_WORDS]))
+    size = end[np.concatenate([first[1:], [len(start)]]) - 1] - start[first]
+    keep = size >= PASSAGE_WORDS
+    return start[first][keep], size[keep], np.minimum.reduceat(owner, first)[keep]
+
+
 def passages(docs: DataFrame) -> DataFrame:
     """(doc_id, start_word, n_words, first_doc_id, removed): repeated passages.
 
@@ -178,6 +239,8 @@ def passages(docs: DataFrame) -> DataFrame:
     a doc_id are one document.  Rows with a null doc_id, and null, empty or short texts, give none.
     """
     found = cut(units(docs))
+    places = found.where("words = 0").select("id", "key")
+    found = found.where("words > 0")
     sentences, lines = found.where(F.size("bands") == 0), found.where(F.size("bands") > 0)
     labels = cut(line_components(docs, lines))
     grouped = lines.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
@@ -193,27 +256,25 @@ def passages(docs: DataFrame) -> DataFrame:
     )
     owners = cut(line_owner.union(sentence_owner))
     held = may_match(found.select("id", "start", "words", "key"), "key", owners, "key").join(owners, "key")
-    runs = held.groupBy("id").agg(F.sort_array(F.collect_set(F.struct("start", "words", "owner"))).alias("units"))
+    held = held.select("id", "start", "words", "owner").union(shared_windows(docs, places))
+    runs = held.groupBy("id").agg(F.collect_list(F.struct("start", "words", "owner")).alias("units"))
+    runs = runs.select("id", *(F.col(f"units.{c}").alias(c) for c in ("start", "words", "owner")))
     schema = "doc_id long, start_word int, n_words int, first_doc_id long, removed boolean"
 
     def join_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for doc, got in zip(batch.column("id").to_pylist(), batch.column("units").to_pylist(), strict=True):
+            rows: list[list[np.ndarray]] = [[np.empty(0, dtype=np.int64)] for _ in range(5)]
+            units = zip(*(arrays(batch.column(c)) for c in ("start", "words", "owner")), strict=True)
+            for doc, (start, words, owner) in zip(batch.column("id").to_pylist(), units, strict=True):
                 for removed in (False, True):
-                    run: list[int] | None = None
-                    for u in [*(u for u in got if (u["owner"] < doc) == removed), None]:
-                        if run is not None and (u is None or u["start"] > run[1] + BRIDGE_WORDS):
-                            if run[1] - run[0] >= PASSAGE_WORDS:
-                                out.append((doc, run[0], run[1] - run[0], run[2], removed))
-                            run = None
-                        if u is not None:
-                            end = u["start"] + u["words"]
-                            run = [u["start"], end, u["owner"]] if run is None else [run[0], max(run[1], end), min(run[2], u["owner"])]
-            columns = list(zip(*out, strict=True)) or [()] * 5
+                    mine = (owner < doc) == removed
+                    if mine.any():
+                        at, size, first = joined(start[mine], words[mine], owner[mine])
+                        for to, got in zip(rows, (np.full(len(at), doc), at, size, first, np.full(len(at), int(removed))), strict=True):
+                            to.append(got)
             kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_()]
             yield pa.record_batch(
-                [pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True)],
+                [pa.array(np.concatenate(r), type=pa.int64()).cast(k) for r, k in zip(rows, kinds, strict=True)],
                 names=["doc_id", "start_word", "n_words", "first_doc_id", "removed"],
             )
 
