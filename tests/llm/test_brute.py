@@ -116,6 +116,24 @@ def test_substring_dedup_inside_sentences(spark):
     assert got == removed | {(0, 40, 60, 0, False), (1, 25, 50, 1, False)}
 
 
+def test_short_lines_with_edits_at_the_ends(spark):
+    r = random.Random(18)
+    base = [words(r, n) for n in (40, 48, 20, 9, 30)]
+    edits = [base[0].rsplit(" ", 1)[0] + " changed", base[1] + " " + words(r, 4), base[2].split(" ", 1)[1], base[3].rsplit(" ", 1)[0]]
+    edits += [words(r, 3) + " " + base[4] + " " + words(r, 3)]
+    texts = [*base, *edits, *(words(r, 40) for _ in range(5))]
+    keys = [int(substring.run_hashes(h, *np.array([[0], [len(h)]]))[0]) for h in (textkit.word_hashes(t.encode()) for t in texts)]
+    keys = [int(substring.mix(np.array([k + 1 & (1 << 64) - 1], dtype=np.uint64)).view(np.int64)[0]) for k in keys]
+    docs = as_docs(spark, texts)
+    labels = substring.line_components(docs, substring.units(docs).where("size(bands) > 0")).collect()
+    top = {x.id: x.component for x in labels}
+    got = [top.get(k, k) for k in keys]
+    expected = brute_components(texts, 5, 80)
+    assert [got.index(c) for c in got] == expected and len(set(expected)) == 10
+    gone = {x.doc_id: x.n_words for x in substring.passages(docs).collect() if x.removed}
+    assert gone == {5: 40, 6: 52, 9: 36}
+
+
 def test_shared_runs_are_covered(spark):
     r = random.Random(17)
     pool = [words(r, n).split() for n in (30, 31, 35, 47, 90)]

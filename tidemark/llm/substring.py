@@ -1,9 +1,9 @@
 """Substring dedup: paragraphs that repeat across documents, by MinHash banding.
 
 Units are lines, and the sentences inside them, because passages are spliced into lines as well.  Bands are
-tuned by a unit's length: a line of LONG_WORDS or more takes BANDS bands of ROWS rows, so that a pair
-at 0.8 collides with a chance of 99.5 in 100; a shorter unit takes one band of its whole
-set, since one changed word leaves a pair of that length below 0.8.  Lines that collide are verified by the
+tuned by a unit's length: a line of BANDED_WORDS or more takes BANDS bands of ROWS rows, so that a pair
+at 0.8 collides with a chance of 99.5 in 100; a shorter line, or a sentence, takes one band of its whole
+set, since a line shorter than that is at 0.8 to its equals only.  Lines that collide are verified by the
 exact Jaccard of their five-word shingles and grouped into components.  A component stays in its smallest
 document and goes from the others, where its units add up to passages of PASSAGE_WORDS or more.
 
@@ -29,8 +29,8 @@ from tidemark.llm.textkit import cover, mix, powers, shingle_set, window_hashes,
 WIDTH = 5
 PERCENT = 80
 BANDS, ROWS = 10, 4
-#: A changed word takes 2 x 5 of the shingles of a pair: from here on 0.8 can still be met.
-LONG_WORDS = 49
+#: A word added at an end adds one shingle to n - 4: from here on unequal lines can meet 0.8 (4 of 5).
+BANDED_WORDS = 8
 #: Shorter sentences aren't units; between units they are bridged.
 UNIT_WORDS = 6
 BRIDGE_WORDS = 10
@@ -76,11 +76,11 @@ def bands_of(shingles: np.ndarray) -> np.ndarray:
     return mix(keys + np.arange(BANDS, dtype=np.uint64))
 
 
-def long_lines(line: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(begin, end, key) of the lines of LONG_WORDS or more."""
+def banded_lines(line: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(begin, end, key) of the lines of BANDED_WORDS or more."""
     edges = np.concatenate([[0], np.flatnonzero(line[1:] != line[:-1]) + 1, [len(words)]])
     begin, end = edges[:-1], edges[1:]
-    keep = end - begin >= LONG_WORDS
+    keep = end - begin >= BANDED_WORDS
     begin, end = begin[keep], end[keep]
     # A sentence that is a whole line may be a unit of either kind: their keys differ.
     return begin, end, mix(run_hashes(words, begin, end) + np.uint64(1))
@@ -96,7 +96,7 @@ def anchors(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def units_of(data: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]]:
-    """(start, words, key, bands) of the text's sentences, with no bands, then of its anchors, with no words, and of its long lines."""
+    """(start, words, key, bands) of the text's sentences, with no bands, then of its anchors, with no words, and of its banded lines."""
     _, _, line, cuts = spans_of(data)
     words = word_hashes(data.lower())
     if len(words):
@@ -108,7 +108,7 @@ def units_of(data: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray,
         windows, chosen = anchors(words)
         at = np.unique(chosen)
         yield at, np.zeros(len(at), dtype=np.int64), windows[at], [empty] * len(at)
-        begin, end, key = long_lines(line, words)
+        begin, end, key = banded_lines(line, words)
         if len(begin):
             shingles = window_hashes(words, WIDTH)  # those of a line are a slice
             bands = [bands_of(shingles[a : b - WIDTH + 1]) for a, b in zip(begin, end, strict=True)]
@@ -147,8 +147,8 @@ def _line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 if text:
                     at, stop, line, _ = spans_of(text)
                     words = word_hashes(text.lower())
-                    if len(words) >= LONG_WORDS:
-                        begin, end, key = long_lines(line, words)
+                    if len(words) >= BANDED_WORDS:
+                        begin, end, key = banded_lines(line, words)
                         keys.append(key.view(np.int64))
                         texts += [text[at[a] : stop[b - 1]] for a, b in zip(begin, end, strict=True)]
             flat = np.concatenate(keys) if keys else np.empty(0, dtype=np.int64)
