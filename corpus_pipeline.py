@@ -13,8 +13,12 @@ from tidemark.llm.frames import cut, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go."""
-    return quality.quality_filter(docs)
+    """Documents that the rules reject go, and from the others the lines above the limits of their host.
+
+    The limits count the lines of all documents.  What is left of a text is held against the rules again.
+    """
+    cleaned = cut(quality.without_boilerplate(quality.quality_filter(docs), keys=quality.boilerplate_keys(docs)))
+    return quality.base_filter(cleaned)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

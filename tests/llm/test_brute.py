@@ -357,6 +357,19 @@ def test_depleted_documents(spark):
     assert {x.doc_id for x in quality.quality_filter(as_docs(spark, texts)).collect()} == set(range(40, 81))
 
 
+def test_pipeline_removes_frequent_lines(spark):
+    import corpus_pipeline
+
+    r = random.Random(19)
+    menu, bodies = words(r, 12), [[words(r, 30), words(r, 20)] for _ in range(40)]
+    texts = [f"{a}\n\n  {menu.upper()} \n{b}" for a, b in bodies] + [menu + "\n" + words(r, 10), words(r, 50)]
+    docs = as_docs(spark, texts).union(as_docs(spark, [menu + "\n" + words(r, 40)], "other"))
+    got = {(x.doc_id, x.source): (x.text, x.n_chars) for x in corpus_pipeline.quality_rules(spark, docs, SF).collect()}
+    expected = {(i, "s"): f"{a}\n\n{b}" for i, (a, b) in enumerate(bodies)} | {(41, "s"): texts[41]}
+    other = docs.where("source = 'other'").first().text
+    assert got == {k: (v, len(v)) for k, v in (expected | {(0, "other"): other}).items()}
+
+
 def test_pipeline_runs(spark):
     import corpus_pipeline
 

@@ -117,6 +117,36 @@ def base_failed() -> Column:
     )
 
 
+def _host_lines(docs: DataFrame, host: str) -> DataFrame:
+    """(host, content, key, size): the distinct lines of each distinct text of a host."""
+    lines = docs.select(
+        F.col(host).alias("host"),
+        F.xxhash64("text").alias("content"),
+        F.explode(F.split("text", "\n", -1)).alias("line"),
+    ).where(F.col("line").rlike(WORD_CHAR))
+    return lines.select(
+        "host",
+        "content",
+        _line_key(F.col("line")).alias("key"),
+        F.size(F.split(_trimmed(F.col("line")), GAP, -1)).alias("size"),
+    ).distinct()
+
+
+def _line_key(line: Column) -> Column:
+    return F.xxhash64(_normal_line(line))
+
+
+def _frequent(lines: DataFrame, max_docs: int, max_line_words: int) -> DataFrame:
+    """(f_host, f_key) of the lines above the limit on their host."""
+    return (
+        lines.where(F.col("size") <= max_line_words)
+        .groupBy("host", "key")
+        .agg(F.count("*").alias("n"))
+        .where(F.col("n") > max_docs)
+        .select(F.col("host").alias("f_host"), F.col("key").alias("f_key"))
+    )
+
+
 def depleted_contents(
     docs: DataFrame,
     host: str = "source",
@@ -130,25 +160,9 @@ def depleted_contents(
     own lines into boilerplate.  Lines are normalised and then compared by 64-bit hash.
     A null host is a host.
     """
-    line, key, size = "line", "key", "size"
-    lines = docs.select(
-        F.col(host).alias("host"),
-        F.xxhash64("text").alias("content"),
-        F.explode(F.split("text", "\n", -1)).alias(line),
-    ).where(F.col(line).rlike(WORD_CHAR))
-    lines = lines.select(
-        "host",
-        "content",
-        F.xxhash64(_normal_line(F.col(line))).alias(key),
-        F.size(F.split(_trimmed(F.col(line)), GAP, -1)).alias(size),
-    ).distinct()
-    frequent = (
-        lines.where(F.col(size) <= max_line_words)
-        .groupBy("host", key)
-        .agg(F.count("*").alias("n"))
-        .where(F.col("n") > max_docs)
-        .select(F.col("host").alias("f_host"), F.col(key).alias("f_key"))
-    )
+    key, size = "key", "size"
+    lines = _host_lines(docs, host)
+    frequent = _frequent(lines, max_docs, max_line_words)
     marked = lines.join(frequent, same(F.col("host"), F.col("f_host")) & (F.col(key) == F.col("f_key")), "left")
     return (
         marked.groupBy("host", "content")
@@ -210,6 +224,57 @@ def quality_filter(docs: DataFrame, host: str = "source") -> DataFrame:
     return marked.where(~F.col(hit)).drop(at, content, hit).unionByName(left.drop(at, content, hit))
 
 
+def base_filter(docs: DataFrame) -> DataFrame:
+    """The rows of docs that pass base_failed, which is judged by the text alone."""
+    keyed = docs.select("text", F.xxhash64("text").alias("content"))
+    failed = cut(text_statistics(keyed, ["content"]).select("content", base_failed().alias("failed")))
+    failed = cut(failed.where("failed").select("content").distinct())
+    content, hit = fresh(docs, "content"), fresh(docs, "hit")
+    marked = may_match(docs.withColumn(content, F.xxhash64("text")), content, failed, "content", flag=hit)
+    unsure = marked.where(F.col(hit))
+    left = unsure.join(failed, unsure[content] == failed["content"], "left_anti")
+    return marked.where(~F.col(hit)).drop(content, hit).unionByName(left.drop(content, hit))
+
+
+def boilerplate_keys(docs: DataFrame, host: str = "source") -> DataFrame:
+    """(host, content, keys): for each text that holds lines above the limits of its host, those lines' hashes."""
+    lines = cut(_host_lines(docs, host))
+    frequent = _frequent(lines, MAX_DOCS, MAX_LINE_WORDS)
+    met = lines.join(frequent, same(F.col("host"), F.col("f_host")) & (F.col("key") == F.col("f_key")))
+    return met.groupBy("host", "content").agg(F.collect_set("key").alias("keys"))
+
+
+def without_boilerplate(docs: DataFrame, host: str = "source", keys: DataFrame | None = None) -> DataFrame:
+    """docs without the lines above the limits of their host, with their own columns; n_chars, if there is one, is counted anew.
+
+    Other lines stay as they are and in order; a text that had words and has none left goes.  keys: boilerplate_keys of a
+    table that holds docs.  Only rows whose text may hold such lines are shuffled.
+    """
+    found = cut(boilerplate_keys(docs, host) if keys is None else keys)
+    at, content, hit = fresh(docs, "host"), fresh(docs, "content"), fresh(docs, "hit")
+    rows = docs.withColumn(at, F.col(host)).withColumn(content, F.xxhash64("text"))
+    marked = may_match(rows, content, found, "content", flag=hit)
+    names = {c: fresh(docs, f"b_{c}") for c in ("host", "content", "keys")}
+    named = found.select(*(F.col(c).alias(n) for c, n in names.items()))
+    joined = marked.where(F.col(hit)).join(
+        named, same(F.col(at), F.col(names["host"])) & (F.col(content) == F.col(names["content"])), "left"
+    )
+    held = F.col(names["keys"])
+    stay = F.filter(F.split("text", "\n", -1), lambda x: ~x.rlike(WORD_CHAR) | ~F.array_contains(held, _line_key(x)))
+    new = fresh(docs, "new")
+    cleaned = joined.withColumn(new, F.when(held.isNull(), F.col("text")).otherwise(F.array_join(stay, "\n")))
+    cleaned = cleaned.where(held.isNull() | F.col(new).rlike(WORD_CHAR))
+
+    def value(c: str) -> Column:
+        if c == "text":
+            return F.col(new).alias(c)
+        if c == "n_chars":
+            return F.when(held.isNull(), F.col(c)).otherwise(F.char_length(new)).cast(dict(docs.dtypes)[c]).alias(c)
+        return F.col(f"`{c}`")
+
+    return marked.where(~F.col(hit)).drop(at, content, hit).unionByName(cleaned.select(*map(value, docs.columns)))
+
+
 QUALITY_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(text, '') AS text,
