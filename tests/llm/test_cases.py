@@ -77,3 +77,46 @@ def test_odd_pages(spark):
     assert kinds == [("1", "revisit", 2), ("2", "response", None), ("3", "response", None), ("3", "response", None), ("4", "response", None), ("None", "revisit", 3)]
     none = pages.where("false")
     assert html.extract_text(none).collect() == [] and warc.archived_pages(none).collect() == []
+
+
+MIT = """MIT License
+
+Copyright (c) 2020 A B
+
+Permission is hereby granted, free of charge, to any person
+obtaining a copy of this software.
+
+The above copyright notice and this permission notice shall be
+included in all copies.
+
+THE SOFTWARE IS PROVIDED "AS
+IS", WITHOUT WARRANTY OF ANY KIND."""
+BSD = """Copyright (c) 2020 A B
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+ * Redistributions of source code must retain the above
+   copyright notice.
+ * Redistributions in binary form must reproduce the above
+   copyright notice.
+ * Neither the name of A nor the names of its contributors may be
+   used to endorse or promote products."""
+GPL = """/*
+ * This program is free software under the terms of the GNU
+ * General Public License as published by the FSF, either version 3
+ * of the License, or (at your option) any later version.
+ */"""
+
+
+def test_licences_wrapped_tagged_and_without_cues(spark):
+    texts = {
+        MIT: "MIT", BSD: "BSD-3-Clause", GPL: "GPL-3.0-or-later", "Use Apache-2.0": "Apache-2.0", "It has MPL-2.0 terms.": "MPL-2.0",
+        "BSD-3-Clause": "BSD-3-Clause", "A 3-clause BSD text": "BSD-3-Clause", "Proprietary and confidential": "proprietary",
+        "// SPDX-License-Identifier: MIT\nint a;": "MIT", "# SPDX-License-Identifier: GPL-2.0-or-later": "GPL-2.0-or-later",
+        "SPDX-License-Identifier: (MIT OR Apache-2.0)": "Apache-2.0 OR MIT", "SPDX-License-Identifier: ISC": "ISC",
+        "SPDX-License-Identifier: X-Own": "unknown", "Under the Apache License, Version 2.0\nor licensed under the MIT license": "Apache-2.0 OR MIT",
+    }
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.licence for r in licences.licence_scan(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == list(texts.values())

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A sentence is looked at if it has one of these, in any case.
+#: The filter of LICENCE_SQL; licence_scan looks at more.
 CUE = (
     r"licen[cs]|copyright|warrant|permission|permitted|redistribut|spdx|public domain|as is|liable|liabilit|"
     r"all rights reserved|creative commons|cc by|cc-by|cc0|gpl"
@@ -106,6 +106,85 @@ _OTHER = r"[^a-z0-9()+./-]+"
 _CLOSING = r"[.]+( |$)"
 
 
+#: Each pattern of SENTENCES needs one of these, in any case: other texts aren't split.
+_NEEDS = (
+    r"(?i)spdx|permission|redistribution|neither the|provided|distributed|in no event|in[^a-z]+no[^a-z]+event|unencumbered|public|"
+    r"licen[cs]e|gpl|apache|mpl|bsd|cc0|creative|cc[^a-z0-9]+by|reserved|proprietary|copyright|\(c\)|copying|neither"
+)
+#: A line that begins so begins a sentence, after any comment marks.
+_STARTS = (
+    r"permission is|permission to use|the above copyright|redistributions? |neither the name|copyright[ \t]+(?:\(c\)|\u00a9|[0-9])|\(c\)|mit license|"
+    r"the software is provided|this software is provided|in no event"
+)
+#: Sentence ends inside blocks: blank lines (of comment marks as well), lines that end in a colon, and list markers.
+_BLOCKS = [
+    (r"\r\n?", "\n"),
+    (r"(?i)([^\n]*spdx-license-identifier[^\n]*)", "\n\n$1\n\n"),
+    (r"\n[ \t#*/;%-]*(?=\n)", "\n\n"),
+    (r":[ \t]*\n", ":\n\n"),
+    (r"\n(?=[ \t#*/;%]*(?:[-\u2022]|\(?[0-9a-zA-Z]{1,2}[.)])[ \t])", "\n\n"),
+    (rf"(?i)\n(?=[ \t#*/;%\"-]*(?:{_STARTS}))", "\n\n"),
+    (SENTENCE_END, "$1\n\n"),
+]
+_SPDX = "spdx-license-identifier "
+# SPDX identifiers, normalised, and the sentence that names the same licence.
+SPDX: list[tuple[str, str]] = [
+    ("MitName", r"^mit$"),
+    ("Apache2", r"^apache-2[.]0$"),
+    ("Mpl2", r"^mpl-2[.]0"),
+    ("Epl2", r"^epl-"),
+    ("AgplLater", r"^agpl-3[.]0(-or-later|[+])$"),
+    ("Agpl3", r"^agpl-3[.]0"),
+    ("LgplLater", r"^lgpl-[23][.][01](-or-later|[+])$"),
+    ("Lgpl3", r"^lgpl-3[.]0"),
+    ("Lgpl21", r"^lgpl-2[.][01]"),
+    ("Gpl3Later", r"^gpl-3[.]0(-or-later|[+])$"),
+    ("Gpl2Later", r"^gpl-2[.]0(-or-later|[+])$"),
+    ("Gpl3", r"^gpl-3[.]0"),
+    ("Gpl2", r"^gpl-2[.]0"),
+    ("BsdName3", r"^bsd-3-clause"),
+    ("BsdName2", r"^bsd-2-clause"),
+    ("IscGrant AsIs", r"^isc$"),
+    ("ZlibGrant", r"^zlib$"),
+    ("UnlicenseDomain", r"^unlicense$"),
+    ("Cc0", r"^cc0-"),
+    ("CcByNcNd", r"^cc-by-nc-nd"),
+    ("CcByNcSa", r"^cc-by-nc-sa"),
+    ("CcByNc", r"^cc-by-nc"),
+    ("CcByNd", r"^cc-by-nd"),
+    ("CcBySa", r"^cc-by-sa"),
+    ("CcBy", r"^cc-by"),
+]
+#: What a part of a wrapped sentence may give alone: the whole sentence says more.
+_PARTS = ["Copyright", "GplAny", "ApacheAny", "UnderLicence", "SeeLicence", "PublicDomain", "Proprietary", "Gpl2", "Gpl3", "Lgpl3", "Lgpl21", "Agpl3"]
+
+
+def _known(values: Column, table: list[tuple[str, str]]) -> Column:
+    return F.filter(F.transform(values, lambda x: _first(x, table)), lambda x: x.isNotNull())
+
+
+def _named(sentences: Column) -> Column:
+    """(tag, whole, lines, named) of the sentences (text, lines): what the whole, each line and an SPDX tag's operands name."""
+    return F.transform(
+        sentences,
+        lambda x: F.struct(
+            x["text"].contains(_SPDX).alias("tag"),
+            _first(x["text"], SENTENCES).alias("whole"),
+            _known(x["lines"], SENTENCES).alias("lines"),
+            _known(F.split(F.regexp_replace(F.regexp_extract(x["text"], f"{_SPDX}(.*)$", 1), "[()]", ""), " +", -1), SPDX).alias("named"),
+        ),
+    )
+
+
+def _identifiers(x: Column) -> Column:
+    """The identifiers of a sentence, which may be wrapped: those of its lines, and first its own if no line has it."""
+    return (
+        F.when(x["tag"], F.concat(F.array(F.lit("SpdxTag")), x["named"]))
+        .when(x["whole"].isNull() | F.array_contains(x["lines"], x["whole"]), x["lines"])
+        .otherwise(F.concat(F.array(x["whole"]), F.filter(x["lines"], lambda y: ~y.isin(_PARTS))))
+    )
+
+
 def normal_sentence(s: Column) -> Column:
     plain = F.regexp_replace(F.lower(s), _OTHER, " ")
     return F.btrim(F.regexp_replace(F.regexp_replace(plain, _CLOSING, " "), " +", " "))
@@ -122,23 +201,28 @@ def _first(value: Column, table: list[tuple[str, str]]) -> Column:
 def licence_scan(docs: DataFrame, column: str = "text") -> DataFrame:
     """(doc_id, sentence_ids, n_sentences, licence) for each row of docs.
 
+    Sentences may be wrapped: they end at .!?, blank lines, colons at a line's end, list markers and known beginnings.
     sentence_ids are the known sentences of the text in order, joined by blanks; licence is the first rule that
     their sequence matches, null if none.  Null and empty texts have no sentences.  doc_id may be null or
     repeat; each row is scanned by itself.
     """
     text = F.coalesce(F.col(column), F.lit(""))
+    blocks = text
+    for pattern, to in _BLOCKS:
+        blocks = F.regexp_replace(blocks, pattern, to)
     sentences = F.when(
-        text.rlike(f"(?i){CUE}"),
-        F.filter(
-            F.split(F.regexp_replace(text, SENTENCE_END, "$1\n"), "\n", -1), lambda s: s.rlike(f"(?i){CUE}")
-        ),
+        text.rlike(_NEEDS), F.filter(F.transform(F.split(blocks, "\n{2,}", -1), lambda s: F.btrim(s, F.lit("\n"))), lambda s: s.rlike(_NEEDS))
     ).otherwise(F.array().cast("array<string>"))
     rows = docs.select("doc_id", sentences.alias("tm_sentences"))
-    rows = rows.select("doc_id", F.transform("tm_sentences", normal_sentence).alias("tm_normal"))
-    known = F.filter(
-        F.transform("tm_normal", lambda s: _first(s, SENTENCES)), lambda x: x.isNotNull()
+    rows = rows.select(
+        "doc_id",
+        F.transform(
+            "tm_sentences",
+            lambda s: F.struct(normal_sentence(s).alias("text"), F.transform(F.split(s, "\n", -1), normal_sentence).alias("lines")),
+        ).alias("tm_normal"),
     )
-    rows = rows.select("doc_id", F.array_join(known, " ").alias("sentence_ids"))
+    rows = rows.select("doc_id", _named(F.col("tm_normal")).alias("tm_named"))
+    rows = rows.select("doc_id", F.array_join(F.flatten(F.transform("tm_named", _identifiers)), " ").alias("sentence_ids"))
     sequence = F.concat(F.lit(" "), F.col("sentence_ids"), F.lit(" "))
     return rows.select(
         "doc_id",
