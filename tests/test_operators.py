@@ -56,3 +56,11 @@ def test_bootstrap_covers_the_mean(spark):
     rows = spark.range(2000).select(F.col("id").alias("doc_id"), (F.col("id") % 4 == 0).cast("int").alias("toxic"))
     mean, low, high = matching.poisson_bootstrap(rows, "doc_id", "toxic", 200).first()
     assert abs(mean - 0.25) < 0.01 and 0.2 < low < 0.25 < high < 0.3
+
+
+def test_short_canaries_are_searched(spark):
+    docs = spark.createDataFrame([(1, "an alpha beta text"), (2, "xalphay"), (3, "none"), (4, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "alpha"), (2, "alpha be"), (3, "an alpha beta"), (4, "zeta"), (5, "")], "item_id long, canary string")
+    got = {r.item_id: r.exposed_in for r in matching.substring_counts(docs, items).collect()}
+    assert got == {1: 2, 2: 1, 3: 1, 4: 0, 5: 3}
+    assert {r.exposed_in for r in matching.substring_counts(docs, items.where("item_id = 3")).collect()} == {1}

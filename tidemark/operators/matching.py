@@ -65,12 +65,16 @@ def poisson_bootstrap(rows: DataFrame, ident: str, flag: str, resamples: int, se
     )
 
 
+#: Canaries that a text is searched for in one row.
+ITEM_BLOCK = 1000
+
+
 def substring_counts(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(item_id, exposed_in): documents that contain items' canary strings.
 
     Inner words of a canary are whole words of any text that holds it.  The first two of them (one, if the canary has
     three words) meet the documents' distinct word pairs and words, and only what meets is checked.  A canary of one or two words
-    has no inner word and isn't searched.
+    has no inner word: texts are searched for those, a block of ITEM_BLOCK canaries at a time.
     """
     parts = F.split("canary", " ")
     keys = items.where(F.size(parts) >= 3).select(
@@ -83,5 +87,12 @@ def substring_counts(docs: DataFrame, items: DataFrame) -> DataFrame:
     # Texts stay behind: ids alone meet the keys, and the few documents that do are joined for the check.
     met = grams.join(keys, "g").select("doc_id", "item_id", "canary").distinct()
     met = met.join(docs.select("doc_id", "text"), "doc_id").where(F.col("text").contains(F.col("canary")))
-    counts = met.groupBy("item_id").agg(F.count_distinct("doc_id").alias("n"))
+    short = items.where(F.size(parts) < 3).select("item_id", "canary")
+    block = short.groupBy(F.pmod(F.xxhash64("item_id"), F.ceil(F.lit(short.count()) / ITEM_BLOCK)).alias("block")).agg(
+        F.collect_list(F.struct("item_id", "canary")).alias("block_items")
+    )
+    searched = docs.select("doc_id", "text").crossJoin(F.broadcast(block.select("block_items")))
+    hits = F.filter("block_items", lambda x: F.col("text").contains(x["canary"]))
+    searched = searched.select("doc_id", F.explode(hits).alias("hit")).select("doc_id", "hit.item_id")
+    counts = met.select("doc_id", "item_id").union(searched).groupBy("item_id").agg(F.count_distinct("doc_id").alias("n"))
     return items.join(counts, "item_id", "left").select("item_id", F.coalesce("n", F.lit(0)).alias("exposed_in"))
