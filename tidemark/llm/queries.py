@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.llm import decontam, html, jaccard, licences, mixing, quality, substring, tokencount, toxicity, warc
 from tidemark.llm.frames import table
 
-#: The vocabulary that op7 counts with: pieces and scores of a public model file.
+#: The vocabulary that op7 counts with: pieces and scores of a public BPE model file.
+#: Its scores are merge ranks, so counts are those of a unigram lattice over them, and not that tokenizer's own.
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 
 
