@@ -10,6 +10,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.conftest import words
 from tidemark.llm import decontam, html, jaccard, mixing, quality, substring, textkit, tokencount, toxicity, warc
@@ -116,22 +117,39 @@ def test_substring_dedup_inside_sentences(spark):
     assert got == removed | {(0, 40, 60, 0, False), (1, 25, 50, 1, False)}
 
 
-def test_short_lines_with_edits_at_the_ends(spark):
+def test_units_with_edits_at_any_place(spark):
+    """Lines and sentences of 10 to 90 words with a word changed, added or dropped: the links of brute force are found."""
     r = random.Random(18)
-    base = [words(r, n) for n in (40, 48, 20, 9, 30)]
-    edits = [base[0].rsplit(" ", 1)[0] + " changed", base[1] + " " + words(r, 4), base[2].split(" ", 1)[1], base[3].rsplit(" ", 1)[0]]
-    edits += [words(r, 3) + " " + base[4] + " " + words(r, 3)]
-    texts = [*base, *edits, *(words(r, 40) for _ in range(5))]
-    keys = [int(substring.run_hashes(h, *np.array([[0], [len(h)]]))[0]) for h in (textkit.word_hashes(t.encode()) for t in texts)]
-    keys = [int(substring.mix(np.array([k + 1 & (1 << 64) - 1], dtype=np.uint64)).view(np.int64)[0]) for k in keys]
-    docs = as_docs(spark, texts)
-    labels = substring.line_components(docs, substring.units(docs).where("size(bands) > 0")).collect()
-    top = {x.id: x.component for x in labels}
-    got = [top.get(k, k) for k in keys]
-    expected = brute_components(texts, 5, 80)
-    assert [got.index(c) for c in got] == expected and len(set(expected)) == 10
-    gone = {x.doc_id: x.n_words for x in substring.passages(docs).collect() if x.removed}
-    assert gone == {5: 40, 6: 52, 9: 36}
+    texts = []
+    for n in (8, 10, 30, 48, 49, 90):
+        for _ in range(6):
+            w = words(r, n).split()
+            texts.append(w)
+            for at in (0, n // 2, n - 1):
+                texts += [w[:at] + ["changed"] + w[at + 1 :], w[:at] + w[at + 1 :], w[:at] + ["more"] + w[at:]]
+    texts = [" ".join(w) for w in texts]
+    for inner in (False, True):  # lines, and sentences inside lines
+        texts = [t + "." * inner for t in texts]
+        expected = brute_components(texts, 5, 80)
+        docs = as_docs(spark, [f"{words(r, 9)}. {t} {words(r, 9)}." if inner else t for t in texts])
+        found = substring.units(docs).select("id", "key", "words", F.size("buckets").alias("n_buckets"), F.explode("buckets").alias("bucket"))
+        met = found.where(F.col("words") >= substring.BANDED_WORDS)
+        top = {x.id: x.component for x in substring.unit_components(docs, met).collect()}
+        keys = [int(substring.run_hashes(h, *np.array([[0], [len(h)]])).view(np.int64)[0]) for h in (textkit.word_hashes(t.encode()) for t in texts)]
+        got = [top.get(k, k) for k in keys]
+        linked = sum(e != i for i, e in enumerate(expected))
+        caught = sum(got[i] == got[e] for i, e in enumerate(expected) if e != i)
+        assert caught >= 0.95 * linked and linked > 200
+        wrong = [i for i, j in itertools.combinations(range(len(texts)), 2) if got[i] == got[j] and expected[i] != expected[j]]
+        assert not wrong
+
+
+def test_lists_of_short_lines(spark):
+    r = random.Random(20)
+    lines = [words(r, 3) for _ in range(14)]
+    texts = ["\n".join([words(r, 20), *lines, words(r, 20)]), words(r, 60), "\n".join([words(r, 31), *lines])]
+    got = [tuple(x) for x in substring.passages(as_docs(spark, texts)).where("removed").collect()]
+    assert got == [(2, 31, 42, 0, True)]
 
 
 def test_shared_runs_are_covered(spark):
@@ -285,7 +303,7 @@ def test_warc_splits_own_each_record_once(spark, tmp_path):
 def test_warc_reader_skips_false_magic(tmp_path):
     import pyarrow as pa
 
-    good = warc.member(warc.record(1, "u", b"hello", "D", None, False))
+    good = warc.member(warc.record(1, "u", b"hello", 5, "D", None))
     data = b"junk" + warc.MAGIC + b"not gzip" + warc.member(b"plain text, no record") + good + warc.MAGIC
     path = tmp_path / "x.gz"
     path.write_bytes(data)

@@ -16,8 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.frames import cut, fresh, may_match
-from tidemark.llm.linking import batch_limits
+from tidemark.llm.frames import cut, fresh, may_match, slices
 
 Q = 8
 #: A match covers this many characters of the item, or the whole of a shorter item, ...
@@ -207,7 +206,7 @@ def _one_pass(rows: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Items(shared.value)
-        for batch in batches:
+        for batch in slices(batches):
             out: list[tuple] = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 if not text:
@@ -224,7 +223,7 @@ def _one_pass(rows: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
                 names=["doc_id", "item_id", "start_word", "n_words", "score", "exact"],
             )
 
-    return batch_limits(rows).mapInArrow(search, MATCH_SCHEMA)
+    return rows.mapInArrow(search, MATCH_SCHEMA)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

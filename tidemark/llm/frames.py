@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,18 +43,78 @@ def _checkpoint_dir(spark: SparkSession) -> str:
     return made
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared checkpoint folder, without its lineage.
+#: Folders that the operators now running have written, innermost operator last.
+_SPENT: list[list[str]] = []
+#: Shuffle files go when the query that wrote them ends: its result is in the shared folder then.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-    The driver's garbage is collected, upon which Spark deletes the shuffle files that led here.
-    """
+
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A setting of the session for the time of one action."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the shared checkpoint folder, without its lineage."""
     spark = df.sparkSession
     path = f"{work_dir(spark)}/rows"
-    df.write.parquet(path)
-    spark.sparkContext._jvm.System.gc()
+    with setting(spark, _CLEANUP, "true"):
+        df.write.parquet(path)
+    if _SPENT:
+        _SPENT[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
+        folder.getFileSystem(hadoop).delete(folder, True)
+
+
+def tidy(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """An operator whose rows are written to the shared folder, upon which all that it wrote before is deleted.
+
+    For operators with results that are small beside their input: the caller's plan then starts at the result.
+    """
+
+    @functools.wraps(operator)
+    def run(*args: object, **named: object) -> DataFrame:
+        _SPENT.append([])
+        try:
+            found = operator(*args, **named)
+        except BaseException:
+            _SPENT.pop()
+            raise
+        spent = _SPENT.pop()
+        kept = cut(found)
+        _delete(found.sparkSession, spent)
+        return kept
+
+    return run
+
+
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 400) -> Iterator[pa.RecordBatch]:
+    """Arrow batches of at most ``rows`` rows, which share the memory of those they come from.
+
+    Spark bounds a batch by bytes (64 MB, or one longer row); what a task makes of it is bounded by these.
+    """
+    for batch in batches:
+        if not batch.num_rows:
+            yield batch
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 #: Rows of 64 bits in a filter; the table that is broadcast has this many at most, 3 MB, however many ids there are.
 FILTER_WORDS = 1 << 17
 
@@ -75,5 +139,35 @@ def may_match(df: DataFrame, key: str, ids: DataFrame, id_name: str = "id", flag
     return joined.select(*own, hit.alias(flag)) if flag else joined.where(hit).select(*own)
 
 
+#: Sub-keys of a group; a group's aggregates are joined once for each sub-key that its rows have.
+SALTS = 32
+
+
+def salt(ident: str) -> Column:
+    return F.pmod(F.xxhash64(ident), F.lit(SALTS)).cast("int")
+
+
+def salts(ident: str) -> Column:
+    """An aggregate: the sub-keys that a group's rows have, as bits."""
+    return F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64({ident}), {SALTS}) as int))"))
+
+
+def each_salt(bits: str) -> Column:
+    """The sub-keys of salts(), a row each."""
+    held = F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda i: F.call_function("shiftright", F.col(bits), i).bitwiseAND(F.lit(1)) == 1)
+    return F.explode(held)
+
+
+def with_group(rows: DataFrame, group: str, ident: str, aggregates: list[Column], having: str) -> DataFrame:
+    """rows with the aggregates of their group, of the groups that meet ``having``.
+
+    Groups are summed before the shuffle, and their rows meet the sums by group and a sub-key of ident, so a group
+    that holds a third of all rows isn't one task.
+    """
+    sums = rows.groupBy(group).agg(*aggregates, salts(ident).alias("tm_salts")).where(having)
+    sums = sums.withColumn("tm_salt", each_salt("tm_salts")).drop("tm_salts")
+    return rows.withColumn("tm_salt", salt(ident)).join(sums, [group, "tm_salt"]).drop("tm_salt")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

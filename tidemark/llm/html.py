@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.linking import batch_limits
+from tidemark.llm.frames import slices
 
 # Element names of HTML and words of four languages.
 BLOCKS = frozenset(
@@ -271,7 +271,7 @@ def extract_text(pages: DataFrame, column: str = "html") -> DataFrame:
     )
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = [main_text(x) if x else "" for x in batch.column("html").to_pylist()]
             yield pa.record_batch(
                 [
@@ -283,4 +283,4 @@ def extract_text(pages: DataFrame, column: str = "html") -> DataFrame:
                 names=["page_id", "url", "text", "n_chars"],
             )
 
-    return batch_limits(rows).mapInArrow(extract, "page_id long, url string, text string, n_chars long")
+    return rows.mapInArrow(extract, "page_id long, url string, text string, n_chars long")

@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import linking
-from tidemark.llm.frames import cut, fresh, may_match
-from tidemark.llm.linking import batch_limits, least_overlap, list_column
+from tidemark.llm.frames import cut, fresh, may_match, slices, tidy
+from tidemark.llm.linking import least_overlap, list_column
 from tidemark.llm.textkit import fingerprint, shingle_set
 
 #: The contract's: four words, 85 of 100.
@@ -50,7 +50,7 @@ def sketches(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> Dat
     schema = "id long, n int, fp1 long, fp2 long, prefix array<bigint>"
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sizes, names, rows = [], [], []
             for text in batch.column("text").cast(pa.binary()).to_pylist():
                 tokens = _bytes(text, width)
@@ -69,7 +69,7 @@ def sketches(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> Dat
                 names=["id", "n", "fp1", "fp2", "prefix"],
             )
 
-    return batch_limits(docs.select(F.col("doc_id").cast("long").alias("id"), "text")).mapInArrow(sketch, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(sketch, schema)
 
 
 def _slack(n, percent: int):
@@ -85,7 +85,7 @@ def _prefixes(ordered: DataFrame, percent: int) -> DataFrame:
     schema = "id long, n int, component long, need int, free int, buckets array<bigint>"
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             items = batch.column("items")
             lists = items.offsets.to_numpy()
             holders = items.values.field("holders").to_numpy(zero_copy_only=False)
@@ -112,7 +112,7 @@ def _prefixes(ordered: DataFrame, percent: int) -> DataFrame:
                 names=["id", "n", "component", "need", "free", "buckets"],
             )
 
-    found = batch_limits(ordered).mapInArrow(choose, schema)
+    found = ordered.mapInArrow(choose, schema)
     return found.select("id", "n", "component", "need", "free", F.explode("buckets").alias("bucket"))
 
 
@@ -204,6 +204,7 @@ def similar_classes(docs: DataFrame, width: int = WORDS, percent: int = PERCENT)
     return members, linking.relabel(labels, links)
 
 
+@tidy
 def jaccard_components(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs.
 

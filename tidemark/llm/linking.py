@@ -15,23 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.frames import cut, may_match
+from tidemark.llm.frames import cut, may_match, salt, slices, with_group
 
 SETS = "id long, n int, tokens array<bigint>"
 
-#: Bytes and rows of a batch that goes to Python; texts are read whole, however long.
-BATCH_ROWS = 400
-BATCH_BYTES = 16 << 20
-
-
-def batch_limits(df: DataFrame) -> DataFrame:
-    """Let Arrow batches be small, since rows hold whole texts."""
-    conf = df.sparkSession.conf
-    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    return df
-
-
 def arrays(column: pa.Array) -> Iterator[np.ndarray]:
     """The rows of an Arrow list column as views of one array."""
     flat = column.values.to_numpy(zero_copy_only=False)
@@ -59,11 +46,11 @@ def verify(pairs: DataFrame, texts: DataFrame, make: Callable[[bytes], np.ndarra
     pairs = cut(pairs)
     left = may_match(texts, "id", pairs, "a").select(F.col("id").alias("a"), F.col("text").alias("ta"))
     right = may_match(texts, "id", pairs, "b").select(F.col("id").alias("b"), F.col("text").alias("tb"))
-    both = batch_limits(pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb"))
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = lru_cache(maxsize=64)(make)  # pairs come ordered by b
-        for batch in batches:
+        for batch in slices(batches):
             keep = []
             columns = [batch.column(c).cast(pa.binary()).to_pylist() for c in ("ta", "tb")]
             for x, y in zip(*columns, strict=True):
@@ -107,14 +94,8 @@ def to_leaders(postings: DataFrame, least_part: float = 0.0) -> DataFrame:
 
     least_part: the part of the member's buckets in which they meet, at least.
     """
-    leads = (
-        postings.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi")
-    )
-    met = (
-        postings.join(leads, "bucket")
-        .select("id", "n_buckets", F.explode(F.array("lo", "hi")).alias("lead"))
-        .where("id <> lead")
-    )
+    leads = with_group(postings, "bucket", "id", [F.min("id").alias("lo"), F.max("id").alias("hi")], "lo < hi")
+    met = leads.select("id", "n_buckets", F.explode(F.array("lo", "hi")).alias("lead")).where("id <> lead")
     return (
         met.groupBy("id", "lead")
         .agg(F.count("*").alias("c"), F.first("n_buckets").alias("n_buckets"))
@@ -124,22 +105,34 @@ def to_leaders(postings: DataFrame, least_part: float = 0.0) -> DataFrame:
     )
 
 
+#: Members of one component in a bucket that meet others as one row.
+BLOCK_MEMBERS = 256
+
+
 def across(postings: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of different components that meet in enough buckets.
 
     postings: (bucket, id, n, component, need, free, pivot); free counts tokens that no set of another component holds,
     so two sets share n - free at most, which bounds their similarity.  Pairs of one pivot are left to around_pivots.
+    A bucket's members are gathered by component, in blocks, and blocks of different components meet: a large
+    component isn't paired with itself, and no task holds a large bucket's members one by one.
     """
-    names = ("id", "n", "component", "need", "free", "pivot")
-    left = postings.select("bucket", *(F.col(c).alias(f"{c}1") for c in names))
-    right = postings.select("bucket", *(F.col(c).alias(f"{c}2") for c in names))
-    most = F.least(F.col("n1") - F.col("free1"), F.col("n2") - F.col("free2"))
+    sizes = postings.groupBy("bucket", "component").agg(F.count("*").alias("members")).where(F.col("members") > BLOCK_MEMBERS)
+    dealt = postings.join(sizes, ["bucket", "component"], "left").withColumn(
+        "part", F.pmod(F.xxhash64("id"), F.coalesce(F.ceil(F.col("members") / BLOCK_MEMBERS), F.lit(1)))
+    )
+    blocks = dealt.groupBy("bucket", "component", "part").agg(F.collect_list(F.struct("id", "n", "need", "free", "pivot")).alias("rows"))
+    left = blocks.select("bucket", F.col("component").alias("component1"), F.col("rows").alias("rows1"))
+    right = blocks.select("bucket", F.col("component").alias("component2"), F.col("rows").alias("rows2"))
+    met = left.join(right, "bucket").where("component1 < component2")
+    met = met.select(F.explode("rows1").alias("x"), "rows2").select("x", F.explode("rows2").alias("y"))
+    most = F.least(F.col("x.n") - F.col("x.free"), F.col("y.n") - F.col("y.free"))
     return (
-        left.join(right, "bucket")
-        .where("component1 < component2 and pivot1 <> pivot2")
-        .where(100 * most >= percent * (F.col("n1") + F.col("n2") - most))
+        met.where("x.pivot <> y.pivot")
+        .where(100 * most >= percent * (F.col("x.n") + F.col("y.n") - most))
+        .select(F.col("x.id").alias("id1"), F.col("y.id").alias("id2"), F.least("x.need", "y.need").alias("need"))
         .groupBy("id1", "id2")
-        .agg(F.count("*").alias("c"), F.first(F.least("need1", "need2")).alias("need"))
+        .agg(F.count("*").alias("c"), F.first("need").alias("need"))
         .where("c >= need")
         .select(F.col("id1").alias("a"), F.col("id2").alias("b"))
     )
@@ -147,8 +140,8 @@ def across(postings: DataFrame, percent: int) -> DataFrame:
 
 def pivots(heads: DataFrame) -> DataFrame:
     """(id, pivot): the set that leads most of an id's buckets, from (id, bucket); a leader of its own buckets is its own."""
-    leads = heads.groupBy("bucket").agg(F.min("id").alias("lead"))
-    met = heads.join(leads, "bucket").groupBy("id", "lead").agg(F.count("*").alias("c"))
+    leads = with_group(heads, "bucket", "id", [F.min("id").alias("lead")], "lead is not null")
+    met = leads.groupBy("id", "lead").agg(F.count("*").alias("c"))
     return met.groupBy("id").agg(F.max_by("lead", F.struct("c", -F.col("lead"))).alias("pivot"))
 
 
@@ -157,8 +150,8 @@ def gathered(heads: DataFrame) -> DataFrame:
 
     Each id hangs on the leader, other than itself, of most of its buckets; what leads all its buckets is its own.
     """
-    leads = heads.groupBy("bucket").agg(F.min("id").alias("lead"))
-    met = heads.join(leads, "bucket").where("id <> lead").groupBy("id", "lead").agg(F.count("*").alias("c"))
+    leads = with_group(heads, "bucket", "id", [F.min("id").alias("lead")], "lead is not null")
+    met = leads.where("id <> lead").groupBy("id", "lead").agg(F.count("*").alias("c"))
     hung = met.groupBy("id").agg(F.max_by("lead", F.struct("c", -F.col("lead"))).alias("lead"))
     roots = components(hung.select(F.col("id").alias("a"), F.col("lead").alias("b")))
     return with_component(heads.select("id").distinct(), roots).withColumnRenamed("component", "pivot")
@@ -176,15 +169,15 @@ def around_pivots(
     of the differences must meet.  Near copies of one text differ from it in few tokens that others
     share, so a large group of them gives few pairs.
     """
-    left = texts.select(F.col("id").alias("pivot"), F.col("text").alias("tp"))
-    both = batch_limits(
-        placed.join(left, "pivot").join(texts, "id").select("id", "component", "pivot", "text", "tp")
-    )
+    # A pivot's text is sent once for each sub-key of its group.
+    led = placed.withColumn("salt", salt("id"))
+    left = texts.select(F.col("id").alias("pivot"), F.col("text").alias("tp")).join(led.select("pivot", "salt").distinct(), "pivot")
+    both = led.join(left, ["pivot", "salt"]).join(texts, "id").select("id", "component", "pivot", "text", "tp")
     plus, minus = 100 + percent, 100 - percent
 
     def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = lru_cache(maxsize=64)(make)
-        for batch in batches:
+        for batch in slices(batches):
             sizes, rows = [], []
             columns = [batch.column(c).cast(pa.binary()).to_pylist() for c in ("text", "tp")]
             for x, p in zip(*columns, strict=True):
@@ -200,8 +193,7 @@ def around_pivots(
     found = found.select(
         "id", "component", "pivot", "tokens", F.size("tokens").alias("d"), (F.size("tokens") * plus - F.col("n") * minus).alias("e")
     )
-    best = found.groupBy("pivot").agg(F.min_by("id", F.struct("e", "id")).alias("best"), F.min("e").alias("low"))
-    rows = found.join(best, "pivot")
+    rows = with_group(found, "pivot", "id", [F.min_by("id", F.struct("e", "id")).alias("best"), F.min("e").alias("low")], "low is not null")
     links = rows.where("e + low <= 0 and id <> best").select(F.least("id", "best").alias("a"), F.greatest("id", "best").alias("b"))
 
     tokens = rows.select("id", "component", "pivot", "d", "e", "low", F.explode("tokens").alias("token"))
@@ -252,11 +244,11 @@ def sets_of(
     """(id, n, tokens) of (id, text): the size of the set, and the set or its part(n) smallest hashes."""
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = [make(x) for x in batch.column("text").cast(pa.binary()).to_pylist()]
             sizes = pa.array([len(r) for r in rows], type=pa.int32())
             if part is not None:
                 rows = [r[: part(len(r))] for r in rows]
             yield pa.record_batch([batch.column("id"), sizes, list_column(rows)], names=["id", "n", "tokens"])
 
-    return batch_limits(texts.select("id", "text")).mapInArrow(tokens, SETS)
+    return texts.select("id", "text").mapInArrow(tokens, SETS)

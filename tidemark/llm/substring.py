@@ -1,15 +1,15 @@
 """Substring dedup: paragraphs that repeat across documents, by MinHash banding.
 
-Units are lines, and the sentences inside them, because passages are spliced into lines as well.  Bands are
-tuned by a unit's length: a line of BANDED_WORDS or more takes BANDS bands of ROWS rows, so that a pair
-at 0.8 collides with a chance of 99.5 in 100; a shorter line, or a sentence, takes one band of its whole
-set, since a line shorter than that is at 0.8 to its equals only.  Lines that collide are verified by the
-exact Jaccard of their five-word shingles and grouped into components.  A component stays in its smallest
-document and goes from the others, where its units add up to passages of PASSAGE_WORDS or more.
-
-Repeats that start or end inside sentences are found by windows of WINDOW_WORDS words at every place.  Windows are
-spread only near shared anchors: of each ANCHOR_SPAN windows in a row the one of the least hash is an anchor, so
-two texts that share ANCHOR_SPAN + WINDOW_WORDS - 1 = 24 words in a row share an anchor there, wherever they lie.
+Units are lines, and the sentences inside them, because passages are spliced into lines as well.  Each unit has bands of
+ROWS minima of its five-word shingles: LINE_BANDS for a line (a pair at 0.8 collides with a chance of 99.4 in 100),
+SENTENCE_BANDS for a sentence inside one (95.3 in 100), one for units below BANDED_WORDS, which are at 0.8 to their
+equals only.  Units that collide are verified by the exact Jaccard of their shingles and grouped into components.  A
+component stays in its smallest document and goes from the others, where units add up to passages of PASSAGE_WORDS.
+
+Repeats that start or end inside sentences, and runs of shorter lines, are found by windows of WINDOW_WORDS words at every
+place.  Windows are spread only near anchors that documents share and that no repeated units cover somewhere: of each
+ANCHOR_SPAN windows in a row the one of the least hash is an anchor, so two texts that share ANCHOR_SPAN + WINDOW_WORDS - 1 =
+30 words in a row share an anchor there, wherever they lie.
 """
 
 from __future__ import annotations
@@ -22,68 +22,64 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import linking
-from tidemark.llm.frames import cut, fresh, may_match
-from tidemark.llm.linking import arrays, batch_limits, list_column
-from tidemark.llm.textkit import cover, mix, powers, shingle_set, window_hashes, word_hashes, word_spans
+from tidemark.llm.frames import cut, each_salt, fresh, may_match, salt, salts, slices, tidy, with_group
+from tidemark.llm.linking import arrays
+from tidemark.llm.textkit import mix, run_hashes, shingle_set, window_hashes, word_hashes, word_spans
 
 WIDTH = 5
 PERCENT = 80
-BANDS, ROWS = 10, 4
-#: A word added at an end adds one shingle to n - 4: from here on unequal lines can meet 0.8 (4 of 5).
+ROWS = 2
+LINE_BANDS, SENTENCE_BANDS = 5, 3
+#: A word added at an end adds one shingle to n - 4: from here on unequal units can meet 0.8 (4 of 5).
 BANDED_WORDS = 8
-#: Shorter sentences aren't units; between units they are bridged.
+#: Shorter lines and sentences aren't units: between units they are bridged, and runs of them are found by windows.
 UNIT_WORDS = 6
 BRIDGE_WORDS = 10
 PASSAGE_WORDS = 30
 WINDOW_WORDS = 12
-ANCHOR_SPAN = 13
+ANCHOR_SPAN = PASSAGE_WORDS - WINDOW_WORDS + 1
 #: Windows so far from a shared anchor's span are spread as well: the shorter runs beside a changed word.
 MARGIN = ANCHOR_SPAN + WINDOW_WORDS - 1 + BRIDGE_WORDS
 
 _ENDS = np.zeros(256, dtype=bool)
 _ENDS[list(b".!?")] = True
-_SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-_STEP = 0xD1342543DE82EF97
-_BACK = pow(_STEP, -1, 1 << 64)
+_SEEDS = mix(np.arange(1, LINE_BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+_TOP = np.uint64((1 << 64) - 1)
 
 
 def spans_of(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Where words start and end, the line of each word, and where units begin (word indices, the last is the end)."""
+    """Where words start and end, and where lines and sentences begin (word indices; the last is the end)."""
     starts, ends = word_spans(data)
-    breaks = np.flatnonzero(np.frombuffer(data, dtype=np.uint8) == 10)
-    line = np.searchsorted(breaks, starts)
     if not len(starts):
-        return starts, ends, line, np.zeros(1, dtype=np.int64)
-    cuts = _ENDS[np.frombuffer(data, dtype=np.uint8)[ends[:-1] - 1]] | (line[1:] != line[:-1])
-    return starts, ends, line, np.concatenate([[0], np.flatnonzero(cuts) + 1, [len(starts)]])
-
-
-def run_hashes(words: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A hash for each run words[begin:end]."""
-    n = len(words)
-    sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(words * powers(_STEP, cover(n + 1))[:n], out=sums[1:])
-    found = (sums[end] - sums[begin]) * powers(_BACK, cover(n + 1))[begin]
-    return mix(found + (end - begin).astype(np.uint64))
-
-
-def bands_of(shingles: np.ndarray) -> np.ndarray:
-    """The band keys of a set, whose members may repeat."""
-    least = (shingles * _SEEDS[:, None]).min(axis=1).reshape(BANDS, ROWS)  # the hashes are mixed; odd factors permute them
-    keys = np.zeros(BANDS, dtype=np.uint64)
-    for r in range(ROWS):
-        keys = mix(keys + least[:, r])
-    return mix(keys + np.arange(BANDS, dtype=np.uint64))
-
-
-def banded_lines(line: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(begin, end, key) of the lines of BANDED_WORDS or more."""
-    edges = np.concatenate([[0], np.flatnonzero(line[1:] != line[:-1]) + 1, [len(words)]])
-    begin, end = edges[:-1], edges[1:]
-    keep = end - begin >= BANDED_WORDS
+        return starts, ends, np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64)
+    codes = np.frombuffer(data, dtype=np.uint8)
+    line = np.searchsorted(np.flatnonzero(codes == 10), starts)
+    turns = line[1:] != line[:-1]
+    edges = [np.concatenate([[0], np.flatnonzero(c) + 1, [len(starts)]]) for c in (turns, turns | _ENDS[codes[ends[:-1] - 1]])]
+    return starts, ends, *edges
+
+
+def unit_spans(lines: np.ndarray, sentences: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(begin, end, bands) of the units: lines, and sentences that aren't whole lines."""
+    inner = ~(np.isin(sentences[:-1], lines) & np.isin(sentences[1:], lines))
+    begin = np.concatenate([lines[:-1], sentences[:-1][inner]])
+    end = np.concatenate([lines[1:], sentences[1:][inner]])
+    bands = np.where(np.arange(len(begin)) < len(lines) - 1, LINE_BANDS, SENTENCE_BANDS)
+    keep = end - begin >= UNIT_WORDS
     begin, end = begin[keep], end[keep]
-    # A sentence that is a whole line may be a unit of either kind: their keys differ.
-    return begin, end, mix(run_hashes(words, begin, end) + np.uint64(1))
+    return begin, end, np.where(end - begin < BANDED_WORDS, 1, bands[keep])
+
+
+def band_keys(shingles: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The LINE_BANDS band keys of each run shingles[begin:end], a row each; a sentence takes the first of them."""
+    places = np.ravel(np.column_stack([begin, end]))
+    keys = np.zeros((len(begin), LINE_BANDS), dtype=np.uint64)
+    values = np.empty(len(shingles) + 1, dtype=np.uint64)
+    values[-1] = _TOP
+    for i, seed in enumerate(_SEEDS):  # the hashes are mixed; odd factors permute them
+        np.multiply(shingles, seed, out=values[:-1])
+        keys[:, i // ROWS] = mix(keys[:, i // ROWS] + np.minimum.reduceat(values, places)[::2])
+    return mix(keys + np.arange(LINE_BANDS, dtype=np.uint64))
 
 
 def anchors(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -95,114 +91,131 @@ def anchors(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return windows, spans.argmin(axis=1) + np.arange(len(spans))
 
 
-def units_of(data: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]]:
-    """(start, words, key, bands) of the text's sentences, with no bands, then of its anchors, with no words, and of its banded lines."""
-    _, _, line, cuts = spans_of(data)
+def units_of(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start, words, key, n_buckets, buckets) of the text's units, and then of its anchors, whose words are 0."""
+    _, _, lines, sentences = spans_of(data)
     words = word_hashes(data.lower())
-    if len(words):
-        begin, end = cuts[:-1], cuts[1:]
-        keep = end - begin >= UNIT_WORDS
-        begin, end = begin[keep], end[keep]
-        empty = np.empty(0, dtype=np.uint64)
-        yield begin, end - begin, run_hashes(words, begin, end), [empty] * len(begin)
-        windows, chosen = anchors(words)
-        at = np.unique(chosen)
-        yield at, np.zeros(len(at), dtype=np.int64), windows[at], [empty] * len(at)
-        begin, end, key = banded_lines(line, words)
-        if len(begin):
-            shingles = window_hashes(words, WIDTH)  # those of a line are a slice
-            bands = [bands_of(shingles[a : b - WIDTH + 1]) for a, b in zip(begin, end, strict=True)]
-            yield begin, end - begin, key, bands
+    begin, end, bands = unit_spans(lines, sentences)
+    key, flat = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.uint64)
+    if len(begin):
+        key = run_hashes(words, begin, end)
+        rows = band_keys(window_hashes(words, WIDTH), begin, end - WIDTH + 1)
+        flat = rows[np.arange(LINE_BANDS) < bands[:, None]]
+    windows, chosen = anchors(words)
+    at = np.unique(chosen)
+    near = windows[at]
+    return (
+        np.concatenate([begin, at]),
+        np.concatenate([end - begin, np.zeros(len(at), dtype=np.int64)]),
+        np.concatenate([key, near]),
+        np.concatenate([bands, np.ones(len(at), dtype=np.int64)]),
+        np.concatenate([flat, near]),
+    )
+
+
+def _documents(docs: DataFrame) -> DataFrame:
+    return docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("id"), "text")
 
 
 def units(docs: DataFrame) -> DataFrame:
-    """(id, start, words, key, bands) of each unit; bands are empty for sentences, and words are 0 for anchors."""
+    """(id, start, words, key, buckets) of each unit and anchor; words are 0 for anchors."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows: list[list] = [[], [], [], [], []]
-            for doc, text in zip(batch.column("id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
-                for start, size, key, bands in units_of(text or b""):
-                    for to, got in zip(rows, (np.full(len(start), doc, dtype=np.int64), start, size, key.view(np.int64)), strict=False):
-                        to.append(got)
-                    rows[4] += bands
-            flat = [np.concatenate(r) if r else np.empty(0, dtype=np.int64) for r in rows[:4]]
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64()]
+        for batch in slices(batches):
+            found = [units_of(x or b"") for x in batch.column("text").cast(pa.binary()).to_pylist()]
+            start, words, key, n, flat = (np.concatenate([f[k] for f in found]) if found else np.empty(0) for k in range(5))
+            ids = np.repeat(np.array(batch.column("id"), dtype=np.int64), [len(f[0]) for f in found])
+            offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+            long = lambda x: pa.array(x.astype(np.uint64).view(np.int64))
             yield pa.record_batch(
-                [*(pa.array(f, type=pa.int64()).cast(k) for f, k in zip(flat, kinds, strict=True)), list_column(rows[4])],
-                names=["id", "start", "words", "key", "bands"],
+                [pa.array(ids), pa.array(start.astype(np.int32)), pa.array(words.astype(np.int32)), long(key), pa.ListArray.from_arrays(offsets, long(flat))],
+                names=["id", "start", "words", "key", "buckets"],
             )
 
-    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("id"), "text")
-    return batch_limits(rows).mapInArrow(split, "id long, start int, words int, key long, bands array<bigint>")
+    return _documents(docs).mapInArrow(split, "id long, start int, words int, key long, buckets array<bigint>")
 
 
-def _line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, text) of one line for each key in wanted (id)."""
+def _unit_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, text) of one unit for each key in wanted (id)."""
 
-    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, texts = [], []
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            keys, texts = [np.empty(0, dtype=np.int64)], []
             for text in batch.column("text").cast(pa.binary()).to_pylist():
                 if text:
-                    at, stop, line, _ = spans_of(text)
-                    words = word_hashes(text.lower())
-                    if len(words) >= BANDED_WORDS:
-                        begin, end, key = banded_lines(line, words)
-                        keys.append(key.view(np.int64))
-                        texts += [text[at[a] : stop[b - 1]] for a, b in zip(begin, end, strict=True)]
-            flat = np.concatenate(keys) if keys else np.empty(0, dtype=np.int64)
-            yield pa.record_batch(
-                [pa.array(flat, type=pa.int64()), pa.array(texts, type=pa.binary())], names=["id", "text"]
-            )
-
-    found = batch_limits(docs.where(F.col("doc_id").isNotNull()).select("text")).mapInArrow(lines, "id long, text binary")
+                    at, stop, lines, sentences = spans_of(text)
+                    begin, end, _ = unit_spans(lines, sentences)
+                    if (long := end - begin >= BANDED_WORDS).any():
+                        begin, end = begin[long], end[long]
+                        keys.append(run_hashes(word_hashes(text.lower()), begin, end).view(np.int64))
+                        texts += [text[a:b] for a, b in zip(at[begin].tolist(), stop[end - 1].tolist(), strict=True)]
+            yield pa.record_batch([pa.array(np.concatenate(keys)), pa.array(texts, type=pa.binary())], names=["id", "text"])
+
+    found = _documents(docs).select("text").mapInArrow(pick, "id long, text binary")
     return cut(may_match(found, "id", wanted).join(wanted, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text")))
 
 
-def line_components(docs: DataFrame, lines: DataFrame) -> DataFrame:
-    """(id, component) of lines (key, bands) that others resemble."""
-    classes = lines.groupBy("key").agg(F.first("bands").alias("bands"))
-    postings = classes.select(
-        F.col("key").alias("id"), F.size("bands").alias("n_buckets"), F.explode("bands").alias("bucket")
-    )
-    shared = cut(
-        postings.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select(F.col("bucket").alias("id"))
-    )
-    postings = cut(may_match(postings, "bucket", shared).join(shared.withColumnRenamed("id", "bucket"), "bucket", "left_semi"))
-    texts = _line_texts(docs, cut(postings.select("id").distinct()))
+def unit_components(docs: DataFrame, met: DataFrame) -> DataFrame:
+    """(id, component) of the keys of units that others resemble, from (key, n_buckets, bucket) of each unit."""
+    classes = met.groupBy("bucket", "key").agg(F.first("n_buckets").alias("n_buckets"))
+    mixed = classes.groupBy("bucket").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi").select("bucket")
+    postings = cut(classes.join(mixed, "bucket", "left_semi").select(F.col("key").alias("id"), "n_buckets", "bucket"))
+    texts = _unit_texts(docs, cut(postings.select("id").distinct()))
 
     def make(text: bytes) -> np.ndarray:
         return shingle_set(text.lower(), WIDTH)
 
     labels = cut(linking.components(linking.verify(linking.to_leaders(postings), texts, make, PERCENT)))
-    # Near copies of one line meet in many buckets: those are compared by their differences from one of them, and
+    # Near copies of one unit meet in many buckets: those are compared by their differences from one of them, and
     # only what no chain of leaders ties meets pair by pair.
     placed = linking.with_component(postings, labels)
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    apart = cut(placed.join(mixed.select("bucket"), "bucket", "left_semi"))
+    open_buckets = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
+    apart = cut(placed.join(open_buckets.select("bucket"), "bucket", "left_semi"))
     pivot = cut(linking.gathered(apart))
     certain, near = linking.around_pivots(texts, linking.with_component(pivot, labels), make, PERCENT)
-    met = apart.join(pivot, "id").select(
+    pairs = apart.join(pivot, "id").select(
         "bucket", "id", F.lit(1).alias("n"), "component", F.lit(1).alias("need"), F.lit(0).alias("free"), "pivot"
     )
-    links = linking.verify(linking.across(met, PERCENT).union(near), texts, make, PERCENT).union(certain)
+    links = linking.verify(linking.across(pairs, PERCENT).union(near), texts, make, PERCENT).union(certain)
     return linking.relabel(labels, links)
 
 
-def shared_windows(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """(id, start, words, owner) of windows that other documents hold too, near the anchors (id, key) that they share."""
-    shared = cut(places.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key"))
-    met = may_match(places, "key", shared, "key").join(shared, "key", "left_semi")
+def uncovered(places: DataFrame, held: DataFrame) -> DataFrame:
+    """(key) of the anchors (id, start, key) that lie outside the passages of repeated units (id, start, words, owner) in some document."""
+    spans = held.groupBy("id").agg(F.collect_list(F.struct("start", "words")).alias("units"))
+    spans = spans.select("id", F.col("units.start").alias("start"), F.col("units.words").alias("words"))
+    spots = places.groupBy("id").agg(F.collect_list(F.struct("start", "key")).alias("spots"))
+    spots = spots.select("id", F.col("spots.start").alias("at"), F.col("spots.key").alias("key"))
+    empty = F.array().cast("array<int>")
+    both = spots.join(spans, "id", "left").select("at", "key", *(F.coalesce(c, empty).alias(c) for c in ("start", "words")))
+
+    def outside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            keys = [np.empty(0, dtype=np.int64)]
+            for at, key, start, words in zip(*(arrays(batch.column(c)) for c in ("at", "key", "start", "words")), strict=True):
+                begin, size, _ = joined(start, words, np.zeros(len(start), dtype=np.int64))
+                if len(begin):
+                    near = np.searchsorted(begin, at, side="right") - 1
+                    inside = (near >= 0) & (at + WINDOW_WORDS <= begin[near] + size[near])
+                    key = key[~inside]
+                keys.append(key)
+            yield pa.record_batch([pa.array(np.unique(np.concatenate(keys)))], names=["key"])
+
+    return both.mapInArrow(outside, "key long").distinct()
+
+
+def shared_windows(docs: DataFrame, places: DataFrame, keys: DataFrame) -> DataFrame:
+    """(id, start, words, owner) of windows that other documents hold too, near the anchors (id, key) whose key is in keys."""
+    met = may_match(places.select("id", "key"), "key", keys, "key").join(keys, "key", "left_semi")
     wanted = cut(met.groupBy("id").agg(F.collect_set("key").alias("keys")))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows: list[list[np.ndarray]] = [[np.empty(0, dtype=np.int64)] for _ in range(3)]
             ids, texts = batch.column("id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()
-            for doc, text, keys in zip(ids, texts, arrays(batch.column("keys")), strict=True):
+            for doc, text, near_keys in zip(ids, texts, arrays(batch.column("keys")), strict=True):
                 windows, chosen = anchors(word_hashes((text or b"").lower()))
-                near = np.flatnonzero(np.isin(windows[chosen].view(np.int64), keys))
+                near = np.flatnonzero(np.isin(windows[chosen].view(np.int64), near_keys))
                 steps = np.zeros(len(windows) + 1, dtype=np.int64)
                 np.add.at(steps, np.maximum(near - MARGIN, 0), 1)
                 np.add.at(steps, np.minimum(near + ANCHOR_SPAN + MARGIN, len(windows)), -1)
@@ -213,15 +226,16 @@ def shared_windows(docs: DataFrame, places: DataFrame) -> DataFrame:
             flat = [pa.array(np.concatenate(r), type=pa.int64()).cast(k) for r, k in zip(rows, kinds, strict=True)]
             yield pa.record_batch(flat, names=["id", "start", "key"])
 
-    texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("id"), "text")
-    near = batch_limits(may_match(texts, "id", wanted).join(wanted, "id")).select("id", "text", "keys")
+    near = may_match(_documents(docs), "id", wanted).join(wanted, "id").select("id", "text", "keys")
     found = cut(near.mapInArrow(spread, "id long, start int, key long"))
-    owners = found.groupBy("key").agg(F.min("id").alias("owner"), F.max("id").alias("hi")).where("owner < hi").select("key", "owner")
-    return found.join(owners, "key").select("id", "start", F.lit(WINDOW_WORDS).alias("words"), "owner")
+    held = with_group(found, "key", "id", [F.min("id").alias("owner"), F.max("id").alias("hi")], "owner < hi")
+    return held.select("id", "start", F.lit(WINDOW_WORDS).alias("words"), "owner")
 
 
 def joined(start: np.ndarray, words: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, words, least owner) of the passages that units add up to."""
+    if not len(start):
+        return start, words, owner
     order = np.argsort(start, kind="stable")
     start, owner = start[order].astype(np.int64), owner[order]
     end = np.maximum.accumulate(start + words[order])
@@ -231,38 +245,39 @@ def joined(start: np.ndarray, words: np.ndarray, owner: np.ndarray) -> tuple[np.
     return start[first][keep], size[keep], np.minimum.reduceat(owner, first)[keep]
 
 
+@tidy
 def passages(docs: DataFrame) -> DataFrame:
     """(doc_id, start_word, n_words, first_doc_id, removed): repeated passages.
 
     A row for each passage that repeats in other documents: removed is false in the
     smallest document that holds it, which keeps it, and true in the others.  Rows that share
-    a doc_id are one document.  Rows with a null doc_id, and null, empty or short texts, give none.
+    a doc_id are one document.  Rows with a null doc_id, and null, empty or short texts, give none.  Very long texts are
+    read whole; an empty table gives no rows.
     """
     found = cut(units(docs))
-    places = found.where("words = 0").select("id", "key")
-    found = found.where("words > 0")
-    sentences, lines = found.where(F.size("bands") == 0), found.where(F.size("bands") > 0)
-    labels = cut(line_components(docs, lines))
-    grouped = lines.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
-    named = grouped.join(labels.withColumnRenamed("id", "key"), "key", "left")
-    whole = named.groupBy(F.coalesce("component", "key").alias("component")).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    line_owner = (
-        named.select("key", F.coalesce("component", "key").alias("component"))
-        .join(whole.where("lo < hi"), "component")
-        .select("key", F.col("lo").alias("owner"))
-    )
-    sentence_owner = (
-        sentences.groupBy("key").agg(F.min("id").alias("owner"), F.max("id").alias("hi")).where("owner < hi").select("key", "owner")
-    )
-    owners = cut(line_owner.union(sentence_owner))
-    held = may_match(found.select("id", "start", "words", "key"), "key", owners, "key").join(owners, "key")
-    held = held.select("id", "start", "words", "owner").union(shared_windows(docs, places))
+    postings = found.select("id", "start", "words", "key", F.size("buckets").alias("n_buckets"), F.explode("buckets").alias("bucket"))
+    bounds = [F.min("id").alias("lo"), F.max("id").alias("hi"), salts("id").alias("held")]
+    shared = cut(postings.groupBy("bucket").agg(*bounds).where("lo < hi").select(F.col("bucket").alias("s_bucket"), "held"))
+    dealt = shared.select(F.col("s_bucket").alias("bucket"), each_salt("held").alias("salt"))
+    met = may_match(postings, "bucket", shared, "s_bucket").withColumn("salt", salt("id"))
+    met = cut(met.join(dealt, ["bucket", "salt"], "left_semi").drop("salt"))
+    whole = met.where("words > 0")
+    labels = unit_components(docs, whole.where(F.col("words") >= BANDED_WORDS))
+    named = linking.with_component(whole.withColumnRenamed("id", "doc").groupBy(F.col("key").alias("id")).agg(
+        F.min("doc").alias("lo"), F.max("doc").alias("hi"), salts("doc").alias("held")
+    ), labels)
+    first = named.groupBy("component").agg(F.min("lo").alias("owner"), F.max("hi").alias("hi")).where("owner < hi")
+    owners = named.join(first.select("component", "owner"), "component").select(F.col("id").alias("key"), "owner", each_salt("held").alias("salt"))
+    unit_rows = whole.select("id", "start", "words", "key").distinct().withColumn("salt", salt("id"))
+    held = cut(unit_rows.join(owners, ["key", "salt"]).select("id", "start", "words", "owner"))
+    places = met.where("words = 0").select("id", "start", "key")
+    held = held.union(shared_windows(docs, places, cut(uncovered(places, held))))
     runs = held.groupBy("id").agg(F.collect_list(F.struct("start", "words", "owner")).alias("units"))
     runs = runs.select("id", *(F.col(f"units.{c}").alias(c) for c in ("start", "words", "owner")))
     schema = "doc_id long, start_word int, n_words int, first_doc_id long, removed boolean"
 
     def join_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows: list[list[np.ndarray]] = [[np.empty(0, dtype=np.int64)] for _ in range(5)]
             units = zip(*(arrays(batch.column(c)) for c in ("start", "words", "owner")), strict=True)
             for doc, (start, words, owner) in zip(batch.column("id").to_pylist(), units, strict=True):
@@ -278,7 +293,7 @@ def passages(docs: DataFrame) -> DataFrame:
                 names=["doc_id", "start_word", "n_words", "first_doc_id", "removed"],
             )
 
-    return batch_limits(runs).mapInArrow(join_up, schema)
+    return runs.mapInArrow(join_up, schema)
 
 
 def without(text: str, spans: list[tuple[int, int]]) -> str:
@@ -312,7 +327,7 @@ def remove_passages(docs: DataFrame) -> DataFrame:
     joined = unsure.join(spans, unsure["doc_id"] == spans["tm_id"], "left")
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = [
                 without(t, [(s["start_word"], s["n_words"]) for s in spans]) if t and spans else t
                 for t, spans in zip(batch.column("tm_new").to_pylist(), batch.column("tm_spans").to_pylist(), strict=True)
@@ -321,7 +336,7 @@ def remove_passages(docs: DataFrame) -> DataFrame:
             yield batch.set_column(at, "tm_new", pa.array(texts, type=pa.string()))
 
     packed = joined.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), F.col("text").alias("tm_new"), "tm_spans")
-    cleaned = batch_limits(packed).mapInArrow(strip, packed.schema)
+    cleaned = packed.mapInArrow(strip, packed.schema)
     cleaned = cleaned.where(F.col("tm_spans").isNull() | F.col("tm_new").rlike(r"[^\x20\x09-\x0D]"))
 
     def value(c: str):

@@ -15,6 +15,8 @@ PIECE = 1 << 20
 _ODD = 0x9E3779B97F4A7C15
 _BASE = 0xD1342543DE82EF97
 _INVERSE = pow(_BASE, -1, 1 << 64)
+_STEP = 0xD6E8FEB86659FD95
+_BACK = pow(_STEP, -1, 1 << 64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -31,7 +33,7 @@ _BLANK = np.zeros(256, dtype=bool)
 _BLANK[list(b" \t\n\x0b\f\r")] = True
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=8)
 def powers(base: int, size: int) -> np.ndarray:
     """1, base, base^2 ... modulo 2^64."""
     steps = np.full(size, base, dtype=np.uint64)
@@ -83,16 +85,22 @@ def word_hashes(data: bytes) -> np.ndarray:
     return np.concatenate(parts)
 
 
+def run_hashes(words: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash for each run words[begin:end]: a polynomial in the words' hashes, as a difference of running sums."""
+    n = len(words)
+    sums = np.zeros(n + 1, dtype=np.uint64)
+    np.cumsum(words * powers(_STEP, cover(n + 1))[:n], out=sums[1:])
+    found = (sums[end] - sums[begin]) * powers(_BACK, cover(n + 1))[begin]
+    return mix(found + (end - begin).astype(np.uint64) * np.uint64(_ODD))
+
+
 def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
     """A hash for each window of ``width`` words; of a shorter, non-empty text, one for all its words."""
     n = len(words)
     if n == 0:
         return words
-    k = min(n, width)
-    total = np.zeros(n - k + 1, dtype=np.uint64)
-    for j in range(k):
-        total += mix(words[j : n - k + 1 + j] + np.uint64((j + 1) * _ODD % (1 << 64)))
-    return mix(total + np.uint64(k))
+    begin = np.arange(n - min(n, width) + 1)
+    return run_hashes(words, begin, begin + min(n, width))
 
 
 def shingle_set(data: bytes, width: int) -> np.ndarray:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.linking import batch_limits
+from tidemark.llm.frames import slices
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -107,9 +107,9 @@ def token_counts(docs: DataFrame, vocabulary: Vocabulary, bytes_: bool, column:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(*shared.value)
-        for batch in batches:
+        for batch in slices(batches):
             counts = [counter.text(t) if t else 0 for t in batch.column("text").to_pylist()]
             yield pa.record_batch([batch.column("doc_id"), pa.array(counts, type=pa.int64())], names=["doc_id", "n_tokens"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).alias("text"))
-    return batch_limits(rows).mapInArrow(count, "doc_id long, n_tokens long")
+    return rows.mapInArrow(count, "doc_id long, n_tokens long")

@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.linking import arrays, batch_limits, list_column
+from tidemark.llm.frames import slices
+from tidemark.llm.linking import arrays, list_column
 from tidemark.llm.textkit import word_hashes
 
 #: Labelled rows that the fit takes, those whose doc_id has the smallest hash.
@@ -169,7 +170,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, wanted: dict[str, Column] | No
     )
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             both = [features(t) for t in batch.column("text").to_pylist()]
             yield pa.record_batch(
                 [
@@ -182,7 +183,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, wanted: dict[str, Column] | No
             )
 
     schema = "doc_id long, y array<int>, words array<bigint>, style array<double>"
-    got = batch_limits(picked).mapInArrow(digest, schema).toArrow().sort_by("doc_id").combine_chunks()
+    got = picked.mapInArrow(digest, schema).toArrow().sort_by("doc_id").combine_chunks()
     if not got.num_rows:
         return fit_arrays(names, [], np.zeros((0, _STYLE)), np.zeros((0, len(names))), np.zeros(0, dtype=np.int64))
     column = lambda c: got.column(c).chunk(0)
@@ -203,7 +204,7 @@ def score(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD) -> DataFr
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             found = [model.probabilities(*features(t or "")) for t in batch.column("text").to_pylist()]
             columns = list(zip(*found, strict=True)) or [()] * len(names)
             yield pa.record_batch(
@@ -211,5 +212,5 @@ def score(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD) -> DataFr
             )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    scored = batch_limits(rows).mapInArrow(predict, schema)
+    scored = rows.mapInArrow(predict, schema)
     return scored.select("*", *((F.col(f"p_{n}") >= threshold).alias(f"is_{n}") for n in chain.names))

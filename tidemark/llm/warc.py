@@ -19,8 +19,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.frames import cut, work_dir
-from tidemark.llm.linking import batch_limits
+from tidemark.llm.frames import cut, may_match, slices, work_dir
 
 MAGIC = b"\x1f\x8b\x08"
 VERSION = b"WARC/1.1\r\n"
@@ -28,6 +27,8 @@ VERSION = b"WARC/1.1\r\n"
 SPLIT_BYTES = 16 << 20
 READ_BYTES = 1 << 20
 FILE_BYTES = 1 << 30
+#: Tasks of a reader; a task reads several ranges beyond that.
+MOST_TASKS = 100_000
 LEVEL = 6
 PAGE_URN = "urn:x-page:"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -48,12 +49,12 @@ def _clean(value: str) -> str:
     return " ".join(value.split())
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool) -> bytes:
-    """One WARC record.  A revisit's block is the HTTP header, which tells the payload's length."""
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    block = http if revisit else http + payload
+def record(page_id: int | None, url: str | None, payload: bytes | None, n_bytes: int, digest: str, refers_to: int | None) -> bytes:
+    """One WARC record: without a payload a revisit, whose block is the HTTP header, which tells the payload's length."""
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {n_bytes}\r\n\r\n".encode()
+    block = http if payload is None else http + payload
     lines = [
-        f"WARC-Type: {'revisit' if revisit else 'response'}",
+        f"WARC-Type: {'revisit' if payload is None else 'response'}",
         f"WARC-Record-ID: <{PAGE_URN}{'' if page_id is None else page_id}>",
         f"WARC-Date: {DATE}",
         f"WARC-Payload-Digest: sha1:{digest}",
@@ -62,7 +63,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     ]
     if url is not None:
         lines.append(f"WARC-Target-URI: {_clean(url)}")
-    if revisit:
+    if payload is None:
         lines += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: <{PAGE_URN}{refers_to}>"]
     return VERSION + "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -102,31 +103,44 @@ def parse(data: bytes) -> dict[str, object] | None:
     }
 
 
+#: Sub-keys of a repeated payload, which a third of all pages may have.
+SALTS = 16
+
+
 def with_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """(page_id, url, payload, refers_to, revisit): which record each page gets.
+    """(page_id, url, sha, n_bytes, payload, refers_to, revisit): which record each page gets.
 
-    Of pages with equal payloads of at least least_bytes, what has the largest page_id is the response.
-    Only digests that occur more than once are joined.
+    Of pages with equal payloads of at least least_bytes, what has the largest page_id is the response.  Payloads of
+    digests that occur once aren't shuffled, and of repeated ones only those of the responses are: the
+    rows of the others have no payload.
     """
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"),
         F.col("url").cast("string").alias("url"),
         F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8").alias("payload"),
-    ).withColumn("sha", F.sha1("payload"))
-    again = (
-        rows.where(F.octet_length("payload") >= least_bytes)
+    ).select("page_id", "url", F.unhex(F.sha1("payload")).alias("sha"), F.octet_length("payload").cast("long").alias("n_bytes"), "payload")
+    again = cut(
+        rows.where(F.col("n_bytes") >= least_bytes)
         .groupBy("sha")
         .agg(F.max("page_id").alias("holder"), F.count("*").alias("c"))
         .where("c > 1")
         .select(F.col("sha").alias("again"), "holder")
     )
-    joined = rows.join(again, F.col("sha") == F.col("again"), "left")
-    return joined.select(
-        "page_id",
-        "url",
-        "payload",
-        F.col("holder").alias("refers_to"),
-        (F.col("holder").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("holder"))).alias("revisit"),
+    flagged = may_match(rows.withColumn("name", F.xxhash64("page_id", "sha")), "sha", again, "again", flag="unsure")
+    light = flagged.where("unsure").select("page_id", "url", "sha", "n_bytes", "name", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).alias("salt"))
+    dealt = again.select("again", "holder", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("part"))
+    named = cut(
+        light.join(dealt, (F.col("sha") == F.col("again")) & (F.col("salt") == F.col("part")), "left").withColumn(
+            "revisit", F.col("holder").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("holder"))
+        )
+    )
+    responses = named.where("not revisit").select("name").distinct()
+    whole = may_match(flagged.where("unsure"), "name", responses, "name").join(responses, "name", "left_semi")
+    none, no = F.lit(None), F.lit(False)
+    columns = ["page_id", "url", "sha", "n_bytes"]
+    kept = flagged.where("not unsure").select(*columns, "payload").union(whole.select(*columns, "payload"))
+    return kept.select(*columns, "payload", none.cast("long").alias("refers_to"), no.alias("revisit")).union(
+        named.where("revisit").select(*columns, none.cast("binary"), "holder", "revisit")
     )
 
 
@@ -141,13 +155,13 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataF
         fs, base = pafs.FileSystem.from_uri(folder)
         fs.create_dir(base, recursive=True)
         out, name, size, count, done = None, "", 0, 0, []
-        for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "refers_to", "revisit")]
-            for page_id, url, payload, refers_to, revisit in zip(*columns, strict=True):
+        for batch in slices(batches):
+            for row in batch.to_pylist():
                 if out is None:
                     name, size, count = f"pages-{uuid.uuid4().hex}.warc.gz", 0, 0
                     out = fs.open_output_stream(f"{base}/{name}", compression=None)
-                data = member(record(page_id, url, payload, base32_sha1(payload), refers_to, revisit))
+                digest = base64.b32encode(row["sha"]).decode()
+                data = member(record(row["page_id"], row["url"], row["payload"], row["n_bytes"], digest, row["refers_to"]))
                 out.write(data)
                 size, count = size + len(data), count + 1
                 if size >= FILE_BYTES:
@@ -166,14 +180,14 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataF
             names=["file", "bytes", "records"],
         )
 
-    return cut(batch_limits(with_revisits(pages, least_bytes)).mapInArrow(write, "file string, bytes long, records long"))
+    return cut(with_revisits(pages, least_bytes).mapInArrow(write, "file string, bytes long, records long"))
 
 
 class _Window:
     """A file's bytes from an offset on, read in pieces; what lies before the reader is forgotten."""
 
     def __init__(self, source: pa.NativeFile, at: int) -> None:
-        self.source, self.base, self.data = source, at, b""
+        self.source, self.base, self.data = source, at, bytearray()
         source.seek(at)
 
     def more(self) -> bool:
@@ -196,14 +210,14 @@ class _Window:
             at = keep
 
     def forget(self, at: int) -> None:
-        self.data = self.data[at - self.base :]
+        del self.data[: at - self.base]  # moves no bytes: the array keeps an offset
         self.base = at
 
     def decode(self, at: int) -> tuple[bytes, int] | None:
         """The member that starts at ``at`` and where it ends; None if this is no WARC member."""
         unpack, parts, seen, size = zlib.decompressobj(31), [], at, 0
         while not unpack.eof:
-            chunk = self.data[seen - self.base :][:READ_BYTES]
+            chunk = bytes(self.data[seen - self.base : seen - self.base + READ_BYTES])
             if not chunk:
                 if not self.more():
                     return None
@@ -241,7 +255,9 @@ def read_archives(files: DataFrame, split_bytes: int = SPLIT_BYTES, payloads: bo
     """
     ranges = files.select(
         "file", "bytes", F.explode(F.expr(f"sequence(0L, greatest(bytes - 1, 0L), {split_bytes}L)")).alias("start")
-    ).repartition("file", "start")
+    )
+    # A number of its own: without one, these few small rows would be taken for little work and go to one task.
+    ranges = ranges.repartition(min(max(1, ranges.count()), MOST_TASKS))
     names = [x.split()[0] for x in RECORD_SCHEMA.split(", ")]
     types = dict(zip(names, [pa.string(), pa.int64(), *[pa.string()] * 4, pa.int64(), pa.string(), pa.binary()], strict=True))
 
@@ -249,7 +265,7 @@ def read_archives(files: DataFrame, split_bytes: int = SPLIT_BYTES, payloads: bo
         return pa.record_batch([pa.array([r[n] for r in rows], type=types[n]) for n in names], names=names)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             for row in batch.to_pylist():
                 fs, path = pafs.FileSystem.from_uri(row["file"])
                 rows, size = [], 0
