@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import linking
 from tidemark.llm.frames import cut, fresh, may_match, slices, tidy
 from tidemark.llm.linking import least_overlap, list_column
-from tidemark.llm.textkit import fingerprint, shingle_set
+from tidemark.llm.textkit import fingerprint, shingle_sets
 
 #: The contract's: four words, 85 of 100.
 WORDS = 4
@@ -41,10 +41,6 @@ VERIFY_COST = 40
 MOST_MATCHES = 8
 
 
-def _bytes(text: bytes | None, width: int) -> np.ndarray:
-    return shingle_set((text or b"").lower(), width)
-
-
 def sketches(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(id, n, fp1, fp2, prefix): the size, the name and the smallest hashes of each document's set."""
     schema = "id long, n int, fp1 long, fp2 long, prefix array<bigint>"
@@ -52,8 +48,7 @@ def sketches(docs: DataFrame, width: int = WORDS, percent: int = PERCENT) -> Dat
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sizes, names, rows = [], [], []
-            for text in batch.column("text").cast(pa.binary()).to_pylist():
-                tokens = _bytes(text, width)
+            for tokens in shingle_sets(batch.column("text").cast(pa.binary()).to_pylist(), width):
                 n = len(tokens)
                 sizes.append(n)
                 names.append(fingerprint(tokens))
@@ -148,8 +143,8 @@ def similar_classes(docs: DataFrame, width: int = WORDS, percent: int = PERCENT)
         wanted.join(survivors, "id").groupBy("id", F.xxhash64("text").alias("h")).agg(F.first("text").alias("text")).drop("h")
     )
 
-    def make(text: bytes) -> np.ndarray:
-        return _bytes(text, width)
+    def make(texts: list[bytes | None]) -> list[np.ndarray]:
+        return shingle_sets(texts, width)
 
     def slack(n: int) -> int:
         return n - least_overlap(n, percent)
@@ -217,7 +212,7 @@ def jaccard_components(docs: DataFrame, width: int = WORDS, percent: int = PERCE
         labels.select(F.col("id").alias("rep"), F.col("component").alias("top")), "rep", "left"
     ).select("id", "n", F.coalesce("top", "rep", "id").alias("component"))
     lost = docs.where(F.col("doc_id").isNull()).select("text")
-    bare = linking.sets_of(lost.select(F.lit(0).cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text")), lambda x: _bytes(x, width))
+    bare = linking.sets_of(lost.select(F.lit(0).cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text")), lambda x: shingle_sets(x, width))
     return named.select(
         F.col("id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.col("component").alias("component_id")
     ).union(

@@ -8,7 +8,6 @@ are still in different components go on to an exhaustive pass.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +17,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.frames import cut, may_match, salt, slices, with_group
 
 SETS = "id long, n int, tokens array<bigint>"
+#: The sets of texts.
+Make = Callable[[list[bytes | None]], list[np.ndarray]]
 
 def arrays(column: pa.Array) -> Iterator[np.ndarray]:
     """The rows of an Arrow list column as views of one array."""
@@ -33,12 +34,19 @@ def list_column(rows: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64), type=pa.int64()))
 
 
+def _sets(texts: pa.Array, make: Make) -> list[np.ndarray]:
+    """The sets of a column of texts, many of which are the same: made once each."""
+    packed = texts.cast(pa.binary()).dictionary_encode()
+    made = make(packed.dictionary.to_pylist())
+    return [made[i] for i in packed.indices.to_pylist()]
+
+
 def least_overlap(n, percent: int):
     """Tokens of a set of n that a set at this similarity must share at least."""
     return -(-percent * n // 100)
 
 
-def verify(pairs: DataFrame, texts: DataFrame, make: Callable[[bytes], np.ndarray], percent: int) -> DataFrame:
+def verify(pairs: DataFrame, texts: DataFrame, make: Make, percent: int) -> DataFrame:
     """The pairs (a, b) for which 100 * |A and B| >= percent * |A or B|, compared exactly.
 
     Texts (id, text) are shuffled, not sets: they compress, and hashes don't.  Only texts that occur in a pair are.
@@ -49,12 +57,9 @@ def verify(pairs: DataFrame, texts: DataFrame, make: Callable[[bytes], np.ndarra
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = lru_cache(maxsize=64)(make)  # pairs come ordered by b
         for batch in slices(batches):
             keep = []
-            columns = [batch.column(c).cast(pa.binary()).to_pylist() for c in ("ta", "tb")]
-            for x, y in zip(*columns, strict=True):
-                x, y = make(x), made(y)
+            for x, y in zip(*(_sets(batch.column(c), make) for c in ("ta", "tb")), strict=True):
                 merged = np.concatenate([x, y])
                 merged.sort(kind="stable")  # two ascending runs
                 shared = int(np.count_nonzero(merged[1:] == merged[:-1]))
@@ -158,7 +163,7 @@ def gathered(heads: DataFrame) -> DataFrame:
 
 
 def around_pivots(
-    texts: DataFrame, placed: DataFrame, make: Callable[[bytes], np.ndarray], percent: int
+    texts: DataFrame, placed: DataFrame, make: Make, percent: int
 ) -> tuple[DataFrame, DataFrame]:
     """(links, pairs) between sets of one pivot, (a, b): links are certain, pairs are to be verified.
 
@@ -176,14 +181,11 @@ def around_pivots(
     plus, minus = 100 + percent, 100 - percent
 
     def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = lru_cache(maxsize=64)(make)
         for batch in slices(batches):
             sizes, rows = [], []
-            columns = [batch.column(c).cast(pa.binary()).to_pylist() for c in ("text", "tp")]
-            for x, p in zip(*columns, strict=True):
-                x = make(x)
+            for x, p in zip(*(_sets(batch.column(c), make) for c in ("text", "tp")), strict=True):
                 sizes.append(len(x))
-                rows.append(np.setxor1d(x, made(p), assume_unique=True))
+                rows.append(np.setxor1d(x, p, assume_unique=True))
             yield pa.record_batch(
                 [*batch.select(["id", "component", "pivot"]).columns, pa.array(sizes, type=pa.int32()), list_column(rows)],
                 names=["id", "component", "pivot", "n", "tokens"],
@@ -239,13 +241,13 @@ def relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def sets_of(
-    texts: DataFrame, make: Callable[[bytes], np.ndarray], part: Callable[[int], int] | None = None
+    texts: DataFrame, make: Make, part: Callable[[int], int] | None = None
 ) -> DataFrame:
     """(id, n, tokens) of (id, text): the size of the set, and the set or its part(n) smallest hashes."""
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            rows = [make(x) for x in batch.column("text").cast(pa.binary()).to_pylist()]
+            rows = make(batch.column("text").cast(pa.binary()).to_pylist())
             sizes = pa.array([len(r) for r in rows], type=pa.int32())
             if part is not None:
                 rows = [r[: part(len(r))] for r in rows]

@@ -14,6 +14,7 @@ ANCHOR_SPAN windows in a row the one of the least hash is an anchor, so two text
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import linking
 from tidemark.llm.frames import cut, each_salt, fresh, may_match, salt, salts, slices, tidy, with_group
 from tidemark.llm.linking import arrays
-from tidemark.llm.textkit import mix, run_hashes, shingle_set, window_hashes, word_hashes, word_spans
+from tidemark.llm.textkit import Chunk, chunks, mix, run_hashes, shingle_sets, window_hashes, word_spans
 
 WIDTH = 5
 PERCENT = 80
@@ -47,21 +48,19 @@ _SEEDS = mix(np.arange(1, LINE_BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x
 _TOP = np.uint64((1 << 64) - 1)
 
 
-def spans_of(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Where words start and end, and where lines and sentences begin (word indices; the last is the end)."""
-    starts, ends = word_spans(data)
-    if not len(starts):
-        return starts, ends, np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64)
-    codes = np.frombuffer(data, dtype=np.uint8)
-    line = np.searchsorted(np.flatnonzero(codes == 10), starts)
-    turns = line[1:] != line[:-1]
-    edges = [np.concatenate([[0], np.flatnonzero(c) + 1, [len(starts)]]) for c in (turns, turns | _ENDS[codes[ends[:-1] - 1]])]
-    return starts, ends, *edges
-
-
-def unit_spans(lines: np.ndarray, sentences: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(begin, end, bands) of the units: lines, and sentences that aren't whole lines."""
-    inner = ~(np.isin(sentences[:-1], lines) & np.isin(sentences[1:], lines))
+def unit_spans(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(begin, end, bands) of the chunk's units, in words: lines, and sentences that aren't whole lines."""
+    n = len(chunk.starts)
+    if not n:
+        return (np.empty(0, dtype=np.int64),) * 3
+    codes = np.frombuffer(chunk.data, dtype=np.uint8)
+    line = np.searchsorted(np.flatnonzero(codes == 10), chunk.starts)
+    turn = np.ones(n + 1, dtype=bool)  # a line begins at this word
+    turn[1:-1] = line[1:] != line[:-1]
+    stop = turn.copy()
+    stop[1:-1] |= _ENDS[codes[chunk.ends[:-1] - 1]]
+    lines, sentences = np.flatnonzero(turn), np.flatnonzero(stop)
+    inner = ~(turn[sentences[:-1]] & turn[sentences[1:]])
     begin = np.concatenate([lines[:-1], sentences[:-1][inner]])
     end = np.concatenate([lines[1:], sentences[1:][inner]])
     bands = np.where(np.arange(len(begin)) < len(lines) - 1, LINE_BANDS, SENTENCE_BANDS)
@@ -82,26 +81,27 @@ def band_keys(shingles: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.nd
     return mix(keys + np.arange(LINE_BANDS, dtype=np.uint64))
 
 
-def anchors(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(windows, chosen): the hash of the window at each word, and of each ANCHOR_SPAN windows in a row the place of the least."""
-    if len(words) < PASSAGE_WORDS:
-        return np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
+def anchors(chunk: Chunk, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(windows, spans, chosen): the hash of the window at each word; where PASSAGE_WORDS words of one text begin, and the place
+    of the least of the ANCHOR_SPAN windows there."""
+    spans = np.flatnonzero(chunk.inside(PASSAGE_WORDS))
+    if not len(spans):
+        return words[:0], spans, spans
     windows = window_hashes(words, WINDOW_WORDS)
-    spans = np.lib.stride_tricks.sliding_window_view(windows, ANCHOR_SPAN)
-    return windows, spans.argmin(axis=1) + np.arange(len(spans))
+    least = np.lib.stride_tricks.sliding_window_view(windows, ANCHOR_SPAN).argmin(axis=1)
+    return windows, spans, least[spans] + spans
 
 
-def units_of(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(start, words, key, n_buckets, buckets) of the text's units, and then of its anchors, whose words are 0."""
-    _, _, lines, sentences = spans_of(data)
-    words = word_hashes(data.lower())
-    begin, end, bands = unit_spans(lines, sentences)
+def units_of(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(begin, words, key, n_buckets, buckets) of the chunk's units, and then of its anchors, whose words are 0."""
+    words = chunk.words()
+    begin, end, bands = unit_spans(chunk)
     key, flat = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.uint64)
     if len(begin):
         key = run_hashes(words, begin, end)
         rows = band_keys(window_hashes(words, WIDTH), begin, end - WIDTH + 1)
         flat = rows[np.arange(LINE_BANDS) < bands[:, None]]
-    windows, chosen = anchors(words)
+    windows, _, chosen = anchors(chunk, words)
     at = np.unique(chosen)
     near = windows[at]
     return (
@@ -117,20 +117,34 @@ def _documents(docs: DataFrame) -> DataFrame:
     return docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("id"), "text")
 
 
+def _texts(batch: pa.RecordBatch) -> list[bytes | None]:
+    return batch.column("text").cast(pa.binary()).to_pylist()
+
+
+def _long(x: np.ndarray) -> pa.Array:
+    return pa.array(x.astype(np.uint64).view(np.int64))
+
+
 def units(docs: DataFrame) -> DataFrame:
     """(id, start, words, key, buckets) of each unit and anchor; words are 0 for anchors."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            found = [units_of(x or b"") for x in batch.column("text").cast(pa.binary()).to_pylist()]
-            start, words, key, n, flat = (np.concatenate([f[k] for f in found]) if found else np.empty(0) for k in range(5))
-            ids = np.repeat(np.array(batch.column("id"), dtype=np.int64), [len(f[0]) for f in found])
-            offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
-            long = lambda x: pa.array(x.astype(np.uint64).view(np.int64))
-            yield pa.record_batch(
-                [pa.array(ids), pa.array(start.astype(np.int32)), pa.array(words.astype(np.int32)), long(key), pa.ListArray.from_arrays(offsets, long(flat))],
-                names=["id", "start", "words", "key", "buckets"],
-            )
+            ids = np.array(batch.column("id"), dtype=np.int64)
+            for chunk in chunks(_texts(batch)):
+                begin, words, key, n, flat = units_of(chunk)
+                mine = chunk.owner[begin]
+                offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+                yield pa.record_batch(
+                    [
+                        pa.array(ids[chunk.first + mine]),
+                        pa.array((begin - chunk.edges[mine]).astype(np.int32)),
+                        pa.array(words.astype(np.int32)),
+                        _long(key),
+                        pa.ListArray.from_arrays(offsets, _long(flat)),
+                    ],
+                    names=["id", "start", "words", "key", "buckets"],
+                )
 
     return _documents(docs).mapInArrow(split, "id long, start int, words int, key long, buckets array<bigint>")
 
@@ -140,16 +154,13 @@ def _unit_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            keys, texts = [np.empty(0, dtype=np.int64)], []
-            for text in batch.column("text").cast(pa.binary()).to_pylist():
-                if text:
-                    at, stop, lines, sentences = spans_of(text)
-                    begin, end, _ = unit_spans(lines, sentences)
-                    if (long := end - begin >= BANDED_WORDS).any():
-                        begin, end = begin[long], end[long]
-                        keys.append(run_hashes(word_hashes(text.lower()), begin, end).view(np.int64))
-                        texts += [text[a:b] for a, b in zip(at[begin].tolist(), stop[end - 1].tolist(), strict=True)]
-            yield pa.record_batch([pa.array(np.concatenate(keys)), pa.array(texts, type=pa.binary())], names=["id", "text"])
+            for chunk in chunks(_texts(batch)):
+                begin, end, _ = unit_spans(chunk)
+                long = end - begin >= BANDED_WORDS
+                begin, end = begin[long], end[long]
+                keys = run_hashes(chunk.words(), begin, end) if len(begin) else begin
+                texts = [chunk.data[a:b] for a, b in zip(chunk.starts[begin].tolist(), chunk.ends[end - 1].tolist(), strict=True)]
+                yield pa.record_batch([_long(keys), pa.array(texts, type=pa.binary())], names=["id", "text"])
 
     found = _documents(docs).select("text").mapInArrow(pick, "id long, text binary")
     return cut(may_match(found, "id", wanted).join(wanted, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text")))
@@ -162,8 +173,8 @@ def unit_components(docs: DataFrame, met: DataFrame) -> DataFrame:
     postings = cut(classes.join(mixed, "bucket", "left_semi").select(F.col("key").alias("id"), "n_buckets", "bucket"))
     texts = _unit_texts(docs, cut(postings.select("id").distinct()))
 
-    def make(text: bytes) -> np.ndarray:
-        return shingle_set(text.lower(), WIDTH)
+    def make(texts: list[bytes | None]) -> list[np.ndarray]:
+        return shingle_sets(texts, WIDTH)
 
     labels = cut(linking.components(linking.verify(linking.to_leaders(postings), texts, make, PERCENT)))
     # Near copies of one unit meet in many buckets: those are compared by their differences from one of them, and
@@ -211,20 +222,25 @@ def shared_windows(docs: DataFrame, places: DataFrame, keys: DataFrame) -> DataF
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            rows: list[list[np.ndarray]] = [[np.empty(0, dtype=np.int64)] for _ in range(3)]
-            ids, texts = batch.column("id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()
-            for doc, text, near_keys in zip(ids, texts, arrays(batch.column("keys")), strict=True):
-                windows, chosen = anchors(word_hashes((text or b"").lower()))
-                near = np.flatnonzero(np.isin(windows[chosen].view(np.int64), near_keys))
-                steps = np.zeros(len(windows) + 1, dtype=np.int64)
-                np.add.at(steps, np.maximum(near - MARGIN, 0), 1)
-                np.add.at(steps, np.minimum(near + ANCHOR_SPAN + MARGIN, len(windows)), -1)
+            ids, sought = np.array(batch.column("id"), dtype=np.int64), list(arrays(batch.column("keys")))
+            for chunk in chunks(_texts(batch)):
+                windows, spans, chosen = anchors(chunk, chunk.words())
+                n = len(windows)
+                near = [np.empty(0, dtype=np.int64)]
+                bounds = np.searchsorted(spans, chunk.edges)
+                for doc, (a, b) in enumerate(itertools.pairwise(bounds.tolist()), chunk.first):
+                    near.append(spans[a:b][np.isin(windows[chosen[a:b]].view(np.int64), sought[doc])])
+                near = np.concatenate(near)
+                mine = chunk.owner[near]
+                steps = np.zeros(n + 1, dtype=np.int64)
+                np.add.at(steps, np.maximum(near - MARGIN, chunk.edges[mine]), 1)
+                np.add.at(steps, np.minimum(near + ANCHOR_SPAN + MARGIN, chunk.edges[mine + 1] - WINDOW_WORDS + 1), -1)
                 at = np.flatnonzero(np.cumsum(steps[:-1]))
-                for to, got in zip(rows, (np.full(len(at), doc, dtype=np.int64), at, windows[at].view(np.int64)), strict=True):
-                    to.append(got)
-            kinds = [pa.int64(), pa.int32(), pa.int64()]
-            flat = [pa.array(np.concatenate(r), type=pa.int64()).cast(k) for r, k in zip(rows, kinds, strict=True)]
-            yield pa.record_batch(flat, names=["id", "start", "key"])
+                mine = chunk.owner[at]
+                yield pa.record_batch(
+                    [pa.array(ids[chunk.first + mine]), pa.array((at - chunk.edges[mine]).astype(np.int32)), _long(windows[at])],
+                    names=["id", "start", "key"],
+                )
 
     near = may_match(_documents(docs), "id", wanted).join(wanted, "id").select("id", "text", "keys")
     found = cut(near.mapInArrow(spread, "id long, start int, key long"))

@@ -7,6 +7,8 @@ few array operations a text.  Long texts are cut at blanks and hashed piece by p
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -114,3 +116,51 @@ def fingerprint(hashes: np.ndarray) -> tuple[int, int]:
         return 0, 0
     both = np.array([mix(hashes).sum(dtype=np.uint64), mix(hashes ^ np.uint64(_ODD)).sum(dtype=np.uint64)])
     return tuple(int(x) for x in both.view(np.int64))
+
+
+#: Bytes of texts that are hashed together: short texts one by one would cost more in calls than in work.
+CHUNK = 1 << 19
+
+
+class Chunk:
+    """Texts joined by line breaks: ``first`` is the place of the first of them, ``edges`` where each one's words begin (the last is the end)."""
+
+    def __init__(self, first: int, texts: list[bytes]) -> None:
+        self.first, self.data = first, b"\n".join(texts)
+        self.starts, self.ends = word_spans(self.data)
+        offsets = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        self.edges = np.searchsorted(self.starts, offsets)
+        self.owner = np.repeat(np.arange(len(texts)), np.diff(self.edges))
+
+    def words(self) -> np.ndarray:
+        return word_hashes(self.data.lower())
+
+    def inside(self, width: int) -> np.ndarray:
+        """For each place at which ``width`` words begin: whether they are one text's."""
+        n = max(0, len(self.owner) - width + 1)
+        return self.owner[:n] == self.owner[width - 1 : width - 1 + n]
+
+
+def chunks(texts: list[bytes | None]) -> Iterator[Chunk]:
+    """The texts in order, some at a time; a null is an empty text."""
+    first, held, size = 0, [], 0
+    for i, text in enumerate(texts):
+        text = text or b""
+        if held and size + len(text) > CHUNK:
+            yield Chunk(first, held)
+            first, held, size = i, [], 0
+        held.append(text)
+        size += len(text)
+    if held:
+        yield Chunk(first, held)
+
+
+def shingle_sets(texts: list[bytes | None], width: int) -> list[np.ndarray]:
+    """shingle_set of each text in lower case."""
+    found = []
+    for chunk in chunks(texts):
+        words = chunk.words()
+        windows = window_hashes(words, width) if len(words) >= width else words[:0]
+        for a, b in itertools.pairwise(chunk.edges.tolist()):
+            found.append(np.unique(windows[a : b - width + 1] if b - a >= width else window_hashes(words[a:b], width)))
+    return found
