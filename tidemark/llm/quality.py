@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.frames import cut, fresh, may_match, same
+from tidemark.llm.frames import cut, each_salt, fresh, may_match, salt, salts
 
 #: The six characters that separate words.
 BLANKS = " \t\n\x0b\f\r"
@@ -22,10 +22,10 @@ WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 
-#: A line is boilerplate on a host if more distinct texts than this hold it ...
+#: A line is boilerplate on a host if more distinct texts than this hold it, and more than one in HOST_PART of the
+#: host's distinct texts: a rule that doesn't change as a large host grows.
 MAX_DOCS = 25
-#: ... and it has at most this many words; longer lines are passages, which substring dedup handles.
-MAX_LINE_WORDS = 40
+HOST_PART = 1000
 #: A document is depleted if boilerplate is more than this share (percent) of its distinct lines' words.
 MAX_BOILERPLATE_PERCENT = 60
 
@@ -117,78 +117,68 @@ def base_failed() -> Column:
     )
 
 
-def _host_lines(docs: DataFrame, host: str) -> DataFrame:
-    """(host, content, key, size): the distinct lines of each distinct text of a host."""
-    lines = docs.select(
-        F.col(host).alias("host"),
-        F.xxhash64("text").alias("content"),
-        F.explode(F.split("text", "\n", -1)).alias("line"),
-    ).where(F.col("line").rlike(WORD_CHAR))
-    return lines.select(
-        "host",
-        "content",
-        _line_key(F.col("line")).alias("key"),
-        F.size(F.split(_trimmed(F.col("line")), GAP, -1)).alias("size"),
-    ).distinct()
-
-
 def _line_key(line: Column) -> Column:
     return F.xxhash64(_normal_line(line))
 
 
-def _frequent(lines: DataFrame, max_docs: int, max_line_words: int) -> DataFrame:
-    """(f_host, f_key) of the lines above the limit on their host."""
-    return (
-        lines.where(F.col("size") <= max_line_words)
-        .groupBy("host", "key")
-        .agg(F.count("*").alias("n"))
-        .where(F.col("n") > max_docs)
-        .select(F.col("host").alias("f_host"), F.col("key").alias("f_key"))
+def _lines(text: Column) -> Column:
+    """(key, size) of each line with words; a null text has none."""
+    lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n", -1), lambda x: x.rlike(WORD_CHAR))
+    return F.transform(lines, lambda x: F.struct(_line_key(x).alias("key"), F.size(F.split(_trimmed(x), GAP, -1)).alias("size")))
+
+
+def measured(docs: DataFrame, host: str = "source") -> DataFrame:
+    """(doc_id, named, content, lines, statistics ...) of each row, written once: the only reading of the texts.
+
+    named is the host as a key that is never null, content the text's hash.
+    """
+    rows = docs.select(
+        "doc_id",
+        F.coalesce(F.concat(F.lit("="), F.col(host)), F.lit("")).alias("named"),
+        F.xxhash64("text").alias("content"),
+        _lines(F.col("text")).alias("lines"),
+        "text",
     )
+    return cut(text_statistics(rows, ["doc_id", "named", "content", "lines"]))
 
 
-def depleted_contents(
-    docs: DataFrame,
-    host: str = "source",
-    max_docs: int = MAX_DOCS,
-    max_line_words: int = MAX_LINE_WORDS,
-    max_percent: int = MAX_BOILERPLATE_PERCENT,
-) -> DataFrame:
-    """(host, content): hashes of the texts that frequent lines of their host deplete.
+def boilerplate(base: DataFrame, max_docs: int = MAX_DOCS, host_part: int = HOST_PART) -> DataFrame:
+    """(named, content, keys, held, total): for each text that holds lines above the limits of its host, those lines' hashes,
+    their words and all lines' words.
 
-    Documents with equal texts are one document here, so a group of copies doesn't turn its
-    own lines into boilerplate.  Lines are normalised and then compared by 64-bit hash.
-    A null host is a host.
+    Documents with equal texts are one document here, so a group of copies doesn't turn its own lines into
+    boilerplate.  Lines are normalised and then compared by 64-bit hash.  A null host is a host.
     """
-    key, size = "key", "size"
-    lines = _host_lines(docs, host)
-    frequent = _frequent(lines, max_docs, max_line_words)
-    marked = lines.join(frequent, same(F.col("host"), F.col("f_host")) & (F.col(key) == F.col("f_key")), "left")
+    texts = base.groupBy("named", "content").agg(F.first("lines").alias("lines"))
+    lines = cut(texts.select("named", "content", F.explode(F.array_distinct("lines")).alias("line")).select("named", "content", "line.*"))
+    limits = texts.groupBy("named").agg((F.count("*") / host_part).alias("least"))
+    frequent = lines.groupBy("named", "key").agg(F.count("*").alias("n"), salts("content").alias("parts")).where(F.col("n") > max_docs)
+    frequent = frequent.join(limits, "named").where("n > least").select("named", "key", each_salt("parts").alias("part"), F.lit(True).alias("above"))
+    marked = lines.withColumn("part", salt("content")).join(frequent, ["named", "key", "part"], "left")
     return (
-        marked.groupBy("host", "content")
-        .agg(F.sum(size).alias("total"), F.sum(F.when(F.col("f_key").isNotNull(), F.col(size))).alias("boilerplate"))
-        .where(100 * F.col("boilerplate") > max_percent * F.col("total"))
-        .select("host", "content")
+        marked.groupBy("named", "content")
+        .agg(
+            F.collect_set(F.when(F.col("above"), F.col("key"))).alias("keys"),
+            F.sum(F.when(F.col("above"), F.col("size"))).alias("held"),
+            F.sum("size").alias("total"),
+        )
+        .where("held > 0")
     )
 
 
+def depleted(max_percent: int = MAX_BOILERPLATE_PERCENT) -> Column:
+    return 100 * F.col("held") > max_percent * F.col("total")
+
+
 def quality_verdicts(docs: DataFrame, host: str = "source") -> DataFrame:
-    """A row for each row of docs: doc_id, the statistics, base_failed and kept.
+    """A row for each row of docs: doc_id, the statistics, base_failed, kept and n_frequent_lines, the distinct lines that go.
 
     Nulls: a null text has no words and fails; a null doc_id or host is a value like others.
-    Repeated rows are judged alike, each by itself.  An empty table gives no rows.
+    Repeated rows are judged alike, each by itself.  Very long texts are read whole.  An empty table gives no rows.
     """
-    rows = text_statistics(
-        docs.select("doc_id", "text", F.col(host).alias("host"), F.xxhash64("text").alias("content")),
-        ["doc_id", "host", "content"],
-    )
-    bad = depleted_contents(docs, host).select(
-        F.col("host").alias("d_host"), F.col("content").alias("d_content")
-    )
-    joined = rows.join(
-        bad, same(F.col("host"), F.col("d_host")) & (F.col("content") == F.col("d_content")), "left"
-    )
-    return joined.select(
+    base = measured(docs, host)
+    found = boilerplate(base).select("named", "content", depleted().alias("depleted"), F.size("keys").cast("long").alias("n"))
+    return base.join(found, ["named", "content"], "left").select(
         "doc_id",
         "n_words",
         "word_chars",
@@ -196,83 +186,46 @@ def quality_verdicts(docs: DataFrame, host: str = "source") -> DataFrame:
         "n_dup_lines",
         "n_repeat_words",
         base_failed().alias("base_failed"),
-        (~base_failed() & F.col("d_content").isNull()).alias("kept"),
+        (~base_failed() & ~F.coalesce("depleted", F.lit(False))).alias("kept"),
+        F.coalesce("n", F.lit(0)).cast("long").alias("n_frequent_lines"),
     )
 
 
 def quality_filter(docs: DataFrame, host: str = "source") -> DataFrame:
-    """The rows of docs that the rules keep, with their own columns only.
+    """The rows that the rules keep, without the lines above the limits of their host, with docs' own columns.
 
-    What is rejected depends on the host and the text, so rejected pairs are named by hash and
-    anti-joined; only rows whose text may be among them are shuffled.  The statistics are written first:
-    a filter on top of them would be pushed through their projections, which repeats the arrays' expressions.
+    n_chars, if there is one, is counted anew where lines went.  What is left of a text is held against the base
+    rules again.  A text's verdict depends on its host and itself, so verdicts are joined by both's
+    hashes, and only rows whose text may have one are shuffled.
     """
-    keyed = docs.select("text", F.col(host).alias("host"), F.xxhash64("text").alias("content"))
-    verdicts = cut(
-        text_statistics(keyed, ["host", "content"]).select("host", "content", base_failed().alias("failed"))
-    )
-    rejected = cut(
-        verdicts.where("failed").select("host", "content").union(depleted_contents(docs, host)).distinct()
-    )
-    at, content, hit = fresh(docs, "host"), fresh(docs, "content"), fresh(docs, "hit")
-    rows = docs.withColumn(at, F.col(host)).withColumn(content, F.xxhash64("text"))
-    marked = may_match(rows, content, rejected, "content", flag=hit)
-    unsure = marked.where(F.col(hit))
-    left = unsure.join(
-        rejected, same(unsure[at], rejected["host"]) & (unsure[content] == rejected["content"]), "left_anti"
-    )
-    return marked.where(~F.col(hit)).drop(at, content, hit).unionByName(left.drop(at, content, hit))
-
-
-def base_filter(docs: DataFrame) -> DataFrame:
-    """The rows of docs that pass base_failed, which is judged by the text alone."""
-    keyed = docs.select("text", F.xxhash64("text").alias("content"))
-    failed = cut(text_statistics(keyed, ["content"]).select("content", base_failed().alias("failed")))
-    failed = cut(failed.where("failed").select("content").distinct())
-    content, hit = fresh(docs, "content"), fresh(docs, "hit")
-    marked = may_match(docs.withColumn(content, F.xxhash64("text")), content, failed, "content", flag=hit)
-    unsure = marked.where(F.col(hit))
-    left = unsure.join(failed, unsure[content] == failed["content"], "left_anti")
-    return marked.where(~F.col(hit)).drop(content, hit).unionByName(left.drop(content, hit))
-
-
-def boilerplate_keys(docs: DataFrame, host: str = "source") -> DataFrame:
-    """(host, content, keys): for each text that holds lines above the limits of its host, those lines' hashes."""
-    lines = cut(_host_lines(docs, host))
-    frequent = _frequent(lines, MAX_DOCS, MAX_LINE_WORDS)
-    met = lines.join(frequent, same(F.col("host"), F.col("f_host")) & (F.col("key") == F.col("f_key")))
-    return met.groupBy("host", "content").agg(F.collect_set("key").alias("keys"))
-
-
-def without_boilerplate(docs: DataFrame, host: str = "source", keys: DataFrame | None = None) -> DataFrame:
-    """docs without the lines above the limits of their host, with their own columns; n_chars, if there is one, is counted anew.
-
-    Other lines stay as they are and in order; a text that had words and has none left goes.  keys: boilerplate_keys of a
-    table that holds docs.  Only rows whose text may hold such lines are shuffled.
-    """
-    found = cut(boilerplate_keys(docs, host) if keys is None else keys)
-    at, content, hit = fresh(docs, "host"), fresh(docs, "content"), fresh(docs, "hit")
-    rows = docs.withColumn(at, F.col(host)).withColumn(content, F.xxhash64("text"))
-    marked = may_match(rows, content, found, "content", flag=hit)
-    names = {c: fresh(docs, f"b_{c}") for c in ("host", "content", "keys")}
-    named = found.select(*(F.col(c).alias(n) for c, n in names.items()))
-    joined = marked.where(F.col(hit)).join(
-        named, same(F.col(at), F.col(names["host"])) & (F.col(content) == F.col(names["content"])), "left"
-    )
-    held = F.col(names["keys"])
-    stay = F.filter(F.split("text", "\n", -1), lambda x: ~x.rlike(WORD_CHAR) | ~F.array_contains(held, _line_key(x)))
-    new = fresh(docs, "new")
-    cleaned = joined.withColumn(new, F.when(held.isNull(), F.col("text")).otherwise(F.array_join(stay, "\n")))
-    cleaned = cleaned.where(held.isNull() | F.col(new).rlike(WORD_CHAR))
+    base = measured(docs, host)
+    lines = cut(boilerplate(base))
+    failed = base.where(base_failed()).select("named", "content")
+    rejected = failed.union(lines.where(depleted()).select("named", "content")).distinct()
+    verdicts = cut(rejected.withColumn("keys", F.lit(None).cast("array<bigint>")).union(
+        lines.where(~depleted()).join(failed.distinct(), ["named", "content"], "left_anti").select("named", "content", "keys")
+    ))
+    at, content, hit, new = (fresh(docs, x) for x in ("host", "content", "hit", "new"))
+    rows = docs.withColumn(at, F.coalesce(F.concat(F.lit("="), F.col(host)), F.lit(""))).withColumn(content, F.xxhash64("text"))
+    marked = may_match(rows, content, verdicts, "content", flag=hit)
+    named = verdicts.select(F.col("named").alias("tm_v_named"), F.col("content").alias("tm_v_content"), F.col("keys").alias("tm_v_keys"))
+    joined = marked.where(F.col(hit)).join(named, (F.col(at) == F.col("tm_v_named")) & (F.col(content) == F.col("tm_v_content")), "left")
+    keys = F.col("tm_v_keys")
+    untouched = joined.where("tm_v_named is null").select(*(f"`{c}`" for c in docs.columns))
+    stay = F.filter(F.split("text", "\n", -1), lambda x: ~x.rlike(WORD_CHAR) | ~F.array_contains(keys, _line_key(x)))
+    changed = cut(joined.where(keys.isNotNull()).withColumn(new, F.array_join(stay, "\n")).drop(at, content, hit, "tm_v_named", "tm_v_content", "tm_v_keys"))
+    whole = F.struct(*(F.col(f"`{c}`") for c in changed.columns)).alias("row")
+    again = text_statistics(changed.select(whole, F.col(new).alias("text")), ["row"]).where(~base_failed())
 
     def value(c: str) -> Column:
         if c == "text":
-            return F.col(new).alias(c)
+            return F.col("row").getField(new).alias(c)
         if c == "n_chars":
-            return F.when(held.isNull(), F.col(c)).otherwise(F.char_length(new)).cast(dict(docs.dtypes)[c]).alias(c)
-        return F.col(f"`{c}`")
+            return F.char_length(F.col("row").getField(new)).cast(dict(docs.dtypes)[c]).alias(c)
+        return F.col("row").getField(c).alias(c)
 
-    return marked.where(~F.col(hit)).drop(at, content, hit).unionByName(cleaned.select(*map(value, docs.columns)))
+    own = marked.where(~F.col(hit)).select(*(f"`{c}`" for c in docs.columns))
+    return own.unionByName(untouched).unionByName(again.select(*map(value, docs.columns)))
 
 
 QUALITY_SQL = r"""
@@ -299,13 +252,15 @@ WITH d AS (
   SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM lines GROUP BY doc_id
 ), dl AS (
   SELECT DISTINCT source, text, k, size FROM lines
+), host AS (
+  SELECT source, count(DISTINCT text) AS n FROM (SELECT source, coalesce(text, '') || CASE WHEN text IS NULL THEN 'n' ELSE 't' END AS text FROM documents) GROUP BY source
 ), freq AS (
-  SELECT source, k FROM dl WHERE size <= 40 GROUP BY source, k HAVING count(*) > 25
+  SELECT l.source, k FROM dl l JOIN host h ON l.source IS NOT DISTINCT FROM h.source GROUP BY l.source, k HAVING count(*) > 25 AND count(*) > any_value(h.n) / 1000
 ), depleted AS (
-  SELECT dl.source, dl.text
+  SELECT dl.source, dl.text, count(freq.k) AS n,
+    100 * sum(CASE WHEN freq.k IS NOT NULL THEN size ELSE 0 END) > 60 * sum(size) AS depleted
   FROM dl LEFT JOIN freq ON dl.source IS NOT DISTINCT FROM freq.source AND dl.k = freq.k
   GROUP BY dl.source, dl.text
-  HAVING 100 * sum(CASE WHEN freq.k IS NOT NULL THEN size ELSE 0 END) > 60 * sum(size)
 ), stats AS (
   SELECT d.doc_id, d.source, d.text, len(d.w)::BIGINT AS n_words,
          length(array_to_string(d.w, ''))::BIGINT AS word_chars,
@@ -317,7 +272,7 @@ WITH d AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed,
        NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words)
-         AND NOT EXISTS (SELECT 1 FROM depleted p
-                         WHERE p.source IS NOT DISTINCT FROM stats.source AND p.text = stats.text) AS kept
-FROM stats
+         AND NOT coalesce(p.depleted, false) AS kept,
+       coalesce(p.n, 0)::BIGINT AS n_frequent_lines
+FROM stats LEFT JOIN depleted p ON p.source IS NOT DISTINCT FROM stats.source AND p.text = stats.text
 """
