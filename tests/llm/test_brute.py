@@ -202,6 +202,42 @@ def test_contamination_in_passes(spark, monkeypatch):
     assert {(x.doc_id, x.item_id) for x in decontam.contaminated(docs, bench).collect()} == {(i, i) for i in range(10)}
 
 
+def brute_window_edits(item, text, chars):
+    """The fewest edits between a window of the item and any region of the text."""
+    best = chars
+    for i in range(len(item) - chars + 1):
+        row = [0] * (len(text) + 1)
+        for a in range(1, chars + 1):
+            last, row[0] = row[0], a
+            for b in range(1, len(text) + 1):
+                last, row[b] = row[b], min(last + (item[i + a - 1] != text[b - 1]), row[b] + 1, row[b - 1] + 1)
+        best = min(best, min(row))
+    return best
+
+
+def test_contamination_equals_brute_force(monkeypatch):
+    monkeypatch.setattr(decontam, "LEAST_CHARS", 40)
+    monkeypatch.setattr(decontam, "PIECE_PAIRS", 64)
+    r = random.Random(21)
+    hits = 0
+    for case in range(60):
+        item = words(r, 12)[: r.choice((30, 40, 60))]
+        part = list(item[r.randint(0, 8) :] if case % 3 else item)
+        for _ in range(r.randint(0, 5)):
+            at = r.randrange(len(part))
+            part[at : at + 1] = r.choice(([], ["z"], [part[at], "q"]))
+        if case % 7 == 0:
+            part = list("a" * 60) if case % 2 else list(item[:22])
+        text = decontam.normal(f"{words(r, 3)}{''.join(part)}{words(r, 4)}").decode()
+        index = decontam.Items([(1, item), (2, "zz"), (3, "a" * 45)])
+        chars = min(40, len(decontam.normal(item)))
+        within = brute_window_edits(decontam.normal(item).decode(), text, chars) <= decontam.edit_budget(chars)
+        assert (0 in {m[0] for m in index.matches(text)}) == within, (item, text)
+        hits += within
+    assert 15 < hits < 55
+    assert decontam.Items([(7, "ab c")]).exact_words(b"x ab c y") == [(7, 2)] and not decontam.Items([(7, "ab c")]).exact_words(b"xab c y")
+
+
 def test_banded_score_equals_full_alignment():
     r = random.Random(2)
     for _ in range(40):
@@ -357,6 +393,35 @@ def test_toxicity_on_held_out_rows(spark):
         assert right >= 0.97 * len(held)
 
 
+def test_chain_equals_plain_loops():
+    r = np.random.default_rng(5)
+    vocabulary = textkit.mix(np.arange(1, 41, dtype=np.uint64))
+    y = (r.random((120, 2)) < 0.4).astype(float)
+    y[:, 1] = np.where(r.random(120) < 0.8, y[:, 0], y[:, 1])
+    rows = [np.sort(vocabulary[(r.random(40) < 0.2 + 0.6 * y[i, 0] * (np.arange(40) < 3))]) for i in range(120)]
+    style, folds = r.random((120, 4)), np.arange(120) % toxicity.FOLDS
+    chain = toxicity.fit_arrays(["a", "b"], rows, style, y, folds)
+
+    def inputs(chosen, train):
+        mean, spread = style[train].mean(axis=0), style[train].std(axis=0)
+        return np.array([[1.0, *((style[i] - mean) / spread), *(float(w in rows[i]) for w in chosen)] for i in range(120)])
+
+    logit = lambda p: np.log(np.clip(p, 1e-4, 1 - 1e-4) / (1 - np.clip(p, 1e-4, 1 - 1e-4)))
+    aside = np.zeros(120)
+    for k in range(toxicity.FOLDS):
+        train = np.flatnonzero(folds != k)
+        chosen = toxicity.telling_words([rows[i] for i in train], y[train])
+        x = inputs(chosen, train)
+        w = toxicity.fit_linear(x[train], y[train, 0])
+        for i in np.flatnonzero(folds == k):
+            aside[i] = 1 / (1 + np.exp(-(x[i] @ w)))
+    everything = np.arange(120)
+    x = inputs(toxicity.telling_words(rows, y), everything)
+    assert np.allclose(chain.weights[0], toxicity.fit_linear(x, y[:, 0]), atol=1e-6)
+    assert np.allclose(chain.weights[1], toxicity.fit_linear(np.column_stack([x, logit(aside)]), y[:, 1]), atol=1e-4)
+    assert len(chain.words) > 0
+
+
 def test_quality_counts(spark):
     repeated = " ".join(f"w{i}" for i in range(10)) + " x " + " ".join(f"w{i}" for i in range(10))
     texts = [repeated, "a b\nc\na b\n\n \na b", "# $ <x> | &"]

@@ -1,10 +1,11 @@
 """Benchmark decontamination by the q-gram lemma.
 
-A text region within k edits of m characters of an item shares at least m + 1 - q - q k of
-the item's q-grams, near one diagonal (text offset less item offset).  Shared q-grams are counted in
-overlapping bands of diagonals; bands that reach the bound are verified by alignment inside the
-band.  Characters are bytes of the lower-cased text with single spaces, and q is 8, so a
-q-gram is one 64-bit integer and isn't hashed.
+A document holds an item if some window of LEAST_CHARS characters of the item (the whole item, if it is shorter) is
+within the window's edit budget of a region of the text.  Such a region shares at least m + 1 - q - q k of the window's
+q-grams, near one diagonal (text offset less item offset).  Shared q-grams are counted in overlapping bands of
+diagonals; bands that reach the bound are verified by alignment inside the band.  Characters are bytes of the
+lower-cased text with single spaces, and q is 8, so a q-gram is one 64-bit integer and isn't hashed.  Items of fewer
+than 8 bytes are searched as whole words, exactly.
 """
 
 from __future__ import annotations
@@ -19,10 +20,12 @@ from pyspark.sql import functions as F
 from tidemark.llm.frames import cut, fresh, may_match, slices
 
 Q = 8
-#: A match covers this many characters of the item, or the whole of a shorter item, ...
+#: A match covers a window of this many characters of the item, or the whole of a shorter item, ...
 LEAST_CHARS = 80
 #: ... with one edit in this many characters at most.
 CHARS_PER_EDIT = 12
+#: Pairs of text and item places that are counted at once.
+PIECE_PAIRS = 1 << 21
 #: Diagonals of a band; bands overlap by half.
 BAND = 32
 #: Local alignment scores: a match, and an edit.
@@ -94,27 +97,61 @@ def banded_score(item: np.ndarray, text: np.ndarray, low: int, width: int) -> tu
     return best, *where
 
 
-def ungapped_score(item: np.ndarray, text: np.ndarray, low: int, width: int) -> tuple[int, int, int]:
-    """As banded_score, for alignments that stay on one diagonal."""
+def ungapped_window(item: np.ndarray, text: np.ndarray, low: int, width: int, chars: int) -> tuple[int, int, int]:
+    """(edits, start, end): the window of ``chars`` item bytes with the fewest mismatches on one of the band's diagonals."""
     at = np.arange(len(item)) + (low + np.arange(width))[:, None]
-    hit = (at >= 0) & (at < len(text))
-    hit &= text[np.clip(at, 0, len(text) - 1)] == item
+    miss = ~((at >= 0) & (at < len(text)) & (text[np.clip(at, 0, len(text) - 1)] == item))
     sums = np.zeros((width, len(item) + 1), dtype=np.int64)
-    np.cumsum(np.where(hit, GAIN, -LOSS), axis=1, out=sums[:, 1:])
-    floor = np.minimum.accumulate(sums, axis=1)
-    d, j = np.unravel_index(np.argmax(sums - floor), sums.shape)
-    start = int(np.argmax(sums[d, : j + 1] == floor[d, j]))
-    return int(sums[d, j] - floor[d, j]), int(low + d + start), int(low + d + j)
+    np.cumsum(miss, axis=1, out=sums[:, 1:])
+    windows = sums[:, chars:] - sums[:, :-chars]
+    d, j = np.unravel_index(np.argmin(windows), windows.shape)
+    start = int(low + d + j)
+    return int(windows[d, j]), max(0, start), min(len(text), start + chars)
+
+
+def banded_window(item: np.ndarray, text: np.ndarray, low: int, width: int, chars: int) -> tuple[int, int, int]:
+    """(edits, start, end): the window of ``chars`` item bytes with the fewest edits to a region of the text inside the band.
+
+    All windows are aligned at once, a row each, byte by byte.
+    """
+    d = np.arange(width)
+    first = np.arange(len(item) - chars + 1)[:, None]
+    edits = np.zeros((len(first), width), dtype=np.int64)
+    begin = first + low + d
+    for j in range(chars):
+        at = first + j + low + d
+        inside = (at >= 0) & (at < len(text))
+        hit = inside & (text[np.clip(at, 0, len(text) - 1)] == item[first + j])
+        step, since = edits + ~hit, begin
+        skip = np.full_like(edits, 1 << 20)
+        skip[:, :-1] = edits[:, 1:] + 1  # an item byte without a text byte: from the next diagonal
+        moved = np.zeros_like(begin)
+        moved[:, :-1] = begin[:, 1:]
+        since = np.where(skip < step, moved, since)
+        step = np.minimum(step, skip)
+        level = step - d  # text bytes without an item byte: from diagonals before
+        low_level = np.minimum.accumulate(level, axis=1)
+        source = np.maximum.accumulate(np.where(level == low_level, d, 0), axis=1)
+        edits, begin = low_level + d, np.take_along_axis(since, source, axis=1)
+    i, k = np.unravel_index(np.argmin(edits), edits.shape)
+    return int(edits[i, k]), max(0, int(begin[i, k])), min(len(text), int(i + chars - 1 + low + k) + 1)
 
 
 class Items:
     """The items of one pass, by q-gram."""
 
     def __init__(self, items: list[tuple[int, str]]) -> None:
-        kept = [(i, data) for i, t in items if t and len(data := normal(t)) >= Q]
+        plain = [(i, normal(t)) for i, t in items if t]
+        kept = [(i, data) for i, data in plain if len(data) >= Q]
+        #: Items below q bytes, by their first word.
+        self.short: dict[bytes, list[tuple[int, bytes]]] = {}
+        for i, data in plain:
+            if 0 < len(data) < Q:
+                self.short.setdefault(data.split(b" ")[0], []).append((i, data))
         self.ids = [i for i, _ in kept]
         self.data = [np.frombuffer(x, dtype=np.uint8) for _, x in kept]
         self.raw = [x for _, x in kept]
+        self.longest = max(map(len, self.raw), default=0)
         codes = [grams(x) for _, x in kept]
         sizes = [len(c) for c in codes]
         flat = np.concatenate(codes) if codes else np.empty(0, dtype=np.uint64)
@@ -128,14 +165,24 @@ class Items:
         chars = [min(len(x), LEAST_CHARS) for x in self.raw]
         self.bound = np.array([least_shared(c) for c in chars], dtype=np.int64)
         self.reach = np.array([c + edit_budget(c) - Q for c in chars], dtype=np.int64)
+        self.chars = chars
         self.score = [least_score(c) for c in chars]
 
     @staticmethod
     def _slots(codes: np.ndarray) -> np.ndarray:
         return (codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SLOT_BITS)
 
+    def exact_words(self, data: bytes) -> list[tuple[int, int]]:
+        """(item id, start) of the items below q bytes that data holds as whole words."""
+        if not self.short:
+            return []
+        padded, found = b" " + data + b" ", []
+        for word in self.short.keys() & set(data.split(b" ")):
+            found += [(i, at) for i, item in self.short[word] if (at := padded.find(b" " + item + b" ")) >= 0]
+        return sorted(found)
+
     def matches(self, text: str) -> list[tuple[int, int, int, int]]:
-        """(item index, start, end, score) of each item that the text holds: its best region, in normal bytes."""
+        """(item index, start, end, edits) of each item that the text holds: a region in budget, in normal bytes."""
         data = normal(text)
         codes = grams(data)
         if not len(codes) or not len(self.codes):
@@ -147,33 +194,43 @@ class Items:
         if not len(at):
             return []
         counts = self.first[place + 1] - self.first[place]
+        bands: dict[int, int] = {}
+        # Places are counted some at a time, from one region's length before the last ones: repeats can't exhaust memory.
+        ends, reach, done = np.cumsum(counts), int(self.reach.max()), 0
+        while done < len(at):
+            back = int(np.searchsorted(at, at[done] - reach))
+            base = int(ends[back - 1]) if back else 0
+            stop = max(done + 1, int(np.searchsorted(ends, base + PIECE_PAIRS, side="right")))
+            for band, dense in zip(*self._bands(at[back:stop], place[back:stop], counts[back:stop]), strict=True):
+                bands[int(band)] = max(bands.get(int(band), 0), int(dense))
+            done = stop
+        found: dict[int, tuple[int, int, int]] = {}
+        text_bytes = np.frombuffer(data, dtype=np.uint8)
+        for band, _ in sorted(bands.items(), key=lambda x: (-x[1], x[0])):
+            i = band >> 40
+            if i in found:
+                continue
+            got = self._verify(i, data, text_bytes, (band & ((1 << 40) - 1)) * (BAND // 2) - self.longest - BAND)
+            if got[0] <= edit_budget(self.chars[i]):
+                found[i] = (got[1], got[2], got[0])
+        return [(i, *found[i]) for i in sorted(found)]
+
+    def _bands(self, at: np.ndarray, place: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bands in which the q-grams at these places of the text reach the bound, and how dense they are."""
         ends = np.cumsum(counts)
         rows = np.arange(ends[-1]) - np.repeat(ends - counts, counts) + np.repeat(self.first[place], counts)
-        item, spot = self.item[rows], np.repeat(at, counts)
-        offset = self.offset[rows]
-        diagonal = spot - offset + (1 << 20)  # items are shorter than 2^20 bytes
-        half = diagonal // (BAND // 2)
+        item, spot, offset = self.item[rows], np.repeat(at, counts), self.offset[rows]
+        half = (spot - offset + self.longest + BAND) // (BAND // 2)
         # Each q-gram counts for the two bands that overlap at its diagonal.
         keys = np.concatenate([(item << 40) | half, (item << 40) | (half - 1)])
         bands, dense = self._dense(keys, np.concatenate([spot, spot]))
         if not len(bands):
-            return []
+            return bands, dense
         # The shared q-grams of a region have places of their own in the item too: repeats of few don't add up.
         kept = np.isin(keys, bands)
         again, enough = self._dense(keys[kept], np.concatenate([offset, offset])[kept])
         both, first, second = np.intersect1d(bands, again, assume_unique=True, return_indices=True)
-        dense = np.minimum(dense[first], enough[second])
-        found: dict[int, tuple[int, int, int]] = {}
-        text_bytes = np.frombuffer(data, dtype=np.uint8)
-        for band, _ in sorted(zip(both.tolist(), (-dense).tolist(), strict=True), key=lambda x: x[1]):
-            i = band >> 40
-            if i in found:
-                continue
-            low = (band & ((1 << 40) - 1)) * (BAND // 2) - (1 << 20)
-            got = self._verify(i, data, text_bytes, low)
-            if got[0] >= self.score[i]:
-                found[i] = (got[1], got[2], got[0])
-        return [(i, *found[i]) for i in sorted(found)]
+        return both, np.minimum(dense[first], enough[second])
 
     def _dense(self, keys: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The bands (keys) in which as many places as the bound asks for lie within a region's length, and how often."""
@@ -187,18 +244,20 @@ class Items:
         return np.unique(keys[good], return_counts=True)
 
     def _verify(self, i: int, data: bytes, text: np.ndarray, low: int) -> tuple[int, int, int]:
-        raw = self.raw[i]
-        left, right = max(0, low), min(len(data), low + BAND + len(raw))
-        whole = data.find(raw, left, right)
-        if whole >= 0:  # no edit: the alignment is known
-            return GAIN * len(raw), whole, whole + len(raw)
-        plain = ungapped_score(self.data[i], text, low, BAND)
-        if plain[0] >= self.score[i]:  # without gaps it is in the budget already
+        """(edits, start, end) of a window of the item in the band, with more edits than the budget if there is none in it."""
+        raw, chars = self.raw[i], self.chars[i]
+        whole = data.find(raw, max(0, low), max(0, min(len(data), low + BAND + len(raw))))
+        if whole >= 0:
+            return 0, whole, whole + len(raw)
+        plain = ungapped_window(self.data[i], text, low, BAND, chars)
+        if plain[0] <= edit_budget(chars):
+            return plain
+        if banded_score(self.data[i], text, low, BAND)[0] < self.score[i]:  # what a window in budget scores at least
             return plain
-        return banded_score(self.data[i], text, low, BAND)
+        return banded_window(self.data[i], text, low, BAND, chars)
 
 
-MATCH_SCHEMA = "doc_id long, item_id long, start_word int, n_words int, score int, exact boolean"
+MATCH_SCHEMA = "doc_id long, item_id long, start_word int, n_words int, edits int, exact boolean"
 
 
 def _one_pass(rows: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
@@ -211,27 +270,30 @@ def _one_pass(rows: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 if not text:
                     continue
-                for i, start, end, score in index.matches(text):
-                    data = normal(text)
+                data = normal(text)
+                for i, start, end, edits in index.matches(text):
                     before = data.count(b" ", 0, start)
                     words = data.count(b" ", start, end) + 1
-                    out.append((doc, index.ids[i], before, words, score, score == GAIN * len(index.raw[i])))
+                    out.append((doc, index.ids[i], before, words, edits, edits == 0 and end - start == len(index.raw[i])))
+                for item, start in index.exact_words(data):
+                    out.append((doc, item, data.count(b" ", 0, start), 1, 0, True))
             columns = list(zip(*out, strict=True)) or [()] * 6
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_()]
             yield pa.record_batch(
                 [pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True)],
-                names=["doc_id", "item_id", "start_word", "n_words", "score", "exact"],
+                names=["doc_id", "item_id", "start_word", "n_words", "edits", "exact"],
             )
 
     return rows.mapInArrow(search, MATCH_SCHEMA)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, start_word, n_words, score, exact): a row for each document and item that it holds.
+    """(doc_id, item_id, start_word, n_words, edits, exact): a row for each document and item that it holds.
 
-    The row tells a region in budget, in the band that shares most with the item.  Items go to the executors in blocks of at most PASS_BYTES;
-    each block is compared with all documents.  Items of fewer than 8 bytes and null texts match
-    nothing; rows that repeat a doc_id are searched each by itself; a null doc_id stays null.
+    The row tells a region in budget, in the band that shares most with the item.  Items go to the executors in blocks of at most
+    PASS_BYTES; each block is compared with all documents.  Null and blank items and texts match nothing; items without
+    an id match as others do; rows that repeat a doc_id are searched each by itself; a null doc_id stays null.  Very long
+    texts are searched whole.  Empty tables give no rows.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     items = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")

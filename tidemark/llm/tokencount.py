@@ -68,7 +68,7 @@ class Counter:
         count = [0] * (size + 1)
         fused = [False] * (size + 1)  # the best path to here ends in unknown characters
         score[0] = 0.0
-        matches = self.automaton.iter(word)
+        matches = self.automaton.iter(word) if len(self.automaton) else iter(())  # an empty vocabulary: all is unknown
         ending, pieces = next(matches, (size, None))
         for at in range(size):
             end = at + 1

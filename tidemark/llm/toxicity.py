@@ -22,6 +22,8 @@ from tidemark.llm.textkit import word_hashes
 
 #: Labelled rows that the fit takes, those whose doc_id has the smallest hash.
 FIT_ROWS = 12_000
+#: Distinct words of a row that the fit takes, those of the smallest hashes; scoring takes all.
+FIT_WORDS = 20_000
 #: Words that become features: the most telling, each in this many of the rows at least.
 FEATURES = 256
 LEAST_ROWS = 4
@@ -40,9 +42,8 @@ _WORDS = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
 
 def categories() -> dict[str, Column]:
-    """Columns of the labels table in chain order: low quality tells something of what is toxic, and both of what is both."""
-    low, toxic = F.col("quality") == 0, F.col("toxic") == 1
-    return {"low_quality": low, "toxic": toxic, "toxic_low_quality": low & toxic}
+    """Columns of the labels table in chain order: low quality tells something of what is toxic."""
+    return {"low_quality": F.col("quality") == 0, "toxic": F.col("toxic") == 1}
 
 
 def features(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -131,27 +132,49 @@ def telling_words(rows: list[np.ndarray], labels: np.ndarray, most: int = FEATUR
 
 
 def fit_arrays(names: list[str], rows: list[np.ndarray], style: np.ndarray, labels: np.ndarray, folds: np.ndarray) -> Chain:
-    """The chain for rows of word hashes, style numbers and 0/1 labels; folds: 0 .. FOLDS - 1 of each row."""
-    chain = Chain(names, telling_words(rows, labels), np.zeros(_STYLE), np.ones(_STYLE), [])
+    """The chain for rows of word hashes, style numbers and 0/1 labels; folds: 0 .. FOLDS - 1 of each row.
+
+    In each fold the words are chosen, the style is scaled and the models are fit without the fold's rows: the
+    probabilities that later models are trained on depend on no label of the row that they are for.
+    """
+    chain = _chain_of(names, rows, style, labels)
     if not len(rows):
         chain.weights = [np.zeros(1 + _STYLE + c) for c in range(len(names))]
         return chain
-    chain.centre, chain.spread = style.mean(axis=0), np.maximum(style.std(axis=0), 1e-6)
-    x = np.stack([chain.base(r, s) for r, s in zip(rows, style, strict=True)])
+    asides = np.zeros((len(rows), 0))
+    parts = []
+    for k in range(FOLDS):
+        out = folds == k
+        held = [r for r, o in zip(rows, out, strict=True) if not o]
+        inner = _chain_of(names, held, style[~out], labels[~out]) if held else chain
+        parts.append((out, inner, _matrix(inner, rows, style)))
+    x = _matrix(chain, rows, style)
     for c in range(len(names)):
         y = labels[:, c]
-        chain.weights.append(fit_linear(x, y))
+        chain.weights.append(fit_linear(np.column_stack([x, _logit(asides)]), y))
         if c + 1 == len(names):
             break
         aside = np.empty(len(y))
-        for k in range(FOLDS):
-            out = folds == k
-            w = fit_linear(x[~out], y[~out]) if (~out).any() else chain.weights[-1]
-            aside[out] = _sigmoid(x[out] @ w)
-        x = np.column_stack([x, _logit(aside)])
+        for out, _, base in parts:
+            both = np.column_stack([base, _logit(asides)])
+            w = fit_linear(both[~out], y[~out]) if (~out).any() else np.zeros(both.shape[1])
+            aside[out] = _sigmoid(both[out] @ w)
+        asides = np.column_stack([asides, aside])
     return chain
 
 
+def _chain_of(names: list[str], rows: list[np.ndarray], style: np.ndarray, labels: np.ndarray) -> Chain:
+    """A chain without weights: the words and scales that these rows give."""
+    chain = Chain(names, telling_words(rows, labels), np.zeros(_STYLE), np.ones(_STYLE), [])
+    if len(rows):
+        chain.centre, chain.spread = style.mean(axis=0), np.maximum(style.std(axis=0), 1e-6)
+    return chain
+
+
+def _matrix(chain: Chain, rows: list[np.ndarray], style: np.ndarray) -> np.ndarray:
+    return np.stack([chain.base(r, s) for r, s in zip(rows, style, strict=True)])
+
+
 def fit_chain(docs: DataFrame, labels: DataFrame, wanted: dict[str, Column] | None = None, most_rows: int = FIT_ROWS) -> Chain:
     """A chain for the wanted columns of labels, fit on most_rows labelled documents at most.
 
@@ -176,7 +199,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, wanted: dict[str, Column] | No
                 [
                     batch.column("doc_id"),
                     batch.column("y"),
-                    list_column([w for w, _ in both]),
+                    list_column([w[:FIT_WORDS] for w, _ in both]),
                     pa.array([s.tolist() for _, s in both], type=pa.list_(pa.float64())),
                 ],
                 names=["doc_id", "y", "words", "style"],
