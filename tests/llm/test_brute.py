@@ -374,6 +374,50 @@ def test_main_text_without_article():
     )
 
 
+SAY = "It was the first of the days on which we were to see what is in the house, and all of us had been there for some time."
+
+
+@pytest.mark.parametrize("name", ["no-sidebar", "content with-comments", "article-body ad-free", "post share-count", "related-story", "promo", "x"])
+def test_names_only_weigh(name):
+    page = f'<body><nav>a</nav><div class="{name}"><h1>Head</h1><p>{SAY}</p><p>{SAY} Twice.</p></div><footer>f</footer></body>'
+    assert html.main_text(page) == f"Head\n\n{SAY}\n\n{SAY} Twice."
+
+
+@pytest.mark.parametrize("name", ["sidebar", "comment-list", "cookie-notice", "ad", "post-comments", "relatedPosts widget", "newsletter_box", "adSlot"])
+def test_named_boilerplate_goes(name):
+    page = f'<body><article><p>{SAY}</p><div class="{name}"><p>{SAY} More.</p></div></article><div id="{name}">{SAY}</div></body>'
+    assert html.main_text(page) == SAY
+
+
+def test_attributes_with_apostrophes():
+    page = f"<body><p title=it's>{SAY}</p><p data-x='a>b' y=\"c>'d\">{SAY} Two.</p><p title=it's>{SAY} Three.</p></body>"
+    assert html.main_text(page) == f"{SAY}\n\n{SAY} Two.\n\n{SAY} Three."
+
+
+def test_second_pass_equals_nearest_neighbours():
+    r = random.Random(31)
+    for _ in range(400):
+        labels = [r.choice((True, False, None, None)) for _ in range(r.randint(0, 9))]
+        headings, inside = [r.random() < 0.2 for _ in labels], r.random() < 0.4
+        expected = []
+        for i, label in enumerate(labels):
+            left = next(((i - j, labels[j]) for j in range(i - 1, -1, -1) if labels[j] is not None), None)
+            right = next(((j - i, labels[j]) for j in range(i + 1, len(labels)) if labels[j] is not None), None)
+            if label is None:
+                near = [x for x in (left, right) if x]
+                if headings[i] and right:
+                    label = right[1]
+                elif near:
+                    least = min(x[0] for x in near)
+                    label = any(x[1] for x in near if x[0] == least)
+                else:
+                    label = True
+                if inside and not (left and right and not left[1] and not right[1]):
+                    label = True
+            expected.append(label)
+        assert html.pass_two(labels, headings, inside) == expected
+
+
 def test_toxicity_on_held_out_rows(spark):
     r = random.Random(11)
     bad = ["vile", "awful", "nasty"]

@@ -1,10 +1,10 @@
 """Main text of HTML pages by block rules in two passes.
 
-A page is cut into blocks at block-level tags.  Blocks inside navigation, forms, adverts, reader comments and
-the like are boilerplate by their containers.  Pass one classifies the others by link density,
-length and stop-word density; pass two gives the ambiguous ones the label of their nearest
-decided neighbours.  In a page with an article, only the article's blocks are candidates, and what stays
-undecided there is text.
+A page is cut into blocks at block-level tags.  Elements that are never main text (navigation, forms, footers) give none.
+Pass one classifies blocks by link density, length and stop-word density; blocks in a container whose class or id names
+boilerplate (adverts, comments, sidebars) are boilerplate too, unless no other block of the page reads like text: then
+the fullest such container is the text.  Pass two gives the ambiguous blocks the label of their nearest decided neighbours.
+In a page with an article, only the article's blocks are candidates, and what stays undecided there is text.
 """
 
 from __future__ import annotations
@@ -65,12 +65,21 @@ SHORT_CHARS = 70
 LONG_CHARS = 200
 STOP_LOW = 0.2
 STOP_HIGH = 0.3
+#: Longer blocks with fewer stop words than this and this part of links are lists of links, outside articles.
+STOP_NONE = 0.05
+LINK_SOME = 0.2
+# Parts of names that say nothing of what a container holds, and first parts that turn a name round.
+TAILS = frozenset(
+    "list item items box wrap wrapper container section block area inner outer bar unit links link panel slot left right top bottom "
+    "main body content group row col column holder zone region text form message thread header".split()
+)
+TURNS = frozenset("no non not with without has hide show".split())
 #: A link-dense block of an article is boilerplate up to this length.
 LINK_LIST_CHARS = 120
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*>?"
-    r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
+    r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:=\s*\"[^\"]*\"|=\s*'[^']*'|=|[^>=])*+)>"
     r"|(?P<text>[^<]+|<)",
     re.S,
 )
@@ -83,28 +92,43 @@ _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I) for name in RAW}
 class Block:
     """Text between block tags: its label is True (text), False (boilerplate) or None (ambiguous)."""
 
-    __slots__ = ("heading", "in_list", "label", "linked", "scope", "text")
+    __slots__ = ("heading", "hint", "in_list", "label", "linked", "scope", "text")
 
-    def __init__(self, text: str, linked: int, heading: bool, in_list: bool, scope: bool) -> None:
+    def __init__(self, text: str, linked: int, heading: bool, in_list: bool, scope: bool, hint: int = 0) -> None:
         self.text, self.linked, self.heading, self.in_list, self.scope = text, linked, heading, in_list, scope
+        self.hint = hint  # the outermost container that names itself boilerplate: its number, negative for reader comments
         self.label: bool | None = None
 
 
-def _hint_parts(value: str) -> set[str]:
-    return {x.lower() for x in _PART.findall(value)}
+def _named(value: str, hints: frozenset[str]) -> bool:
+    """Whether one of the names in a class or id is, by its last part that says something, one of the hints."""
+    for name in value.split():
+        parts = [x.lower() for x in _PART.findall(name) if not x.isdigit()]
+        if not parts or parts[0] in TURNS:
+            continue
+        while len(parts) > 1 and parts[-1] in TAILS:
+            parts.pop()
+        if parts[-1] in hints:
+            return True
+    return False
 
 
-def _names_boilerplate(name: str, attributes: dict[str, str]) -> bool:
+def _hidden(attributes: dict[str, str]) -> bool:
     if "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true":
         return True
-    if "style" in attributes and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attributes["style"], re.I):
-        return True
+    return "style" in attributes and bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attributes["style"], re.I))
+
+
+def _hinted(name: str, attributes: dict[str, str]) -> int:
+    """1 if the element names itself boilerplate, -1 if reader comments, else 0."""
     if name in ("html", "body", "main"):
-        return False
-    parts = _hint_parts(f"{attributes.get('class', '')} {attributes.get('id', '')}")
+        return 0
+    value = f"{attributes.get('class', '')} {attributes.get('id', '')}"
+    if _named(value, COMMENT_HINTS):
+        return -1
     if name == "article":
-        return bool(parts & COMMENT_HINTS)
-    return attributes.get("role", "").strip().lower() in ROLES or bool(parts & HINTS)
+        return 0
+    return int(attributes.get("role", "").strip().lower() in ROLES or _named(value, HINTS))
 
 
 def _attributes(rest: str) -> dict[str, str]:
@@ -117,8 +141,9 @@ def _attributes(rest: str) -> dict[str, str]:
 def blocks_of(page: str) -> list[Block]:
     """The page's blocks in order, without those in boilerplate containers."""
     found: list[Block] = []
-    stack: list[tuple[str, bool]] = []  # open block-level elements: name, boilerplate
+    stack: list[tuple[str, bool, bool]] = []  # open block-level elements: name, dropped, outermost hinted
     bad = scope = header = links = 0
+    hint = hints = 0
     parts: list[str] = []
     linked = 0
 
@@ -126,16 +151,17 @@ def blocks_of(page: str) -> list[Block]:
         nonlocal parts, linked
         if parts:
             text = " ".join("".join(parts).split())
-            heading = any(n in HEADINGS for n, _ in stack[-2:])
+            heading = any(n in HEADINGS for n, *_ in stack[-2:])
             if text and not (header and not heading):
-                lists = any(n in ("li", "td", "th", "dd", "dt", "ul", "ol") for n, _ in stack[-3:])
-                found.append(Block(text, min(linked, len(text)), heading, lists, scope > 0))
+                lists = any(n in ("li", "td", "th", "dd", "dt", "ul", "ol") for n, *_ in stack[-3:])
+                found.append(Block(text, min(linked, len(text)), heading, lists, scope > 0, hint))
             parts, linked = [], 0
 
     def pop() -> None:
-        nonlocal bad, scope, header
-        name, was = stack.pop()
+        nonlocal bad, scope, header, hint
+        name, was, opened = stack.pop()
         bad -= was
+        hint = 0 if opened else hint
         if not was and name in ("article", "main"):
             scope -= 1
         if name == "header":
@@ -163,7 +189,7 @@ def blocks_of(page: str) -> list[Block]:
                 links = max(0, links - 1)
             elif name in BLOCKS or name in DROPPED:
                 flush()
-                if any(n == name for n, _ in stack):
+                if any(n == name for n, *_ in stack):
                     while stack[-1][0] != name:
                         pop()
                     pop()
@@ -193,18 +219,22 @@ def blocks_of(page: str) -> list[Block]:
                 continue
             if m["rest"].endswith("/") and name in ("svg", "iframe", "object"):
                 continue
-            was = name in DROPPED or _names_boilerplate(name, attributes)
+            was = name in DROPPED or _hidden(attributes)
+            kind = 0 if hint or was else _hinted(name, attributes)
+            if kind:
+                hints += 1
+                hint = kind * hints
             # An article's own header keeps its headings; a page's header is boilerplate.
             if name == "header":
                 header += 1
                 was = was or not scope
-            stack.append((name, was))
+            stack.append((name, was, kind != 0))
             bad += was
             if not was and name in ("article", "main"):
                 scope += 1
         elif name == "body":
             links = 0
-        elif attributes and name not in VOID and _names_boilerplate(name, attributes) and name in ("span", "ins", "section"):
+        elif name in ("span", "ins") and attributes and (_hidden(attributes) or _hinted(name, attributes)):
             # An inline element that names itself boilerplate: its text goes, up to its end tag.
             end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
             at = end.end() if end else at
@@ -217,41 +247,75 @@ def _stop_density(text: str) -> float:
     return sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
 
 
-def classify(blocks: list[Block]) -> list[Block]:
-    """Label the blocks; those of an article alone, if there is one with text."""
-    inside = any(b.scope for b in blocks)
-    rows = [b for b in blocks if b.scope] if inside else blocks
+def reads_like_text(b: Block) -> bool:
+    """Long, rich in stop words and poor in links."""
+    size = len(b.text)
+    if size < SHORT_CHARS or b.heading or b.linked > LINK_DENSE * size:
+        return False
+    stops = _stop_density(b.text)
+    return stops >= STOP_HIGH or (stops >= STOP_LOW and size >= LONG_CHARS)
+
+
+def trusted(blocks: list[Block]) -> list[Block]:
+    """The blocks outside hinted containers; if none of them reads like text, those of the fullest hinted one as well."""
+    if not any(b.hint == 0 and reads_like_text(b) for b in blocks):
+        sizes: dict[int, int] = {}
+        for b in blocks:
+            if b.hint > 0 and reads_like_text(b):
+                sizes[b.hint] = sizes.get(b.hint, 0) + len(b.text)
+        if sizes:
+            best = max(sizes, key=lambda h: (sizes[h], -h))
+            return [b for b in blocks if b.hint in (0, best)]
+    return [b for b in blocks if b.hint == 0]
+
+
+def pass_one(rows: list[Block], inside: bool) -> list[bool | None]:
+    """True for text, False for boilerplate, None for the ambiguous."""
+    found: list[bool | None] = []
     for b in rows:
-        size = len(b.text)
+        size, label = len(b.text), None
         if b.linked > LINK_DENSE * size and not b.heading:
-            if not inside or (b.in_list and size <= LINK_LIST_CHARS):
-                b.label = False
-                continue
-            if inside:
-                continue
-        if size < SHORT_CHARS or b.heading:
-            continue
-        stops = _stop_density(b.text)
-        if stops >= STOP_HIGH or (stops >= STOP_LOW and size >= LONG_CHARS):
-            b.label = True
-    # Pass two: distances to the nearest decided block on either side.
-    decided = [b.label for b in rows]
+            label = False if not inside or (b.in_list and size <= LINK_LIST_CHARS) else None
+        elif reads_like_text(b):
+            label = True
+        elif not inside and size >= SHORT_CHARS and not b.heading and b.linked > LINK_SOME * size and _stop_density(b.text) < STOP_NONE:
+            label = False
+        found.append(label)
+    return found
+
+
+def pass_two(labels: list[bool | None], headings: list[bool], inside: bool) -> list[bool]:
+    """The ambiguous take the label of the nearest decided block, of two at one distance True; a heading that of what follows it.
+
+    Where nothing is decided all is text; in an article, what isn't boilerplate on both sides is.
+    """
     before: list[tuple[int, bool | None]] = []
     last: tuple[int, bool | None] = (1 << 30, None)
-    for label in decided:
+    for label in labels:
         last = (0, label) if label is not None else (last[0] + 1, last[1])
         before.append(last)
+    found: list[bool] = []
     last = (1 << 30, None)
-    for i in range(len(rows) - 1, -1, -1):
-        label = decided[i]
+    for i in range(len(labels) - 1, -1, -1):
+        label = labels[i]
         last = (0, label) if label is not None else (last[0] + 1, last[1])
-        if rows[i].label is None:
+        if label is None:
             (d1, l1), (d2, l2) = before[i], last
             near = l1 if d1 < d2 else l2 if d2 < d1 else (l1 or l2)
-            if rows[i].heading and l2 is not None:
-                near = l2  # a heading belongs to what follows it
-            # Undecided: an article's text stays, and so does a page on which nothing was decided.
-            rows[i].label = True if near is None or (inside and not (l1 is False and l2 is False)) else near
+            if headings[i] and l2 is not None:
+                near = l2
+            label = True if near is None or (inside and not (l1 is False and l2 is False)) else near
+        found.append(label)
+    return found[::-1]
+
+
+def classify(blocks: list[Block]) -> list[Block]:
+    """Label the blocks; those of an article alone, if there is one with text."""
+    kept = trusted(blocks)
+    inside = any(b.scope for b in kept)
+    rows = [b for b in kept if b.scope] if inside else kept
+    for b, label in zip(rows, pass_two(pass_one(rows, inside), [b.heading for b in rows], inside), strict=True):
+        b.label = label
     return rows
 
 
