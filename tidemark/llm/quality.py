@@ -215,7 +215,8 @@ def quality_filter(docs: DataFrame, host: str = "source") -> DataFrame:
     stay = F.filter(F.split("text", "\n", -1), lambda x: ~x.rlike(WORD_CHAR) | ~F.array_contains(keys, _line_key(x)))
     changed = cut(joined.where(keys.isNotNull()).withColumn(new, F.array_join(stay, "\n")).drop(at, content, hit, "tm_v_named", "tm_v_content", "tm_v_keys"))
     whole = F.struct(*(F.col(f"`{c}`") for c in changed.columns)).alias("row")
-    again = text_statistics(changed.select(whole, F.col(new).alias("text")), ["row"]).where(~base_failed())
+    # Written before it is filtered: a filter would be pushed through the projections and repeat the arrays' expressions.
+    again = cut(text_statistics(changed.select(whole, F.col(new).alias("text")), ["row"]).select("row", base_failed().alias("failed"))).where("not failed")
 
     def value(c: str) -> Column:
         if c == "text":
