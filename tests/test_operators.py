@@ -6,7 +6,7 @@ import pytest
 
 from pyspark.sql import functions as F
 from tidemark.functions import text as T
-from tidemark.operators import findings, graph, matching, temporal
+from tidemark.operators import findings, graph, matching, temporal, triage
 
 
 def test_luhn(spark):
@@ -64,3 +64,42 @@ def test_short_canaries_are_searched(spark):
     got = {r.item_id: r.exposed_in for r in matching.substring_counts(docs, items).collect()}
     assert got == {1: 2, 2: 1, 3: 1, 4: 0, 5: 3}
     assert {r.exposed_in for r in matching.substring_counts(docs, items.where("item_id = 3")).collect()} == {1}
+
+
+def test_correlated_equals_plain_fold(spark):
+    import random
+
+    r = random.Random(3)
+    rows = [(i, r.choice("ab"), r.randint(1, 60), r.choice("XYZ"), r.randint(1, 2), r.randint(0, 4)) for i in range(150)]
+    kept = []
+    for i, path, line, engine, cwe, rank in sorted(rows, key=lambda x: (-x[5], x[0])):
+        home = next((k for k in kept if k[1] == path and k[4] == cwe and k[3] != engine and abs(k[2] - line) <= 2), None)
+        if home is None:
+            kept.append([i, path, line, engine, cwe, {engine}, 0])
+        else:
+            home[5].add(engine)
+            home[6] += 1
+    docs = spark.createDataFrame(rows, "id long, path string, line long, engine string, cwe int, rank int")
+    got = {(x.id, x.engines, x.folded) for x in triage.correlated(docs).collect()}
+    assert got == {(k[0], ",".join(sorted(k[5])), k[6]) for k in kept}
+
+
+def test_chain_faults(spark):
+    import hashlib
+
+    digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
+
+    def chain(key, change):
+        rows, last = [], "0" * 64
+        for n in range(1, 5):
+            row = {"k": key, "n": n, "body": f"{key}{n}", "seq": n, "ts": n * 10, "prev_hash": last, "entry_hash": digest(f"{key}{n}")}
+            last = row["entry_hash"]
+            rows.append(row | change.get(n, {}))
+        return rows
+
+    rows = chain("good", {}) + chain("gap", {3: {"seq": 4}}) + chain("time", {4: {"ts": 1}}) + chain("hash", {2: {"entry_hash": "x"}}) + chain("start", {1: {"prev_hash": "y"}})
+    entries = spark.createDataFrame(rows, "k string, n long, body string, seq long, ts long, prev_hash string, entry_hash string")
+    got = {x.k: (x.ok, x.first_bad, x.reason) for x in triage.verified_chains(entries, "k", "n").collect()}
+    assert got == {
+        "good": (True, None, None), "gap": (False, 4, "sequence"), "time": (False, 4, "time"), "hash": (False, 2, "entry hash"), "start": (False, 1, "genesis"),
+    }

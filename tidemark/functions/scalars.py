@@ -31,14 +31,15 @@ def verhoeff_valid(number: Column) -> Column:
 
 
 def iban_valid(iban: Column) -> Column:
-    """Length and the remainder by 97: letters count as 10 .. 35, the first four characters go last."""
-    moved = F.concat(F.substr(iban, F.lit(5)), F.substring(iban, 1, 4))
+    """The remainder by 97 of 5 to 34 letters and digits: blanks don't count, letters are 10 .. 35, the first four characters go last."""
+    compact = F.upper(F.replace(iban, F.lit(" "), F.lit("")))
+    moved = F.concat(F.substr(compact, F.lit(5)), F.substring(compact, 1, 4))
     values = F.transform(
-        F.split(F.upper(moved), ""),
+        F.split(moved, ""),
         lambda c: F.when(c.rlike("^[0-9]$"), F.ascii(c) - 48).when(c.rlike("^[A-Z]$"), F.ascii(c) - 55),
     )
     rest = F.aggregate(values, F.lit(0), lambda a, v: (F.when(v > 9, a * 100 + v).otherwise(a * 10 + v) % 97).cast("int"))
-    return F.coalesce(F.char_length(iban).between(15, 34) & (rest == 1), F.lit(False))
+    return F.coalesce(compact.rlike("^[0-9A-Z]{5,34}$") & (rest == 1), F.lit(False))
 
 
 def owasp_band(factor: Column) -> Column:

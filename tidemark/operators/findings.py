@@ -42,7 +42,3 @@ def redacted(text: Column) -> Column:
     out = F.regexp_replace(text, T.EMAIL, "<EMAIL>")
     out = F.regexp_replace(out, T.IPV4, "<IP>")
     return F.regexp_replace(out, T.ASSIGNED_TOKEN, '$1 = "<TOKEN>"')
-
-
-def chain_hash(previous: Column, payload: Column) -> Column:
-    return F.sha2(F.concat(F.coalesce(previous, F.lit("genesis")), F.lit("|"), payload), 256)

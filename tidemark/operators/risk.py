@@ -46,9 +46,3 @@ def band(score: Column) -> Column:
     return (
         F.when(score >= 9.0, "critical").when(score >= 7.0, "high").when(score >= 4.0, "medium").when(score > 0.0, "low").otherwise("none")
     )
-
-
-def matrix(likelihood: Column, impact: Column) -> Column:
-    """Risk of a 1 .. 5 likelihood and impact."""
-    product = likelihood * impact
-    return F.when(product >= 15, "extreme").when(product >= 8, "high").when(product >= 4, "moderate").otherwise("low")

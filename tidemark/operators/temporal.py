@@ -6,12 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def previous_row(rows: DataFrame, key: str, order: list[str], columns: list[str]) -> DataFrame:
-    """Each row with the columns of the row before it under the same key: an as-of join of a table with itself."""
-    before = Window.partitionBy(key).orderBy(*order)
-    return rows.select("*", *(F.lag(c).over(before).alias(f"previous_{c}") for c in columns))
-
-
 def band_pairs(rows: DataFrame, key: str, time: str, ident: str, seconds: int) -> DataFrame:
     """Pairs of rows of one key at most ``seconds`` apart.
 

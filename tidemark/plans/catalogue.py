@@ -160,14 +160,14 @@ def first_wins_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH a AS (SELECT DISTINCT sha256(text) AS key, true AS was FROM documents WHERE doc_id % 2 = 0),
-b AS (SELECT DISTINCT sha256(text) AS key, true AS now FROM documents WHERE doc_id % 3 = 0)
+WITH a AS (SELECT DISTINCT doc_id AS key, true AS was FROM labels), b AS (SELECT DISTINCT doc_id AS key, true AS now FROM documents WHERE lang <> 'de')
 SELECT key, CASE WHEN was IS NULL THEN 'new' WHEN now IS NULL THEN 'fixed' ELSE 'unchanged' END AS state
 FROM a FULL JOIN b USING (key)
 """)
 def delta_full_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("key"))
-    return findings.delta(docs.where("doc_id % 2 = 0"), docs.where("doc_id % 3 = 0"), "key")
+    """Labelled documents against those in a language that is wanted."""
+    wanted = table(spark, sf_dir, "documents").where("lang <> 'de'").select(F.col("doc_id").alias("key"))
+    return findings.delta(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("key")), wanted, "key")
 
 
 @query("""
@@ -181,36 +181,6 @@ def fingerprint_occurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prints.groupBy("fingerprint").agg(F.count("*").alias("occurrences"), F.count_distinct("doc_id").alias("docs")).where("occurrences > 1")
 
 
-@query("""
-WITH a AS (SELECT o_custkey, min(o_orderpriority) AS was FROM orders WHERE o_orderdate < TIMESTAMP '1995-01-01' GROUP BY 1),
-b AS (SELECT o_custkey, min(o_orderpriority) AS now FROM orders WHERE o_orderdate >= TIMESTAMP '1995-01-01' GROUP BY 1)
-SELECT o_custkey, was, now, CASE WHEN now < was THEN 'regressed' WHEN now > was THEN 'improved' ELSE 'same' END AS state
-FROM a JOIN b USING (o_custkey)
-""")
-def delta_regressed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = F.lit("1995-01-01").cast("timestamp_ntz")
-    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", "o_orderpriority")
-    both = orders.groupBy("o_custkey").agg(
-        F.min(F.when(F.col("o_orderdate") < cut, F.col("o_orderpriority"))).alias("was"),
-        F.min(F.when(F.col("o_orderdate") >= cut, F.col("o_orderpriority"))).alias("now"),
-    )
-    state = F.when(F.col("now") < F.col("was"), "regressed").when(F.col("now") > F.col("was"), "improved").otherwise("same")
-    return both.where("was is not null and now is not null").withColumn("state", state)
-
-
-@query("""
-SELECT event_id, sha256(coalesce(lag(p) OVER w, 'genesis') || '|' || p) AS entry_hash FROM (
-  SELECT event_id, ts, user_id, sha256(event_id::VARCHAR || '|' || event_type) AS p FROM events)
-WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)
-""")
-def hash_chain_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events").select(
-        "event_id", "ts", "user_id", F.sha2(F.concat_ws("|", F.col("event_id").cast("string"), "event_type"), 256).alias("payload")
-    )
-    linked = temporal.previous_row(rows, "user_id", ["ts", "event_id"], ["payload"])
-    return linked.select("event_id", findings.chain_hash(F.col("previous_payload"), F.col("payload")).alias("entry_hash"))
-
-
 @query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
 def anti_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer, orders = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
@@ -220,15 +190,6 @@ def anti_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- time --------------------------------------------------------------------------------------------------
 
 
-@query("""
-SELECT event_id, user_id, lag(event_id) OVER w AS previous_event_id, lag(event_type) OVER w AS previous_event_type
-FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)
-""")
-def previous_scan_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type")
-    return temporal.previous_row(rows, "user_id", ["ts", "event_id"], ["event_id", "event_type"]).drop("ts", "event_type")
-
-
 @query("""
 SELECT user_id, event_id, event_type, value FROM (
   SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1
@@ -274,16 +235,6 @@ def interval_union_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return temporal.union_seconds(rows, "user_id", "s", "e")
 
 
-@query("""
-SELECT o_orderkey, CASE WHEN d <= 30 THEN 'ok' WHEN d <= 365 THEN 'due' ELSE 'overdue' END AS sla, d AS age_days
-FROM (SELECT o_orderkey, date_diff('day', o_orderdate::DATE, DATE '1998-08-02') AS d FROM orders)
-""")
-def sla_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    age = F.date_diff(F.lit("1998-08-02").cast("date"), F.col("o_orderdate").cast("date")).cast("long")
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", age.alias("age_days"))
-    return rows.withColumn("sla", F.when(F.col("age_days") <= 30, "ok").when(F.col("age_days") <= 365, "due").otherwise("overdue"))
-
-
 @query("""
 SELECT o_orderpriority, strftime(o_orderdate, '%Y') AS year, count(*) AS n,
   round(avg(date_diff('day', o_orderdate::DATE, l_shipdate::DATE)), 6) AS mean_days
@@ -392,44 +343,6 @@ def rollup_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").rollup("lang", "source").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
 
 
-@query("""
-WITH t AS (SELECT lang, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM documents),
-c AS (SELECT lang, term, count(*) AS n FROM t GROUP BY 1, 2),
-l AS (SELECT lang, sum(n) AS total FROM c GROUP BY 1), a AS (SELECT term, sum(n) AS everywhere FROM c GROUP BY 1),
-r AS (SELECT c.lang, c.term, c.n, round(ln((c.n / l.total) / (a.everywhere / (SELECT sum(n) FROM c))), 6) AS lift,
-  row_number() OVER (PARTITION BY c.lang ORDER BY c.n DESC, c.term) AS k
-  FROM c JOIN l USING (lang) JOIN a USING (term))
-SELECT lang, term, n, lift FROM r WHERE k <= 20
-""")
-def term_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    terms = docs.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("term"))
-    counts = terms.groupBy("lang", "term").agg(F.count("*").alias("n"))
-    per_lang = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    per_term = counts.groupBy("term").agg(F.sum("n").alias("everywhere"))
-    whole = counts.agg(F.sum("n").alias("whole"))
-    top = Window.partitionBy("lang").orderBy(F.desc("n"), "term")
-    ranked = counts.withColumn("k", F.row_number().over(top)).where("k <= 20")
-    joined = ranked.join(per_lang, "lang").join(per_term, "term").join(F.broadcast(whole))  # one row
-    lift = F.ln((F.col("n") / F.col("total")) / (F.col("everywhere") / F.col("whole")))
-    return joined.select("lang", "term", "n", F.round(lift, 6).alias("lift"))
-
-
-@query("""
-WITH d AS (SELECT l_quantity, l_discount, l_extendedprice FROM lineitem),
-m AS (SELECT least(5, 1 + floor(l_quantity / 11))::INT AS likelihood, least(5, 1 + floor(l_discount * 50))::INT AS impact FROM d)
-SELECT likelihood, impact, CASE WHEN likelihood * impact >= 15 THEN 'extreme' WHEN likelihood * impact >= 8 THEN 'high'
-  WHEN likelihood * impact >= 4 THEN 'moderate' ELSE 'low' END AS risk, count(*) AS n FROM m GROUP BY 1, 2, 3
-""")
-def risk_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cell = table(spark, sf_dir, "lineitem").select(
-        F.least(F.lit(5), 1 + F.floor(F.col("l_quantity") / 11)).cast("int").alias("likelihood"),
-        F.least(F.lit(5), 1 + F.floor(F.col("l_discount") * 50)).cast("int").alias("impact"),
-    )
-    counted = cell.groupBy("likelihood", "impact").agg(F.count("*").alias("n"))
-    return counted.withColumn("risk", risk.matrix(F.col("likelihood"), F.col("impact")))
-
-
 _VECTORS = [
     ("N", "L", "N", "N", "U", "H", "H", "H"),
     ("N", "L", "N", "N", "C", "H", "H", "H"),

@@ -12,8 +12,8 @@ EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, valu
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events file as a stream; new files of that name pattern would be read as they come."""
-    return spark.readStream.schema(EVENTS).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    """The events, one file or a folder of part files, as a stream; new ones would be read as they come."""
+    return spark.readStream.schema(EVENTS).parquet(f"{sf_dir}/events.parquet*")
 
 
 def counted(stream: DataFrame, late: str = "1 hour") -> DataFrame:
