@@ -119,7 +119,7 @@ _STARTS = (
 #: Sentence ends inside blocks: blank lines (of comment marks as well), lines that end in a colon, and list markers.
 _BLOCKS = [
     (r"\r\n?", "\n"),
-    (r"(?i)([^\n]*spdx-license-identifier[^\n]*)", "\n\n$1\n\n"),
+    (r"(?im)^([^\n]*spdx-license-identifier[^\n]*)$", "\n\n$1\n\n"),  # from a line's beginning alone: long lines take linear time
     (r"\n[ \t#*/;%-]*(?=\n)", "\n\n"),
     (r":[ \t]*\n", ":\n\n"),
     (r"\n(?=[ \t#*/;%]*(?:[-\u2022]|\(?[0-9a-zA-Z]{1,2}[.)])[ \t])", "\n\n"),
