@@ -61,10 +61,20 @@ def test_passages_and_matches_on_odd_rows(spark, odd_docs, no_docs):
     found = {(r.doc_id, r.removed) for r in substring.passages(odd_docs).collect()}
     assert found == {(9, False), (10, True)}
     assert substring.passages(no_docs).collect() == []
-    assert decontam.contaminated(odd_docs, bench(spark)).collect() == []
+    # An item of one letter is searched as a whole word; an item without an id matches as others do.
+    assert [(r.doc_id, r.item_id, r.exact) for r in decontam.contaminated(odd_docs, bench(spark)).collect()] == [(8, None, True)]
     assert decontam.contaminated(no_docs, bench(spark)).collect() == []
 
 
+def test_blocks_on_odd_rows(spark, odd_docs, clashing_docs, no_docs):
+    words = sum(len((r.text or "").split()) for r in odd_docs.collect())
+    for docs in (odd_docs, clashing_docs):
+        got = mixing.mixed_blocks(docs, 1024).collect()
+        assert all(len(b.text.split(" ")) == b.n_words <= 1024 and b.doc_ids for b in got)
+        assert abs(sum(b.n_words for b in got) - 1.5 * words) <= 4 * 1024
+    assert mixing.mixed_blocks(no_docs, 1024).collect() == []
+
+
 def test_odd_pages(spark):
     rows = [(1, "u", None), (2, None, ""), (None, "v", "<p>x</p>"), (3, "w", "<p>x</p>"), (3, "w", "<p>x</p>"), (4, "z", "<div>" * 20_000 + "deep")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
