@@ -2,29 +2,26 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 
+from tidemark.sources.tables import scratch
+
 
-def _stored(rows: DataFrame) -> DataFrame:
+def stored(rows: DataFrame) -> DataFrame:
     """rows in the shared checkpoint folder, without their lineage."""
     spark = rows.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:  # tests: nothing is lost there
-        return rows.cache()
-    path = f"{base.rstrip('/')}/tidemark-{uuid.uuid4().hex}/rows"
+    path = f"{scratch(spark)}/rows"
     rows.write.parquet(path)
     return spark.read.schema(rows.schema).parquet(path)
 
 
 def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(node): all that the roots reach over edges (a, b), the roots included.  A round joins the last frontier alone."""
-    edges = _stored(edges)
-    seen = frontier = _stored(roots.select("node").distinct())
+    edges = stored(edges)
+    seen = frontier = stored(roots.select("node").distinct())
     while True:
         step = edges.join(frontier, edges["a"] == frontier["node"], "left_semi").select(edges["b"].alias("node")).distinct()
-        frontier = _stored(step.join(seen, "node", "left_anti"))
+        frontier = stored(step.join(seen, "node", "left_anti"))
         if frontier.isEmpty():
             return seen
         seen = seen.union(frontier)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import scalars
 from tidemark.functions import text as T
-from tidemark.operators import matching, temporal
+from tidemark.operators import detection, matching, temporal
 from tidemark.plans.catalogue import query
 from tidemark.sources.tables import table, values
 from tidemark.streaming import windows
@@ -153,12 +153,12 @@ def top_k_per_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH f AS (SELECT user_id, min(event_id) AS first_seen FROM events GROUP BY user_id)
-SELECT user_id, first_seen, (row_number() OVER (ORDER BY first_seen))::INT AS pseudonym FROM f
+SELECT user_id, first_seen, row_number() OVER (ORDER BY first_seen) AS pseudonym FROM f
 """)
 def pseudonym_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Users numbered in the order of their first event; the window runs over one row a user."""
+    """Users numbered in the order of their first event: a sort by ranges, and running counts of the ranges."""
     first = table(spark, sf_dir, "events").groupBy("user_id").agg(F.min("event_id").alias("first_seen"))
-    return first.withColumn("pseudonym", F.row_number().over(Window.orderBy("first_seen")))
+    return detection.numbered(first, [], ["first_seen"], "pseudonym")
 
 
 @query("""

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -13,3 +16,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A small fixed table."""
     return spark.createDataFrame(rows, schema)
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder that driver and executors share: below spark.checkpoint.dir, and a local one only where no such folder is set (tests)."""
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    base = spark.conf.get("spark.checkpoint.dir", None) or (held.get() if held.isDefined() else f"file://{tempfile.mkdtemp(prefix='tidemark-')}")
+    return f"{base.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
