@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 IPV4 = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?:\.(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])){3}"
 DIGIT_RUN = r"[0-9]{13,19}"
+LOCAL_NUMBER = r"555-[0-9]{4}"
 ASSIGNED_TOKEN = r"([A-Za-z_]+) *= *\"([0-9a-f]{32,64})\""
 LICENCE_LINE = r"(?i)licen[cs]ed? |copyright|all rights reserved"
 TAG = r"<[^>]*>"

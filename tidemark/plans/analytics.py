@@ -55,15 +55,16 @@ def orphan_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH t AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)*\\.[A-Za-z]{2,}')) AS token FROM documents)
-SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM t a JOIN t b ON a.token = b.token AND a.doc_id < b.doc_id GROUP BY 1, 2
+WITH t AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '555-[0-9]{4}')) AS token FROM documents),
+g AS (SELECT token, min(doc_id) AS first_doc, count(*) AS holders FROM t GROUP BY token HAVING count(*) > 1)
+SELECT doc_id, token, first_doc, holders FROM t JOIN g USING (token)
 """)
 def linkability_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that share an address: the pairs themselves are the result."""
-    docs = table(spark, sf_dir, "documents").where(F.col("text").rlike(T.EMAIL))
-    tokens = docs.select("doc_id", F.explode(F.array_distinct(T.matches(F.col("text"), T.EMAIL))).alias("token")).distinct()
-    a, b = tokens.select(F.col("doc_id").alias("a"), "token"), tokens.select(F.col("doc_id").alias("b"), "token")
-    return a.join(b, "token").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
+    """Documents that share a number: each with the first that holds it and how many do, which stands for all pairs among them."""
+    found = T.matches(F.col("text"), T.LOCAL_NUMBER)
+    tokens = table(spark, sf_dir, "documents").where(F.col("text").rlike(T.LOCAL_NUMBER)).select("doc_id", F.explode(F.array_distinct(found)).alias("token")).distinct()
+    held = tokens.groupBy("token").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("holders")).where("holders > 1")
+    return tokens.join(held, "token").select("doc_id", "token", "first_doc", "holders")
 
 
 @query("""

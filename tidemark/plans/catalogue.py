@@ -470,17 +470,16 @@ def benchmark_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH RECURSIVE e AS (SELECT DISTINCT l_partkey % 50 AS a, l_suppkey % 50 AS b FROM lineitem WHERE l_quantity > 49 AND l_linenumber = 1),
-r AS (SELECT 0::BIGINT AS node UNION SELECT b FROM r JOIN e ON a = node) SELECT node FROM r
+WITH RECURSIVE n AS (SELECT l_partkey AS a, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS b FROM lineitem),
+e AS (SELECT DISTINCT a, b FROM n WHERE b IS NOT NULL),
+r AS (SELECT min(p_partkey) AS node FROM part UNION SELECT b FROM r JOIN e ON a = node) SELECT node FROM r
 """)
 def callgraph_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = (
-        table(spark, sf_dir, "lineitem")
-        .where("l_quantity > 49 and l_linenumber = 1")
-        .select((F.col("l_partkey") % 50).alias("a"), (F.col("l_suppkey") % 50).alias("b"))
-        .distinct()
-    )
-    return graph.reachable(edges, values(spark, [(0,)], "node long"))
+    """What the first part reaches, where a part calls the one on the next line of an order."""
+    lines = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
+    edges = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("a"), F.lead("l_partkey").over(lines).alias("b"))
+    roots = table(spark, sf_dir, "part").agg(F.min("p_partkey").alias("node"))
+    return graph.reachable(edges.where("b IS NOT NULL").distinct(), roots)
 
 
 @query("""
