@@ -5,9 +5,11 @@ from __future__ import annotations
 import re
 from bisect import bisect_right, insort
 from collections.abc import Iterable, Iterator, Sequence
+from functools import reduce
+from operator import or_
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import codes, formats
@@ -42,14 +44,19 @@ def _matches(text: str, wanted: Sequence[tuple[Format, re.Pattern, re.Pattern]])
             yield form.kind, form.subtype, form.confidence, name, value, size, size + len(value.encode("utf-8", "replace")), before
 
 
+def _holds(text: Column, need: str) -> Column:
+    """Whether a text meets a pattern; one without signs of its own is searched as it stands, which is cheaper."""
+    return text.contains(need) if re.fullmatch(r'[\w@:~"/-]+', need) else text.rlike(need)
+
+
 def spans(docs: DataFrame, ident: str, text: str, wanted: Sequence[Format], path: str | None = None) -> DataFrame:
     """(ident, path, kind, subtype, confidence, name, value, start_byte, end_byte, before): every match of the formats.
 
     Texts that can't match are left out before Python sees them; null and empty texts have no spans.  Bytes are those of UTF-8.
     """
-    need = "|".join(sorted({f"(?:{f.need})" for f in wanted}))
+    needs = [_holds(F.col(text), need) for need in sorted({f.need for f in wanted})]
     where = F.col(path).cast("string") if path else F.lit("")
-    rows = docs.where(F.col(text).rlike(need)).select(F.col(ident).alias("ident"), where.alias("path"), F.col(text).alias("text"))
+    rows = docs.where(reduce(or_, needs)).select(F.col(ident).alias("ident"), where.alias("path"), F.col(text).alias("text"))
     columns = ["ident", *(c.split()[0] for c in SPAN.split(", "))]
 
     def find(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
