@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontam, html, jaccard, licences, mixing, quality, substring, tokencount, toxicity, warc
+from tidemark.llm import decontam, html, jaccard, licences, mixing, quality, repeats, sharding, substring, tokencount, toxicity, warc, whitening
 from tidemark.llm.frames import table
 
 #: The vocabulary that op7 counts with: pieces and scores of a public BPE model file.
@@ -56,6 +56,18 @@ def op10_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, chain)
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_embeddings(table(spark, sf_dir, "embeddings"))
+
+
+def op12_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.sharded_documents(table(spark, sf_dir, "documents"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.run_digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_main_text": op1_html_main_text,
     "op2_licence_sentence_rules": op2_licence_sentence_rules,
@@ -67,6 +79,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_adaptive_jaccard_join": op8_adaptive_jaccard_join,
     "op9_source_mixture": op9_source_mixture,
     "op10_toxicity_chain": op10_toxicity_chain,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_stratified_shards": op12_stratified_shards,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLES: dict[str, str] = {
@@ -74,4 +89,5 @@ ORACLES: dict[str, str] = {
     "op5_warc_round_trip": warc.WARC_SQL,
     "op6_line_frequency_quality": quality.QUALITY_SQL,
     "op8_adaptive_jaccard_join": jaccard.JACCARD_SQL,
+    "op12_stratified_shards": sharding.SHARD_SQL,
 }
