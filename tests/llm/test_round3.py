@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.conftest import words
-from tidemark.llm import queries, repeats, sharding, whitening
+from tidemark.llm import queries, repeats, sharding, substring, whitening
 from tidemark.llm.frames import table
 
 SF = "/root/testdata/sf0.001"
@@ -228,3 +228,52 @@ def test_run_query_on_all_documents(spark):
     short = [i for i, t in docs.items() if len(t.split()) < 400]
     assert len(short) > 100 and all(got[i] == brute_digest(i, docs[i]) for i in short)
     assert sum(got[i][1] > 0 for i in short) > 5
+
+
+# Passages of op3
+
+
+def as_docs(spark, texts):
+    return spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], DOCS)
+
+
+def removed_rows(spark, texts):
+    return {tuple(x)[:4] for x in substring.passages(as_docs(spark, texts)).where("removed").collect()}
+
+
+def test_units_of_several_owners_are_no_passage(spark):
+    r = random.Random(21)
+    stock = [words(r, 6) for _ in range(5)]
+    holders = ["\n".join([words(r, 30), line, words(r, 30)]) for line in stock]
+    unique = [words(r, 10) for _ in range(2)]
+    gaps = "\n".join([words(r, 20), stock[0], unique[0], stock[1], unique[1], stock[2], words(r, 20)])
+    adjacent = "\n".join([words(r, 20), *stock, words(r, 20)])
+    texts = [*holders, gaps, adjacent]
+    assert removed_rows(spark, texts) == set()
+    assert {x.text for x in substring.remove_passages(as_docs(spark, texts)).collect()} == set(texts)
+
+
+def test_gaps_count_as_edits(spark):
+    r = random.Random(22)
+    a, b, c, d = (words(r, n) for n in (30, 25, 8, 9))
+    short = [words(r, 9) for _ in range(3)]
+    texts = [
+        ". ".join([words(r, 20), a, c, b, words(r, 20)]) + ".",
+        "\n".join([words(r, 20), *short, words(r, 20)]),
+        ". ".join([words(r, 15), a, d, b, words(r, 20)]) + ".",  # a changed sentence of 9 words in 63
+        "\n".join([words(r, 15), short[0], words(r, 9), short[1], words(r, 9), short[2], words(r, 20)]),  # 18 changed in 45
+        ". ".join([words(r, 15), b, words(r, 40), a, words(r, 20)]) + ".",  # another order, and far apart
+    ]
+    assert removed_rows(spark, texts) == {(2, 15, 30 + 9 + 25, 0), (4, 15 + 25 + 40, 30, 0)}
+
+
+def test_longer_passages_of_later_owners(spark):
+    r = random.Random(23)
+    run = words(r, 50).split()
+    texts = [f"{words(r, 20)} {' '.join(run[:40])} {words(r, 20)}", f"{words(r, 20)} {' '.join(run)} {words(r, 20)}", f"{words(r, 30)} {' '.join(run)} {words(r, 20)}"]
+    rows = removed_rows(spark, texts)
+    assert {x for x in rows if x[3] == 0} == {(1, 20, 40, 0), (2, 30, 40, 0)}
+    lost = {d: set() for d in (1, 2)}
+    for doc, start, n, _ in rows:
+        lost[doc] |= set(range(start, start + n))
+    assert lost == {1: set(range(20, 60)), 2: set(range(30, 80))}

@@ -4,7 +4,9 @@ Units are lines, and the sentences inside them, because passages are spliced int
 ROWS minima of its five-word shingles: LINE_BANDS for a line (a pair at 0.8 collides with a chance of 99.4 in 100),
 SENTENCE_BANDS for a sentence inside one (95.3 in 100), one for units below BANDED_WORDS, which are at 0.8 to their
 equals only.  Units that collide are verified by the exact Jaccard of their shingles and grouped into components.  A
-component stays in its smallest document and goes from the others, where units add up to passages of PASSAGE_WORDS.
+component stays in its smallest document, its owner, and goes from the others, where units add up to passages of
+PASSAGE_WORDS.  Units add up only if they have one owner and lie in its text in the same order and as close.  What lies
+between them belongs to the passage only if, taken as edits, it leaves the passage at PERCENT of its words.
 
 Repeats that start or end inside sentences, and runs of shorter lines, are found by windows of WINDOW_WORDS words at every
 place.  Windows are spread only near anchors that documents share and that no repeated units cover somewhere: of each
@@ -19,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import linking
@@ -33,8 +35,9 @@ ROWS = 2
 LINE_BANDS, SENTENCE_BANDS = 5, 3
 #: A word added at an end adds one shingle to n - 4: from here on unequal units can meet 0.8 (4 of 5).
 BANDED_WORDS = 8
-#: Shorter lines and sentences aren't units: between units they are bridged, and runs of them are found by windows.
+#: Shorter lines and sentences aren't units: runs of them are found by windows.
 UNIT_WORDS = 6
+#: Units that lie further apart, in either text, aren't of one passage.
 BRIDGE_WORDS = 10
 PASSAGE_WORDS = 30
 WINDOW_WORDS = 12
@@ -192,19 +195,21 @@ def unit_components(docs: DataFrame, met: DataFrame) -> DataFrame:
 
 
 def uncovered(places: DataFrame, held: DataFrame) -> DataFrame:
-    """(key) of the anchors (id, start, key) that lie outside the passages of repeated units (id, start, words, owner) in some document."""
-    spans = held.groupBy("id").agg(F.collect_list(F.struct("start", "words")).alias("units"))
-    spans = spans.select("id", F.col("units.start").alias("start"), F.col("units.words").alias("words"))
+    """(key) of the anchors (id, start, key) that lie outside the passages of repeated units (id and UNIT) in some document."""
+    spans = held.groupBy("id").agg(F.collect_list(F.struct(*UNIT)).alias("units"))
+    spans = spans.select("id", *(F.col(f"units.{c}").alias(f"u_{c}") for c in UNIT))
     spots = places.groupBy("id").agg(F.collect_list(F.struct("start", "key")).alias("spots"))
     spots = spots.select("id", F.col("spots.start").alias("at"), F.col("spots.key").alias("key"))
-    empty = F.array().cast("array<int>")
-    both = spots.join(spans, "id", "left").select("at", "key", *(F.coalesce(c, empty).alias(c) for c in ("start", "words")))
+    kinds = {c: f"array<{'bigint' if c == 'owner' else 'int'}>" for c in UNIT}
+    units = [F.coalesce(f"u_{c}", F.array().cast(kinds[c])).alias(f"u_{c}") for c in UNIT]
+    both = spots.join(spans, "id", "left").select("id", "at", "key", *units)
 
     def outside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             keys = [np.empty(0, dtype=np.int64)]
-            for at, key, start, words in zip(*(arrays(batch.column(c)) for c in ("at", "key", "start", "words")), strict=True):
-                begin, size, _ = joined(start, words, np.zeros(len(start), dtype=np.int64))
+            unit = zip(*(arrays(batch.column(f"u_{c}")) for c in UNIT), strict=True)
+            for doc, at, key, u in zip(batch.column("id").to_pylist(), arrays(batch.column("at")), arrays(batch.column("key")), unit, strict=True):
+                begin, size = covered(doc, *u)
                 if len(begin):
                     near = np.searchsorted(begin, at, side="right") - 1
                     inside = (near >= 0) & (at + WINDOW_WORDS <= begin[near] + size[near])
@@ -216,7 +221,7 @@ def uncovered(places: DataFrame, held: DataFrame) -> DataFrame:
 
 
 def shared_windows(docs: DataFrame, places: DataFrame, keys: DataFrame) -> DataFrame:
-    """(id, start, words, owner) of windows that other documents hold too, near the anchors (id, key) whose key is in keys."""
+    """The windows (id and UNIT) that other documents hold too, near the anchors (id, key) whose key is in keys."""
     met = may_match(places.select("id", "key"), "key", keys, "key").join(keys, "key", "left_semi")
     wanted = cut(met.groupBy("id").agg(F.collect_set("key").alias("keys")))
 
@@ -244,29 +249,111 @@ def shared_windows(docs: DataFrame, places: DataFrame, keys: DataFrame) -> DataF
 
     near = may_match(_documents(docs), "id", wanted).join(wanted, "id").select("id", "text", "keys")
     found = cut(near.mapInArrow(spread, "id long, start int, key long"))
-    held = with_group(found, "key", "id", [F.min("id").alias("owner"), F.max("id").alias("hi")], "owner < hi")
-    return held.select("id", "start", F.lit(WINDOW_WORDS).alias("words"), "owner")
+    held = with_group(found, "key", "id", [F.min(F.struct("id", "start")).alias("first"), F.max("id").alias("hi")], "first.id < hi")
+    size = F.lit(WINDOW_WORDS)
+    return held.select("id", "start", size.alias("words"), F.col("first.id").alias("owner"), F.col("first.start").alias("at"), size.alias("at_words"))
 
 
-def joined(start: np.ndarray, words: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, words, least owner) of the passages that units add up to."""
-    if not len(start):
-        return start, words, owner
+#: A repeated unit: where it is in its document, and where it is in its owner.
+UNIT = ("start", "words", "owner", "at", "at_words")
+
+
+def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) of the stretches that intervals cover."""
     order = np.argsort(start, kind="stable")
-    start, owner = start[order].astype(np.int64), owner[order]
-    end = np.maximum.accumulate(start + words[order])
-    first = np.flatnonzero(np.concatenate([[True], start[1:] > end[:-1] + BRIDGE_WORDS]))
-    size = end[np.concatenate([first[1:], [len(start)]]) - 1] - start[first]
-    keep = size >= PASSAGE_WORDS
-    return start[first][keep], size[keep], np.minimum.reduceat(owner, first)[keep]
+    start, end = start[order], np.maximum.accumulate(end[order])
+    first = np.flatnonzero(np.append(True, start[1:] > end[:-1])[: len(start)])
+    return start[first], end[np.append(first[1:], len(start))[: len(first)] - 1]
+
+
+def segments(start: np.ndarray, words: np.ndarray, owner: np.ndarray, at: np.ndarray, at_words: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
+    """(owner, start, end, at, at's end) of units that follow each other without a gap, at one distance from their places in one owner."""
+    start, at = start.astype(np.int64), at.astype(np.int64)
+    end, at_end, shift = start + words, at + at_words, at - start
+    order = np.lexsort((start, shift, owner))
+    owner, shift, start, end, at, at_end = (x[order] for x in (owner, shift, start, end, at, at_end))
+    turn = np.append(True, (owner[1:] != owner[:-1]) | (shift[1:] != shift[:-1]))[: len(start)]
+    # Ends so far in the group: groups are told apart by a step that no text's length reaches.
+    step = np.cumsum(turn) << 40
+    reach = np.maximum.accumulate(end + step) - step
+    first = np.flatnonzero(turn | np.append(True, start[1:] > reach[:-1])[: len(start)])
+    if len(first):
+        last = np.append(first[1:], len(start)) - 1
+        yield from zip(*(x.tolist() for x in (owner[first], start[first], reach[last], at[first], np.maximum.reduceat(at_end, first))), strict=True)
+
+
+def _near_copy(chain: list[tuple[int, int, int, int]]) -> list[list[tuple[int, int, int, int]]]:
+    """A chain of segments (start, end, at, at's end), cut at its widest gaps until what is between them is few enough edits for PERCENT."""
+    done, todo = [], [chain]
+    while todo:
+        one = todo.pop()
+        gaps, reach, at_reach, held = [0], one[0][1], one[0][3], one[0][1] - one[0][0]
+        for start, end, at, at_end in one[1:]:
+            gaps.append(max(0, start - reach, at - at_reach))
+            held += max(0, end - max(start, reach))
+            reach, at_reach = max(reach, end), max(at_reach, at_end)
+        if 100 * sum(gaps) <= (100 - PERCENT) * (held + sum(gaps)):
+            done.append(one)
+        else:
+            widest = gaps.index(max(gaps))
+            todo += [one[:widest], one[widest:]]
+    return done
+
+
+def joined(start: np.ndarray, words: np.ndarray, owner: np.ndarray, at: np.ndarray, at_words: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+    """(start, words, owner, place in the owner, words there) of the passages that one document's units of other owners add up to.
+
+    A passage shorter than PASSAGE_WORDS counts only where it overlaps one that counts by all of a window but a word.
+    """
+    chains: list[list] = []  # owner, reach, place of the last segment, reach in the owner, segments
+    live: list[list] = []
+    for own, begin, end, place, place_end in sorted(segments(start, words, owner, at, at_words)):
+        live = [c for c in live if c[0] == own and begin <= c[1] + BRIDGE_WORDS]
+        for c in reversed(live):
+            if c[2] <= place <= c[3] + BRIDGE_WORDS and place_end >= c[3] - BRIDGE_WORDS:
+                c[1], c[2], c[3] = max(c[1], end), place, max(c[3], place_end)
+                c[4].append((begin, end, place, place_end))
+                break
+        else:
+            live.append([own, end, place, place_end, [(begin, end, place, place_end)]])
+            chains.append(live[-1])
+    found, rest = [], []
+    for own, *_, chain in chains:
+        for one in _near_copy(chain):
+            a, b = one[0][0], max(x[1] for x in one)
+            first, last = min(x[2] for x in one), max(x[3] for x in one)
+            (found if b - a >= PASSAGE_WORDS else rest).append((a, b - a, own, first, last - first))
+    # Where a longer passage of a later owner holds a part of an earlier one, the rest of it is shorter.  Its first window
+    # reaches back into the part.
+    begins, ends = merged(*(np.array(x, dtype=np.int64) for x in ([f[0] for f in found], [f[0] + f[1] for f in found])))
+    while rest and len(begins):
+        near = [any(min(a + n, e) - max(a, b) >= WINDOW_WORDS - 1 for b, e in zip(begins, ends, strict=True)) for a, n, *_ in rest]
+        if not any(near):
+            break
+        new = [x for x, yes in zip(rest, near, strict=True) if yes]
+        rest = [x for x, yes in zip(rest, near, strict=True) if not yes]
+        found += new
+        begins, ends = merged(np.append(begins, [x[0] for x in new]), np.append(ends, [x[0] + x[1] for x in new]))
+    return found
+
+
+def covered(doc: int, start: np.ndarray, words: np.ndarray, owner: np.ndarray, at: np.ndarray, at_words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, words) of the stretches of a document that passages hold; of what it owns itself, all units that touch."""
+    other = owner != doc
+    spans = [(a, a + n) for a, n, *_ in joined(*(x[other] for x in (start, words, owner, at, at_words)))]
+    own_start, own_end = merged(start[~other].astype(np.int64), (start + words)[~other].astype(np.int64))
+    long = own_end - own_start >= PASSAGE_WORDS
+    both = np.array(spans, dtype=np.int64).reshape(-1, 2)
+    begin, end = merged(np.concatenate([both[:, 0], own_start[long]]), np.concatenate([both[:, 1], own_end[long]]))
+    return begin, end - begin
 
 
 @tidy
 def passages(docs: DataFrame) -> DataFrame:
     """(doc_id, start_word, n_words, first_doc_id, removed): repeated passages.
 
-    A row for each passage that repeats in other documents: removed is false in the
-    smallest document that holds it, which keeps it, and true in the others.  Rows that share
+    A row for each passage that repeats in other documents: removed is true in the documents that
+    lose it, and false for the stretches that the smallest documents keep in their stead.  Rows that share
     a doc_id are one document.  Rows with a null doc_id, and null, empty or short texts, give none.  Very long texts are
     read whole; an empty table gives no rows.
     """
@@ -280,36 +367,39 @@ def passages(docs: DataFrame) -> DataFrame:
     whole = met.where("words > 0")
     labels = unit_components(docs, whole.where(F.col("words") >= BANDED_WORDS))
     named = linking.with_component(whole.withColumnRenamed("id", "doc").groupBy(F.col("key").alias("id")).agg(
-        F.min("doc").alias("lo"), F.max("doc").alias("hi"), salts("doc").alias("held")
+        F.min(F.struct("doc", "start", "words")).alias("lo"), F.max("doc").alias("hi"), salts("doc").alias("held")
     ), labels)
-    first = named.groupBy("component").agg(F.min("lo").alias("owner"), F.max("hi").alias("hi")).where("owner < hi")
-    owners = named.join(first.select("component", "owner"), "component").select(F.col("id").alias("key"), "owner", each_salt("held").alias("salt"))
+    first = named.groupBy("component").agg(F.min("lo").alias("first"), F.max("hi").alias("hi")).where("first.doc < hi")
+    owners = named.join(first.select("component", "first"), "component").select(
+        F.col("id").alias("key"), F.col("first.doc").alias("owner"), F.col("first.start").alias("at"), F.col("first.words").alias("at_words"), each_salt("held").alias("salt")
+    )
     unit_rows = whole.select("id", "start", "words", "key").distinct().withColumn("salt", salt("id"))
-    held = cut(unit_rows.join(owners, ["key", "salt"]).select("id", "start", "words", "owner"))
+    held = cut(unit_rows.join(owners, ["key", "salt"]).select("id", *UNIT))
     places = met.where("words = 0").select("id", "start", "key")
     held = held.union(shared_windows(docs, places, cut(uncovered(places, held))))
-    runs = held.groupBy("id").agg(F.collect_list(F.struct("start", "words", "owner")).alias("units"))
-    runs = runs.select("id", *(F.col(f"units.{c}").alias(c) for c in ("start", "words", "owner")))
-    schema = "doc_id long, start_word int, n_words int, first_doc_id long, removed boolean"
+    runs = held.where("owner <> id").groupBy("id").agg(F.collect_list(F.struct(*UNIT)).alias("units"))
+    runs = runs.select("id", *(F.col(f"units.{c}").alias(c) for c in UNIT))
 
     def join_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            rows: list[list[np.ndarray]] = [[np.empty(0, dtype=np.int64)] for _ in range(5)]
-            units = zip(*(arrays(batch.column(c)) for c in ("start", "words", "owner")), strict=True)
-            for doc, (start, words, owner) in zip(batch.column("id").to_pylist(), units, strict=True):
-                for removed in (False, True):
-                    mine = (owner < doc) == removed
-                    if mine.any():
-                        at, size, first = joined(start[mine], words[mine], owner[mine])
-                        for to, got in zip(rows, (np.full(len(at), doc), at, size, first, np.full(len(at), int(removed))), strict=True):
-                            to.append(got)
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_()]
-            yield pa.record_batch(
-                [pa.array(np.concatenate(r), type=pa.int64()).cast(k) for r, k in zip(rows, kinds, strict=True)],
-                names=["doc_id", "start_word", "n_words", "first_doc_id", "removed"],
-            )
-
-    return runs.mapInArrow(join_up, schema)
+            rows = []
+            units = zip(*(arrays(batch.column(c)) for c in UNIT), strict=True)
+            for doc, unit in zip(batch.column("id").to_pylist(), units, strict=True):
+                rows += [(doc, *passage) for passage in joined(*unit)]
+            columns = np.array(rows, dtype=np.int64).reshape(-1, 6).T
+            yield pa.record_batch([pa.array(c) for c in columns], names=["doc_id", *UNIT])
+
+    gone = cut(runs.mapInArrow(join_up, "doc_id long, start long, words long, owner long, at long, at_words long"))
+    by_start = Window.partitionBy("owner").orderBy("at", "until")
+    kept = gone.select("owner", "at", (F.col("at") + F.col("at_words")).alias("until")).distinct()
+    kept = kept.withColumn("reach", F.max("until").over(by_start.rowsBetween(Window.unboundedPreceding, -1)))
+    kept = kept.withColumn("run", F.sum(F.when(F.col("at") <= F.col("reach"), 0).otherwise(1)).over(by_start.rowsBetween(Window.unboundedPreceding, 0)))
+    kept = kept.groupBy("owner", "run").agg(F.min("at").alias("at"), F.max("until").alias("until"))
+    return gone.select(
+        "doc_id", F.col("start").cast("int").alias("start_word"), F.col("words").cast("int").alias("n_words"), F.col("owner").alias("first_doc_id"), F.lit(True).alias("removed")
+    ).union(
+        kept.select("owner", F.col("at").cast("int"), (F.col("until") - F.col("at")).cast("int"), F.col("owner"), F.lit(False))
+    )
 
 
 def without(text: str, spans: list[tuple[int, int]]) -> str:
