@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
 import zlib
 from collections import Counter
 from fractions import Fraction
@@ -13,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.conftest import words
-from tidemark.llm import queries, repeats, sharding, substring, whitening
+from tidemark.llm import html, queries, repeats, sharding, substring, whitening
 from tidemark.llm.frames import table
 
 SF = "/root/testdata/sf0.001"
@@ -277,3 +278,37 @@ def test_longer_passages_of_later_owners(spark):
     for doc, start, n, _ in rows:
         lost[doc] |= set(range(start, start + n))
     assert lost == {1: set(range(20, 60)), 2: set(range(30, 80))}
+
+
+# Broken and unusual markup of op1
+
+TEXT = "this is one of the things that we had for a long time and it was what they all have been"
+OTHER = "there is more to it than that, which is what you would have from some of them when we were in it"
+
+
+@pytest.mark.parametrize(
+    "shape",
+    ["<div>" * 60_000 + "</p>" * 60_000, "<a " * 300_000, '<b a="' * 160_000, '<span class="ad">x' * 60_000, "<p>x</p>" + '<b a="' * 160_001 + ">", "<!-- x" * 150_000],
+)
+def test_broken_markup_takes_linear_time(shape):
+    began = time.process_time()
+    html.main_text(shape)
+    assert len(shape) > 500_000 and time.process_time() - began < 5
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<article><p>{TEXT} <span class='ad'>cheap</p><p>{OTHER}</p></article>", f"{TEXT}\n\n{OTHER}"),
+        (f"<article><span class='ad'>cheap<p>{TEXT}</p><p>{OTHER}</p></article>", f"{TEXT}\n\n{OTHER}"),
+        (f"<p>{TEXT} <span class='ad'>a <span>b</span> cheap pills</span> end</p>", f"{TEXT} end"),
+        (f"<p>{TEXT} <b class='ad'>buy</b> <em>end</em></p>", f"{TEXT} end"),
+        (f"<div>{TEXT}<span class='ad'><div>Buy now</div> cheap</span></div><p>{OTHER}</p>", f"{TEXT}\n\n{OTHER}"),
+        (f"<article><header><h1>Head</h1><p>By A</p><p>{TEXT}</p></header><p>{OTHER}</p></article>", f"Head\n\n{TEXT}\n\n{OTHER}"),
+        (f"<header><p>{TEXT}</p></header><p>{OTHER}</p>", OTHER),
+        (f"<p>{OTHER}</p><a href='x", OTHER),
+        (f"<p>{OTHER} 1 < 2 <3</p>", f"{OTHER} 1 < 2 <3"),
+    ],
+)
+def test_markup_that_names_boilerplate(page, text):
+    assert html.main_text(page) == text

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -83,6 +84,7 @@ _TOKEN = re.compile(
     r"|(?P<text>[^<]+|<)",
     re.S,
 )
+_OPENS = re.compile("</?[a-zA-Z]")
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.S)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -92,10 +94,11 @@ _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I) for name in RAW}
 class Block:
     """Text between block tags: its label is True (text), False (boilerplate) or None (ambiguous)."""
 
-    __slots__ = ("heading", "hint", "in_list", "label", "linked", "scope", "text")
+    __slots__ = ("heading", "hint", "in_list", "label", "linked", "muted", "scope", "text")
 
-    def __init__(self, text: str, linked: int, heading: bool, in_list: bool, scope: bool, hint: int = 0) -> None:
+    def __init__(self, text: str, linked: int, heading: bool, in_list: bool, scope: bool, hint: int = 0, muted: int = 0) -> None:
         self.text, self.linked, self.heading, self.in_list, self.scope = text, linked, heading, in_list, scope
+        self.muted = muted  # the number of the inline element around it that names itself boilerplate, if any
         self.hint = hint  # the outermost container that names itself boilerplate: its number, negative for reader comments
         self.label: bool | None = None
 
@@ -131,6 +134,15 @@ def _hinted(name: str, attributes: dict[str, str]) -> int:
     return int(attributes.get("role", "").strip().lower() in ROLES or _named(value, HINTS))
 
 
+class _Muted:
+    """An open inline element that names itself boilerplate: its own text goes; blocks inside it go if its end tag comes before its parent's end."""
+
+    __slots__ = ("inner", "level", "name", "nested", "number")
+
+    def __init__(self, name: str, level: int, number: int) -> None:
+        self.name, self.level, self.number, self.nested, self.inner = name, level, number, 1, False
+
+
 def _attributes(rest: str) -> dict[str, str]:
     found: dict[str, str] = {}
     for key, a, b, c in _ATTRIBUTE.findall(rest):
@@ -146,20 +158,29 @@ def blocks_of(page: str) -> list[Block]:
     hint = hints = 0
     parts: list[str] = []
     linked = 0
+    opens: Counter[str] = Counter()  # names on the stack
+    muted: _Muted | None = None
+    closed: set[int] = set()  # muted elements whose end tag came
 
     def flush() -> None:
         nonlocal parts, linked
         if parts:
             text = " ".join("".join(parts).split())
             heading = any(n in HEADINGS for n, *_ in stack[-2:])
-            if text and not (header and not heading):
+            if text:
                 lists = any(n in ("li", "td", "th", "dd", "dt", "ul", "ol") for n, *_ in stack[-3:])
-                found.append(Block(text, min(linked, len(text)), heading, lists, scope > 0, hint))
+                block = Block(text, min(linked, len(text)), heading, lists, scope > 0, hint, muted.number if muted and muted.inner else 0)
+                # In an article's header only headings and what reads like text count.
+                if not header or heading or reads_like_text(block):
+                    found.append(block)
             parts, linked = [], 0
 
     def pop() -> None:
-        nonlocal bad, scope, header, hint
+        nonlocal bad, scope, header, hint, muted
         name, was, opened = stack.pop()
+        opens[name] -= 1
+        if muted and len(stack) < muted.level:
+            muted = None
         bad -= was
         hint = 0 if opened else hint
         if not was and name in ("article", "main"):
@@ -170,12 +191,12 @@ def blocks_of(page: str) -> list[Block]:
     at, size = 0, len(page)
     while at < size:
         m = _TOKEN.match(page, at)
-        if m is None:  # a tag that never ends
+        if m["text"] == "<" and _OPENS.match(page, at):  # a tag that never ends holds the rest of the page
             break
         at = m.end()
         text = m["text"] if m["text"] is not None else m["cdata"]
         if text is not None:
-            if not bad:
+            if not bad and not (muted and not muted.inner):
                 text = html.unescape(text) if "&" in text and m["cdata"] is None else text
                 parts.append(text)
                 if links:
@@ -189,10 +210,19 @@ def blocks_of(page: str) -> list[Block]:
                 links = max(0, links - 1)
             elif name in BLOCKS or name in DROPPED:
                 flush()
-                if any(n == name for n, *_ in stack):
+                if muted:
+                    muted.inner = True
+                if opens[name]:
                     while stack[-1][0] != name:
                         pop()
                     pop()
+            elif muted and name == muted.name:
+                muted.nested -= 1
+                if not muted.nested:
+                    if muted.inner:
+                        flush()
+                    closed.add(muted.number)
+                    muted = None
             continue
         if name in RAW:
             end = _RAW_END[name].search(page, at)
@@ -210,6 +240,8 @@ def blocks_of(page: str) -> list[Block]:
         attributes = _attributes(m["rest"]) if m["rest"] else {}
         if name in BLOCKS or name in DROPPED:
             flush()
+            if muted:
+                muted.inner = True
             links = 0 if name in BLOCKS and name not in ("div", "p", "li") else links
             if stack and stack[-1][0] == "p":
                 pop()
@@ -229,17 +261,21 @@ def blocks_of(page: str) -> list[Block]:
                 header += 1
                 was = was or not scope
             stack.append((name, was, kind != 0))
+            opens[name] += 1
             bad += was
             if not was and name in ("article", "main"):
                 scope += 1
         elif name == "body":
             links = 0
-        elif name in ("span", "ins") and attributes and (_hidden(attributes) or _hinted(name, attributes)):
-            # An inline element that names itself boilerplate: its text goes, up to its end tag.
-            end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-            at = end.end() if end else at
+        elif name in VOID:
+            continue
+        elif muted:
+            muted.nested += name == muted.name
+        elif attributes and (_hidden(attributes) or _hinted(name, attributes)):
+            hints += 1
+            muted = _Muted(name, len(stack), hints)
     flush()
-    return found
+    return [b for b in found if b.muted not in closed]
 
 
 def _stop_density(text: str) -> float:
