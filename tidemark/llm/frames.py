@@ -36,6 +36,8 @@ def _checkpoint_dir(spark: SparkSession) -> str:
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get()
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     import tempfile
 
     made = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
@@ -81,6 +83,13 @@ def _delete(spark: SparkSession, paths: list[str]) -> None:
         folder.getFileSystem(hadoop).delete(folder, True)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes what cut() wrote for df: for large tables that nothing reads any more while their operator still runs."""
+    files = df.inputFiles()
+    if files:
+        _delete(df.sparkSession, [files[0].rsplit("/", 1)[0]])
+
+
 def tidy(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     """An operator whose rows are written to the shared folder, upon which all that it wrote before is deleted.
 

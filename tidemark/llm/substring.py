@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import linking
-from tidemark.llm.frames import cut, each_salt, fresh, may_match, salt, salts, slices, tidy, with_group
+from tidemark.llm.frames import cut, discard, each_salt, fresh, may_match, salt, salts, slices, tidy, with_group
 from tidemark.llm.linking import arrays
 from tidemark.llm.textkit import Chunk, chunks, mix, run_hashes, shingle_sets, window_hashes, word_spans
 
@@ -364,6 +364,8 @@ def passages(docs: DataFrame) -> DataFrame:
     dealt = shared.select(F.col("s_bucket").alias("bucket"), each_salt("held").alias("salt"))
     met = may_match(postings, "bucket", shared, "s_bucket").withColumn("salt", salt("id"))
     met = cut(met.join(dealt, ["bucket", "salt"], "left_semi").drop("salt"))
+    discard(found)
+    discard(shared)
     whole = met.where("words > 0")
     labels = unit_components(docs, whole.where(F.col("words") >= BANDED_WORDS))
     named = linking.with_component(whole.withColumnRenamed("id", "doc").groupBy(F.col("key").alias("id")).agg(
