@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import regions
+from tidemark.functions import versions
+from tidemark.operators import advisories, regions
 from tidemark.plans.catalogue import query
 from tidemark.plans.security import _F, scan_findings
 from tidemark.sources.tables import table
@@ -116,3 +117,60 @@ def exposure_what_if(spark: SparkSession, sf_dir: str) -> DataFrame:
     provider = F.element_at(F.array(F.lit("A"), F.lit("N"), F.lit("R")), (F.col("slice") % 3 + 1).cast("int"))
     candidates = rows.select("slice", provider.alias("provider"), "path", (F.col("start") + 5).alias("start"), (F.col("end") + 9).alias("end"))
     return regions.would_reach(regions.exposure_account(rows, _KEY), candidates, _KEY, _LINES)
+
+
+# --- versions ----------------------------------------------------------------------------------------------
+
+_VERSIONS = """
+f AS (SELECT p_partkey AS id, p_brand AS brand, p_partkey % 200 AS lib, p_size % 2 AS e, p_partkey % 4 AS a, p_size % 12 AS b, p_partkey % 3 AS c, (p_partkey * 5 + p_size) % 7 AS k, p_size % 11 AS n FROM part),
+v AS (SELECT id, brand, lib, 'PyPI' AS ecosystem, CASE WHEN e = 1 THEN '1!' ELSE '' END || a || '.' || b || CASE WHEN c = 0 AND id % 2 = 0 THEN '' ELSE '.' || c END
+    || ['', 'a' || n, '-beta.' || n, 'rc' || n, '.post' || n, '.dev' || n, 'C' || n || '.dev3+local.1'][k + 1] AS version,
+  [e, a, b, c, [9, 1, 2, 3, 9, 0, 3][k + 1], CASE WHEN k IN (1, 2, 3, 6) THEN n ELSE 0 END, CASE WHEN k = 4 THEN n ELSE -1 END, CASE WHEN k = 5 THEN n WHEN k = 6 THEN 3 ELSE 99 END] AS key FROM f
+UNION ALL SELECT id, brand, lib, 'npm', 'v' || a || '.' || b || '.' || c || ['', '-alpha', '-alpha.' || n, '-beta.' || n, '-' || n, '+build' || n, '-rc.' || n || '.x'][k + 1],
+  [a, b, c] || CASE k WHEN 0 THEN [1] WHEN 5 THEN [1] WHEN 1 THEN [0, 1, 0] WHEN 2 THEN [0, 1, 0, 0, n] WHEN 3 THEN [0, 1, 1, 0, n] WHEN 4 THEN [0, 0, n] ELSE [0, 1, 2, 0, n, 1] END FROM f
+UNION ALL SELECT id, brand, lib, 'Maven', a || '.' || b || '.' || c || ['', '-SNAPSHOT', '-alpha-' || n, '.BETA' || n, '-rc' || n, '-SP-' || n, '.Final'][k + 1],
+  [a, b, c, [5, 4, 0, 1, 3, 6, 5][k + 1], CASE WHEN k IN (2, 3, 4, 5) THEN n ELSE 0 END] FROM f
+UNION ALL SELECT id, brand, lib, 'Go', 'v' || a || '.' || b || '.' || c || CASE WHEN k < 3 THEN '-0.202' || k || '0101' || (100000 + n) || '-0123456789ab' WHEN k = 3 THEN '-pre' ELSE '' END,
+  [a, b, c, CASE WHEN k = 3 THEN 0 ELSE 1 END] || CASE WHEN k < 3 THEN [k, n] ELSE []::BIGINT[] END FROM f)
+"""
+
+
+def part_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, brand, lib, ecosystem, version): a version a part in each of four ecosystems."""
+    col = lambda e: F.expr(e)
+    f = table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("id"), F.col("p_brand").alias("brand"), col("p_partkey % 200 AS lib"), col("p_size % 2 AS e"), col("p_partkey % 4 AS a"), col("p_size % 12 AS b"),
+        col("p_partkey % 3 AS c"), col("cast((p_partkey * 5 + p_size) % 7 AS int) AS k"), col("p_size % 11 AS n"),
+    )
+    texts = {
+        "PyPI": "concat(if(e = 1, '1!', ''), a, '.', b, if(c = 0 AND id % 2 = 0, '', concat('.', c)), array('', concat('a', n), concat('-beta.', n), concat('rc', n), concat('.post', n), concat('.dev', n), concat('C', n, '.dev3+local.1'))[k])",
+        "npm": "concat('v', a, '.', b, '.', c, array('', '-alpha', concat('-alpha.', n), concat('-beta.', n), concat('-', n), concat('+build', n), concat('-rc.', n, '.x'))[k])",
+        "Maven": "concat(a, '.', b, '.', c, array('', '-SNAPSHOT', concat('-alpha-', n), concat('.BETA', n), concat('-rc', n), concat('-SP-', n), '.Final')[k])",
+        "Go": "concat('v', a, '.', b, '.', c, CASE WHEN k < 3 THEN concat('-0.202', k, '0101', 100000 + n, '-0123456789ab') WHEN k = 3 THEN '-pre' ELSE '' END)",
+    }
+    each = F.explode(F.array(*(F.struct(F.lit(name).alias("ecosystem"), F.expr(text).alias("version")) for name, text in texts.items()))).alias("v")
+    return f.select("id", "brand", "lib", each).select("id", "brand", "lib", "v.*")
+
+
+@query(f"""
+WITH {_VERSIONS}, w AS (SELECT *, lag(key) OVER o AS before, lag(version) OVER o AS previous FROM v WINDOW o AS (PARTITION BY ecosystem, brand, lib % 10 ORDER BY id))
+SELECT id, ecosystem, previous, version, CASE WHEN before < key THEN -1 WHEN before > key THEN 1 ELSE 0 END AS cmp FROM w WHERE previous IS NOT NULL
+""")
+def version_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each part's version beside the one before it, in four orders."""
+    order = Window.partitionBy("ecosystem", "brand", F.col("lib") % 10).orderBy("id")
+    rows = part_versions(spark, sf_dir).withColumn("previous", F.lag("version").over(order)).where("previous IS NOT NULL")
+    return rows.select("id", "ecosystem", "previous", "version", versions.compared(F.col("ecosystem"), F.col("previous"), F.col("version")).alias("cmp"))
+
+
+@query(f"""
+WITH {_VERSIONS}, r AS (SELECT 'ADV-' || id AS advisory, ecosystem, lib, key AS low, lead(key, 3) OVER (PARTITION BY ecosystem, lib ORDER BY id) AS high FROM v)
+SELECT DISTINCT v.ecosystem, 'lib' || v.lib AS name, v.version, r.advisory FROM v JOIN r ON r.ecosystem = v.ecosystem AND r.lib = v.lib AND (r.advisory LIKE '%0' OR v.key >= r.low) AND (r.high IS NULL OR v.key < r.high)
+""")
+def affected_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Versions inside the ranges of advisories of their library; some ranges have no beginning or no end."""
+    rows = part_versions(spark, sf_dir).withColumn("name", F.concat(F.lit("lib"), F.col("lib").cast("string")))
+    later = F.lead("version", 3).over(Window.partitionBy("ecosystem", "lib").orderBy("id"))
+    low = F.when(F.col("id") % 10 != 0, F.col("version"))
+    ranges = rows.select(F.concat(F.lit("ADV-"), F.col("id").cast("string")).alias("advisory"), "ecosystem", "name", low.alias("introduced"), later.alias("fixed"))
+    return advisories.affected(rows, ranges)
