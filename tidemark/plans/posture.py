@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import versions
-from tidemark.operators import advisories, regions
+from tidemark.operators import advisories, regions, rules
 from tidemark.plans.catalogue import query
 from tidemark.plans.security import _F, scan_findings
-from tidemark.sources.tables import table
+from tidemark.sources.tables import table, values
 
 # --- regions -----------------------------------------------------------------------------------------------
 
@@ -174,3 +174,81 @@ def affected_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     low = F.when(F.col("id") % 10 != 0, F.col("version"))
     ranges = rows.select(F.concat(F.lit("ADV-"), F.col("id").cast("string")).alias("advisory"), "ecosystem", "name", low.alias("introduced"), later.alias("fixed"))
     return advisories.affected(rows, ranges)
+
+
+# --- rules on paths ----------------------------------------------------------------------------------------
+
+#: Ignore lines: scope, line, and for the SQL the same as a regular expression (null: no rule).
+_IGNORES = [
+    ("", "# comment", None, False, False), ("", "*.html", r"^(?:.*/)?[^/]*\.html$", False, False), ("", "!*5.html", r"^(?:.*/)?[^/]*5\.html$", True, False),
+    ("", "www.*/", r"^(?:.*/)?www\.[^/]*$", False, True), ("", "!www.*.net/", r"^(?:.*/)?www\.[^/]*\.net$", True, True), ("", "/m.*.com/fr", r"^m\.[^/]*\.com/fr$", False, False),
+    ("", "**/es/?00", r"^(?:.*/)?es/[^/]00$", False, False), ("", "blog.*/**", r"^blog\.[^/]*/.*$", False, False), ("", "!blog.*/en", r"^blog\.[^/]*/en$", True, False),
+    ("", "[1-3]1[0-9]", "^(?:.*/)?[1-3]1[0-9]$", False, False), ("", "   ", None, False, False), ("", "de/", "^(?:.*/)?de$", False, True), ("", "!de", "^(?:.*/)?de$", True, False),
+    ("", "*.org/en/9*", r"^[^/]*\.org/en/9[^/]*$", False, False), ("", "77?", "^(?:.*/)?77[^/]$", False, False), ("", "!777", "^(?:.*/)?777$", True, False),
+    ("", "a+b(c).$d", r"^(?:.*/)?a\+b\(c\)\.\$d$", False, False), ("en", "*", "^(?:.*/)?[^/]*$", False, False), ("", "fr/*2", "^fr/[^/]*2$", False, False), ("", "**/fr/**/3*", "^(?:.*/)?fr/(?:.*/)?3[^/]*$", False, False),
+]
+
+
+def _sql(v: object) -> str:
+    return "NULL" if v is None else str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+
+
+@query(f"""
+WITH p AS (SELECT DISTINCT rtrim(regexp_replace(url, '^[a-z]+://|[?#].*$', '', 'g'), '/') AS path FROM pages),
+r AS (SELECT * FROM (VALUES {", ".join(f"({i}, {_sql(s)}, {_sql(x)}, {_sql(n)}, {_sql(d)})" for i, (s, _, x, n, d) in enumerate(_IGNORES) if x)}) AS t(no, scope, regex, negated, dir_only)),
+b AS (SELECT path, unnest(range(1, len(string_split(path, '/')) + 1)) AS depth FROM p), e AS (SELECT path, depth, array_to_string(string_split(path, '/')[1:depth], '/') AS entry FROM b),
+m AS (SELECT path, depth, max_by(negated, no) AS negated, max(no) AS no FROM e JOIN r ON (NOT dir_only OR entry <> path) AND scope = '' AND regexp_matches(entry, regex) GROUP BY ALL),
+h AS (SELECT path, min_by(no, depth) AS rule_no FROM m WHERE NOT negated GROUP BY path)
+SELECT path, rule_no IS NOT NULL AS ignored, rule_no FROM p LEFT JOIN h USING (path)
+""")
+def ignored_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages' paths under twenty ignore lines in order."""
+    path = F.rtrim(F.regexp_replace("url", "^[a-z]+://|[?#].*$", ""), F.lit("/")).alias("path")
+    lines = values(spark, [(i, s, line) for i, (s, line, *_) in enumerate(_IGNORES)], "rule_no int, scope string, line string")
+    return rules.ignored_paths(table(spark, sf_dir, "pages").select(path), rules.parsed_ignores(lines))
+
+
+_POLICY = {
+    "p": [(0, "src1/**", 1, False), (1, "**", 0, False), (2, "src1/en/*", 0, False), (3, "*/de/7?.txt", 3, False), (4, "src2/fr/1.txt", None, True)],
+    "q": [(0, "**/en/*", 1, False), (1, "src3/**", 2, False), (2, "src3/**/5*.txt", 0, True)],
+    "c": [(0, "legal", "**/9*.txt", 2, False), (1, "legal", "src0/**", 2, False), (2, "secret", "**/99.txt", None, True), (3, "draft", "src[4-6]/es/*", 1, False)],
+    "l": [(0, "FR", 2), (1, "es", 1), (2, "unknown", 3)],
+    "w": [(0, "sql.*", 3), (1, "*", 0), (2, "xss.?", 2)],
+}
+_POLICY_SQL = ", ".join(f"{n}({cols}) AS (VALUES {', '.join('(' + ', '.join(map(_sql, r)) + ')' for r in _POLICY[n])})" for n, cols in
+                        (("p", "no, pat, lev, never"), ("q", "no, pat, lev, never"), ("c", "no, tag, pat, lev, never"), ("l", "no, lang, lev"), ("w", "no, pat, lev")))
+_TO_REGEX = "'^' || replace(replace(replace(replace(replace(replace(pat, '.', '\\.'), '**/', '<'), '**', '>'), '*', '[^/]*'), '?', '[^/]'), '<', '(?:.*/)?')"
+
+
+@query(f"""
+WITH {_POLICY_SQL}, d AS (SELECT doc_id, source || '/' || lang || '/' || (doc_id % 100) || '.txt' AS path, ['local', 'private', 'public', NULL][doc_id % 4 + 1] AS tier, lang,
+  ['sql.injection', 'XSS.a', 'other', NULL][n_chars % 4 + 1] AS rule FROM documents),
+x AS (SELECT 'p' AS t, no, '' AS tag, pat, lev, never FROM p UNION ALL SELECT 'q', no, '', pat, lev, never FROM q UNION ALL SELECT 'c', no, tag, pat, lev, never FROM c),
+g AS (SELECT *, replace({_TO_REGEX}, '>', '.*') || '$' AS re, len(list_filter(string_split(pat, '/'), lambda s: NOT regexp_matches(s, '[*?\\[]'))) AS lit, len(string_split(pat, '/')) AS seg FROM x),
+m AS (SELECT d.doc_id, g.* FROM d JOIN g ON regexp_matches(d.path, g.re)),
+s AS (SELECT doc_id, 0 AS a, 0::BIGINT AS no, 'base' AS axis, '' AS name, 1 AS lev FROM d
+UNION ALL SELECT doc_id, 1, 0, 'provider_tier', tier, CASE tier WHEN 'local' THEN 0 WHEN 'private' THEN 1 ELSE 2 END FROM d WHERE tier IS NOT NULL
+UNION ALL SELECT DISTINCT doc_id, 2, 0, 'never_send', 'settings', NULL FROM m WHERE t = 'p' AND never
+UNION ALL SELECT doc_id, 2, no + 1, 'never_send', 'path_rule' || no, NULL FROM m WHERE t = 'q' AND never
+UNION ALL SELECT doc_id, 2, 1000000 + no, 'never_send', 'class_' || tag, NULL FROM m WHERE t = 'c' AND never
+UNION ALL SELECT doc_id, 3, 0, 'settings_path', 'paths', max_by(lev, [lit, seg, no]) FROM m WHERE t = 'p' AND lev IS NOT NULL GROUP BY doc_id
+UNION ALL SELECT doc_id, 4, no, 'path_rule', no::VARCHAR, lev FROM m WHERE t = 'q' AND NOT never
+UNION ALL SELECT doc_id, 5, no, 'classification', tag, lev FROM m WHERE t = 'c' AND lev IS NOT NULL
+UNION ALL SELECT doc_id, 6, no, 'language', lower(l.lang), lev FROM d JOIN l ON lower(l.lang) = d.lang
+UNION ALL SELECT doc_id, 7, no, 'rule', pat, lev FROM d JOIN w ON regexp_matches(lower(rule), '^' || replace(replace(replace(pat, '.', '\\.'), '*', '[^/]*'), '?', '[^/]') || '$')),
+t AS (SELECT doc_id, array_to_string(list(tag ORDER BY no), ',') AS tags FROM (SELECT doc_id, tag, min(no) AS no FROM m WHERE t = 'c' GROUP BY ALL) GROUP BY doc_id)
+SELECT doc_id, max(lev)::INT AS level, bool_or(axis = 'never_send') AS never_send, coalesce(any_value(tags), '') AS tags, string_agg(axis || ':' || name || ':' || coalesce(lev::VARCHAR, '-'), ';' ORDER BY a, no) AS said
+FROM s LEFT JOIN t USING (doc_id) GROUP BY doc_id
+""")
+def policy_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's level by path, tier, class, language and rule, with what every axis said."""
+    pick = lambda options, by: F.element_at(F.array(*map(F.lit, options)), (F.col(by) % len(options) + 1).cast("int"))
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", F.concat_ws("/", "source", "lang", F.concat((F.col("doc_id") % 100).cast("string"), F.lit(".txt"))).alias("path"),
+        pick(("local", "private", "public", None), "doc_id").alias("tier"), F.col("lang").alias("language"), pick(("sql.injection", "XSS.a", "other", None), "n_chars").alias("rule"),
+    )
+    shapes = {"p": "no int, pattern string, level int, never_send boolean", "c": "no int, tag string, pattern string, level int, never_send boolean", "l": "no int, language string, level int", "w": "no int, pattern string, level int"}
+    made = {n: values(spark, r, shapes["p" if n == "q" else n]) for n, r in _POLICY.items()}
+    found = rules.resolved(docs, rules.Policy(1, {"local": 0, "private": 1, "public": 2}, made["p"], made["q"], made["c"], made["l"], made["w"]))
+    said = F.transform("contributions", lambda s: F.concat(s["axis"], F.lit(":"), s["name"], F.lit(":"), F.coalesce(s["level"].cast("string"), F.lit("-"))))
+    return found.select("doc_id", "level", "never_send", F.array_join("tags", ",").alias("tags"), F.array_join(said, ";").alias("said"))
