@@ -10,7 +10,7 @@ import pytest
 
 from pyspark.sql import functions as F
 from tidemark.functions import formats
-from tidemark.operators import detection
+from tidemark.operators import detection, overlaps
 from tidemark.sources import reports
 
 JWT = ".".join(base64.urlsafe_b64encode(x).decode().rstrip("=") for x in (b'{"alg":"HS256","typ":"JWT"}', b'{"sub":"1"}', b"signature"))
@@ -78,7 +78,7 @@ def test_a_surer_span_is_cut_out_of_a_broad_one(spark):
         (1, "pii", "phone_intl", "medium", "x" * 30, 0, 30), (1, "pii", "email", "high", "y" * 10, 10, 20), (1, "pii", "ipv4", "medium", "z" * 5, 1, 6),
         (2, "secret", "generic_credential", "low", "x" * 20, 0, 20), (2, "secret", "jwt", "high", "y" * 5, 5, 10), (2, "pii", "email", "high", "z" * 10, 15, 25),
     ]
-    got = detection.without_overlaps(spark.createDataFrame(rows, "ident long, kind string, subtype string, confidence string, value string, start_byte long, end_byte long"))
+    got = overlaps.without_overlaps(spark.createDataFrame(rows, "ident long, kind string, subtype string, confidence string, value string, start_byte long, end_byte long"))
     assert sorted((r.ident, r.subtype, r.value, r.start_byte, r.end_byte) for r in got.collect()) == [
         (1, "email", "y" * 10, 10, 20), (1, "phone_intl", "x" * 10, 0, 10), (1, "phone_intl", "x" * 10, 20, 30),
         (2, "email", "z" * 5, 20, 25), (2, "generic_credential", "x" * 20, 0, 20),
@@ -98,7 +98,7 @@ def test_numbering(spark, keys):
 
 def test_redaction_keeps_line_breaks_and_other_texts(spark):
     docs = spark.createDataFrame([(1, f"é {KEY}\nend"), (2, None), (3, "nothing"), (4, "mail a@b.org a@b.org c@d.org")], "id long, text string")
-    tokens = detection.with_tokens(detection.without_overlaps(everything(docs)))
+    tokens = detection.with_tokens(overlaps.without_overlaps(everything(docs)))
     got = {r.id: r.text for r in detection.redacted_texts(docs, "id", "text", tokens).collect()}
     assert got == {1: "é <SECRET:private_key_block:1>\n\n\nend", 2: None, 3: "nothing", 4: "mail <PII:email:1> <PII:email:1> <PII:email:2>"}
 

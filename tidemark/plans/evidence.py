@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import codes, formats
-from tidemark.operators import detection, rating
+from tidemark.operators import detection, overlaps, rating
 from tidemark.plans.catalogue import query
 from tidemark.plans.security import _F, scan_findings
 from tidemark.sources import reports
@@ -56,13 +56,13 @@ SELECT k, 'é id ' || k || ' key=<SECRET:aws_access_key:' || n || '> <<PII:email
 def numbered_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values replaced by tokens that number them by kind, as first seen in all texts."""
     docs = made_texts(spark, sf_dir)
-    return detection.redacted_texts(docs, "k", "text", detection.with_tokens(detection.without_overlaps(_found(docs, "k"))))
+    return detection.redacted_texts(docs, "k", "text", detection.with_tokens(overlaps.without_overlaps(_found(docs, "k"))))
 
 
 @query()
 def document_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data and credentials of all documents, without overlaps; tests have the cases."""
-    return detection.without_overlaps(_found(table(spark, sf_dir, "documents"), "doc_id"))
+    return overlaps.without_overlaps(_found(table(spark, sf_dir, "documents"), "doc_id"))
 
 
 _SPANS = "l_orderkey AS ident, l_linenumber % 3 AS k, l_suppkey % 3 AS c, l_partkey % 40 AS s, l_partkey % 40 + 1 + l_quantity::INT % 12 AS e, 's' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS subtype"
@@ -81,11 +81,11 @@ def overlap_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     start = F.col("l_partkey") % 40
     pick = lambda names, at: F.element_at(F.array(*map(F.lit, names)), (at + 1).cast("int"))
     rows = table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("ident"), pick(detection.KINDS, F.col("l_linenumber") % 3).alias("kind"),
+        F.col("l_orderkey").alias("ident"), pick(overlaps.KINDS, F.col("l_linenumber") % 3).alias("kind"),
         F.concat(F.lit("s"), F.concat_ws("-", "l_linenumber", "l_partkey", "l_suppkey")).alias("subtype"), pick(codes.CONFIDENCES, F.col("l_suppkey") % 3).alias("confidence"),
         F.lit("").alias("value"), start.cast("long").alias("start_byte"), (start + 1 + F.round("l_quantity").cast("int") % 12).cast("long").alias("end_byte"),
     )
-    return detection.without_overlaps(rows).groupBy("ident", "kind", "subtype").agg(
+    return overlaps.without_overlaps(rows).groupBy("ident", "kind", "subtype").agg(
         F.sum(F.col("end_byte") - F.col("start_byte")).alias("bytes"), F.min("start_byte").alias("first_byte")
     )
 
