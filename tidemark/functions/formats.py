@@ -209,6 +209,12 @@ def accepted(subtype: Column, value: Column) -> Column:
     )
 
 
+def placeholder_shape(value: Column) -> Column:
+    """Whether a value looks like one that stands for another."""
+    shape = "|".join(f"^(?:{p})$" for p in PLACEHOLDER_SHAPES[1:])
+    return value.rlike(f"^(?:{PLACEHOLDER_SHAPES[0]})$") | value.rlike(shape)
+
+
 def in_example_folder(path: Column) -> Column:
     """Whether a folder of the path, or the file itself, is one of tests, examples or documents."""
     parts = F.split(F.lower(F.translate(path, "\\", "/")), "/")
@@ -244,8 +250,7 @@ def secret_filter(value: Column, path: Column, line: Column, field: Column, occu
     shown = _only(text, r"^[\x20-\x7e]+$")
     letters = F.char_length(F.regexp_replace(shown, "[^A-Za-z ]", ""))
     words = (F.char_length(value) >= 16) & value.rlike("^[A-Za-z0-9+/]+={0,2}$") & (F.regexp_count(shown, F.lit("[A-Za-z]{3,}")) >= 2) & (letters / F.char_length(shown) >= 0.85)
-    shape = "|".join(f"^(?:{p})$" for p in PLACEHOLDER_SHAPES[1:])
-    placeholder = value.rlike(f"^(?:{PLACEHOLDER_SHAPES[0]})$") | value.rlike(shape) | F.lower(value).isin(*placeholders)
+    placeholder = placeholder_shape(value) | F.lower(value).isin(*placeholders)
     folders = F.split(F.lower(F.regexp_replace(path, "/?[^/]*$", "")), "/")
     near = F.lower(F.concat_ws(" ", value, line))
     example = F.arrays_overlap(folders, F.array(*map(F.lit, EXAMPLE_FOLDERS))) & near.rlike("|".join(EXAMPLE_WORDS))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import codes, formats
 from tidemark.functions.formats import Format
+from tidemark.operators.filters import filtered
 from tidemark.operators.graph import stored
 
 #: Characters before a value that filters may look at, on its line.
@@ -20,7 +21,7 @@ CONTEXT = 64
 #: Rows of a batch whose matches are gathered at once.
 ROWS = 200
 
-SPAN = "path string, kind string, subtype string, confidence string, name string, value string, start_byte long, end_byte long, before string"
+SPAN = "path string, kind string, subtype string, confidence string, name string, value string, start_byte long, end_byte long, before string, after string"
 
 
 def _matches(text: str, wanted: Sequence[tuple[Format, re.Pattern, re.Pattern]]) -> Iterator[tuple]:
@@ -34,8 +35,9 @@ def _matches(text: str, wanted: Sequence[tuple[Format, re.Pattern, re.Pattern]])
             at = start
             value = text[start:end]
             before = text[max(0, start - CONTEXT) : start].rpartition("\n")[2]
-            name = m["name"] if form.words else None
-            yield form.kind, form.subtype, form.confidence, name, value, size, size + len(value.encode("utf-8", "replace")), before
+            after = text[end : end + CONTEXT].partition("\n")[0]
+            name = m["name"] if "name" in pattern.groupindex else None
+            yield form.kind, form.subtype, form.confidence, name, value, size, size + len(value.encode("utf-8", "replace")), before, after
 
 
 def _holds(text: Column, need: str) -> Column:
@@ -44,7 +46,7 @@ def _holds(text: Column, need: str) -> Column:
 
 
 def spans(docs: DataFrame, ident: str, text: str, wanted: Sequence[Format], path: str | None = None) -> DataFrame:
-    """(ident, path, kind, subtype, confidence, name, value, start_byte, end_byte, before): every match of the formats.
+    """(ident, path, kind, subtype, confidence, name, value, start_byte, end_byte, before, after): every match of the formats.
 
     Texts that can't match are left out before Python sees them; null and empty texts have no spans.  Bytes are those of UTF-8.
     """
@@ -74,20 +76,37 @@ def checked(found: DataFrame, wanted: Sequence[Format]) -> DataFrame:
     return found.where(named & formats.accepted(F.col("subtype"), F.col("value")))
 
 
-def personal_data(docs: DataFrame, ident: str, text: str, path: str | None = None, wanted: Sequence[Format] = formats.PERSONAL) -> DataFrame:
-    """Checked spans of personal data without the values that the filters drop; ``downgraded`` where one lowered the confidence."""
-    found = checked(spans(docs, ident, text, wanted, path), wanted)
+def _personal(found: DataFrame) -> DataFrame:
     rule = formats.personal_filter(F.col("subtype"), F.col("value"), F.col("before"), F.coalesce("path", F.lit("")))
     kept = found.withColumn("rule", rule).where("rule IS NULL OR rule = 'card_test_number'")
     lowered = F.col("rule").isNotNull()
     return kept.withColumns(
         {"confidence": F.when(lowered, "low").otherwise(F.col("confidence")), "downgraded": lowered & (F.col("confidence") != "low")}
-    ).drop("rule", "path", "before")
+    ).drop("rule")
+
+
+def personal_data(docs: DataFrame, ident: str, text: str, path: str | None = None, wanted: Sequence[Format] = formats.PERSONAL) -> DataFrame:
+    """Checked spans of personal data without the values that the filters drop; ``downgraded`` where one lowered the confidence."""
+    return _personal(checked(spans(docs, ident, text, wanted, path), wanted)).drop("path", "before", "after")
 
 
-def credentials(docs: DataFrame, ident: str, text: str, wanted: Sequence[Format] = formats.CREDENTIALS) -> DataFrame:
-    """Checked spans of credentials."""
-    return checked(spans(docs, ident, text, wanted), wanted).withColumn("downgraded", F.lit(False)).drop("path", "before")
+def credentials(docs: DataFrame, ident: str, text: str, path: str | None = None, wanted: Sequence[Format] = formats.CREDENTIALS, placeholders: DataFrame | None = None) -> DataFrame:
+    """Checked spans of credentials without the values that the filters drop, or a table of placeholder values lists."""
+    return filtered(stored(checked(spans(docs, ident, text, wanted, path), wanted)), placeholders).drop("path", "before", "after")
+
+
+def known_formats(docs: DataFrame, ident: str, text: str, path: str | None = None, placeholders: DataFrame | None = None) -> DataFrame:
+    """personal_data and credentials in one pass over the texts, whose spans are stored once."""
+    both = formats.PERSONAL + formats.CREDENTIALS
+    found = stored(checked(spans(docs, ident, text, both, path), both))
+    kept = _personal(found.where("kind = 'pii'")).unionByName(filtered(found.where("kind = 'secret'"), placeholders))
+    return stored(kept.drop("path", "before", "after"))
+
+
+def detected(parts: list[DataFrame]) -> DataFrame:
+    """Spans of several detectors as one table, stored once, for overlaps and redaction."""
+    columns = ["ident", "kind", "subtype", "confidence", "value", "start_byte", "end_byte", "downgraded"]
+    return stored(reduce(DataFrame.unionByName, [p.select(*columns) for p in parts]))
 
 
 # --- numbering and redaction --------------------------------------------------------------------------------
@@ -118,7 +137,14 @@ def with_tokens(found: DataFrame) -> DataFrame:
 
 
 def redacted_texts(docs: DataFrame, ident: str, text: str, tokens: DataFrame) -> DataFrame:
-    """docs with each span (ident, start_byte, end_byte, token; none overlaps another) replaced by its token and the value's line breaks."""
+    """docs with each span (ident, start_byte, end_byte, token) replaced by its token and the value's line breaks.
+
+    It is an error if a name of a text with spans stands for two rows, or a span overlaps another one, reaches beyond its text, starts or ends inside a
+    character, or has a token that is in the text already.
+    """
+    twice = docs.groupBy(F.col(ident).alias("ident")).agg(F.count("*").alias("n")).where("n > 1").join(tokens, "ident", "left_semi").first()
+    if twice is not None:
+        raise ValueError(f"two texts are named {twice['ident']}")
     lists = tokens.groupBy(F.col("ident").alias("tm_ident")).agg(F.array_sort(F.collect_list(F.struct("start_byte", "end_byte", "token"))).alias("tm_spans"))
     joined = docs.join(lists, F.col(ident) == F.col("tm_ident"), "left").drop("tm_ident")
 
@@ -128,6 +154,9 @@ def redacted_texts(docs: DataFrame, ident: str, text: str, tokens: DataFrame) ->
         for t, held in zip(texts, all_spans):
             data, at, parts = t.encode("utf-8"), 0, []
             for s in held:
+                inside = at <= s["start_byte"] and s["end_byte"] <= len(data) and not any(e < len(data) and data[e] >> 6 == 2 for e in (s["start_byte"], s["end_byte"]))
+                if not inside or s["token"] in t:
+                    raise ValueError("a span that can't be replaced: it overlaps another, leaves the text or cuts a character, or its token is in the text")
                 parts += [data[at : s["start_byte"]], s["token"].encode(), b"".join(re.findall(rb"\r?\n", data[s["start_byte"] : s["end_byte"]]))]
                 at = s["end_byte"]
             out.append(b"".join([*parts, data[at:]]).decode("utf-8"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import codes, formats
 from tidemark.operators import detection, overlaps, rating
+from tidemark.operators.graph import stored
 from tidemark.plans.catalogue import query
 from tidemark.plans.security import _F, scan_findings
 from tidemark.sources import reports
@@ -36,7 +37,7 @@ def made_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _found(docs: DataFrame, ident: str) -> DataFrame:
-    return detection.personal_data(docs, ident, "text").unionByName(detection.credentials(docs, ident, "text"))
+    return detection.known_formats(docs, ident, "text")
 
 
 @query(f"""
@@ -56,7 +57,7 @@ SELECT k, 'é id ' || k || ' key=<SECRET:aws_access_key:' || n || '> <<PII:email
 def numbered_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values replaced by tokens that number them by kind, as first seen in all texts."""
     docs = made_texts(spark, sf_dir)
-    return detection.redacted_texts(docs, "k", "text", detection.with_tokens(overlaps.without_overlaps(_found(docs, "k"))))
+    return detection.redacted_texts(docs, "k", "text", stored(detection.with_tokens(stored(overlaps.without_overlaps(_found(docs, "k"))))))
 
 
 @query()
