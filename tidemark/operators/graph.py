@@ -126,3 +126,17 @@ def summaries(nodes: DataFrame, edges: DataFrame, groups: DataFrame, top: int, m
     state = held.join(open_ones, held["component"] == open_ones["node"], "left").select("component", "bits", F.col("open").isNull().alias("settled"))
     bits: Column = F.when(F.col("settled"), F.col("bits")).otherwise(F.lit(top))
     return groups.join(state, "component").select("node", bits.cast("long").alias("bits"), "settled")
+
+
+def depths(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node, depth): the fewest edges (a, b) from a root, 0 for roots, of all that they reach.  A round joins the last frontier alone."""
+    edges = stored(edges)
+    seen = frontier = stored(roots.select("node").distinct().withColumn("depth", F.lit(0)))
+    depth = 0
+    while True:
+        depth += 1
+        step = edges.join(frontier, edges["a"] == frontier["node"], "left_semi").select(edges["b"].alias("node")).distinct()
+        frontier = stored(step.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)))
+        if frontier.isEmpty():
+            return seen
+        seen = seen.union(frontier)

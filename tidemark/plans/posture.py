@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import versions
-from tidemark.operators import advisories, regions, rules
+from tidemark.operators import advisories, graph, regions, rules
 from tidemark.plans.catalogue import query
 from tidemark.plans.security import _F, scan_findings
 from tidemark.sources.tables import table, values
@@ -252,3 +252,55 @@ def policy_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = rules.resolved(docs, rules.Policy(1, {"local": 0, "private": 1, "public": 2}, made["p"], made["q"], made["c"], made["l"], made["w"]))
     said = F.transform("contributions", lambda s: F.concat(s["axis"], F.lit(":"), s["name"], F.lit(":"), F.coalesce(s["level"].cast("string"), F.lit("-"))))
     return found.select("doc_id", "level", "never_send", F.array_join("tags", ",").alias("tags"), F.array_join(said, ";").alias("said"))
+
+
+# --- dependencies ------------------------------------------------------------------------------------------
+
+_PACKAGES = """
+x AS (SELECT 'app' || (l_suppkey % 20) AS folder, ['PyPI', 'npm', 'Go'][l_partkey % 3 + 1] AS ecosystem, 'Lib_' || (l_partkey % 300) AS name, '1.' || l_linenumber || '.' || (l_suppkey % 3) AS version,
+  ['lib-' || ((l_partkey + l_suppkey * 3) % 300), 'none'] AS requires, l_linenumber = 1 OR l_suppkey % 20 >= 15 AS declared, '>=' || (l_orderkey % 4) AS declared_range, l_returnflag AS scope, 'm' || (l_orderkey % 3) AS manifest FROM lineitem),
+k AS (SELECT DISTINCT folder, ecosystem, name, version, requires, folder || '/lock-' || lower(ecosystem) AS path, 'pkg:' || lower(ecosystem) || '/' || replace(lower(name), '_', '-') || '@' || version AS purl FROM x WHERE NOT declared),
+l AS (SELECT folder, ecosystem, name, version, path, purl, min(requires) AS requires FROM k GROUP BY ALL),
+c AS (SELECT DISTINCT folder, ecosystem FROM l), dec AS (SELECT DISTINCT folder, ecosystem, name, folder || '/' || manifest AS path, declared_range, scope FROM x WHERE declared),
+s AS (SELECT folder, ecosystem, name, max((path, declared_range, scope)) AS said FROM dec JOIN c USING (folder, ecosystem) GROUP BY ALL),
+r AS (SELECT folder, path, ecosystem, name, version, purl, said IS NOT NULL AS direct, said[3] AS scope, said[2] AS declared_range, requires FROM l LEFT JOIN s USING (folder, ecosystem, name)
+UNION ALL SELECT folder, path, ecosystem, name, NULL, 'pkg:' || lower(ecosystem) || '/' || replace(lower(name), '_', '-'), true, min(scope), declared_range, [] FROM dec ANTI JOIN c USING (folder, ecosystem) GROUP BY ALL)
+"""
+
+
+def packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of lock files and manifests of twenty folders, the last five of which have no lock files, from the lines of orders."""
+    text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+    part, supplier, order, line = (F.col(f"l_{c}") for c in ("partkey", "suppkey", "orderkey", "linenumber"))
+    x = table(spark, sf_dir, "lineitem").select(
+        text("app", supplier % 20).alias("folder"), F.element_at(F.array(F.lit("PyPI"), F.lit("npm"), F.lit("Go")), (part % 3 + 1).cast("int")).alias("ecosystem"), text("Lib_", part % 300).alias("name"),
+        text("1.", line, ".", supplier % 3).alias("version"), F.array(text("lib-", (part + supplier * 3) % 300), F.lit("none")).alias("requires"), ((line == 1) | (supplier % 20 >= 15)).alias("declared"),
+        text(">=", order % 4).alias("declared_range"), F.col("l_returnflag").alias("scope"), text("m", order % 3).alias("manifest"),
+    )
+    path = F.concat("folder", F.lit("/lock-"), F.lower("ecosystem"))
+    locks = x.where("NOT declared").groupBy("folder", path.alias("path"), "ecosystem", "name", "version").agg(F.min("requires").alias("requires"))
+    manifest = F.concat("folder", F.lit("/"), "manifest").alias("path")
+    manifests = x.where("declared").groupBy("folder", manifest, "ecosystem", "name", "declared_range").agg(F.collect_set("scope").alias("scopes"))
+    known = locks.select("folder", "ecosystem").distinct().withColumn("locked", F.lit(True))
+    # Of a folder without a lock the least scope of a range counts; where there is one all are told.
+    each = F.explode(F.when(F.col("locked"), F.col("scopes")).otherwise(F.array(F.array_min("scopes")))).alias("scope")
+    return advisories.dependency_rows(manifests.join(known, ["folder", "ecosystem"], "left").select("folder", "path", "ecosystem", "name", "declared_range", each), locks)
+
+
+@query(f"WITH {_PACKAGES} SELECT folder, path, ecosystem, name, version, purl, direct, scope, declared_range, array_to_string(requires, ',') AS requires FROM r")
+def dependency_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The inventory of all folders: lock files win, manifests mark what is direct."""
+    return packages(spark, sf_dir).withColumn("requires", F.array_join("requires", ","))
+
+
+@query(f"""
+WITH RECURSIVE {_PACKAGES}, f AS (SELECT ecosystem, replace(lower(name), '_', '-') AS need, min_by(purl, (name, coalesce(version, ''), path)) AS b FROM r GROUP BY ALL),
+e AS (SELECT DISTINCT a, b FROM (SELECT ecosystem, purl AS a, unnest(requires) AS need FROM r) JOIN f USING (ecosystem, need)),
+d(node, depth) AS (SELECT DISTINCT purl, 0 FROM r WHERE direct UNION SELECT b, depth + 1 FROM d JOIN e ON a = node WHERE depth < 25)
+SELECT node AS purl, min(depth)::INT AS depth FROM d GROUP BY node
+""")
+def dependency_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far each component is from what is declared, along what the components require."""
+    rows = graph.stored(packages(spark, sf_dir))
+    found = graph.depths(advisories.dependency_edges(rows), rows.where("direct").select(F.col("purl").alias("node")))
+    return found.withColumnRenamed("node", "purl")

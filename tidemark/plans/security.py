@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import codes
 from tidemark.operators import matching, triage
+from tidemark.operators.graph import stored
 from tidemark.plans.catalogue import query
-from tidemark.sources.tables import table, values
+from tidemark.sources.tables import scratch, table, values
+from tidemark.streaming import ledgers
 
 _F = """
 f AS (SELECT ((l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey) * 10000 + l_suppkey AS id, l_orderkey % 2 AS scan, (l_partkey % 1000) * 10 + l_linenumber AS fingerprint,
@@ -197,7 +199,7 @@ def previous_scan_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select(F.col("event_id").alias("left_id")).join(found, "left_id", "left").select(F.col("left_id").alias("scan"), F.col("right_id").alias("previous"))
 
 
-@query("""
+_CHAIN_SQL = """
 WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
 b AS (SELECT user_id, n, ts, sha256(event_id || '|' || event_type) AS own, CASE WHEN event_id % 89 = 0 THEN 'x' ELSE sha256(event_id || '|' || event_type) END AS entry_hash,
   CASE WHEN event_id % 101 = 0 THEN n + 1 ELSE n END AS seq, event_id FROM e),
@@ -207,9 +209,11 @@ c AS (SELECT *, CASE WHEN entry_hash <> own THEN 'entry hash' WHEN before IS NUL
   WHEN before IS NOT NULL AND seq <> before_seq + 1 THEN 'sequence' WHEN before IS NOT NULL AND prev_hash <> before THEN 'previous hash'
   WHEN before IS NOT NULL AND ts < before_ts THEN 'time' END AS reason FROM l)
 SELECT user_id, count(*) AS entries, count(reason) = 0 AS ok, min(seq) FILTER (WHERE reason IS NOT NULL) AS first_bad, min_by(reason, n) FILTER (WHERE reason IS NOT NULL) AS reason FROM c GROUP BY user_id
-""")
-def hash_chain_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ledgers, one a user, with planted faults, and the report of their verification: genesis, sequence, hashes and time."""
+"""
+
+
+def _ledgers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ledgers of events, one a user, with planted faults."""
     place = Window.partitionBy("user_id").orderBy("event_id")
     own = F.sha2(F.concat_ws("|", F.col("event_id").cast("string"), "event_type"), 256)
     rows = table(spark, sf_dir, "events").withColumn("n", F.row_number().over(place)).select(
@@ -222,7 +226,25 @@ def hash_chain_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("event_id") % 101 == 0, F.col("n") + 1).otherwise(F.col("n")).cast("long").alias("seq"),
     )
     linked = F.coalesce(F.lag("entry_hash").over(place), F.lit("0" * 64))
-    return triage.verified_chains(rows.withColumn("prev_hash", F.when(F.col("event_id") % 97 == 0, "y").otherwise(linked)), "user_id", "n")
+    return rows.withColumn("prev_hash", F.when(F.col("event_id") % 97 == 0, "y").otherwise(linked))
+
+
+@query(_CHAIN_SQL)
+def hash_chain_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of the ledgers' verification: genesis, sequence, hashes and time."""
+    return triage.verified_chains(_ledgers(spark, sf_dir), "user_id", "n")
+
+
+@query(_CHAIN_SQL)
+def ledger_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same report from a stream of the ledgers, which comes in three parts, with a stop after each."""
+    entries = stored(_ledgers(spark, sf_dir))
+    low, high = entries.approxQuantile("event_id", [1 / 3, 2 / 3], 0.01)
+    folder = scratch(spark)
+    for part in (F.col("event_id") <= low, (F.col("event_id") > low) & (F.col("event_id") <= high), F.col("event_id") > high):
+        entries.where(part).write.mode("append").parquet(f"{folder}/in")
+        found = ledgers.run_to_end(spark.readStream.schema(entries.schema).parquet(f"{folder}/in"), "user_id", "n", f"{folder}/run")
+    return found
 
 
 @query(f"""
