@@ -110,32 +110,40 @@ def to_leaders(postings: DataFrame, least_part: float = 0.0) -> DataFrame:
     )
 
 
-#: Members of one component in a bucket that meet others as one row.
+#: Members of one component and pivot in a bucket that meet others as one block, and blocks of one pivot that do as one row.
 BLOCK_MEMBERS = 256
+CROWD_BLOCKS = 64
+
+
+def _parted(rows: DataFrame, keys: list[str], name: str, most: int) -> DataFrame:
+    """rows with a part of their group, so that no part has many more than ``most`` rows."""
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("held")).where(F.col("held") > most)
+    others = [c for c in ("id", "component", "part") if c in rows.columns]
+    return rows.join(sizes, keys, "left").withColumn(name, F.pmod(F.xxhash64(*others), F.coalesce(F.ceil(F.col("held") / most), F.lit(1)))).drop("held")
 
 
 def across(postings: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of different components that meet in enough buckets.
 
     postings: (bucket, id, n, component, need, free, pivot); free counts tokens that no set of another component holds,
-    so two sets share n - free at most, which bounds their similarity.  Pairs of one pivot are left to around_pivots.
-    A bucket's members are gathered by component, in blocks, and blocks of different components meet: a large
-    component isn't paired with itself, and no task holds a large bucket's members one by one.
+    so two sets share n - free at most, which bounds their similarity.  Pairs of one pivot are left to around_pivots,
+    so buckets of one pivot give nothing, and a bucket's members are gathered by pivot: what meets is one pivot's members and another's.
+    Inside, they are gathered by component, in blocks, so a large component isn't paired with itself either.
     """
-    sizes = postings.groupBy("bucket", "component").agg(F.count("*").alias("members")).where(F.col("members") > BLOCK_MEMBERS)
-    dealt = postings.join(sizes, ["bucket", "component"], "left").withColumn(
-        "part", F.pmod(F.xxhash64("id"), F.coalesce(F.ceil(F.col("members") / BLOCK_MEMBERS), F.lit(1)))
+    mixed = postings.groupBy("bucket").agg(F.min("pivot").alias("lo"), F.max("pivot").alias("hi")).where("lo < hi").select("bucket")
+    dealt = _parted(cut(postings.join(mixed, "bucket", "left_semi")), ["bucket", "pivot", "component"], "part", BLOCK_MEMBERS)
+    blocks = dealt.groupBy("bucket", "pivot", "component", "part").agg(F.collect_list(F.struct("id", "n", "need", "free")).alias("rows"))
+    crowds = _parted(blocks, ["bucket", "pivot"], "crowd", CROWD_BLOCKS).groupBy("bucket", "pivot", "crowd").agg(
+        F.collect_list(F.struct("component", "rows")).alias("blocks")
     )
-    blocks = dealt.groupBy("bucket", "component", "part").agg(F.collect_list(F.struct("id", "n", "need", "free", "pivot")).alias("rows"))
-    left = blocks.select("bucket", F.col("component").alias("component1"), F.col("rows").alias("rows1"))
-    right = blocks.select("bucket", F.col("component").alias("component2"), F.col("rows").alias("rows2"))
-    met = left.join(right, "bucket").where("component1 < component2")
-    met = met.select(F.explode("rows1").alias("x"), "rows2").select("x", F.explode("rows2").alias("y"))
+    left, right = (crowds.select("bucket", F.col("pivot").alias(f"pivot{k}"), F.col("blocks").alias(f"blocks{k}")) for k in (1, 2))
+    met = left.join(right, "bucket").where("pivot1 < pivot2")
+    met = met.select(F.explode("blocks1").alias("u"), "blocks2").select("u", F.explode("blocks2").alias("v")).where("u.component <> v.component")
+    met = met.select(F.explode("u.rows").alias("x"), F.col("v.rows").alias("rows2")).select("x", F.explode("rows2").alias("y"))
     most = F.least(F.col("x.n") - F.col("x.free"), F.col("y.n") - F.col("y.free"))
     return (
-        met.where("x.pivot <> y.pivot")
-        .where(100 * most >= percent * (F.col("x.n") + F.col("y.n") - most))
-        .select(F.col("x.id").alias("id1"), F.col("y.id").alias("id2"), F.least("x.need", "y.need").alias("need"))
+        met.where(100 * most >= percent * (F.col("x.n") + F.col("y.n") - most))
+        .select(F.least("x.id", "y.id").alias("id1"), F.greatest("x.id", "y.id").alias("id2"), F.least("x.need", "y.need").alias("need"))
         .groupBy("id1", "id2")
         .agg(F.count("*").alias("c"), F.first("need").alias("need"))
         .where("c >= need")

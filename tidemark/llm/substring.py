@@ -191,7 +191,10 @@ def unit_components(docs: DataFrame, met: DataFrame) -> DataFrame:
         "bucket", "id", F.lit(1).alias("n"), "component", F.lit(1).alias("need"), F.lit(0).alias("free"), "pivot"
     )
     links = linking.verify(linking.across(pairs, PERCENT).union(near), texts, make, PERCENT).union(certain)
-    return linking.relabel(labels, links)
+    found = linking.relabel(labels, links)
+    for spent in (postings, texts, apart):
+        discard(spent)
+    return found
 
 
 def uncovered(places: DataFrame, held: DataFrame) -> DataFrame:
