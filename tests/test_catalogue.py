@@ -5,7 +5,7 @@ from __future__ import annotations
 import duckdb
 import pytest
 
-from tidemark.plans import analytics, catalogue, evidence, security
+from tidemark.plans import analytics, catalogue, columns, detectors, evidence, posture, relations, security
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
@@ -26,7 +26,7 @@ def normal(rows):
 
 
 #: Greedy folds and resampling have no SQL; tests/test_operators.py has their brute force.
-NO_SQL = {"bootstrap_ci", "correlate_fold", "correlated_findings", "document_findings"}
+NO_SQL = {"all_detectors", "bootstrap_ci", "correlate_fold", "correlated_findings", "document_findings"}
 
 
 @pytest.mark.parametrize("name", sorted(catalogue.ORACLES))
@@ -40,7 +40,7 @@ def test_matches_sql(spark, duck, name):
 
 
 def test_every_query_has_sql():
-    assert analytics.query is evidence.query is security.query is catalogue.query
+    assert all(m.query is catalogue.query for m in (analytics, columns, detectors, evidence, posture, relations, security))
     assert set(catalogue.QUERIES) - NO_SQL == set(catalogue.ORACLES)
 
 

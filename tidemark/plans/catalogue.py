@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
-from tidemark.operators import findings, graph, risk, temporal
+from tidemark.operators import findings, graph, temporal
 from tidemark.sources.tables import table, values
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -181,9 +181,9 @@ def fingerprint_occurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prints.groupBy("fingerprint").agg(F.count("*").alias("occurrences"), F.count_distinct("doc_id").alias("docs")).where("occurrences > 1")
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)")
 def anti_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    customer, orders = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
+    customer, orders = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders").where("o_totalprice > 400000")
     return customer.join(orders, customer["c_custkey"] == orders["o_custkey"], "left_anti").select("c_custkey", "c_name")
 
 
@@ -343,39 +343,19 @@ def rollup_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").rollup("lang", "source").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
 
 
-_VECTORS = [
-    ("N", "L", "N", "N", "U", "H", "H", "H"),
-    ("N", "L", "N", "N", "C", "H", "H", "H"),
-    ("L", "H", "L", "R", "U", "L", "N", "N"),
-    ("N", "L", "N", "R", "C", "L", "L", "N"),
-    ("P", "H", "H", "R", "U", "N", "N", "N"),
-    ("A", "L", "L", "N", "C", "N", "H", "L"),
-]
-
-
-@query(
-    "SELECT * FROM (VALUES "
-    + ", ".join(f"('{''.join(v)}', {s}::DOUBLE)" for v, s in zip(_VECTORS, (9.8, 10.0, 2.2, 6.1, 0.0, 7.6), strict=True))
-    + ") t(vector, base_score)"
-)
-def cvss31_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = values(spark, _VECTORS, "av string, ac string, pr string, ui string, s string, c string, i string, a string")
-    scored = risk.cvss31_base(rows)
-    return scored.select(F.concat("av", "ac", "pr", "ui", "s", "c", "i", "a").alias("vector"), "base_score")
-
-
 # --- joins and policies ------------------------------------------------------------------------------------
 
 
 @query("""
-SELECT c_custkey, c_name, o_orderkey, o_totalprice FROM customer JOIN orders ON c_custkey = o_custkey
+SELECT c_custkey, c_name, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY c_custkey ORDER BY o_orderdate DESC, o_orderkey DESC)::INT AS place FROM customer JOIN orders ON c_custkey = o_custkey
 WHERE o_totalprice > 200000 AND c_mktsegment = 'BUILDING'
 """)
 def fk_join_newest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer = table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select("c_custkey", "c_name")
     orders = table(spark, sf_dir, "orders").where("o_totalprice > 200000").select("o_custkey", "o_orderkey", "o_totalprice", "o_orderdate")
     joined = customer.join(orders, customer["c_custkey"] == orders["o_custkey"])
-    return joined.select("c_custkey", "c_name", "o_orderkey", "o_totalprice")
+    newest = Window.partitionBy("c_custkey").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey"))
+    return joined.select("c_custkey", "c_name", "o_orderkey", "o_totalprice", F.row_number().over(newest).alias("place"))
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50 OFFSET 100")
@@ -490,13 +470,3 @@ def running_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity").rowsBetween(Window.unboundedPreceding, 0)
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.sum("l_quantity").over(order).alias("running"))
     return rows.where("running <= 100")
-
-
-@query("""
-WITH v(version) AS (VALUES ('1.2.10'), ('1.2.9'), ('1.10.0'), ('0.9.12'), ('2.0.0'), ('1.2.0'))
-SELECT version, (row_number() OVER (ORDER BY list_transform(string_split(version, '.'), lambda x: x::INT)))::INT AS place FROM v
-""")
-def version_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = values(spark, [(x,) for x in ("1.2.10", "1.2.9", "1.10.0", "0.9.12", "2.0.0", "1.2.0")], "version string")
-    key = F.transform(F.split("version", r"\."), lambda x: x.cast("int"))
-    return rows.select("version", F.row_number().over(Window.orderBy(key)).alias("place"))

@@ -8,13 +8,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions import codes, formats
+from tidemark.functions import codes
 from tidemark.operators import detection, overlaps, rating
 from tidemark.operators.graph import stored
 from tidemark.plans.catalogue import query
 from tidemark.plans.security import _F, scan_findings
 from tidemark.sources import reports
-from tidemark.sources.tables import scratch, table, values
+from tidemark.sources.tables import scratch, table
 
 _TEXTS = """
 t AS (SELECT c_custkey AS k, 'AKIA' || upper(substr(md5(c_custkey::VARCHAR), 1, 16)) AS aws, 'ghp_' || substr(md5(c_custkey::VARCHAR) || md5(c_custkey::VARCHAR), 1, 36) AS gh,
@@ -91,34 +91,6 @@ def overlap_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_RULES = [
-    ("d41d8cd98f00b204e9800998ecf8427e", "a/yarn.lock", "", None, 1, "hash_in_manifest"),
-    ("d41d8cd98f00b204e9800998ecf8427e", "a/b.py", "", "sha256", 1, "hash_in_manifest"),
-    ("d41d8cd98f00b204e9800998ecf8427e", "a/b.py", "", None, 1, None),
-    ("123e4567-e89b-12d3-a456-426614174000", "a.py", "", None, 1, "uuid"),
-    ("dGhlIHF1aWNrIGJyb3duIGZveA==", "a.py", "", None, 1, "base64_text"),
-    ("xxxx", "a.py", "", None, 1, "placeholder_value"),
-    ("${TOKEN}", "a.py", "", None, 1, "placeholder_value"),
-    ("YOUR_API_KEY_HERE", "a.py", "", None, 1, "placeholder_value"),
-    ("k9Qz81LmPw", "tests/a.py", "key = example", None, 1, "example_marker"),
-    ("k9Qz81LmPw", "src/a.py", "key = example", None, 1, None),
-    ("k9Qz81LmPw", "src/a.py", "", None, 21, "repeated_value"),
-    ("k9Qz81LmPw", "src/a.py", "", None, 20, None),
-]
-
-
-def _quoted(v: object) -> str:
-    return "NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v)
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"({', '.join(_quoted(v) for v in (*r[:2], *r[4:]))})" for r in _RULES) + ") AS t(value, path, occurrences, rule)")
-def secret_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rules that tell values from secrets."""
-    rows = values(spark, [r[:5] for r in _RULES], "value string, path string, line string, field string, occurrences int")
-    rule = formats.secret_filter(*(F.col(c) for c in ("value", "path", "line", "field", "occurrences")))
-    return rows.select("value", "path", "occurrences", rule.alias("rule"))
-
-
 _CONTEXT = """
 c AS (SELECT ['network', 'local', 'none'][l_linenumber % 3 + 1] AS entry_point, l_suppkey % 2 = 0 AS authenticated, ['low', 'medium', 'high', 'critical'][l_partkey % 4 + 1] AS criticality,
   l_partkey % 10 = 0 AS is_test, l_orderkey % 3 = 0 AS has_path, ['N', 'L', 'H'][l_linenumber % 3 + 1] AS pr, ['H', 'L', 'N'][l_partkey % 3 + 1] AS vc, ['H', 'L', 'N'][l_suppkey % 3 + 1] AS vi,

@@ -415,51 +415,6 @@ def _literal(v: object) -> str:
     return "NULL" if v is None else str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, int) else "'" + str(v).replace("'", "''") + "'"
 
 
-def _expected(names: str, rows: list[tuple]) -> str:
-    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(_literal, r)) + ')' for r in rows)}) t({names})"
-
-
-_CHECKS = [
-    ("iban", "GB82 WEST 1234 5698 7654 32", True), ("iban", "de89370400440532013000", True), ("iban", "GB82WEST12345698765433", False), ("iban", "XX00", False), ("iban", "GB82-EST12345698765432", False),
-    ("gstin", "27AAPFU0939F1ZV", True), ("gstin", "27AAPFU0939F1ZW", False), ("gstin", "27AAPFU0939F1Z", False), ("gstin", "27aapfu0939f1zv", False),
-    ("birth", "31/12/1999", True), ("birth", "12-31-1999", True), ("birth", "31.13.1999", False), ("birth", "1999-02-29", False), ("birth", "2000-02-29", True), ("birth", "1/1/1899", False), ("birth", "x/1/1999", False),
-    ("card", "4111111111111111", True), ("card", "4111111111111112", False), ("card", "5105105105105100", True), ("card", "378282246310005", True), ("card", "1234567812345670", False), ("card", "79927398713", False),
-]
-
-
-@query(_expected("kind, value, valid", _CHECKS))
-def iban_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Check digits and characters of account, tax and card numbers, and dates of birth."""
-    v = F.col("value")
-    rows = values(spark, [r[:2] for r in _CHECKS], "kind string, value string")
-    return rows.select("kind", "value", triage.number_valid(F.col("kind"), v).alias("valid"))
-
-
-_PATHS = [("a//b/./c.py", "a/b/c.py"), ("a\\b.py", "a/b.py"), ("/etc/x", None), ("a/../b", None), ("C:/x", None), ("./C:", None), ("a/", None), ("", None), (".", None), ("src/ok.py", "src/ok.py")]
-
-
-@query(_expected("path, normal", _PATHS))
-def path_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return values(spark, [(a,) for a, _ in _PATHS], "path string").select("path", codes.repository_path(F.col("path")).alias("normal"))
-
-
-_WORDS = [("accountIDForKYC_2", "account ID For KYC 2"), ("__init__", "init"), ("HTTPServer2x", "HTTP Server 2 x"), ("a", "a"), ("", ""), ("snake_case-kebab", "snake case kebab"), ("ABC", "ABC"), ("getX9Y", "get X 9 Y")]
-
-
-@query(_expected("name, words", _WORDS))
-def identifier_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return values(spark, [(a,) for a, _ in _WORDS], "name string").select("name", F.array_join(codes.sub_words(F.col("name")), " ").alias("words"))
-
-
-_PACKAGES = [("PyPI", "Foo__Bar.baz", "foo-bar-baz"), ("npm", "@Scope/Name", "@scope/name"), ("Maven", "Org:Art", "Org:Art"), ("Go", "Github.com/X", "Github.com/X"), ("NuGet", "NewtonSoft", "newtonsoft")]
-
-
-@query(_expected("ecosystem, name, lookup", _PACKAGES))
-def package_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = values(spark, [r[:2] for r in _PACKAGES], "ecosystem string, name string")
-    return rows.select("ecosystem", "name", codes.package_name(F.col("ecosystem"), F.col("name")).alias("lookup"))
-
-
 _AFFECTED = [("Brand#11", "1.0.0", "1.2.0", "ADV-1"), ("Brand#12", "0", "2.10.0", "ADV-2"), ("Brand#22", "1.9", None, "ADV-3"), ("Brand#33", "2.2.1", "2.3", "ADV-4")]
 
 

@@ -21,5 +21,11 @@ def values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
 def scratch(spark: SparkSession) -> str:
     """A new folder that driver and executors share: below spark.checkpoint.dir, and a local one only where no such folder is set (tests)."""
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
-    base = spark.conf.get("spark.checkpoint.dir", None) or (held.get() if held.isDefined() else f"file://{tempfile.mkdtemp(prefix='tidemark-')}")
+    base = spark.conf.get("spark.checkpoint.dir", None) or (held.get() if held.isDefined() else None)
+    if base is None:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
+        spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
