@@ -90,4 +90,5 @@ ORACLES: dict[str, str] = {
     "op6_line_frequency_quality": quality.QUALITY_SQL,
     "op8_adaptive_jaccard_join": jaccard.JACCARD_SQL,
     "op12_stratified_shards": sharding.SHARD_SQL,
+    "op13_periodic_runs": repeats.RUN_SQL,
 }

@@ -284,3 +284,33 @@ def run_digests(docs: DataFrame) -> DataFrame:
         F.sha2(lines, 256).alias("runs_sha256"),
         F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+#: Runs as stretches of places whose words return after q places: every pair of equal words within a quarter of the text.
+RUN_SQL = r"""
+WITH crc AS (
+  SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS tab
+  FROM range(256) t(i)
+), h AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         xor(list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295::BIGINT) AS h
+  FROM documents, crc
+), g AS (
+  SELECT *, h // 10 AS g, len(w) AS n, (h // 10) % greatest(len(w), 1) AS a FROM h
+), d AS (
+  SELECT r, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_concat(w[1:a], list_transform(range(n - a), lambda i: w[a + i % (1 + (n - a) // (3 + g % 8)) + 1])) ELSE w END AS w FROM g
+), x AS (
+  SELECT r, i - 1 AS i, w[i] AS x, n FROM (SELECT r, w, n, unnest(range(1, n + 1)) AS i FROM d)
+), p AS (
+  SELECT a.r, b.i - a.i AS q, a.i FROM x a JOIN x b ON a.r = b.r AND a.x = b.x AND b.i > a.i AND 4 * (b.i - a.i) <= a.n
+), s AS (
+  SELECT r, q, min(i) AS s, max(i) + q + 1 AS e FROM (SELECT *, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS k FROM p) GROUP BY r, q, k HAVING count(*) + q >= greatest(6, 4 * q)
+), u AS (
+  SELECT r, s, e - s AS l, min(q) AS q FROM s GROUP BY r, s, e
+), m AS (
+  SELECT r, count(*) AS n_runs, min((-l, s, q)) AS best, string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS lines, list((s + q, s + l)) AS cuts FROM u GROUP BY r
+)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best[2] AS start, -best[1] AS length, best[3] AS period, -1000 * best[1] // best[3] AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256,
+  sha256(array_to_string(CASE WHEN cuts IS NULL THEN w ELSE list_transform(list_filter(range(n), lambda i: len(list_filter(cuts, lambda c: i >= c[1] AND i < c[2])) = 0), lambda i: w[i + 1]) END, ' ')) AS collapsed_sha256
+FROM d LEFT JOIN m USING (r)
+"""
