@@ -5,7 +5,7 @@ from __future__ import annotations
 import duckdb
 import pytest
 
-from tidemark.plans import analytics, catalogue, columns, detectors, evidence, posture, relations, security
+from tidemark.plans import analytics, catalogue, columns, detectors, evidence, posture, relations, review, security
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
@@ -40,7 +40,7 @@ def test_matches_sql(spark, duck, name):
 
 
 def test_every_query_has_sql():
-    assert all(m.query is catalogue.query for m in (analytics, columns, detectors, evidence, posture, relations, security))
+    assert all(m.query is catalogue.query for m in (analytics, columns, detectors, evidence, posture, relations, review, security))
     assert set(catalogue.QUERIES) - NO_SQL == set(catalogue.ORACLES)
 
 

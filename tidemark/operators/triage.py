@@ -30,6 +30,68 @@ def suppressed(findings: DataFrame, rules: DataFrame) -> DataFrame:
     return met.groupBy("id").agg(F.min(F.struct("rule_no", "why")).alias("first")).select("id", "first.rule_no", "first.why")
 
 
+def current_rules(rules: DataFrame, today: Column) -> DataFrame:
+    """The rules of a suppressions file (rule_no, rule, rule_path, why, expires) that hold today: named, justified and not yet expired; no path is every path."""
+    kept = rules.where((F.trim(F.coalesce("rule", F.lit(""))) != "") & (F.trim(F.coalesce("why", F.lit(""))) != "") & (F.col("expires").isNull() | (F.col("expires") >= today)))
+    return kept.select("rule_no", F.trim("rule").alias("rule"), F.coalesce("rule_path", F.lit("**")).alias("rule_path"), F.trim("why").alias("why"))
+
+
+def marked_inline(findings: DataFrame, files: DataFrame, marker: str) -> DataFrame:
+    """(id, why): findings (id, rule_id, cwe, path, line) that a marker on their line, or in a comment on the line above, covers; why is null where it gives no reason.
+
+    files: (path, text).  A marker is ``<marker>:ignore``, then rules in brackets if it isn't for all, then a dash or colon and the reason.  Only lines
+    with a marker are joined.
+    """
+    name = marker + ":ignore"
+    lines = files.where(F.col("text").contains(name)).select("path", F.posexplode(F.split("text", "\r?\n", -1)).alias("at", "source")).where(F.col("source").contains(name))
+    form = rf"(?i){name}(?:\[([^\]]*)\])?\s*(?:(?:--|:|-)\s*(\S.*?))?\s*(?:\*/|-->)?\s*$"
+    comment = F.ltrim("source").rlike(r"^(?:#|//|--|/\*|<!--|;)")
+    marks = lines.where(F.col("source").rlike(form)).select(
+        F.col("path").alias("m_path"), comment.alias("comment"), F.explode(F.array(F.struct((F.col("at") + 1).alias("on"), F.lit(0).alias("above")), F.struct((F.col("at") + 2).alias("on"), F.lit(1).alias("above")))).alias("p"),
+        F.filter(F.transform(F.split(F.regexp_extract("source", form, 1), ","), lambda x: F.trim(x)), lambda x: x != "").alias("ids"), F.nullif(F.trim(F.regexp_extract("source", form, 2)), F.lit("")).alias("why"),
+    )
+    usable = marks.where("p.above = 0 OR comment")
+    met = findings.join(usable, (F.col("path") == F.col("m_path")) & (F.col("line") == F.col("p.on")))
+
+    def covers(rule: Column) -> Column:
+        number = F.when(rule.rlike("^(?i)cwe-[0-9]+$"), F.substr(rule, F.lit(5)) == F.col("cwe").cast("string")).otherwise(codes.glob_matches(F.col("rule_id"), rule))
+        return (rule == "*") | (rule == F.col("rule_id")) | number
+
+    held = met.where((F.size("ids") == 0) | F.exists("ids", covers))
+    return held.groupBy("id").agg(F.min(F.struct("p.above", "why")).alias("m")).select("id", "m.why")
+
+
+def chosen(rows: DataFrame, me: str | None = None, **criteria: str | None) -> DataFrame:
+    """Findings that meet all criteria that are set, worst first: severity and status (comma lists), cwe, path (a part), assignee (``me`` is oneself), q (free text).
+
+    Free text is sought in every text column; ``F-`` and six characters name the end of an id.
+    """
+    wanted = {k: v for k, v in criteria.items() if v}
+    known = {"severity", "status", "cwe", "path", "assignee", "q"}
+    if set(wanted) - known:
+        raise ValueError(f"no such criteria: {sorted(set(wanted) - known)}")
+    out = rows
+    for name in ("severity", "status"):
+        if name in wanted:
+            out = out.where(F.array_contains(codes.comma_list(F.lit(wanted[name])), F.col(name)))
+    if "cwe" in wanted:
+        out = out.where(F.col("cwe").cast("string") == wanted["cwe"].strip().lower().removeprefix("cwe-"))
+    if "path" in wanted:
+        out = out.where(F.col("path").contains(wanted["path"]))
+    if "assignee" in wanted:
+        out = out.where(F.col("assignee") == (me if wanted["assignee"] == "me" else wanted["assignee"]))
+    if "q" in wanted:
+        text = wanted["q"].lower()
+        hit = F.lower(F.col("id").cast("string")).contains(text)
+        for c, kind in rows.dtypes:
+            if kind == "string":
+                hit = hit | F.coalesce(F.lower(F.col(f"`{c}`")).contains(text), F.lit(False))
+        if len(text) == 8 and text.startswith("f-"):
+            hit = hit | F.lower(F.col("id").cast("string")).endswith(text[2:])
+        out = out.where(hit)
+    return out.orderBy(F.desc(codes.severity_rank(F.col("severity"))), "path", "line", "id") if "severity" in rows.columns else out.orderBy("path", "line", "id")
+
+
 def delta_states(old: DataFrame, new: DataFrame) -> DataFrame:
     """(fingerprint, state, old_rank, new_rank) of two scans (fingerprint, rank; new: status), a row a fingerprint in each."""
     both = old.select("fingerprint", F.col("rank").alias("old_rank"), F.lit(True).alias("was")).join(
