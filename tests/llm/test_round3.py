@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.conftest import words
-from tidemark.llm import html, queries, repeats, sharding, substring, whitening
+from tidemark.llm import decontam, html, queries, repeats, sharding, substring, whitening
 from tidemark.llm.frames import table
 
 SF = "/root/testdata/sf0.001"
@@ -312,3 +312,11 @@ def test_broken_markup_takes_linear_time(shape):
 )
 def test_markup_that_names_boilerplate(page, text):
     assert html.main_text(page) == text
+
+
+def test_short_items_tell_their_words(spark):
+    docs = spark.createDataFrame([(1, "well is it so"), (2, "this item"), (3, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "is it"), (7, "is it"), (8, None)], "item_id long, text string")
+    got = [tuple(r) for r in decontam.contaminated(docs, items).collect()]
+    assert got == [(1, 7, 1, 2, 0, True)]
+    assert decontam.contaminated(docs, items.limit(0)).collect() == []

@@ -172,13 +172,13 @@ class Items:
     def _slots(codes: np.ndarray) -> np.ndarray:
         return (codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SLOT_BITS)
 
-    def exact_words(self, data: bytes) -> list[tuple[int, int]]:
-        """(item id, start) of the items below q bytes that data holds as whole words."""
+    def exact_words(self, data: bytes) -> list[tuple[int, int, int]]:
+        """(item id, start, words) of the items below q bytes that data holds as whole words."""
         if not self.short:
             return []
         padded, found = b" " + data + b" ", []
         for word in self.short.keys() & set(data.split(b" ")):
-            found += [(i, at) for i, item in self.short[word] if (at := padded.find(b" " + item + b" ")) >= 0]
+            found += [(i, at, item.count(b" ") + 1) for i, item in self.short[word] if (at := padded.find(b" " + item + b" ")) >= 0]
         return sorted(found)
 
     def matches(self, text: str) -> list[tuple[int, int, int, int]]:
@@ -275,8 +275,8 @@ def _one_pass(rows: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
                     before = data.count(b" ", 0, start)
                     words = data.count(b" ", start, end) + 1
                     out.append((doc, index.ids[i], before, words, edits, edits == 0 and end - start == len(index.raw[i])))
-                for item, start in index.exact_words(data):
-                    out.append((doc, item, data.count(b" ", 0, start), 1, 0, True))
+                for item, start, words in index.exact_words(data):
+                    out.append((doc, item, data.count(b" ", 0, start), words, 0, True))
             columns = list(zip(*out, strict=True)) or [()] * 6
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_()]
             yield pa.record_batch(
@@ -292,11 +292,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     The row tells a region in budget, in the band that shares most with the item.  Items go to the executors in blocks of at most
     PASS_BYTES; each block is compared with all documents.  Null and blank items and texts match nothing; items without
-    an id match as others do; rows that repeat a doc_id are searched each by itself; a null doc_id stays null.  Very long
+    an id match as others do; items that repeat with their id count once; rows that repeat a doc_id are searched each by itself; a null doc_id stays null.  Very long
     texts are searched whole.  Empty tables give no rows.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    items = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
+    items = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     passes = -(-2 * total // PASS_BYTES) if total > PASS_BYTES else 1
     found = None
