@@ -444,7 +444,20 @@ def changed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("path", F.when(F.col("hash").isNull(), "deleted").otherwise("changed").alias("state"))
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {_F}, g AS (SELECT scan, path, cwe, id, line, engine, row_number() OVER (PARTITION BY scan, path, cwe ORDER BY rank DESC, id) AS k FROM f),
+r(scan, path, cwe, k, kept) AS (SELECT DISTINCT scan, path, cwe, 0::BIGINT, []::STRUCT(id BIGINT, line BIGINT, engine VARCHAR, told VARCHAR[])[] FROM g
+UNION ALL SELECT scan, path, cwe, k, CASE WHEN home IS NULL THEN list_append(kept, struct_pack(id := id, line := line, engine := engine, told := []::VARCHAR[]))
+  ELSE list_transform(kept, lambda x, i: CASE WHEN i = home THEN struct_pack(id := x.id, line := x.line, engine := x.engine, told := list_append(x.told, engine)) ELSE x END) END
+  FROM (SELECT r.scan, r.path, r.cwe, g.k, r.kept, g.id, g.line, g.engine, list_position(list_transform(r.kept, lambda x: x.engine <> g.engine AND abs(x.line - g.line) <= 2), true) AS home
+    FROM r JOIN g ON g.scan = r.scan AND g.path = r.path AND g.cwe = r.cwe AND g.k = r.k + 1)),
+e AS (SELECT unnest(max_by(kept, k)) AS x FROM r GROUP BY scan, path, cwe)
+SELECT x.id AS id, array_to_string(list_sort(list_distinct(list_append(x.told, x.engine))), ',') AS engines, len(x.told)::BIGINT AS folded,
+  ['low', 'medium', 'high'][least(3, x.id % 3 + 1 + CASE WHEN len(x.told) > 0 THEN 1 ELSE 0 END)] AS confidence FROM e
+""")
 def correlated_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Findings of several engines for one weakness, folded on the best one: two lines apart at most."""
-    return triage.correlated(scan_findings(spark, sf_dir).where("scan = 0"))
+    """Findings of several engines for one weakness in a scan, folded on the best one: two lines apart at most.  Where engines agree, confidence rises a step."""
+    rows = scan_findings(spark, sf_dir).withColumn("path", F.concat_ws(":", F.col("scan").cast("string"), "path"))
+    own = F.element_at(F.array(*map(F.lit, codes.CONFIDENCES)), (F.col("id") % 3 + 1).cast("int"))
+    found = triage.correlated(rows)
+    return found.withColumn("confidence", F.when(F.col("folded") > 0, codes.bumped(own)).otherwise(own))
