@@ -26,7 +26,7 @@ def normal(rows):
 
 
 #: Greedy folds and resampling have no SQL; tests/test_operators.py has their brute force.
-NO_SQL = {"all_detectors", "bootstrap_ci", "correlate_fold", "document_findings"}
+NO_SQL = {"all_detectors", "bootstrap_ci", "document_findings"}
 
 
 @pytest.mark.parametrize("name", sorted(catalogue.ORACLES))

@@ -28,22 +28,29 @@ def nearest_before(left: DataFrame, right: DataFrame, key: str, time: str, ident
 def greedy_fold(rows: DataFrame, key: str, time: str, ident: str, seconds: int) -> DataFrame:
     """(id, group_id): rows in time order join the open group of their key while they are near its first row.
 
-    The fold depends on its own earlier decisions, so a window can't express it: rows are partitioned by
-    key, sorted, and streamed through a state of one group, whatever the size of a key.
+    The fold depends on its own earlier decisions, so a window can't express it: rows are sorted and streamed through a state of one
+    group.  A gap of more than ``seconds`` always begins a group, so a key is cut at its gaps first, which cells of that width show, and
+    what a task streams is a stretch without a gap and not a key.
     """
-    sized = rows.select(F.col(key).alias("k"), F.col(time).alias("t"), F.col(ident).alias("i"))
+    sized = rows.select(F.col(key).alias("k"), F.col(time).alias("t"), F.col(ident).alias("i"), F.floor(F.col(time) / seconds).alias("cell"))
+    cells = sized.groupBy("k", "cell").agg(F.min("t").alias("first"), F.max("t").alias("last"))
+    order = Window.partitionBy("k").orderBy("cell")
+    gap = F.when(F.col("first") - F.lag("last").over(order) > seconds, 1).otherwise(0)
+    stretch = F.sum("gap").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("stretch")
+    named = cells.withColumn("gap", gap).select(F.col("k").alias("of"), F.col("cell").alias("at"), stretch)
+    sized = sized.join(named, F.col("k").eqNullSafe(F.col("of")) & (F.col("cell") == F.col("at"))).select("k", "stretch", "t", "i")
 
     def fold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        k = start = group = None
+        now = start = group = None
         for part in parts:
             out = []
-            for a, t, i in zip(part["k"], part["t"], part["i"], strict=True):
-                if a != k or t - start > seconds:
-                    k, start, group = a, t, i
+            for k, s, t, i in part.itertuples(index=False, name=None):
+                if (k, s) != now or t - start > seconds:
+                    now, start, group = (k, s), t, i
                 out.append((i, group))
             yield pd.DataFrame(out, columns=["id", "group_id"])
 
-    return sized.repartition("k").sortWithinPartitions("k", "t", "i").mapInPandas(fold, "id long, group_id long")
+    return sized.repartition("k", "stretch").sortWithinPartitions("k", "stretch", "t", "i").mapInPandas(fold, "id long, group_id long")
 
 
 def poisson_bootstrap(rows: DataFrame, ident: str, flag: str, resamples: int, seed: int = 17) -> DataFrame:

@@ -84,7 +84,12 @@ def interval_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select(F.col("left_id").alias("purchase"), F.col("right_id").alias("click"))
 
 
-@query()
+@query("""
+WITH RECURSIVE e AS (SELECT event_id, user_id, floor(epoch(ts))::BIGINT AS t FROM events), p AS (SELECT user_id, t, min(event_id) AS id FROM e GROUP BY user_id, t),
+j AS (SELECT p.user_id, p.t, p.id, n.t AS nt, n.id AS nid FROM p ASOF LEFT JOIN p n ON p.user_id = n.user_id AND p.t + 600 < n.t),
+s(user_id, t, id, nt, nid) AS (SELECT user_id, t, id, nt, nid FROM j QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY t) = 1 UNION ALL SELECT j.user_id, j.t, j.id, j.nt, j.nid FROM s JOIN j ON s.user_id = j.user_id AND s.nt = j.t)
+SELECT e.event_id AS id, s.id AS group_id FROM e ASOF JOIN s ON e.user_id = s.user_id AND e.t >= s.t
+""")
 def correlate_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of a user folded greedily: one joins the open group if it comes within ten minutes of the group's first."""
     rows = table(spark, sf_dir, "events").select("event_id", "user_id", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("t"))
