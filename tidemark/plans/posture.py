@@ -8,21 +8,20 @@ from pyspark.sql import functions as F
 from tidemark.functions import versions
 from tidemark.operators import advisories, graph, regions, rules
 from tidemark.plans.catalogue import query
-from tidemark.plans.security import _F, scan_findings
 from tidemark.sources.tables import table, values
 
 # --- regions -----------------------------------------------------------------------------------------------
 
 _REGIONS = """
-seg AS (SELECT l_orderkey AS slice, 'src/p' || (l_partkey % 50) || '.py' AS path, (l_orderkey * 7 + l_linenumber * 13) % 3000 + 1 AS start, (l_orderkey * 7 + l_linenumber * 13) % 3000 + l_quantity::INT AS "end",
+seg AS (SELECT l_orderkey AS slice, 'src/p' || (l_partkey // 40) || '.py' AS path, (l_orderkey * 7 + l_linenumber * 13) % 3000 + 1 AS start, (l_orderkey * 7 + l_linenumber * 13) % 3000 + l_quantity::INT AS "end",
   (l_quantity * 10)::BIGINT AS tokens, o_orderpriority AS strategy, l_returnflag AS provider, l_linestatus AS scan FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
-fn AS (SELECT 'src/p' || (p_partkey % 50) || '.py' AS path, p_name || p_partkey AS name, p_partkey * 13 % 3000 + 1 AS start, p_partkey * 13 % 3000 + 1 + p_size * 2 AS "end" FROM part),
+fn AS (SELECT 'src/p' || (p_partkey // 40) || '.py' AS path, p_name || p_partkey AS name, p_partkey * 13 % 3000 + 1 AS start, p_partkey * 13 % 3000 + 1 + p_size * 2 AS "end" FROM part),
 fl AS (SELECT path, max("end") + 100 AS lines FROM fn GROUP BY path)
 """
 
 
 def _path(key: str) -> F.Column:
-    return F.concat(F.lit("src/p"), (F.col(key) % 50).cast("string"), F.lit(".py"))
+    return F.concat(F.lit("src/p"), F.floor(F.col(key) / 40).cast("string"), F.lit(".py"))
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,13 +47,16 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {_F}, {_REGIONS}, m AS (SELECT f.id, fn.name AS range, fn.start, fn."end", row_number() OVER (PARTITION BY f.id ORDER BY fn."end" - fn.start, fn.start DESC, fn.name) AS k
-  FROM f JOIN fn ON fn.path = f.path AND f.line * 10 BETWEEN fn.start AND fn."end")
+WITH {_REGIONS}, f AS (SELECT ((l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey) * 10000 + l_suppkey AS id, 'src/p' || (l_partkey // 40) || '.py' AS path, (l_orderkey * 7 + l_linenumber * 13) % 3000 + 1 AS line FROM lineitem),
+m AS (SELECT f.id, fn.name AS range, fn.start, fn."end", row_number() OVER (PARTITION BY f.id ORDER BY fn."end" - fn.start, fn.start DESC, fn.name) AS k
+  FROM f JOIN fn ON fn.path = f.path AND f.line BETWEEN fn.start AND fn."end")
 SELECT id, range, start, "end" FROM m WHERE k = 1
 """)
 def innermost_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The innermost function around each finding."""
-    positions = scan_findings(spark, sf_dir).select("id", "path", (F.col("line") * 10).alias("line"))
+    """The innermost function around the place of each line."""
+    place = (F.col("l_orderkey") * 7 + F.col("l_linenumber") * 13) % 3000 + 1
+    ident = ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1000000 + F.col("l_partkey")) * 10000 + F.col("l_suppkey")
+    positions = table(spark, sf_dir, "lineitem").select(ident.alias("id"), _path("l_partkey").alias("path"), place.alias("line"))
     return regions.innermost(positions, functions(spark, sf_dir).withColumnRenamed("name", "range"))
 
 

@@ -15,8 +15,9 @@ from tidemark.sources.tables import table, values
 _WEAK = [89, 943, 79, 77, 798, 1333, 611]
 _FAMILY = "CASE " + " ".join(f"WHEN {{0}} IN ({', '.join(map(str, m))}) THEN '{n}'" for n, m in evaluation.FAMILIES.items()) + " ELSE 'cwe-' || {0} END"
 _LABELLED = f"""
-{_F}, r AS (SELECT id, path || CASE WHEN cwe = 5 THEN '.lock' ELSE '' END AS path, line AS start, line + rank AS "end", [{_WEAK}[id % 7 + 1], {_WEAK}[(id // 7) % 7 + 1]] AS cwes FROM f),
-t AS (SELECT o_orderkey AS no, 'L' || o_orderkey AS label, 'src/p' || (o_custkey % 50) || '.py' AS path, CASE WHEN o_orderkey % 97 = 0 THEN 0 ELSE (o_orderkey * 11) % 300 + 1 END AS line,
+{_F}, fp AS (SELECT *, 'src/p' || ((id // 10000) % 1000000 // 40) || '.py' AS own FROM f),
+r AS (SELECT id, own || CASE WHEN cwe = 5 THEN '.lock' ELSE '' END AS path, line AS start, line + rank AS "end", [{_WEAK}[id % 7 + 1], {_WEAK}[(id // 7) % 7 + 1]] AS cwes FROM fp),
+t AS (SELECT o_orderkey AS no, 'L' || o_orderkey AS label, 'src/p' || (o_custkey // 30) || '.py' AS path, CASE WHEN o_orderkey % 97 = 0 THEN 0 ELSE (o_orderkey * 11) % 300 + 1 END AS line,
   CASE WHEN o_custkey % 9 = 0 THEN 0 ELSE [89, 87, 77, 259, 776][o_custkey % 5 + 1] END AS cwe, o_orderpriority LIKE '5%' AS safe FROM orders),
 rf AS (SELECT r.*, unnest(list_distinct([{_FAMILY.format('cwes[1]')}, {_FAMILY.format('cwes[2]')}])) AS fam FROM r WHERE path LIKE '%.py'), tf AS (SELECT *, {_FAMILY.format('cwe')} AS fam FROM t),
 b AS (SELECT rf.id, any_value(rf.path) AS path, any_value(rf.start) AS start, min((CASE WHEN line = 0 THEN 0 ELSE abs(line - start) END, no, label)) AS best FROM rf JOIN tf ON NOT safe AND rf.path = tf.path AND rf.fam = tf.fam
@@ -31,15 +32,15 @@ o AS (SELECT r.id, CASE WHEN k.k = 1 THEN 'matched' WHEN k.k > 1 THEN 'duplicate
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(findings, labels): findings of two weaknesses each, a fifth of them in lock files, and a label an order, a fifth of them controls."""
+    """(findings, labels), as dense at any size: findings of two weaknesses each, a fifth of them in lock files, and a label an order, a fifth of them controls."""
     f = scan_findings(spark, sf_dir)
     weak = F.array(*map(F.lit, _WEAK))
     number = lambda e: F.element_at(weak, (F.expr(e) % 7 + 1).cast("int"))
-    path = F.concat("path", F.when(F.col("cwe") == 5, ".lock").otherwise(""))
+    path = F.concat(F.lit("src/p"), F.expr("cast((id div 10000) % 1000000 div 40 AS string)"), F.lit(".py"), F.when(F.col("cwe") == 5, ".lock").otherwise(""))
     found = f.select("id", path.alias("path"), F.col("line").alias("start"), (F.col("line") + F.col("rank")).alias("end"), F.array(number("id"), number("id div 7")).alias("cwes"))
     key, customer = F.col("o_orderkey"), F.col("o_custkey")
     labels = table(spark, sf_dir, "orders").select(
-        key.alias("no"), F.concat(F.lit("L"), key.cast("string")).alias("label"), F.concat(F.lit("src/p"), (customer % 50).cast("string"), F.lit(".py")).alias("path"),
+        key.alias("no"), F.concat(F.lit("L"), key.cast("string")).alias("label"), F.concat(F.lit("src/p"), F.floor(customer / 30).cast("string"), F.lit(".py")).alias("path"),
         F.when(key % 97 == 0, 0).otherwise(key * 11 % 300 + 1).alias("line"), F.when(customer % 9 == 0, 0).otherwise(F.element_at(F.array(*map(F.lit, (89, 87, 77, 259, 776))), (customer % 5 + 1).cast("int"))).alias("cwe"),
         F.col("o_orderpriority").startswith("5").alias("safe"),
     )
