@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import codes, formats
 from tidemark.functions.formats import Format
-from tidemark.operators.filters import filtered
+from tidemark.operators.filters import listed
 from tidemark.operators.graph import stored
 
 #: Characters before a value that filters may look at, on its line.
@@ -90,16 +90,23 @@ def personal_data(docs: DataFrame, ident: str, text: str, path: str | None = Non
     return _personal(checked(spans(docs, ident, text, wanted, path), wanted)).drop("path", "before", "after")
 
 
+def _unlisted(found: DataFrame, placeholders: DataFrame | None) -> DataFrame:
+    return listed(found, placeholders).where("NOT listed").drop("listed").withColumn("downgraded", F.lit(False))
+
+
 def credentials(docs: DataFrame, ident: str, text: str, path: str | None = None, wanted: Sequence[Format] = formats.CREDENTIALS, placeholders: DataFrame | None = None) -> DataFrame:
-    """Checked spans of credentials without the values that the filters drop, or a table of placeholder values lists."""
-    return filtered(stored(checked(spans(docs, ident, text, wanted, path), wanted)), placeholders).drop("path", "before", "after")
+    """Checked spans of credentials without the values that a table of placeholder values lists.
+
+    A documented format tells enough: the filters that look at shapes and places are for values without one.
+    """
+    return _unlisted(checked(spans(docs, ident, text, wanted, path), wanted), placeholders).drop("path", "before", "after")
 
 
 def known_formats(docs: DataFrame, ident: str, text: str, path: str | None = None, placeholders: DataFrame | None = None) -> DataFrame:
     """personal_data and credentials in one pass over the texts, whose spans are stored once."""
     both = formats.PERSONAL + formats.CREDENTIALS
     found = stored(checked(spans(docs, ident, text, both, path), both))
-    kept = _personal(found.where("kind = 'pii'")).unionByName(filtered(found.where("kind = 'secret'"), placeholders))
+    kept = _personal(found.where("kind = 'pii'")).unionByName(_unlisted(found.where("kind = 'secret'"), placeholders))
     return stored(kept.drop("path", "before", "after"))
 
 
