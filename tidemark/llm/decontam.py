@@ -172,7 +172,11 @@ class Items:
     def _slots(codes: np.ndarray) -> np.ndarray:
         return (codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SLOT_BITS)
 
-    def exact_words(self, data: bytes) -> list[tuple[int, int, int]]:
+    def exact_words(self, data: bytes) -> list[tuple[int, int]]:
+        """(item id, start) of short_matches()."""
+        return [(i, at) for i, at, _ in self.short_matches(data)]
+
+    def short_matches(self, data: bytes) -> list[tuple[int, int, int]]:
         """(item id, start, words) of the items below q bytes that data holds as whole words."""
         if not self.short:
             return []
@@ -275,7 +279,7 @@ def _one_pass(rows: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
                     before = data.count(b" ", 0, start)
                     words = data.count(b" ", start, end) + 1
                     out.append((doc, index.ids[i], before, words, edits, edits == 0 and end - start == len(index.raw[i])))
-                for item, start, words in index.exact_words(data):
+                for item, start, words in index.short_matches(data):
                     out.append((doc, item, data.count(b" ", 0, start), words, 0, True))
             columns = list(zip(*out, strict=True)) or [()] * 6
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_()]
