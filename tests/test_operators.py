@@ -103,3 +103,15 @@ def test_chain_faults(spark):
     assert got == {
         "good": (True, None, None), "gap": (False, 4, "sequence"), "time": (False, 4, "time"), "hash": (False, 2, "entry hash"), "start": (False, 1, "genesis"),
     }
+
+
+def test_nearest_before_within_a_second(spark):
+    """Of clicks in one second the latest counts, of equals the smallest id; rows without a key or a click before are kept with null."""
+    rows = spark.createDataFrame(
+        [("c", 9, 1, 10, 5), ("c", 8, 1, 10, 7), ("c", 7, 1, 10, 7), ("c", 6, None, 1, 1), ("v", 1, 1, 10, 0), ("v", 2, 1, 9, 9), ("v", 3, None, 20, 0), ("v", 4, 2, 20, 0), ("v", 5, 1, 99, 0)],
+        "kind string, id long, u long, t long, part long",
+    )
+    left, right = rows.where("kind = 'v'"), rows.where("kind = 'c'")
+    got = matching.nearest_before(left, right, "u", "t", "id", 50, "part", outer=True)
+    assert {r.left_id: r.right_id for r in got.collect()} == {1: 7, 2: None, 3: None, 4: None, 5: None}
+    assert [tuple(r) for r in matching.nearest_before(left, right, "u", "t", "id", 50).collect()] == [(1, 7)]

@@ -9,20 +9,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def nearest_before(left: DataFrame, right: DataFrame, key: str, time: str, ident: str, seconds: int) -> DataFrame:
-    """(left_id, right_id): for each left row the last right row of its key at or before it, at most ``seconds`` away.
+def nearest_before(left: DataFrame, right: DataFrame, key: str, time: str, ident: str, seconds: int, within: str | None = None, outer: bool = False) -> DataFrame:
+    """(left_id, right_id): for each left row the last right row of its key at or before it, at most ``seconds`` away; with ``outer`` null where there is none.
 
     Both sides are sorted once by key and time and the last right row is carried forward: no pair is built.
-    Of right rows at one time the smallest id counts.
+    Of right rows at one time the one with the greatest ``within`` counts, of equals the smallest id.
     """
-    first = right.groupBy(key, time).agg(F.min(ident).alias("right_id"))
+    last = F.min(ident) if within is None else F.max_by(ident, F.struct(within, -F.col(ident)))
+    first = right.dropna(subset=[key, time]).groupBy(key, time).agg(last.alias("right_id"))
     rows = left.select(key, time, F.col(ident).alias("left_id"), F.lit(None).cast("long").alias("right_id")).unionByName(
         first.select(key, time, F.lit(None).cast("long").alias("left_id"), "right_id")
     )
     order = Window.partitionBy(key).orderBy(time, F.col("right_id").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
     mark = F.when(F.col("right_id").isNotNull(), F.struct("right_id", time))
     carried = rows.withColumn("seen", F.last(mark, ignorenulls=True).over(order)).where("left_id is not null")
-    return carried.where(F.col(time) - F.col("seen")[time] <= seconds).select("left_id", F.col("seen.right_id").alias("right_id"))
+    found = carried.select("left_id", F.when(F.col(time) - F.col("seen")[time] <= seconds, F.col("seen.right_id")).alias("right_id"))
+    return found if outer else found.where("right_id is not null")
 
 
 def greedy_fold(rows: DataFrame, key: str, time: str, ident: str, seconds: int) -> DataFrame:

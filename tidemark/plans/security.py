@@ -193,10 +193,9 @@ SELECT p.event_id AS scan, (SELECT max_by(c.event_id, (c.ts, -c.event_id)) FROM
 """)
 def previous_scan_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each scan of a project the latest completed one of another table that ended by then: an as-of join."""
-    rows = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("t"))
-    left = rows.where("event_type = 'view'")
-    found = matching.nearest_before(left, rows.where("event_type = 'click'"), "user_id", "t", "event_id", 1 << 40)
-    return left.select(F.col("event_id").alias("left_id")).join(found, "left_id", "left").select(F.col("left_id").alias("scan"), F.col("right_id").alias("previous"))
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "ts", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("t"))
+    found = matching.nearest_before(rows.where("event_type = 'view'"), rows.where("event_type = 'click'"), "user_id", "t", "event_id", 1 << 40, "ts", outer=True)
+    return found.select(F.col("left_id").alias("scan"), F.col("right_id").alias("previous"))
 
 
 _CHAIN_SQL = """
