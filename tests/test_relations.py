@@ -222,3 +222,10 @@ def test_redaction_refuses_what_it_cannot_do(spark):
     for bad in (span(1, 3), span(3, 99), span(3, 10, "a@")):
         with pytest.raises(Exception, match="can't be replaced"):
             detection.redacted_texts(one, "id", "text", bad).collect()
+
+
+def test_assigned_names_are_ascii(spark):
+    """A letter beyond ASCII ends no name's look-behind, and first_byte is where the value first stands, be it before its assignment."""
+    docs = spark.createDataFrame([(1, "é 4711 étoken = \"4711\"\r\npwd: 'ab\\\n'\nsecret = 'x: y\"z'")], "id long, text string")
+    got = {(r.name, r.value, r.first_byte, r.start_byte) for r in secrets.assigned(docs, "id", "text").collect()}
+    assert got == {("token", "4711", 3, 19), ("secret", "x: y\"z", 48, 48)}

@@ -16,7 +16,8 @@ from tidemark.functions import text as T
 class Format:
     """A kind of value: its pattern, a cheap pattern that every text with a match also meets, and how sure a match is.
 
-    ``group`` is the part of the match that is the value.  With ``words``, the group ``name`` must have one of them.
+    ``group`` is the part of the match that is the value.  With ``words``, the group ``name`` must have one of them.  With ``marks``, a match lies in
+    one line, and only lines with one of these characters are searched.
     """
 
     kind: str
@@ -27,6 +28,7 @@ class Format:
     group: int | str = 0
     words: tuple[str, ...] = ()
     flags: int = 0
+    marks: str = ""
 
 
 # The patterns of the formats, in Python's syntax; "need" means the same in Java's.

@@ -5,6 +5,8 @@ Python only finds where candidates stand; names, alphabets, thresholds and filte
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,12 +43,12 @@ _SIGN = r"""[ \t]*(?::=|=>|=(?!=)|:(?!:))[ \t]*"""
 _NAME = r"""(?P<name>["']?[A-Za-z_][\w.\-]{0,63}["']?)"""
 _TOKEN = r"[A-Za-z0-9+/=_\-]{16,512}"
 ASSIGNMENTS = (
-    Format("secret", "generic_credential", "quoted", _WORDS, rf"""(?<![\w.\-]){_NAME}{_SIGN}(["'])(?P<value>(?:(?!\2)[^\\\r\n]|\\.){{4,512}})\2""", "value"),
-    Format("secret", "generic_credential", "bare", _WORDS, rf"""(?m)^[ \t-]*(?:export[ \t]+)?{_NAME}{_SIGN}(?P<value>[^\s"'#,;]{{4,512}})[ \t]*\r?$""", "value"),
+    Format("secret", "generic_credential", "quoted", _WORDS, rf"""(?<![\w.\-]){_NAME}{_SIGN}(["'])(?P<value>(?:(?!\2)[^\\\r\n]|\\.){{4,512}})\2""", "value", flags=re.ASCII, marks=":="),
+    Format("secret", "generic_credential", "bare", _WORDS, rf"""(?m)^[ \t-]*(?:export[ \t]+)?{_NAME}{_SIGN}(?P<value>[^\s"'#,;]{{4,512}})[ \t]*\r?$""", "value", flags=re.ASCII, marks=":="),
 )
 TOKENS = (
-    Format("secret", "high_entropy_string", "quoted", r"[A-Za-z0-9+/=_\-]{16}", rf"""(["'`])(?P<value>{_TOKEN})\1""", "value"),
-    Format("secret", "high_entropy_string", "line", r"[A-Za-z0-9+/=_\-]{16}", rf"""(?m)^[ \t]*(?:export[ \t]+)?(?P<name>[\w.\-"']{{1,64}})[ \t]*[:=][ \t]*(?P<value>{_TOKEN})[ \t]*\r?$""", "value"),
+    Format("secret", "high_entropy_string", "quoted", r"[A-Za-z0-9+/=_\-]{16}", rf"""(["'`])(?P<value>{_TOKEN})\1""", "value", flags=re.ASCII, marks="\"'`"),
+    Format("secret", "high_entropy_string", "line", r"[A-Za-z0-9+/=_\-]{16}", rf"""(?m)^[ \t]*(?:export[ \t]+)?(?P<name>[\w.\-"']{{1,64}})[ \t]*[:=][ \t]*(?P<value>{_TOKEN})[ \t]*\r?$""", "value", flags=re.ASCII, marks=":="),
 )
 
 
@@ -72,8 +74,11 @@ def _usable(value: Column) -> Column:
 
 
 def assigned(docs: DataFrame, ident: str, text: str, path: str | None = None, placeholders: DataFrame | None = None) -> DataFrame:
-    """Values assigned to credential names: quoted ones anywhere, bare ones in files of settings.  Long ones that are no placeholders are of medium confidence."""
-    found = spans(docs, ident, text, ASSIGNMENTS, path)
+    """Values assigned to credential names: quoted ones anywhere, bare ones in files of settings, with ``first_byte``, where the value first stands in its text.
+
+    Long ones that are no placeholders are of medium confidence.
+    """
+    found = spans(docs, ident, text, ASSIGNMENTS, path, first=True)
     bare = F.col("confidence") == "bare"
     settings = F.col("path").rlike(CONFIG_FILES) & ~F.col("value").rlike(REFERENCE_STARTS)
     kept = listed(found.where(names_credential(F.col("name")) & _usable(F.col("value")) & (~bare | settings)), placeholders)

@@ -55,7 +55,7 @@ def assigned_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = values(spark, [("ChangeMe",)], "value string")
     found = secrets.assigned(secret_texts(spark, sf_dir), "doc_id", "text", "path", known)
     name = F.regexp_replace("name", "[\"']", "").alias("name")
-    return found.groupBy("ident", name, "value", "confidence").agg(F.min("start_byte").alias("first_byte"), F.count("*").alias("n"))
+    return found.groupBy("ident", name, "value", "confidence").agg(F.min("first_byte").alias("first_byte"), F.count("*").alias("n"))
 
 
 _TOKEN = r"([A-Za-z0-9+/=_\-]{16,512})"
