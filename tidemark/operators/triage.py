@@ -247,19 +247,29 @@ def correlated(findings: DataFrame, lines: int = 2) -> DataFrame:
     )
 
     def fold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group, kept = None, []
+        # A line's first kept finding, and its first of another engine, are all that others can fold on; a line's and engine's home, once found, stays.
+        group, kept, places, homes = None, [], {}, {}
         for part in parts:
             done = []
-            for path, cwe, stretch, ident, line, engine, _ in part.itertuples(index=False):
+            for path, cwe, stretch, ident, line, engine in zip(*(part[c].tolist() for c in ("path", "cwe", "stretch", "id", "line", "engine"))):
                 if (path, cwe, stretch) != group:
                     done += kept
-                    group, kept = (path, cwe, stretch), []
-                home = next((k for k in kept if k[2] != engine and abs(k[1] - line) <= lines), None)
+                    group, kept, places, homes = (path, cwe, stretch), [], {}, {}
+                home = homes.get((line, engine))
                 if home is None:
-                    kept.append([ident, line, engine, {engine}, 0])
-                else:
+                    near = [k for d in range(-lines, lines + 1) for k in places.get(line + d, ()) if k[2] != engine]
+                    if near:
+                        home = homes[line, engine] = min(near, key=lambda k: k[1])
+                if home is not None:
                     home[3].add(engine)
                     home[4] += 1
+                    continue
+                own, first = [ident, len(kept), engine, {engine}, 0], places.setdefault(line, [])
+                if not first or (len(first) == 1 and first[0][2] != engine):
+                    first.append(own)
+                    kept.append(own)
+                else:
+                    done.append(own)
             yield _folded(done)
         yield _folded(kept)
 
