@@ -136,3 +136,14 @@ def test_every_pattern_compiles():
 
     for f in formats.PERSONAL + formats.CREDENTIALS:
         re.compile(f.pattern, f.flags), re.compile(f.need)
+
+
+def test_results_of_logs_are_exploded_alone(spark, tmp_path):
+    """No row of a result carries the other results of its run, which made reading a log quadratic in them."""
+    from tidemark.sources import reports
+
+    path = tmp_path / "a.json"
+    path.write_text('{"runs": [{"tool": {"driver": {"name": "e"}}, "results": [{"ruleId": "r", "locations": [{"physicalLocation": {"artifactLocation": {"uri": "a"}}}]}]}]}')
+    got = reports.read_logs(spark, str(path), lines=True)
+    assert [(r.engine, r.rule_id, r.path) for r in got.collect()] == [("e@unknown", "r", "a")]
+    assert "Generate explode(results#" in got._jdf.queryExecution().optimizedPlan().toString()

@@ -40,7 +40,8 @@ def read_logs(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     Results that are passes, or lack a rule or a place in the repository, are left out.
     """
     logs = spark.read.schema(LOG).json(path, multiLine=not lines)
-    runs = logs.select(F.explode("runs").alias("run")).select("run.tool.driver", F.explode("run.results").alias("r"))
+    # Results are a column of their own before they are exploded, so that no row of a result carries the run's others.
+    runs = logs.select(F.explode("runs").alias("run")).select("run.tool.driver", "run.results").select("driver", F.explode("results").alias("r"))
     index = F.coalesce("r.ruleIndex", "r.rule.index")
     named = F.coalesce("r.ruleId", "r.rule.id")
     by_index = F.when(index >= 0, F.get(F.col("driver.rules"), index))
