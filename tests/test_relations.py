@@ -229,3 +229,17 @@ def test_assigned_names_are_ascii(spark):
     docs = spark.createDataFrame([(1, "é 4711 étoken = \"4711\"\r\npwd: 'ab\\\n'\nsecret = 'x: y\"z'")], "id long, text string")
     got = {(r.name, r.value, r.first_byte, r.start_byte) for r in secrets.assigned(docs, "id", "text").collect()}
     assert got == {("token", "4711", 3, 19), ("secret", "x: y\"z", 48, 48)}
+
+
+def test_overlapping_ranges_name_a_version_once(spark):
+    known = spark.createDataFrame([("PyPI", "a", v) for v in ("0.9", "1.0", "3.0", None)] + [(None, "a", "1.0")], "ecosystem string, name string, version string")
+    ranges = spark.createDataFrame([("X", "PyPI", "a", "0", "2"), ("X", "PyPI", "a", "0.5", "1.5"), ("X", "PyPI", "a", "3.0", None), ("Z", "PyPI", "a", None, None)], "advisory string, ecosystem string, name string, introduced string, fixed string")
+    rows = advisories.affected(known.union(known), ranges)
+    assert sorted((x.advisory, x.version or "") for x in rows.collect()) == [("X", "0.9"), ("X", "1.0"), ("X", "3.0"), ("Z", ""), ("Z", "0.9"), ("Z", "1.0"), ("Z", "3.0")]
+
+
+def test_keys_are_made_once_for_a_distinct_version(spark):
+    rows = spark.createDataFrame([(1, "PyPI", "1.0"), (2, "PyPI", "1.0"), (3, None, "1.0"), (4, "npm", None)], "id int, ecosystem string, version string")
+    got = {r.id: r.key for r in advisories.keyed(rows, key="version").collect()}
+    want = {r.id: r.key for r in rows.withColumn("key", versions.sort_key(F.col("ecosystem"), F.col("version"))).collect()}
+    assert got == want and len(got) == 4
