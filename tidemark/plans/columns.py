@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions import codes, formats, scalars, versions
-from tidemark.operators import risk, triage
+from tidemark.functions import codes, formats, scalars
+from tidemark.operators import advisories, risk, triage
 from tidemark.plans.catalogue import query
 from tidemark.plans.posture import _VERSIONS, part_versions
 from tidemark.sources.tables import table
@@ -44,7 +44,7 @@ WITH {_VERSIONS} SELECT id, ecosystem, version, dense_rank() OVER (PARTITION BY
 """)
 def version_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The place of each part's version among those of its library, in four ecosystems' orders."""
-    rows = part_versions(spark, sf_dir).withColumn("key", versions.sort_key(F.col("ecosystem"), F.col("version")))
+    rows = advisories.keyed(part_versions(spark, sf_dir), key="version")
     return rows.select("id", "ecosystem", "version", F.dense_rank().over(Window.partitionBy("ecosystem", "lib").orderBy("key")).alias("place"))
 
 
