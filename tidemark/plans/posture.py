@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions import versions
 from tidemark.operators import advisories, graph, regions, rules
 from tidemark.plans.catalogue import query
 from tidemark.sources.tables import table, values
@@ -161,8 +160,9 @@ SELECT id, ecosystem, previous, version, CASE WHEN before < key THEN -1 WHEN bef
 def version_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each part's version beside the one before it, in four orders."""
     order = Window.partitionBy("ecosystem", "brand", F.col("lib") % 10).orderBy("id")
-    rows = part_versions(spark, sf_dir).withColumn("previous", F.lag("version").over(order)).where("previous IS NOT NULL")
-    return rows.select("id", "ecosystem", "previous", "version", versions.compared(F.col("ecosystem"), F.col("previous"), F.col("version")).alias("cmp"))
+    rows = advisories.keyed(part_versions(spark, sf_dir), key="version").withColumns({"previous": F.lag("version").over(order), "before": F.lag("key").over(order)})
+    cmp = (F.col("before") > F.col("key")).cast("int") - (F.col("before") < F.col("key")).cast("int")
+    return rows.where("previous IS NOT NULL").select("id", "ecosystem", "previous", "version", cmp.alias("cmp"))
 
 
 @query(f"""
