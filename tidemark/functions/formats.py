@@ -17,7 +17,8 @@ class Format:
     """A kind of value: its pattern, a cheap pattern that every text with a match also meets, and how sure a match is.
 
     ``group`` is the part of the match that is the value.  With ``words``, the group ``name`` must have one of them.  With ``marks``, a match lies in
-    one line, and only lines with one of these characters are searched.
+    one line, and only lines with one of these characters are searched.  Other matches lie in one line with what they need, unless the format
+    ``crosses`` lines.  ``shape`` is in every text with a match, once its ASCII digits are 0 and its ASCII capitals are A.
     """
 
     kind: str
@@ -29,6 +30,8 @@ class Format:
     words: tuple[str, ...] = ()
     flags: int = 0
     marks: str = ""
+    crosses: bool = False
+    shape: str = ""
 
 
 # The patterns of the formats, in Python's syntax; "need" means the same in Java's.
@@ -41,44 +44,44 @@ _ASSIGNED = r"""(?<![\w.\-])(?P<name>[A-Za-z_][\w.\-]{0,63})["']?[ \t]*(?::=|=>|
 _QUOTE = r"""[\s"'=:]{1,6}"""
 
 PERSONAL = (
-    Format("pii", "aadhaar_number", "high", r"[2-9][0-9]{3}[ \-]?[0-9]{4}", r"(?<![\w.+\-])(?<!\d[ \-])[2-9]\d{3}[ \-]?\d{4}[ \-]?\d{4}(?!\w|[ \-]\d|\.\d)"),
-    Format("pii", "pan_number", "high", r"[0-9]{4}[A-Z]", r"(?<![A-Za-z0-9])[A-Z]{3}[ABCFGHLJPT][A-Z]\d{4}[A-Z](?![A-Za-z0-9])"),
-    Format("pii", "ifsc_code", "medium", r"[A-Z]{4}0[A-Z0-9]{6}", r"(?<![A-Za-z0-9])[A-Z]{4}0[A-Z0-9]{6}(?![A-Za-z0-9])"),
+    Format("pii", "aadhaar_number", "high", r"[2-9][0-9]{3}[ \-]?[0-9]{4}", r"(?<![\w.+\-])(?<!\d[ \-])[2-9]\d{3}[ \-]?\d{4}[ \-]?\d{4}(?!\w|[ \-]\d|\.\d)", shape="0000"),
+    Format("pii", "pan_number", "high", r"[0-9]{4}[A-Z]", r"(?<![A-Za-z0-9])[A-Z]{3}[ABCFGHLJPT][A-Z]\d{4}[A-Z](?![A-Za-z0-9])", shape="0000A"),
+    Format("pii", "ifsc_code", "medium", r"[A-Z]{4}0[A-Z0-9]{6}", r"(?<![A-Za-z0-9])[A-Z]{4}0[A-Z0-9]{6}(?![A-Za-z0-9])", shape="AAAA"),
     Format("pii", "upi_id", "medium", r"@", r"(?<![\w.%+\-])[A-Za-z0-9._\-]{2,64}@(?!localhost\b)[A-Za-z][A-Za-z0-9]{1,31}(?![\w\-]|\.\w)"),
-    Format("pii", "indian_mobile", "medium", r"[6-9][0-9]{4}", r"(?<![\w+.\-])(?:\+91[ \-]?|0)?(?:[6-9]\d{9}|[6-9]\d{4}[ \-]\d{5})(?!\w|\.\d)"),
-    Format("pii", "gstin", "high", r"[0-9]{4}[A-Z][1-9A-Z]Z", r"(?<![A-Za-z0-9])(?:0[1-9]|[12]\d|3[0-8]|9[79])[A-Z]{5}\d{4}[A-Z][1-9A-Z]Z[0-9A-Z](?![A-Za-z0-9])"),
+    Format("pii", "indian_mobile", "medium", r"[6-9][0-9]{4}", r"(?<![\w+.\-])(?:\+91[ \-]?|0)?(?:[6-9]\d{9}|[6-9]\d{4}[ \-]\d{5})(?!\w|\.\d)", shape="00000"),
+    Format("pii", "gstin", "high", r"[0-9]{4}[A-Z][1-9A-Z]Z", r"(?<![A-Za-z0-9])(?:0[1-9]|[12]\d|3[0-8]|9[79])[A-Z]{5}\d{4}[A-Z][1-9A-Z]Z[0-9A-Z](?![A-Za-z0-9])", shape="0000A"),
     Format("pii", "email", "high", r"@", r"(?<![\w.%+\-])[A-Za-z0-9._%+\-]{1,64}@(?:(?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24}|localhost)(?![\w\-])"),
-    Format("pii", "phone_intl", "medium", r"\+[1-9]", r"(?<![\w+])\+[1-9](?:[ \-]?\d){6,14}(?!\w|[ \-]\d)"),
-    Format("pii", "credit_card", "high", r"[0-9](?:[ \-]?[0-9]){12}", r"(?<![\w.\-])(?<!\d[ \-])\d(?:[ \-]?\d){12,18}(?!\w|[ \-]\d|\.\d)"),
-    Format("pii", "iban", "high", r"[A-Z]{2}[0-9]{2}", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![A-Za-z0-9])"),
-    Format("pii", "ipv4", "medium", r"[0-9]\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]", rf"(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\w|\.\d)"),
-    Format("pii", "ipv6", "medium", r":[0-9A-Fa-f]{0,4}:", r"(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:.])"),
+    Format("pii", "phone_intl", "medium", r"\+[1-9]", r"(?<![\w+])\+[1-9](?:[ \-]?\d){6,14}(?!\w|[ \-]\d)", shape="+0"),
+    Format("pii", "credit_card", "high", r"[0-9](?:[ \-]?[0-9]){12}", r"(?<![\w.\-])(?<!\d[ \-])\d(?:[ \-]?\d){12,18}(?!\w|[ \-]\d|\.\d)", shape="0"),
+    Format("pii", "iban", "high", r"[A-Z]{2}[0-9]{2}", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![A-Za-z0-9])", shape="AA00"),
+    Format("pii", "ipv4", "medium", r"[0-9]\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]", rf"(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\w|\.\d)", shape="0.0"),
+    Format("pii", "ipv6", "medium", r":[0-9A-Fa-f]{0,4}:", r"(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:.])", shape=":"),
     Format("pii", "mac_address", "medium", r"[:\-][0-9A-Fa-f]{2}[:\-]", r"(?<![\w:\-])[0-9A-Fa-f]{2}([:\-])(?:[0-9A-Fa-f]{2}\1){4}[0-9A-Fa-f]{2}(?![\w:\-])"),
     Format("pii", "date_of_birth", "medium", r"(?i)dob|birth", _ASSIGNED + rf"(?P<value>{_DATE})(?!\w)", "value", ("dob", "birth", "birthday", "birthdate")),
     Format("pii", "passport_number", "low", r"(?i)passport", _ASSIGNED + r"(?P<value>(?=[A-Z0-9]*\d)[A-Z0-9]{6,9})(?![A-Za-z0-9])", "value", ("passport",)),
 )
 
 CREDENTIALS = (
-    Format("secret", "aws_access_key", "high", r"A(?:KIA|SIA|GPA|IDA|ROA|IPA|NPA|NVA)", r"(?<![A-Za-z0-9])(?:AKIA|ASIA|AGPA|AIDA|AROA|AIPA|ANPA|ANVA)[0-9A-Z]{16}(?![A-Za-z0-9])"),
-    Format("secret", "aws_secret_key", "medium", r"(?i)aws", r"aws[\w.\-]{0,24}?secret[\w.\-]{0,24}?" + _QUOTE + r"([A-Za-z0-9/+=]{40})(?![A-Za-z0-9/+=])", 1, flags=re.IGNORECASE),
-    Format("secret", "gcp_service_account_key", "high", r"service_account", r'\{[^{}]{0,8000}"type"\s*:\s*"service_account"[^{}]{0,8000}\}'),
+    Format("secret", "aws_access_key", "high", r"A(?:KIA|SIA|GPA|IDA|ROA|IPA|NPA|NVA)", r"(?<![A-Za-z0-9])(?:AKIA|ASIA|AGPA|AIDA|AROA|AIPA|ANPA|ANVA)[0-9A-Z]{16}(?![A-Za-z0-9])", shape="AAAA"),
+    Format("secret", "aws_secret_key", "medium", r"(?i)aws", r"aws[\w.\-]{0,24}?secret[\w.\-]{0,24}?" + _QUOTE + r"([A-Za-z0-9/+=]{40})(?![A-Za-z0-9/+=])", 1, flags=re.IGNORECASE, crosses=True),
+    Format("secret", "gcp_service_account_key", "high", r"service_account", r'\{[^{}]{0,8000}"type"\s*:\s*"service_account"[^{}]{0,8000}\}', crosses=True),
     Format("secret", "gcp_api_key", "high", r"AIza", r"(?<![A-Za-z0-9])AIza[0-9A-Za-z_\-]{35}(?![0-9A-Za-z_\-])"),
     Format("secret", "azure_storage_connection_string", "high", r"AccountKey", r"DefaultEndpointsProtocol=https?;AccountName=[a-z0-9]{3,24};AccountKey=[A-Za-z0-9+/]{86}=="),
     Format("secret", "azure_client_secret", "medium", r"Q~", r"(?<![A-Za-z0-9_.~\-])[A-Za-z0-9_.\-]{3}\dQ~[A-Za-z0-9_.~\-]{31,34}(?![A-Za-z0-9_.~\-])"),
-    Format("secret", "github_token", "high", r"gh[pousr]_", r"(?<![A-Za-z0-9])gh[pousr]_[A-Za-z0-9]{36}(?![A-Za-z0-9])"),
+    Format("secret", "github_token", "high", r"gh[pousr]_", r"(?<![A-Za-z0-9])gh[pousr]_[A-Za-z0-9]{36}(?![A-Za-z0-9])", shape="gh"),
     Format("secret", "github_token", "high", r"github_pat_", r"(?<![A-Za-z0-9])github_pat_[A-Za-z0-9_]{82}(?![A-Za-z0-9_])"),
-    Format("secret", "slack_token", "high", r"xox[abprs]-", r"(?<![A-Za-z0-9])xox[abprs]-(?:[0-9]{8,15}-){1,3}[A-Za-z0-9]{20,40}(?![A-Za-z0-9])"),
+    Format("secret", "slack_token", "high", r"xox[abprs]-", r"(?<![A-Za-z0-9])xox[abprs]-(?:[0-9]{8,15}-){1,3}[A-Za-z0-9]{20,40}(?![A-Za-z0-9])", shape="xox"),
     Format("secret", "slack_token", "high", r"xapp-", r"(?<![A-Za-z0-9])xapp-[0-9]-[A-Z0-9]{9,12}-[0-9]{12,16}-[a-f0-9]{60,70}(?![A-Za-z0-9])"),
-    Format("secret", "slack_webhook", "high", r"hooks\.slack\.com", r"https://hooks\.slack\.com/services/T[A-Z0-9]{8,12}/B[A-Z0-9]{8,12}/[A-Za-z0-9]{24}"),
-    Format("secret", "stripe_secret_key", "high", r"sk_(?:live|test)_", r"(?<![A-Za-z0-9])sk_(?:live|test)_[A-Za-z0-9]{24,99}(?![A-Za-z0-9])"),
-    Format("secret", "stripe_restricted_key", "high", r"rk_(?:live|test)_", r"(?<![A-Za-z0-9])rk_(?:live|test)_[A-Za-z0-9]{24,99}(?![A-Za-z0-9])"),
-    Format("secret", "razorpay_key_id", "high", r"rzp_(?:live|test)_", r"(?<![A-Za-z0-9])rzp_(?:live|test)_[A-Za-z0-9]{14}(?![A-Za-z0-9])"),
-    Format("secret", "razorpay_key_secret", "medium", r"(?i)razorpay", r"razorpay[\w.\-]{0,24}?secret[\w.\-]{0,24}?" + _QUOTE + r"([A-Za-z0-9]{24})(?![A-Za-z0-9])", 1, flags=re.IGNORECASE),
-    Format("secret", "paytm_merchant_key", "medium", r"(?i)paytm", r"paytm[\w.\-]{0,24}?key[\w.\-]{0,12}?" + _QUOTE + r"([A-Za-z0-9@#$%&*!_+\-]{16})(?![A-Za-z0-9@#$%&*!_+\-])", 1, flags=re.IGNORECASE),
+    Format("secret", "slack_webhook", "high", r"hooks\.slack\.com", r"https://hooks\.slack\.com/services/T[A-Z0-9]{8,12}/B[A-Z0-9]{8,12}/[A-Za-z0-9]{24}", shape="hooks.slack.com"),
+    Format("secret", "stripe_secret_key", "high", r"sk_(?:live|test)_", r"(?<![A-Za-z0-9])sk_(?:live|test)_[A-Za-z0-9]{24,99}(?![A-Za-z0-9])", shape="sk_"),
+    Format("secret", "stripe_restricted_key", "high", r"rk_(?:live|test)_", r"(?<![A-Za-z0-9])rk_(?:live|test)_[A-Za-z0-9]{24,99}(?![A-Za-z0-9])", shape="rk_"),
+    Format("secret", "razorpay_key_id", "high", r"rzp_(?:live|test)_", r"(?<![A-Za-z0-9])rzp_(?:live|test)_[A-Za-z0-9]{14}(?![A-Za-z0-9])", shape="rzp_"),
+    Format("secret", "razorpay_key_secret", "medium", r"(?i)razorpay", r"razorpay[\w.\-]{0,24}?secret[\w.\-]{0,24}?" + _QUOTE + r"([A-Za-z0-9]{24})(?![A-Za-z0-9])", 1, flags=re.IGNORECASE, crosses=True),
+    Format("secret", "paytm_merchant_key", "medium", r"(?i)paytm", r"paytm[\w.\-]{0,24}?key[\w.\-]{0,12}?" + _QUOTE + r"([A-Za-z0-9@#$%&*!_+\-]{16})(?![A-Za-z0-9@#$%&*!_+\-])", 1, flags=re.IGNORECASE, crosses=True),
     Format("secret", "jwt", "high", r"eyJ", r"(?<![A-Za-z0-9])eyJ[A-Za-z0-9_\-]{4,}\.[A-Za-z0-9_\-]+(?:\.[A-Za-z0-9_\-]*)?"),
-    Format("secret", "private_key_block", "high", r"-----BEGIN", r"-----BEGIN ((?:RSA |EC |DSA |ENCRYPTED |PGP )?PRIVATE KEY(?: BLOCK)?)-----[\s\S]{0,16000}?-----END \1-----"),
-    Format("secret", "private_key_block", "medium", r"-----BEGIN", r"-----BEGIN (?:RSA |EC |DSA |ENCRYPTED |PGP )?PRIVATE KEY(?: BLOCK)?-----(?:\r?\n[A-Za-z0-9+/=:, \-]{16,100}){2,200}"),
-    Format("secret", "ssh_private_key", "high", r"-----BEGIN OPENSSH", r"-----BEGIN (OPENSSH PRIVATE KEY)-----[\s\S]{0,16000}?-----END \1-----"),
+    Format("secret", "private_key_block", "high", r"-----BEGIN", r"-----BEGIN ((?:RSA |EC |DSA |ENCRYPTED |PGP )?PRIVATE KEY(?: BLOCK)?)-----[\s\S]{0,16000}?-----END \1-----", crosses=True),
+    Format("secret", "private_key_block", "medium", r"-----BEGIN", r"-----BEGIN (?:RSA |EC |DSA |ENCRYPTED |PGP )?PRIVATE KEY(?: BLOCK)?-----(?:\r?\n[A-Za-z0-9+/=:, \-]{16,100}){2,200}", crosses=True),
+    Format("secret", "ssh_private_key", "high", r"-----BEGIN OPENSSH", r"-----BEGIN (OPENSSH PRIVATE KEY)-----[\s\S]{0,16000}?-----END \1-----", crosses=True),
     Format(
         "secret", "connection_string", "high", r"://",
         r"(?<![A-Za-z0-9+.\-])(?:jdbc:[a-z0-9]{2,12}:)?(?:postgres(?:ql)?|mysql|mariadb|mongodb(?:\+srv)?|rediss?|amqps?|mssql|sqlserver|oracle)"
@@ -86,14 +89,14 @@ CREDENTIALS = (
     ),
     Format(
         "secret", "basic_auth_url", "high", r"(?i)https?://",
-        r"(?<![A-Za-z0-9+.\-])https?://[^\s:/@'\"`]{1,64}:[^\s@'\"`/]{1,128}@[^\s'\"`/?#]{1,255}(?:[/?#][^\s'\"`]*)?", flags=re.IGNORECASE,
+        r"(?<![A-Za-z0-9+.\-])https?://[^\s:/@'\"`]{1,64}:[^\s@'\"`/]{1,128}@[^\s'\"`/?#]{1,255}(?:[/?#][^\s'\"`]*)?", flags=re.IGNORECASE, shape="://",
     ),
     Format("secret", "npm_token", "high", r"npm_", r"(?<![A-Za-z0-9])npm_[A-Za-z0-9]{36}(?![A-Za-z0-9])"),
     Format("secret", "pypi_token", "high", r"pypi-", r"(?<![A-Za-z0-9])pypi-AgEIcHlwaS5vcmc[A-Za-z0-9_\-]{50,}(?![A-Za-z0-9_\-])"),
-    Format("secret", "docker_registry_auth", "medium", r'"auth"', r'"auth"\s*:\s*"([A-Za-z0-9+/]{16,}={0,2})"', 1),
+    Format("secret", "docker_registry_auth", "medium", r'"auth"', r'"auth"\s*:\s*"([A-Za-z0-9+/]{16,}={0,2})"', 1, crosses=True),
     Format("secret", "docker_registry_auth", "high", r"dckr_pat_", r"(?<![A-Za-z0-9])dckr_pat_[A-Za-z0-9_\-]{27}(?![A-Za-z0-9_\-])"),
-    Format("secret", "twilio_api_key", "high", r"SK[0-9a-f]", r"(?<![A-Za-z0-9])SK[0-9a-f]{32}(?![A-Za-z0-9])"),
-    Format("secret", "sendgrid_api_key", "high", r"SG\.", r"(?<![A-Za-z0-9])SG\.[A-Za-z0-9_\-]{22}\.[A-Za-z0-9_\-]{43}(?![A-Za-z0-9_\-])"),
+    Format("secret", "twilio_api_key", "high", r"SK[0-9a-f]", r"(?<![A-Za-z0-9])SK[0-9a-f]{32}(?![A-Za-z0-9])", shape="AA"),
+    Format("secret", "sendgrid_api_key", "high", r"SG\.", r"(?<![A-Za-z0-9])SG\.[A-Za-z0-9_\-]{22}\.[A-Za-z0-9_\-]{43}(?![A-Za-z0-9_\-])", shape="AA."),
 )
 
 # Assigned calling codes, and lengths of account numbers by country.
