@@ -16,6 +16,8 @@ from tidemark.plans.security import _F, scan_findings
 from tidemark.sources import reports
 from tidemark.sources.tables import scratch, table
 
+#: Parts into which the made texts are dealt.
+TEXT_PARTS = 96
 _TEXTS = """
 t AS (SELECT c_custkey AS k, 'AKIA' || upper(substr(md5(c_custkey::VARCHAR), 1, 16)) AS aws, 'ghp_' || substr(md5(c_custkey::VARCHAR) || md5(c_custkey::VARCHAR), 1, 36) AS gh,
   'user' || c_custkey || '@mail' || (c_custkey % 97) || '.org' AS mail, '10.' || (c_custkey % 256) || '.3.' || (c_custkey % 7) AS ip FROM customer),
@@ -33,7 +35,9 @@ def made_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("é id "), key, F.lit(" key=AKIA"), F.upper(F.substring(digest, 1, 16)), F.lit(" <"), mail, F.lit("> from "), place,
         F.lit("\nghp_"), F.substring(F.concat(digest, digest), 1, 36),
     )
-    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), text.alias("text"))
+    # Keys are small, so few files hold them; the texts made from them are dealt to all tasks.
+    keys = table(spark, sf_dir, "customer").select("c_custkey").repartition(TEXT_PARTS)
+    return keys.select(F.col("c_custkey").alias("k"), text.alias("text"))
 
 
 def _found(docs: DataFrame, ident: str) -> DataFrame:
