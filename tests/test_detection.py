@@ -180,3 +180,9 @@ def test_made_texts_are_dealt_to_all_tasks(spark):
     from tidemark.plans import evidence
 
     assert evidence.made_texts(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 96
+
+
+def test_overlaps_are_settled_in_few_shuffles(spark):
+    rows = spark.createDataFrame([(1, "pii", "a", "low", "", 0, 9), (1, "pii", "b", "high", "", 2, 5)], "ident long, kind string, subtype string, confidence string, value string, start_byte long, end_byte long")
+    plan = overlaps.without_overlaps(rows)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 2

@@ -65,12 +65,11 @@ def _outermost(spans: DataFrame) -> DataFrame:
 
 def _cells(spans: DataFrame, by: tuple[str, ...]) -> DataFrame:
     """A row for each span and each cell (a, b) between two neighbouring ends of any of the group's spans that lies in it."""
-    ends = spans.select(*by, F.explode(F.array("start_byte", "end_byte")).alias("p")).groupBy(*by).agg(F.array_sort(F.collect_set("p")).alias("ends"))
-    named = ends.select(*(F.col(c).alias(f"e_{c}") for c in by), "ends")
-    same = reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"e_{c}")) for c in by))
+    group = Window.partitionBy(*by)
+    ends = F.array_sort(F.array_union(F.collect_set("start_byte").over(group), F.collect_set("end_byte").over(group)))
     low = F.array_position("ends", F.col("start_byte"))
     mine = F.slice("ends", low, F.array_position("ends", F.col("end_byte")) - low + 1)
-    rows = spans.join(named, same).withColumn("ends", mine)
+    rows = spans.withColumn("ends", ends).withColumn("ends", mine)
     return rows.select(*spans.columns, F.explode(F.arrays_zip(F.expr("slice(ends, 1, size(ends) - 1)").alias("a"), F.expr("slice(ends, 2, size(ends) - 1)").alias("b"))).alias("c")).select(*spans.columns, "c.a", "c.b")
 
 
@@ -93,7 +92,7 @@ def _cut(spans: DataFrame) -> DataFrame:
     later = Window.partitionBy(*GROUP, "a").orderBy(F.desc("start_byte"), "end_byte")
     near = F.min("end_byte").over(later.rowsBetween(Window.unboundedPreceding, -1))
     lost = F.coalesce(near <= F.col("end_byte"), F.lit(False))
-    cells = _cells(marked.where("mixed").drop("inner", "mixed"), GROUP).withColumn("lost", lost)
+    cells = _cells(marked.where("mixed").drop("inner", "mixed").repartition("ident"), GROUP).withColumn("lost", lost)
     cells = cells.withColumn("hit", F.max("lost").over(Window.partitionBy("ident", *columns)))
     pieces = _stretches(cells.where("NOT lost"), [*columns, "hit"]).where(f"NOT hit OR last - first >= {LEAST}")
     return plain.unionByName(pieces.drop("start_byte", "end_byte", "hit").withColumnsRenamed({"first": "start_byte", "last": "end_byte"}))
@@ -105,8 +104,10 @@ def without_overlaps(found: DataFrame) -> DataFrame:
     Inside one kind a span in another one goes.  Secrets then win over personal data, and these over terms; among one kind the surer,
     earlier and longer span wins, and the others keep what it doesn't cover.  Nulls in ``ident`` are one text.
     """
-    spans = stored(found.select("ident", *SPAN).where("end_byte > start_byte").distinct().withColumns({"sure": _sure(), "broad": F.col("subtype").isin(*BROAD)}))
-    pieces = stored(_cut(_outermost(spans)))
+    # Rows are dealt by text: what follows, always of one text, then needs no shuffle of its own.
+    dealt = found.select("ident", *SPAN).where("end_byte > start_byte").repartition("ident")
+    spans = dealt.distinct().withColumns({"sure": _sure(), "broad": F.col("subtype").isin(*BROAD)})
+    pieces = _cut(_outermost(spans)).repartition("ident")
     rank = F.struct(F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).alias("k"), (-F.col("sure")).alias("s"), F.col("start_byte").alias("at"), (-F.col("end_byte")).alias("e"), F.col("subtype").alias("t"))
     span = ["kind", "subtype", "confidence", "value", "origin", "start_byte"]
     best = _cells(pieces, ("ident",)).groupBy("ident", "a", "b").agg(F.min_by(F.struct(*span), rank).alias("s")).select("ident", "a", "b", "s.*")
