@@ -260,3 +260,10 @@ def test_exposure_is_looked_up_without_joins(spark):
     extra = regions.uncovered_lines(asked, islands, ["path"], ["id"])
     assert {r["id"]: r["extra"] for r in extra.collect()} == {1: 5, 2: 0}
     assert "Join" not in extra._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_that_share_nothing_meet_nothing(spark):
+    rows = [(1, "p", None, "A", ["B", "A", "B"], None, ["s", "s"]), (2, "p", None, "C", ["D"], ["1"], []), (3, "p", None, "D", None, ["2"], ["t"])]
+    got = advisories.reconciled(spark.createDataFrame(rows, "place long, purl string, resolved_from string, advisory_id string, aliases array<string>, fixed array<string>, sources array<string>"))
+    assert {r["advisory_id"]: (r["aliases"], r["fixed"], r["sources"], r["rows"]) for r in got.collect()} == {"A": (["B"], [], ["s"], 1), "C": (["D"], ["1", "2"], ["t"], 2)}
+    assert "Union" in got._jdf.queryExecution().executedPlan().toString()
