@@ -170,6 +170,23 @@ def gathered(heads: DataFrame) -> DataFrame:
     return with_component(heads.select("id").distinct(), roots).withColumnRenamed("component", "pivot")
 
 
+#: Pairs a member that a bucket's pivots may make before they are merged.
+CROSSED = 4
+
+
+def merged(heads: DataFrame, pivot: DataFrame) -> DataFrame:
+    """pivot (id, pivot), with the pivots of a bucket (bucket, id) as one where their members make more than CROSSED pairs a member.
+
+    What is left for across() grows with the postings then; around_pivots compares the others by differences, whatever their pivot.
+    """
+    held = heads.join(pivot, "id").groupBy("bucket", "pivot").agg(F.count("*").cast("double").alias("n"))
+    sums = held.groupBy("bucket").agg(F.min("pivot").alias("lead"), F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("squares"))
+    crowded = sums.where((F.col("all") * F.col("all") - F.col("squares")) / 2 > CROSSED * F.col("all")).select("bucket", "lead")
+    roots = components(held.join(crowded, "bucket").select(F.col("pivot").alias("a"), F.col("lead").alias("b")))
+    named = roots.select(F.col("id").alias("pivot"), F.col("component").alias("root"))
+    return pivot.join(named, "pivot", "left").select("id", F.coalesce("root", "pivot").alias("pivot"))
+
+
 def around_pivots(
     texts: DataFrame, placed: DataFrame, make: Make, percent: int
 ) -> tuple[DataFrame, DataFrame]:
@@ -207,11 +224,11 @@ def around_pivots(
     links = rows.where("e + low <= 0 and id <> best").select(F.least("id", "best").alias("a"), F.greatest("id", "best").alias("b"))
 
     tokens = rows.select("id", "component", "pivot", "d", "e", "low", F.explode("tokens").alias("token"))
-    held = tokens.groupBy("pivot", "token").agg(F.count("*").alias("holders")).where("holders > 1")
+    held = tokens.groupBy("pivot", "token").agg(F.count("*").alias("holders"), F.min("e").alias("least")).where("holders > 1")
     items = (
         tokens.join(held, ["pivot", "token"])
         .groupBy("id", "component", "pivot", "d", "e", "low")
-        .agg(F.sort_array(F.collect_list(F.struct("holders", "token"))).alias("items"))
+        .agg(F.sort_array(F.collect_list(F.struct("holders", "token", "least"))).alias("items"))
         .withColumn("shared", F.size("items"))
     )
     need = F.greatest(F.lit(1), F.ceil((F.col("e") + F.col("low")) / (2 * plus)))
@@ -220,7 +237,9 @@ def around_pivots(
     # The first token that two sets share, at places i and j, leaves room for so many more after it.
     postings = items.select(
         "id", "component", "pivot", "e", "shared", F.posexplode(F.slice("items", F.lit(1), length.cast("int"))).alias("at", "item")
-    ).select("id", "component", "pivot", "e", F.col("item.token").alias("token"), (F.col("shared") - F.col("at")).alias("room"))
+    ).select("id", "component", "pivot", "e", F.col("item.token").alias("token"), (F.col("shared") - F.col("at")).alias("room"), "item.least")
+    # What no holder of the token leaves room for meets nothing there: sets far from the pivot that share its tokens alone.
+    postings = postings.where(2 * plus * F.col("room") >= F.col("e") + F.col("least"))
     names = ("id", "component", "e", "room")
     a = postings.select("pivot", "token", *(F.col(c).alias(f"{c}1") for c in names))
     b = postings.select("pivot", "token", *(F.col(c).alias(f"{c}2") for c in names))

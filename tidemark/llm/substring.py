@@ -185,7 +185,7 @@ def unit_components(docs: DataFrame, met: DataFrame) -> DataFrame:
     placed = linking.with_component(postings, labels)
     open_buckets = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
     apart = cut(placed.join(open_buckets.select("bucket"), "bucket", "left_semi"))
-    pivot = cut(linking.gathered(apart))
+    pivot = cut(linking.merged(apart, cut(linking.gathered(apart))))
     certain, near = linking.around_pivots(texts, linking.with_component(pivot, labels), make, PERCENT)
     pairs = apart.join(pivot, "id").select(
         "bucket", "id", F.lit(1).alias("n"), "component", F.lit(1).alias("need"), F.lit(0).alias("free"), "pivot"
