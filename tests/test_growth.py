@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.operators import evaluation, regions
+import re
+
+from tidemark.operators import evaluation, regions, terms
 
 
 def test_findings_meet_labels_without_joins_by_id(spark):
@@ -42,3 +44,18 @@ def test_slices_are_added_up_without_joins_a_slice(spark):
     got = {r["slice"]: tuple(r)[1:5] for r in found.collect()}
     assert got == {1: (471, 12, 4, 2), 2: (2, 1, 0, 0), None: (2, 3, 0, 0)}
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") <= 3  # files, functions and the repository's one row
+
+
+def test_words_with_a_hit_are_few_and_placed_without_a_pattern_each(spark):
+    docs = spark.createDataFrame([(1, "xredfox Redfox, \U0001F600 red"), (2, "\u00e9red (darkred) \U00010400red"), (3, "blue-red_ red"), (4, None), (5, "none")], "id int, text string")
+    originals = spark.createDataFrame([("red",), ("fox",)], "v string")
+    found = terms.original_hits(docs, "id", "text", originals, None, ("darkred",))
+    brute = {}
+    for i, t in ((r.id, (r.text or "").lower()) for r in docs.collect()):
+        words = [(m.start(), m[0]) for m in re.finditer(r"\w+", t) if m[0] != "darkred"]
+        hits = [p + k for p, w in words for v in ("red", "fox") for k in range(len(w)) if w.startswith(v, k)]
+        if hits:
+            brute[i] = (len(hits), min(hits))
+    assert {r["ident"]: (r["hits"], r["first"]) for r in found.collect()} == brute
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [ident" in plan and "regexp_instr" not in plan and "ident#" in plan and not re.search(r"Aggregate \[ident#\d+, word#\d+\]", plan)

@@ -13,13 +13,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.graph import stored
+
 #: What doesn't count inside a term, and the fewest characters of a folded term.
 SEPARATORS = " \t\n\r\f\v-_."
 LEAST = 4
 #: Bytes of terms that are sent to the tasks at once.
 BLOCK = 8 << 20
-#: A word: letters, digits and underscores.
+#: A word: letters, digits and underscores; a character outside words.
 WORD = r"[\p{L}\p{N}_]+"
+OTHER = r"[^\p{L}\p{N}_]"
 
 _DROP = dict.fromkeys(map(ord, SEPARATORS))
 
@@ -104,7 +107,7 @@ def _counted(rows: DataFrame, values: list[str], schema: str) -> DataFrame:
         known = automaton(values)
         for part in parts:
             out = []
-            for key, t in part.itertuples(index=False):
+            for key, t in zip(part.iloc[:, 0], part.iloc[:, 1], strict=True):
                 found = [(last + 1 - len(v), last + 1) for last, v in known.iter(t)]
                 if found:
                     out.append((key, len(found), min(found)[0], found.count((0, len(t)))))
@@ -126,7 +129,7 @@ def original_hits(
     rows = docs.where(F.col(text).isNotNull()).select(F.col(ident).alias("ident"), F.lower(text).alias("text"))
     known = originals.select(F.col(originals.columns[0]).alias("v")).where("v <> ''")
     single = known.where(F.col("v").rlike(f"^{WORD}$"))
-    words = rows.select("ident", F.explode(F.regexp_extract_all("text", F.lit(WORD), 0)).alias("word")).groupBy("ident", "word").agg(F.count("*").alias("times"))
+    words = rows.select("ident", F.explode(F.regexp_extract_all("text", F.lit(WORD), 0)).alias("word"))
     distinct = words.select("word").distinct()
     if public is not None:
         names = public.select(F.lower(public.columns[0]).alias("word")).distinct()
@@ -135,12 +138,13 @@ def original_hits(
     for block in blocks(single, size):
         hit = _counted(distinct.select("word", "word"), block, "key string, hits long, first long, whole long")
         own = F.col("key").isin(*own_words)
-        hit = hit.withColumn("hits", F.when(own, F.col("whole")).otherwise(F.col("hits"))).where("hits > 0")
-        met = words.join(hit, words["word"] == hit["key"]).groupBy("ident").agg(
-            F.sum(F.col("times") * F.col("hits")).alias("hits"), F.collect_list(F.struct("word", F.when(own, 0).otherwise(F.col("first")).alias("first"))).alias("words")
-        )
-        place = F.transform("words", lambda w: F.regexp_instr(F.col("text"), F.concat(F.lit(r"(?<![\p{L}\p{N}_])"), w["word"], F.lit(r"(?![\p{L}\p{N}_])"))) - 1 + w["first"])
-        found.append(rows.join(met, "ident").select("ident", "hits", F.array_min(place).alias("first")))
+        # Written, so the planner knows its size: words with a hit are few, and others need not be shuffled by text.
+        hit = stored(hit.select("key", F.when(own, F.col("whole")).otherwise(F.col("hits")).alias("hits"), F.when(own, 0).otherwise(F.col("first")).alias("first")).where("hits > 0"))
+        met = words.join(hit, words["word"] == hit["key"]).groupBy("ident").agg(F.sum("hits").alias("hits"), F.collect_set(F.struct("word", "first")).alias("words"))
+        # A space for each character outside words, made once a text before the join: a word then stands between two.
+        spaced = F.concat(F.lit(" "), F.regexp_replace("text", OTHER, " "), F.lit(" ")).alias("spaced")
+        place = F.transform("words", lambda w: F.call_function("instr", F.col("spaced"), F.concat(F.lit(" "), w["word"], F.lit(" "))) - 1 + w["first"])
+        found.append(rows.select("ident", spaced).join(met, "ident").select("ident", "hits", F.array_min(place).alias("first")))
     for block in blocks(known.where(~F.col("v").rlike(f"^{WORD}$")), size):
         found.append(_counted(rows, block, f"key {kind}, hits long, first long, whole long").select(F.col("key").alias("ident"), "hits", "first"))
     every = _union(found, docs.sparkSession.createDataFrame([], f"ident {kind}, hits long, first long"))
