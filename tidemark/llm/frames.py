@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import itertools
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
@@ -49,6 +50,8 @@ def _checkpoint_dir(spark: SparkSession) -> str:
 _SPENT: list[list[str]] = []
 #: Shuffle files go when the query that wrote them ends: its result is in the shared folder then.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Joins whose measured partitions are no larger than what a task reads anyway hash the smaller side, and sort neither.
+_HASHED, _ADVISED = "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", "spark.sql.adaptive.advisoryPartitionSizeInBytes"
 
 
 @contextmanager
@@ -65,12 +68,20 @@ def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
             spark.conf.set(key, before)
 
 
+#: The broadcasts of an action, and the plans of its stages, stay in the driver's memory until it collects its garbage, which a
+#: driver with a heap to grow into puts off: it does so once for so many writes.
+COLLECTED = 4
+_WRITES = itertools.count(1)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the shared checkpoint folder, without its lineage."""
     spark = df.sparkSession
     path = f"{work_dir(spark)}/rows"
-    with setting(spark, _CLEANUP, "true"):
+    with setting(spark, _CLEANUP, "true"), setting(spark, _HASHED, spark.conf.get(_ADVISED)):
         df.write.parquet(path)
+    if not next(_WRITES) % COLLECTED:
+        spark._jvm.System.gc()
     if _SPENT:
         _SPENT[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -167,7 +178,7 @@ def each_salt(bits: str) -> Column:
     return F.explode(held)
 
 
-def with_group(rows: DataFrame, group: str, ident: str, aggregates: list[Column], having: str) -> DataFrame:
+def with_group(rows: DataFrame, group: str, ident: str, aggregates: list[Column], having: str | Column) -> DataFrame:
     """rows with the aggregates of their group, of the groups that meet ``having``.
 
     Groups are summed before the shuffle, and their rows meet the sums by group and a sub-key of ident, so a group

@@ -187,6 +187,7 @@ def similar_classes(docs: DataFrame, width: int = WORDS, percent: int = PERCENT)
     ordered = (
         may_match(tokens, "token", holders, "token")
         .join(holders, "token")
+        .repartition("id")
         .groupBy("id", "n", "component")
         .agg(F.sort_array(F.collect_list(F.struct("holders", "token"))).alias("items"))
     )

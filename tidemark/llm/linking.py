@@ -72,26 +72,27 @@ def verify(pairs: DataFrame, texts: DataFrame, make: Make, percent: int) -> Data
 def components(edges: DataFrame) -> DataFrame:
     """(id, component): for each id of edges (a, b) other than a component's smallest, that smallest.
 
-    Alternating stars: each round hangs neighbours on the smallest one they know, so the
-    rounds grow with the logarithm of a component's diameter.  Each round is written to
-    the shared folder.
+    Alternating stars: each round hangs neighbours on the smallest one they know, until all edges
+    are stars, so the rounds grow with the logarithm of a component's diameter.  Each round is
+    written to the shared folder.
     """
     state = cut(
         edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     )
-    seen = None
-    while True:
-        both = state.union(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
+    while not _are_stars(state):
+        least = state.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "v")
+        large = state.join(least, "v", "left").select("u", F.coalesce("m", "v").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         hung = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         state = cut(hung.union(low.select("u", F.col("m").alias("v"))).distinct())
-        now = state.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == seen or not now[0]:
-            return state.select(F.col("u").alias("id"), F.col("v").alias("component"))
-        seen = now
+    return state.select(F.col("u").alias("id"), F.col("v").alias("component"))
+
+
+def _are_stars(state: DataFrame) -> bool:
+    """Whether each u of the distinct edges (u, v) has one v, which is no edge's u."""
+    ends = F.explode(F.array(F.struct(F.col("u").alias("id"), F.lit(1).alias("up")), F.struct(F.col("v").alias("id"), F.lit(0).alias("up"))))
+    ids = state.select(ends.alias("end")).groupBy("end.id").agg(F.sum("end.up").alias("ups"), F.min("end.up").alias("least"))
+    return not ids.agg(F.count_if(F.expr("ups > 1 or ups > 0 and least = 0"))).first()[0]
 
 
 def to_leaders(postings: DataFrame, least_part: float = 0.0) -> DataFrame:
@@ -225,8 +226,10 @@ def around_pivots(
 
     tokens = rows.select("id", "component", "pivot", "d", "e", "low", F.explode("tokens").alias("token"))
     held = tokens.groupBy("pivot", "token").agg(F.count("*").alias("holders"), F.min("e").alias("least")).where("holders > 1")
+    # Lists are gathered after the shuffle: before it, a task has few rows of each.
     items = (
         tokens.join(held, ["pivot", "token"])
+        .repartition("id")
         .groupBy("id", "component", "pivot", "d", "e", "low")
         .agg(F.sort_array(F.collect_list(F.struct("holders", "token", "least"))).alias("items"))
         .withColumn("shared", F.size("items"))

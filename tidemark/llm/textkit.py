@@ -62,13 +62,17 @@ def word_spans(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _hash_piece(data: bytes) -> np.ndarray:
-    starts, ends = word_spans(data)
+    return _hash_spans(data, *word_spans(data))
+
+
+def _hash_spans(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     if not len(starts):
         return np.empty(0, dtype=np.uint64)
     size = cover(len(data) + 1)
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
     values = _BYTES[np.frombuffer(data, dtype=np.uint8)]
-    np.cumsum(values * powers(_BASE, size)[: len(data)], out=sums[1:])
+    values *= powers(_BASE, size)[: len(data)]
+    np.cumsum(values, out=sums[1:])
     found = (sums[ends] - sums[starts]) * powers(_INVERSE, size)[starts]
     return mix(found + (ends - starts).astype(np.uint64) * np.uint64(_ODD))
 
@@ -105,9 +109,15 @@ def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
     return run_hashes(words, begin, begin + min(n, width))
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The distinct values, ascending."""
+    values = np.sort(values)
+    return values[np.append(True, values[1:] != values[:-1])[: len(values)]]
+
+
 def shingle_set(data: bytes, width: int) -> np.ndarray:
     """Distinct hashes of the text's shingles, ascending."""
-    return np.unique(window_hashes(word_hashes(data), width))
+    return distinct(window_hashes(word_hashes(data), width))
 
 
 def fingerprint(hashes: np.ndarray) -> tuple[int, int]:
@@ -133,7 +143,8 @@ class Chunk:
         self.owner = np.repeat(np.arange(len(texts)), np.diff(self.edges))
 
     def words(self) -> np.ndarray:
-        return word_hashes(self.data.lower())
+        data = self.data.lower()
+        return _hash_spans(data, self.starts, self.ends) if len(data) <= 2 * PIECE else word_hashes(data)
 
     def inside(self, width: int) -> np.ndarray:
         """For each place at which ``width`` words begin: whether they are one text's."""
@@ -162,5 +173,5 @@ def shingle_sets(texts: list[bytes | None], width: int) -> list[np.ndarray]:
         words = chunk.words()
         windows = window_hashes(words, width) if len(words) >= width else words[:0]
         for a, b in itertools.pairwise(chunk.edges.tolist()):
-            found.append(np.unique(windows[a : b - width + 1] if b - a >= width else window_hashes(words[a:b], width)))
+            found.append(distinct(windows[a : b - width + 1] if b - a >= width else window_hashes(words[a:b], width)))
     return found
