@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import linking
@@ -84,6 +84,18 @@ def band_keys(shingles: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.nd
     return mix(keys + np.arange(LINE_BANDS, dtype=np.uint64))
 
 
+def least_places(values: np.ndarray, span: int) -> np.ndarray:
+    """The place of the least of the ``span`` values from each place on, the first of equal ones, by stretches of doubled length."""
+    least, at, length = values, np.arange(len(values)), 1
+    while length < span:
+        step = min(length, span - length)
+        n = len(least) - step
+        at = np.where(least[step:] < least[:n], at[step:], at[:n])
+        least = np.minimum(least[step:], least[:n])
+        length += step
+    return at
+
+
 def anchors(chunk: Chunk, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(windows, spans, chosen): the hash of the window at each word; where PASSAGE_WORDS words of one text begin, and the place
     of the least of the ANCHOR_SPAN windows there."""
@@ -91,8 +103,7 @@ def anchors(chunk: Chunk, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     if not len(spans):
         return words[:0], spans, spans
     windows = window_hashes(words, WINDOW_WORDS)
-    least = np.lib.stride_tricks.sliding_window_view(windows, ANCHOR_SPAN).argmin(axis=1)
-    return windows, spans, least[spans] + spans
+    return windows, spans, least_places(windows, ANCHOR_SPAN)[spans]
 
 
 def units_of(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -105,7 +116,7 @@ def units_of(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
         rows = band_keys(window_hashes(words, WIDTH), begin, end - WIDTH + 1)
         flat = rows[np.arange(LINE_BANDS) < bands[:, None]]
     windows, _, chosen = anchors(chunk, words)
-    at = np.unique(chosen)
+    at = chosen[np.append(True, chosen[1:] != chosen[:-1])[: len(chosen)]]  # the places ascend
     near = windows[at]
     return (
         np.concatenate([begin, at]),
@@ -162,6 +173,8 @@ def _unit_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 long = end - begin >= BANDED_WORDS
                 begin, end = begin[long], end[long]
                 keys = run_hashes(chunk.words(), begin, end) if len(begin) else begin
+                keys, once = np.unique(keys, return_index=True)
+                begin, end = begin[once], end[once]
                 texts = [chunk.data[a:b] for a, b in zip(chunk.starts[begin].tolist(), chunk.ends[end - 1].tolist(), strict=True)]
                 yield pa.record_batch([_long(keys), pa.array(texts, type=pa.binary())], names=["id", "text"])
 
@@ -197,6 +210,24 @@ def unit_components(docs: DataFrame, met: DataFrame) -> DataFrame:
     return found
 
 
+def _narrow(docs: DataFrame) -> bool:
+    """Whether an id and a place in its text fit one long together: the least of longs is hashed, that of structs is sorted for."""
+    low, high = _documents(docs).agg(F.min("id"), F.max("id")).first()
+    return low is None or -(1 << 31) <= low <= high < 1 << 31
+
+
+def _first_place(ident: str, narrow: bool) -> Column:
+    """An aggregate: the smallest (ident, start), for _place()."""
+    return F.min(F.shiftleft(ident, 32) + F.col("start")) if narrow else F.min(F.struct(F.col(ident).alias("doc"), "start"))
+
+
+def _place(first: str, narrow: bool) -> tuple[Column, Column]:
+    """(document, start) of what _first_place() found."""
+    if not narrow:
+        return F.col(f"{first}.doc"), F.col(f"{first}.start")
+    return F.shiftright(first, 32), F.col(first).bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
+
+
 def uncovered(places: DataFrame, held: DataFrame) -> DataFrame:
     """(key) of the anchors (id, start, key) that lie outside the passages of repeated units (id and UNIT) in some document."""
     spans = held.groupBy("id").agg(F.collect_list(F.struct(*UNIT)).alias("units"))
@@ -212,7 +243,7 @@ def uncovered(places: DataFrame, held: DataFrame) -> DataFrame:
             keys = [np.empty(0, dtype=np.int64)]
             unit = zip(*(arrays(batch.column(f"u_{c}")) for c in UNIT), strict=True)
             for doc, at, key, u in zip(batch.column("id").to_pylist(), arrays(batch.column("at")), arrays(batch.column("key")), unit, strict=True):
-                begin, size = covered(doc, *u)
+                begin, size = covered(doc, *u) if len(u[0]) else (u[0], u[1])
                 if len(begin):
                     near = np.searchsorted(begin, at, side="right") - 1
                     inside = (near >= 0) & (at + WINDOW_WORDS <= begin[near] + size[near])
@@ -223,8 +254,8 @@ def uncovered(places: DataFrame, held: DataFrame) -> DataFrame:
     return both.mapInArrow(outside, "key long").distinct()
 
 
-def shared_windows(docs: DataFrame, places: DataFrame, keys: DataFrame) -> DataFrame:
-    """The windows (id and UNIT) that other documents hold too, near the anchors (id, key) whose key is in keys."""
+def shared_windows(docs: DataFrame, places: DataFrame, keys: DataFrame, narrow: bool) -> DataFrame:
+    """The windows (id and UNIT) that smaller documents hold too, near the anchors (id, key) whose key is in keys."""
     met = may_match(places.select("id", "key"), "key", keys, "key").join(keys, "key", "left_semi")
     wanted = cut(met.groupBy("id").agg(F.collect_set("key").alias("keys")))
 
@@ -252,9 +283,10 @@ def shared_windows(docs: DataFrame, places: DataFrame, keys: DataFrame) -> DataF
 
     near = may_match(_documents(docs), "id", wanted).join(wanted, "id").select("id", "text", "keys")
     found = cut(near.mapInArrow(spread, "id long, start int, key long"))
-    held = with_group(found, "key", "id", [F.min(F.struct("id", "start")).alias("first"), F.max("id").alias("hi")], "first.id < hi")
+    owner, at = _place("first", narrow)
     size = F.lit(WINDOW_WORDS)
-    return held.select("id", "start", size.alias("words"), F.col("first.id").alias("owner"), F.col("first.start").alias("at"), size.alias("at_words"))
+    held = with_group(found, "key", "id", [_first_place("id", narrow).alias("first"), F.max("id").alias("hi")], owner < F.col("hi"))
+    return held.where(owner < F.col("id")).select("id", "start", size.alias("words"), owner.alias("owner"), at.alias("at"), size.alias("at_words"))
 
 
 #: A repeated unit: where it is in its document, and where it is in its owner.
@@ -303,11 +335,28 @@ def _near_copy(chain: list[tuple[int, int, int, int]]) -> list[list[tuple[int, i
     return done
 
 
+def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """(document, UNIT columns) of each document, from rows (id and UNIT) in the order of their ids."""
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        rows = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", *UNIT)]
+        turns = np.flatnonzero(np.diff(rows[0])) + 1
+        for a, b in itertools.pairwise([0, *turns.tolist(), len(rows[0])] if len(rows[0]) else []):
+            if held and held[0][0][0] != rows[0][a]:
+                yield int(held[0][0][0]), [np.concatenate(x) for x in list(zip(*held, strict=True))[1:]]
+                held = []
+            held.append([x[a:b] for x in rows])
+    if held:
+        yield int(held[0][0][0]), [np.concatenate(x) for x in list(zip(*held, strict=True))[1:]]
+
+
 def joined(start: np.ndarray, words: np.ndarray, owner: np.ndarray, at: np.ndarray, at_words: np.ndarray) -> list[tuple[int, int, int, int, int]]:
     """(start, words, owner, place in the owner, words there) of the passages that one document's units of other owners add up to.
 
     A passage shorter than PASSAGE_WORDS counts only where it overlaps one that counts by all of a window but a word.
     """
+    if not len(start) or int((start + words).max()) - int(start.min()) < PASSAGE_WORDS:
+        return []
     chains: list[list] = []  # owner, reach, place of the last segment, reach in the owner, segments
     live: list[list] = []
     for own, begin, end, place, place_end in sorted(segments(start, words, owner, at, at_words)):
@@ -371,26 +420,27 @@ def passages(docs: DataFrame) -> DataFrame:
     discard(shared)
     whole = met.where("words > 0")
     labels = unit_components(docs, whole.where(F.col("words") >= BANDED_WORDS))
+    narrow = _narrow(docs)
+    doc, start = _place("lo", narrow)
+    # Units of one key are of one length.
     named = linking.with_component(whole.withColumnRenamed("id", "doc").groupBy(F.col("key").alias("id")).agg(
-        F.min(F.struct("doc", "start", "words")).alias("lo"), F.max("doc").alias("hi"), salts("doc").alias("held")
-    ), labels)
+        _first_place("doc", narrow).alias("lo"), F.min("words").alias("words"), F.max("doc").alias("hi"), salts("doc").alias("held")
+    ), labels).withColumn("lo", F.struct(doc.alias("doc"), start.alias("start"), "words"))
     first = named.groupBy("component").agg(F.min("lo").alias("first"), F.max("hi").alias("hi")).where("first.doc < hi")
     owners = named.join(first.select("component", "first"), "component").select(
-        F.col("id").alias("key"), F.col("first.doc").alias("owner"), F.col("first.start").alias("at"), F.col("first.words").alias("at_words"), each_salt("held").alias("salt")
+        F.col("id").alias("key"), "words", F.col("first.doc").alias("owner"), F.col("first.start").alias("at"), F.col("first.words").alias("at_words"), each_salt("held").alias("salt")
     )
-    unit_rows = whole.select("id", "start", "words", "key").distinct().withColumn("salt", salt("id"))
+    # A unit is in several buckets: its rows are made one where they meet its owner.
+    unit_rows = whole.select("id", "start", "key", salt("id").alias("salt")).repartition("key", "salt").distinct()
     held = cut(unit_rows.join(owners, ["key", "salt"]).select("id", *UNIT))
     places = met.where("words = 0").select("id", "start", "key")
-    held = held.union(shared_windows(docs, places, cut(uncovered(places, held))))
-    runs = held.where("owner <> id").groupBy("id").agg(F.collect_list(F.struct(*UNIT)).alias("units"))
-    runs = runs.select("id", *(F.col(f"units.{c}").alias(c) for c in UNIT))
+    held = held.union(shared_windows(docs, places, cut(uncovered(places, held)), narrow))
+    # Sorted rows, not lists: what collects lists sorts as well, before and after the shuffle.
+    runs = held.where("owner <> id").select("id", *UNIT).repartition("id").sortWithinPartitions("id")
 
     def join_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            rows = []
-            units = zip(*(arrays(batch.column(c)) for c in UNIT), strict=True)
-            for doc, unit in zip(batch.column("id").to_pylist(), units, strict=True):
-                rows += [(doc, *passage) for passage in joined(*unit)]
+        for some in itertools.batched(_by_document(batches), 400):
+            rows = [(doc, *passage) for doc, unit in some for passage in joined(*unit)]
             columns = np.array(rows, dtype=np.int64).reshape(-1, 6).T
             yield pa.record_batch([pa.array(c) for c in columns], names=["doc_id", *UNIT])
 
