@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from tidemark.operators import evaluation, regions, secrets, terms
+from tidemark.operators import evaluation, graph, regions, secrets, terms
 
 
 def test_findings_meet_labels_without_joins_by_id(spark):
@@ -67,3 +67,12 @@ def test_texts_become_strings_a_few_at_a_time(spark):
     assert "MapInArrow" in found._jdf.queryExecution().optimizedPlan().toString()  # not whole batches as strings of pandas
     assert found.select("ident", "start_byte", "value").distinct().count() == 1000
     assert {(r.start_byte, r.end_byte) for r in found.collect()} == {(7, 71)}
+
+
+def test_components_end_at_stars_and_not_at_a_sum_over_all_edges(spark, monkeypatch):
+    """A sum of hashes of 40 bits is beyond a long from 2^24 edges on, and takes a round more."""
+    written = []
+    monkeypatch.setattr(graph, "stored", lambda rows, write=graph.stored: written.append(write(rows)) or written[-1])
+    found = graph.components(spark.createDataFrame([(9, 1), (1, 5), (7, 1), (3, 4)], "a long, b long"))
+    assert {x.node: x.component for x in found.collect()} == {1: 1, 5: 1, 7: 1, 9: 1, 3: 3, 4: 3}
+    assert len(written) == 1
