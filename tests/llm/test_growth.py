@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import itertools
+import random
 
 import numpy as np
 
-from tidemark.llm import linking
+from tests.llm.conftest import DOCS, words
+from tidemark.llm import linking, substring, textkit
 
 
 def test_a_crowded_buckets_pivots_are_one_and_small_ones_stay(spark):
@@ -46,3 +48,22 @@ def test_families_far_from_their_pivot_lose_no_link(spark):
             lead = {k: x if v == y else v for k, v in lead.items()}
     assert {k: got.get(k, k) for k in sets} == lead
     assert pairs.count() < 90 * 89 // 2
+
+
+def test_units_that_a_buckets_leaders_met_are_not_compared_again(spark, monkeypatch):
+    """What a bucket's smallest and largest unit were verified with is done; its other units still find each other."""
+    r = random.Random(3)
+    key = lambda t: int(substring.run_hashes(h := textkit.word_hashes(t.encode()), np.array([0]), np.array([len(h)])).view(np.int64)[0])
+    base = words(r, 40)
+    near = [base, base.rsplit(" ", 1)[0] + " changed"]
+    far = sorted((words(r, 40) for _ in range(60)), key=key)
+    texts = [far[0], *near, far[-1]]
+    assert key(texts[0]) < min(map(key, near)) and max(map(key, near)) < key(texts[-1])
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate([*texts, *far[1:3]])], DOCS)
+    met = [(key(t), 1, 7) for t in texts] + [(key(t), 1, 8) for t in (texts[0], *far[1:3])]
+    compared = []
+    monkeypatch.setattr(linking, "gathered", lambda heads, gather=linking.gathered: compared.append(heads.count()) or gather(heads))
+    found = substring.unit_components(docs, spark.createDataFrame(met, "key long, n_buckets int, bucket long"))
+    low, high = sorted(map(key, near))
+    assert {x.id: x.component for x in found.collect()} in ({high: low}, {high: low, low: low})
+    assert compared == [2]  # all four of bucket 7 before, and the three of bucket 8

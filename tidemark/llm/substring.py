@@ -185,17 +185,20 @@ def _unit_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 def unit_components(docs: DataFrame, met: DataFrame) -> DataFrame:
     """(id, component) of the keys of units that others resemble, from (key, n_buckets, bucket) of each unit."""
     classes = met.groupBy("bucket", "key").agg(F.first("n_buckets").alias("n_buckets"))
-    mixed = classes.groupBy("bucket").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi").select("bucket")
-    postings = cut(classes.join(mixed, "bucket", "left_semi").select(F.col("key").alias("id"), "n_buckets", "bucket"))
+    mixed = classes.groupBy("bucket").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi")
+    postings = cut(classes.join(mixed, "bucket").select(F.col("key").alias("id"), "bucket", "lo", "hi"))
     texts = _unit_texts(docs, cut(postings.select("id").distinct()))
 
     def make(texts: list[bytes | None]) -> list[np.ndarray]:
         return shingle_sets(texts, WIDTH)
 
-    labels = cut(linking.components(linking.verify(linking.to_leaders(postings), texts, make, PERCENT)))
+    led = postings.select("id", F.explode(F.array("lo", "hi")).alias("lead")).where("id <> lead")
+    pairs = led.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
+    labels = cut(linking.components(linking.verify(pairs, texts, make, PERCENT)))
+    # A bucket's leaders are verified with all of its units; what is left are its other units, if they are of several components.
     # Near copies of one unit meet in many buckets: those are compared by their differences from one of them, and
     # only what no chain of leaders ties meets pair by pair.
-    placed = linking.with_component(postings, labels)
+    placed = linking.with_component(postings.where("id <> lo AND id <> hi").select("id", "bucket"), labels)
     open_buckets = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
     apart = cut(placed.join(open_buckets.select("bucket"), "bucket", "left_semi"))
     pivot = cut(linking.merged(apart, cut(linking.gathered(apart))))
@@ -230,20 +233,17 @@ def _place(first: str, narrow: bool) -> tuple[Column, Column]:
 
 def uncovered(places: DataFrame, held: DataFrame) -> DataFrame:
     """(key) of the anchors (id, start, key) that lie outside the passages of repeated units (id and UNIT) in some document."""
-    spans = held.groupBy("id").agg(F.collect_list(F.struct(*UNIT)).alias("units"))
-    spans = spans.select("id", *(F.col(f"units.{c}").alias(f"u_{c}") for c in UNIT))
-    spots = places.groupBy("id").agg(F.collect_list(F.struct("start", "key")).alias("spots"))
-    spots = spots.select("id", F.col("spots.start").alias("at"), F.col("spots.key").alias("key"))
-    kinds = {c: f"array<{'bigint' if c == 'owner' else 'int'}>" for c in UNIT}
-    units = [F.coalesce(f"u_{c}", F.array().cast(kinds[c])).alias(f"u_{c}") for c in UNIT]
-    both = spots.join(spans, "id", "left").select("id", "at", "key", *units)
+    *nothing, no_key = (F.lit(0).cast("long" if c in ("owner", "key") else "int").alias(c) for c in (*UNIT[1:], "key"))
+    spots = places.select("id", "start", *nothing, "key")  # units have words
+    both = spots.union(held.select("id", *UNIT, no_key)).repartition("id").sortWithinPartitions("id")
 
     def outside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for some in itertools.batched(_by_document(batches, (*UNIT, "key")), 400):
             keys = [np.empty(0, dtype=np.int64)]
-            unit = zip(*(arrays(batch.column(f"u_{c}")) for c in UNIT), strict=True)
-            for doc, at, key, u in zip(batch.column("id").to_pylist(), arrays(batch.column("at")), arrays(batch.column("key")), unit, strict=True):
-                begin, size = covered(doc, *u) if len(u[0]) else (u[0], u[1])
+            for doc, columns in some:
+                spot = columns[1] == 0
+                at, key = columns[0][spot], columns[-1][spot]
+                begin, size = covered(doc, *(x[~spot] for x in columns[:-1])) if len(at) else (at, at)
                 if len(begin):
                     near = np.searchsorted(begin, at, side="right") - 1
                     inside = (near >= 0) & (at + WINDOW_WORDS <= begin[near] + size[near])
@@ -335,11 +335,11 @@ def _near_copy(chain: list[tuple[int, int, int, int]]) -> list[list[tuple[int, i
     return done
 
 
-def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[np.ndarray]]]:
-    """(document, UNIT columns) of each document, from rows (id and UNIT) in the order of their ids."""
+def _by_document(batches: Iterator[pa.RecordBatch], names: tuple[str, ...] = UNIT) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """(document, columns of those names) of each document, from rows (id and they) in the order of their ids."""
     held: list[list[np.ndarray]] = []
     for batch in batches:
-        rows = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", *UNIT)]
+        rows = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", *names)]
         turns = np.flatnonzero(np.diff(rows[0])) + 1
         for a, b in itertools.pairwise([0, *turns.tolist(), len(rows[0])] if len(rows[0]) else []):
             if held and held[0][0][0] != rows[0][a]:
